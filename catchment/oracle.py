@@ -102,7 +102,75 @@ FROM stores s JOIN adj a ON s.STORE_PROVINCE = a.STORE_PROV JOIN ldu l ON a.LDU_
   FROM att_full WHERE Attraction > CAST(0.01 AS DOUBLE) * TOTAL_POSTALCODE_ATTRACTION) x""",
 }
 
-ALL_BLOCKS = {**FIXTURE_BLOCKS, **STAGE_BLOCKS}
+CLEAN_SQL = (
+    "regexp_replace(regexp_replace(regexp_replace(Description, ' \\(Current Year \\$\\)', '', 'g'),"
+    " 'Côte d''Ivoire', 'Cote d Ivoire', 'g'), '[$,.\\-''()]', '', 'g')"
+)
+
+DEMO_TOTALS_SQL = {
+    "TOTAL_HOUSEHOLDS": "BASHHD",
+    "TOTAL_HOUSEHOLD_POPULATION": "BASHPOP",
+    "TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER": "BAS15HP",
+    "TOTAL_POPULATION": "BASPOP",
+}
+
+
+def totals_sql(leg: str, prefix: str, totals: dict[str, str]) -> str:
+    cols = ", ".join(f"max(CASE WHEN variable = '{prefix}{sfx}' THEN value END) AS {name}" for name, sfx in totals.items())
+    return f"SELECT CODE AS POSTALCODE, {cols} FROM {leg} GROUP BY CODE"
+
+
+def _melt_sql(leg: str, prefix: str, year_expr: str) -> str:
+    """Dense melt of one leg: every (postal code, variable) of the leg."""
+    tot = ", ".join(f"t.{name}" for name in DEMO_TOTALS_SQL)
+    return f"""SELECT g.variable, g.POSTALCODE, m.Description, m.Category, c.val, {tot},
+  m.Hierarchy_Description, m.MEDIAN_AVERAGE, m.ADD_TO_PROFILE, m.LEAF_NODE_FLAG, m.TOTAL_FLAG, {year_expr} AS YEAR
+FROM (SELECT cc.POSTALCODE, vv.variable FROM (SELECT DISTINCT CODE AS POSTALCODE FROM {leg}) cc
+      CROSS JOIN (SELECT DISTINCT variable FROM {leg}) vv) g
+LEFT JOIN (SELECT CODE, variable, max(value) AS val FROM {leg} GROUP BY CODE, variable) c
+  ON c.CODE = g.POSTALCODE AND c.variable = g.variable
+LEFT JOIN (SELECT DISTINCT variable, Description, Category, Hierarchy_Description, MEDIAN_AVERAGE, ADD_TO_PROFILE,
+  LEAF_NODE_FLAG, TOTAL_FLAG FROM {leg}) m ON m.variable = g.variable
+JOIN ({totals_sql(leg, prefix, DEMO_TOTALS_SQL)}) t ON t.POSTALCODE = g.POSTALCODE"""
+
+
+def _sv_melt_sql(year: int) -> str:
+    leg = f"(SELECT CODE, var_code AS variable, var_value AS value, Description, Category FROM features_sv WHERE YEAR = {year})"
+    return f"""SELECT g.variable, g.POSTALCODE, m.Description, m.Category, c.val, t.TOTAL_POPULATION, {year} AS YEAR
+FROM (SELECT cc.POSTALCODE, vv.variable FROM (SELECT DISTINCT CODE AS POSTALCODE FROM {leg} x1) cc
+      CROSS JOIN (SELECT DISTINCT variable FROM {leg} x2) vv) g
+LEFT JOIN (SELECT CODE, variable, max(value) AS val FROM {leg} x3 GROUP BY CODE, variable) c
+  ON c.CODE = g.POSTALCODE AND c.variable = g.variable
+LEFT JOIN (SELECT DISTINCT variable, Description, Category FROM {leg} x4) m ON m.variable = g.variable
+JOIN (SELECT CODE AS POSTALCODE, max(CASE WHEN variable = 'SVBAS15HP' THEN value END) AS TOTAL_POPULATION
+      FROM {leg} x5 GROUP BY CODE) t ON t.POSTALCODE = g.POSTALCODE"""
+
+
+FEATURE_BLOCKS = {
+    "feat_union": "SELECT * FROM features_demo UNION SELECT * FROM features_newcomer",
+    "feat_sel": """SELECT u.*, d.Hierarchy_Description, d.MEDIAN_AVERAGE, d.ADD_TO_PROFILE, d.LEAF_NODE_FLAG, d.TOTAL_FLAG,
+  d.YEAR AS WHOLE_YEAR
+FROM feat_union u LEFT JOIN master_dim d ON substr(d.variable, 4) = substr(u.var_code, 4)
+WHERE (u.Category IN (SELECT DISTINCT Category FROM master_dim WHERE ADD_TO_PROFILE = 1 OR YEAR IS NOT NULL)
+       AND d.ADD_TO_PROFILE = 1) OR d.YEAR IS NOT NULL""",
+    "feat_tag": f"""SELECT CODE, var_code AS variable, var_value AS value, {CLEAN_SQL} AS Description, Category,
+  Hierarchy_Description, MEDIAN_AVERAGE, ADD_TO_PROFILE, LEAF_NODE_FLAG, TOTAL_FLAG, WHOLE_YEAR,
+  CASE substr(var_code, 1, 3) WHEN 'EHY' THEN 2018 WHEN 'ECY' THEN 2023 WHEN 'P3Y' THEN 2026 WHEN 'P5Y' THEN 2028
+    WHEN 'P0Y' THEN 2033 END AS YEAR
+FROM feat_sel""",
+    "leg23": "SELECT * FROM feat_tag WHERE YEAR IN (2023, 2024) OR WHOLE_YEAR IS NOT NULL",
+    "leg26": "SELECT * FROM feat_tag WHERE YEAR = 2026",
+    "leg28": "SELECT * FROM feat_tag WHERE YEAR = 2028",
+    "leg33": "SELECT * FROM feat_tag WHERE YEAR = 2033",
+    "melt23": _melt_sql("leg23", "ECY", "CASE WHEN g.variable LIKE 'NC24%' THEN 2024 ELSE 2023 END"),
+    "melt26": _melt_sql("leg26", "P3Y", "2026"),
+    "melt28": _melt_sql("leg28", "P5Y", "2028"),
+    "melt33": _melt_sql("leg33", "P0Y", "2033"),
+    "melted": "SELECT * FROM melt23 UNION ALL SELECT * FROM melt26 UNION ALL SELECT * FROM melt28 UNION ALL SELECT * FROM melt33",
+    "sv_melted": f"{_sv_melt_sql(2024)}\nUNION ALL\n{_sv_melt_sql(2023)}",
+}
+
+ALL_BLOCKS = {**FIXTURE_BLOCKS, **STAGE_BLOCKS, **FEATURE_BLOCKS}
 
 
 def with_prefix(extra: dict[str, str] | None = None) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import attraction as att
+from ..operators import features as feat
 from ..sources import fixtures as fx
 from ..sources import tables
 
@@ -35,3 +36,31 @@ def half_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares after the 1% cut (feeds competition)."""
     return att.shares(full_attraction(spark, sf_dir), att.ONE_PERCENT)
+
+
+# ---------------------------------------------------------------------------
+# Features
+# ---------------------------------------------------------------------------
+def features_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load_features(*fx.feature_parts(spark, sf_dir))
+
+
+def features_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.select_variables(features_union(spark, sf_dir), fx.master_dim(spark))
+
+
+def features_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.tag_year(features_selected(spark, sf_dir))
+
+
+def features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stacked melted demographic table (four legs)."""
+    return feat.melt_demographics(features_tagged(spark, sf_dir))
+
+
+def social_values_by_year(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
+    return {yr: tables.load_social_values(df) for yr, df in fx.social_value_parts(spark, sf_dir).items()}
+
+
+def social_values_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.melt_social_values(social_values_by_year(spark, sf_dir))
