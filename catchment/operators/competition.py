@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excluded_label
-from ..plans.layout import fits_broadcast
 
 LEVELS = ("BANNER", "CHANNEL", "CUSTOMER_GROUP")
 
@@ -90,10 +89,11 @@ def competition_wide(shares: DataFrame, level: str = "BANNER") -> DataFrame:
     plan has a single window over POSTALCODE whatever the number of values.
     """
     _check_level(level)
-    values_df = shares.select(level).filter(F.col(level).isNotNull()).distinct()
-    if not fits_broadcast(values_df, max_rows=int(shares.sparkSession.conf.get("spark.sql.pivotMaxValues"))):
+    limit = int(shares.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = shares.select(level).filter(F.col(level).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError(f"too many distinct {level} values for the wide form; use leave_one_out")
-    values = sorted(r[0] for r in values_df.collect())
+    values = sorted(r[0] for r in rows)
     w = Window.partitionBy("POSTALCODE")
     cols = []
     for v in values:

@@ -7,7 +7,7 @@ Layout notes
 * Pivot + melt is one shuffle: ``groupBy(CODE).pivot(values)`` (partial
   aggregation, then an exchange by CODE) followed by ``unpivot`` (a local
   Expand).  The per-postal totals are read from the same pivoted row instead
-  of a join back, and metadata is attached by a broadcast join.
+  of a join back; the small metadata side is broadcast by adaptive execution.
 * The variable list of every leg is read in one small job (distinct
   variable per leg), size-checked against ``spark.sql.pivotMaxValues`` like
   Spark's own pivot, and then passed explicitly.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.codes import newcomer_year, suffix_key, year_from_code
 from ..functions.text import clean_description
-from ..plans.layout import fits_broadcast, maybe_broadcast
+from ..plans.layout import maybe_broadcast, shuffle_partitions
 
 # Population totals lifted to columns, by name of the output column and the
 # variable suffix that holds it (prefixed with the leg's year code).
@@ -113,18 +113,22 @@ def leg_rows(tagged: DataFrame, leg: Leg) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Pivot / melt
 # ---------------------------------------------------------------------------
+def leg_assignment(legs: list[Leg]) -> Column:
+    """Names of the legs a row belongs to (legs may overlap)."""
+    names = F.array(*[F.when(leg.filter, F.lit(leg.name)) for leg in legs])
+    return F.filter(names, lambda x: x.isNotNull())
+
+
 def variables_by_leg(tagged: DataFrame, legs: list[Leg]) -> dict[str, list]:
-    """Distinct variables of every leg, read in one job and size-checked."""
+    """Distinct variables of every leg, read in one small job and checked
+    against ``spark.sql.pivotMaxValues`` (the same bound Spark's pivot uses
+    for the value list it collects)."""
     limit = int(tagged.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    flags = [F.when(leg.filter, F.lit(True)).otherwise(F.lit(False)).alias(f"in_{leg.name}") for leg in legs]
-    dv = tagged.select("variable", *flags).distinct()
-    if not fits_broadcast(dv, max_rows=limit * len(legs)):
-        raise ValueError("too many distinct variables to pivot; use the long form")
+    dv = tagged.select(F.explode(leg_assignment(legs)).alias("leg"), "variable").distinct()
+    rows = dv.limit(limit * len(legs) + 1).collect()
     out: dict[str, set] = {leg.name: set() for leg in legs}
-    for row in dv.collect():
-        for leg in legs:
-            if row[f"in_{leg.name}"]:
-                out[leg.name].add(row["variable"])
+    for row in rows:
+        out[row["leg"]].add(row["variable"])
     result = {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
     for k, v in result.items():
         if len(v) > limit:
@@ -139,32 +143,67 @@ def pivot_features(rows: DataFrame, values: list, key: str = "CODE") -> DataFram
     return rows.groupBy(key).pivot("variable", values).agg(F.max("value")).withColumnRenamed(key, "POSTALCODE")
 
 
-def _col(name) -> Column:
-    return F.col(f"`{'null' if name is None else name}`")
-
-
-def melt_features(
-    rows: DataFrame,
-    values: list,
+def melt_legs(
+    tagged: DataFrame,
+    legs: list[Leg],
     totals: dict[str, str],
-    total_prefix: str,
-    year: Column,
     metadata_columns: list[str],
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Wide -> long for one leg: every (postal code, variable) pair of the
-    leg, NULL where the postal code has no value, with the metadata of the
-    variable and the postal code's totals on each row."""
-    wide = pivot_features(rows, values).filter(F.col("POSTALCODE").isNotNull())
-    value_names = ["null" if v is None else v for v in values]
-    total_cols = [_col(total_prefix + suffix).alias(name) for name, suffix in totals.items()]
-    long = wide.select("POSTALCODE", *[_col(v) for v in values], *total_cols).unpivot(
-        ["POSTALCODE", *totals.keys()], value_names, "variable", "val"
+    """Dense melted table of all legs in one pass (pivot + melt semantics):
+    for every leg, every (postal code of the leg, variable of the leg) pair,
+    with the value (NULL when absent), the variable's metadata and the postal
+    code's totals, and the leg's YEAR.
+
+    One exchange: rows are tagged with their legs and hash-partitioned by
+    CODE; the per-cell value (``max``, deterministic) and the per-(code, leg)
+    map variable -> value are then aggregated without further exchange (a
+    group holds at most one entry per variable of the leg, a size-checked
+    list).  The leg's variable list is exploded per (code, leg) and looked up
+    in the map; totals are looked up in the same map.  The output stays
+    hash-partitioned by POSTALCODE, the layout of the share table, so the
+    profile join needs no exchange on this side.
+    """
+    values = variables_by_leg(tagged, legs)
+    n = partitions or shuffle_partitions(tagged)
+    legged = tagged.select("*", F.explode(leg_assignment(legs)).alias("__leg"))
+    laid = legged.select("CODE", "__leg", "variable", "value").repartition(n, "CODE")
+    cells = laid.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
+    per_code = cells.groupBy("CODE", "__leg").agg(
+        F.map_from_entries(F.collect_list(F.struct("variable", "__val"))).alias("__cells")
+    )
+    var_lists = F.create_map(
+        *[x for leg in legs for x in (F.lit(leg.name), F.array(*[F.lit(v) for v in values[leg.name]]).cast("array<string>"))]
     )
-    meta = rows.select(*metadata_columns).distinct()
-    meta, _ = maybe_broadcast(meta)
+    prefixes = F.create_map(*[x for leg in legs for x in (F.lit(leg.name), F.lit(leg.total_prefix))])
+    leg = F.col("__leg")
+    dense = per_code.filter(F.col("CODE").isNotNull()).select(
+        F.col("CODE").alias("POSTALCODE"),
+        "__leg",
+        "__cells",
+        F.explode(F.element_at(var_lists, leg)).alias("variable"),
+    )
+    total_cols = [
+        F.try_element_at("__cells", F.concat(F.element_at(prefixes, leg), F.lit(sfx))).alias(name)
+        for name, sfx in totals.items()
+    ]
+    long = dense.select(
+        "POSTALCODE", "__leg", "variable", F.try_element_at("__cells", F.col("variable")).alias("val"), *total_cols
+    )
+    # Variable metadata of each leg: a distinct over the rows (map-side
+    # partial aggregation), small, so adaptive execution broadcasts it.
+    meta = legged.select(
+        F.col("__leg").alias("__mleg"),
+        F.col("variable").alias("__mvar"),
+        *[c for c in metadata_columns if c != "variable"],
+    ).distinct()
+    joined = long.join(meta, (long["__leg"] == meta["__mleg"]) & (long["variable"] == meta["__mvar"]), "left")
+    year = None
+    for lg in legs:
+        year = (F.when if year is None else year.when)(leg == lg.name, lg.year)
     out_cols = ["variable", "POSTALCODE", *[c for c in metadata_columns if c in ("Description", "Category")], "val"]
     out_cols += list(totals.keys()) + [c for c in metadata_columns if c not in ("variable", "Description", "Category")]
-    return long.join(meta, "variable", "left").select(*out_cols).withColumn("YEAR", year)
+    return joined.select(*out_cols, year.alias("YEAR"))
 
 
 def postal_totals(rows: DataFrame, totals: dict[str, str], total_prefix: str, key: str = "CODE") -> DataFrame:
@@ -182,33 +221,21 @@ def variable_metadata(rows: DataFrame) -> DataFrame:
 
 
 def melt_demographics(tagged: DataFrame, legs: list[Leg] | None = None) -> DataFrame:
-    """The stacked melted demographic table: the four legs, each pivoted and
-    melted, unioned (UNION ALL)."""
-    legs = legs or demographic_legs()
-    values = variables_by_leg(tagged, legs)
-    melted = [
-        melt_features(leg_rows(tagged, leg), values[leg.name], DEMO_TOTALS, leg.total_prefix, leg.year, METADATA_COLUMNS)
-        for leg in legs
-    ]
-    out = melted[0]
-    for m in melted[1:]:
-        out = out.unionByName(m)
-    return out
+    """The stacked melted demographic table: the current-year leg (with
+    newcomer variables as 2024) and the three projection legs."""
+    return melt_legs(tagged, legs or demographic_legs(), DEMO_TOTALS, METADATA_COLUMNS)
+
+
+def social_value_legs(years: list[int]) -> list[Leg]:
+    return [Leg(str(y), F.col("YEAR") == y, "", F.lit(y)) for y in years]
 
 
 def melt_social_values(sv_by_year: dict[int, DataFrame]) -> DataFrame:
-    """Stacked melted social values: per year, pivot + melt with the
+    """Stacked melted social values: one leg per year table, with the
     Household Population 15+ total as TOTAL_POPULATION."""
-    parts = []
+    tagged = None
     for year, raw in sv_by_year.items():
-        vals = raw.select("variable").distinct()
-        if not fits_broadcast(vals, max_rows=int(raw.sparkSession.conf.get("spark.sql.pivotMaxValues"))):
-            raise ValueError("too many distinct social-value variables to pivot")
-        values = sorted((r[0] for r in vals.collect()), key=lambda x: (x is None, x))
-        parts.append(
-            melt_features(raw, values, SV_TOTALS, "", F.lit(year), ["variable", "Description", "Category"])
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        part = raw.withColumn("YEAR", F.lit(year))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    legs = social_value_legs(list(sv_by_year))
+    return melt_legs(tagged, legs, SV_TOTALS, ["variable", "Description", "Category"])

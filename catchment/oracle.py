@@ -170,7 +170,86 @@ FROM feat_sel""",
     "sv_melted": f"{_sv_melt_sql(2024)}\nUNION ALL\n{_sv_melt_sql(2023)}",
 }
 
-ALL_BLOCKS = {**FIXTURE_BLOCKS, **STAGE_BLOCKS, **FEATURE_BLOCKS}
+STORE_KEYS_SQL = (
+    "s.CUSTOMER_GROUP, s.STORE_NAME, s.STORE_NUM, s.CHANNEL, s.SALES_GROUP, s.BANNER, s.STORE_STREET,"
+    " s.STORE_LONGITUDE, s.STORE_LATITUDE, s.STORE_PROVINCE"
+)
+LABELS_SQL = (
+    "CASE WHEN CUSTOMER_GROUP IN ('AOL_AO LOCAL', 'AON_AO NATL RETAIL')"
+    " THEN regexp_replace(STORE_NAME, '#\\d+\\s*[A-Z]*\\s*[A-Z]*\\s*', '', 'g') ELSE CUSTOMER_GROUP END AS STORE_CHAIN,"
+    " CASE WHEN STORE_PROVINCE = 'ON' THEN 'ONTARIO' WHEN STORE_PROVINCE = 'QC' THEN 'QUEBEC'"
+    " WHEN STORE_PROVINCE IN ('AB', 'BC', 'MB', 'SK', 'YT', 'NT') THEN 'WEST'"
+    " WHEN STORE_PROVINCE IN ('NS', 'NB', 'NL', 'PE') THEN 'EAST' ELSE STORE_PROVINCE END AS Region"
+)
+
+
+def ratio_sql(keys: str, name: str) -> str:
+    return (
+        f"sum(val) OVER (PARTITION BY {keys}) / nullif(sum(TOTAL_POPULATION) OVER (PARTITION BY {keys}), 0) AS {name}"
+    )
+
+
+def percent_sql(value: str, keys: str, name: str) -> str:
+    return (
+        f"{value} / nullif(sum(CASE WHEN LEAF_NODE_FLAG = 1 THEN {value} ELSE 0 END) OVER (PARTITION BY {keys}), 0)"
+        f" AS {name}"
+    )
+
+
+LEVELS_SQL = ", ".join(
+    [
+        ratio_sql("BANNER, variable, YEAR", "BANNER_VALUE"),
+        ratio_sql("Region, CHANNEL, variable, YEAR", "CHANNEL_RE_VALUE"),
+        ratio_sql("Region, variable, YEAR", "REGION_VALUE"),
+        ratio_sql("CHANNEL, variable, YEAR", "CHANNEL_VALUE"),
+    ]
+)
+PERCENTS_SQL = ", ".join(
+    [
+        percent_sql("BANNER_VALUE", "Category, BANNER, STORE_NAME, YEAR", "BANNER_VALUE_PERCENT"),
+        percent_sql("CHANNEL_RE_VALUE", "Region, CHANNEL, STORE_NAME, Category, YEAR", "CHANNEL_RE_VALUE_PERCENT"),
+        percent_sql("REGION_VALUE", "Region, STORE_NAME, Category", "REGION_VALUE_PERCENT"),
+        percent_sql("CHANNEL_VALUE", "CHANNEL, STORE_NAME, Category, YEAR", "CHANNEL_VALUE_PERCENT"),
+    ]
+)
+
+PROFILE_BLOCKS = {
+    "prof_demo_raw": f"""SELECT {STORE_KEYS_SQL}, m.variable, m.Description, l.Language_Grouping, m.Category, m.YEAR,
+  sum(s.PERCENT_ATTRACTION * m.val) AS val,
+  sum(s.PERCENT_ATTRACTION * m.TOTAL_HOUSEHOLDS) AS TOTAL_HOUSEHOLDS,
+  sum(s.PERCENT_ATTRACTION * m.TOTAL_HOUSEHOLD_POPULATION) AS TOTAL_HOUSEHOLD_POPULATION,
+  sum(s.PERCENT_ATTRACTION * m.TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER) AS TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER,
+  sum(s.PERCENT_ATTRACTION * m.TOTAL_POPULATION) AS TOTAL_POPULATION,
+  max(m.Hierarchy_Description) AS Hierarchy_Description, max(m.MEDIAN_AVERAGE) AS MEDIAN_AVERAGE,
+  max(m.ADD_TO_PROFILE) AS ADD_TO_PROFILE, max(m.LEAF_NODE_FLAG) AS LEAF_NODE_FLAG, max(m.TOTAL_FLAG) AS TOTAL_FLAG
+FROM att_half s LEFT JOIN melted m ON s.POSTALCODE = m.POSTALCODE
+LEFT JOIN language_mapping l ON m.variable = l.Variable
+WHERE m.Category NOT IN ('Trends', 'Attitudes') AND m.val IS NOT NULL
+GROUP BY {STORE_KEYS_SQL}, m.variable, m.Description, l.Language_Grouping, m.Category, m.YEAR""",
+    "prof_demo": f"SELECT *, {LABELS_SQL} FROM prof_demo_raw",
+    "prof_lev": f"SELECT *, {LEVELS_SQL} FROM prof_demo",
+    "prof_pct": f"SELECT *, {PERCENTS_SQL} FROM prof_lev",
+    "prof_total": "SELECT STORE_NAME, STORE_NUM, Category, YEAR, val AS TOTAL_CATEGORY FROM prof_pct WHERE TOTAL_FLAG = 1",
+    "prof_final": """SELECT b.*, t.TOTAL_CATEGORY,
+  CASE WHEN b.LEAF_NODE_FLAG = 0 AND b.TOTAL_FLAG = 0 THEN 0
+       WHEN b.Description = 'Household Population For Recent Immigration By Place Of Birth'
+         THEN b.val / nullif(b.TOTAL_HOUSEHOLD_POPULATION, 0)
+       ELSE b.val / nullif(t.TOTAL_CATEGORY, 0) END AS STORE_VALUE
+FROM prof_pct b LEFT JOIN prof_total t
+  ON b.Category = t.Category AND b.STORE_NUM = t.STORE_NUM AND b.STORE_NAME = t.STORE_NAME AND b.YEAR = t.YEAR""",
+    "prof_sv_raw": f"""SELECT {STORE_KEYS_SQL}, m.variable, m.Description, m.Category, m.YEAR,
+  sum(s.PERCENT_ATTRACTION * m.val) AS val, sum(s.PERCENT_ATTRACTION * m.TOTAL_POPULATION) AS TOTAL_POPULATION
+FROM att_half s LEFT JOIN sv_melted m ON s.POSTALCODE = m.POSTALCODE
+WHERE m.val IS NOT NULL
+GROUP BY {STORE_KEYS_SQL}, m.variable, m.Description, m.Category, m.YEAR""",
+    "prof_sv": f"SELECT *, {LABELS_SQL} FROM prof_sv_raw",
+    "sv_lev": f"SELECT *, CAST(NULL AS DOUBLE) AS LONGITUDE, CAST(NULL AS DOUBLE) AS LATITUDE, {LEVELS_SQL} FROM prof_sv",
+    "sv_basics": "SELECT STORE_NAME, STORE_NUM, val AS TOTAL_CATEGORY FROM sv_lev WHERE Category = 'Basics'",
+    "sv_final": """SELECT b.*, t.TOTAL_CATEGORY, b.val / nullif(t.TOTAL_CATEGORY, 0) AS STORE_VALUE
+FROM sv_lev b LEFT JOIN sv_basics t ON b.STORE_NUM = t.STORE_NUM AND b.STORE_NAME = t.STORE_NAME""",
+}
+
+ALL_BLOCKS = {**FIXTURE_BLOCKS, **STAGE_BLOCKS, **FEATURE_BLOCKS, **PROFILE_BLOCKS}
 
 
 def with_prefix(extra: dict[str, str] | None = None) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import attraction as att
 from ..operators import features as feat
+from ..operators import profiles as prof
 from ..sources import fixtures as fx
 from ..sources import tables
 
@@ -64,3 +65,14 @@ def social_values_by_year(spark: SparkSession, sf_dir: str) -> dict[int, DataFra
 
 def social_values_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.melt_social_values(social_values_by_year(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Profiles
+# ---------------------------------------------------------------------------
+def demographic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.demographic_profile(half_pct(spark, sf_dir), features_melted(spark, sf_dir), fx.language_mapping(spark))
+
+
+def social_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.social_profile(half_pct(spark, sf_dir), social_values_melted(spark, sf_dir))

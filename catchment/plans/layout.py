@@ -3,8 +3,11 @@ keyed totals that pre-aggregate before shuffling.
 
 Rules followed throughout the package:
 
-* A side is broadcast only after its row count was checked against a bound
-  (``fits_broadcast``); beyond the bound the code takes a shuffle path.
+* A base or dimension table is broadcast only after its row count was
+  checked against a bound (``fits_broadcast``); beyond the bound the code
+  takes a shuffle path.  A derived side (an aggregate) is left to adaptive
+  execution, which broadcasts it only when its materialized size is under the
+  adaptive threshold and keeps the sort-merge join otherwise.
 * Totals over a key are grouped aggregates (partial aggregation on the map
   side, so a hot key is combined before the shuffle) joined back to the rows,
   not whole-partition windows, unless the group size is bounded by a checked
@@ -58,13 +61,18 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def join_keyed(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach per-key ``totals`` (one row per key) to ``df`` on ``keys``,
-    NULL-safe.  The totals side is broadcast when its size check passes;
-    otherwise a shuffle join runs, where adaptive skew handling splits hot
-    keys of ``df``."""
+    NULL-safe.
+
+    ``totals`` is the output of a grouped aggregate, i.e. of a shuffle stage:
+    adaptive execution knows its exact size once that stage ran and turns the
+    join into a broadcast join when it is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise a sort-merge
+    join runs, where adaptive skew handling splits hot keys of ``df``.  (An
+    eager row count here would recompute the whole upstream plan.)
+    """
     t = totals
     for k in keys:
         t = t.withColumnRenamed(k, f"__k_{k}")
-    t, _ = maybe_broadcast(t)
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(t[f"__k_{k}"]) for k in keys])
     return df.join(t, cond, how).drop(*[f"__k_{k}" for k in keys])
 
@@ -79,3 +87,14 @@ def keyed_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> Dat
     """
     totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
     return join_keyed(df, totals, keys)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the
+    written copy (reliable checkpoint: survives executor loss, unlike a local
+    checkpoint).  Used where a stage is read more than once (self-joins), so
+    its upstream plan is neither copied into every branch nor recomputed."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
