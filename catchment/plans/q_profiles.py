@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import schemas
 from ..functions.codes import region
 from ..functions.text import store_chain
@@ -22,10 +24,18 @@ def profile_demo(spark, sf):
     return inputs.demographic_profile(spark, sf)
 
 
+LEVEL_KEYS = {
+    "BANNER_VALUE": "banner",
+    "CHANNEL_RE_VALUE": "region_channel",
+    "REGION_VALUE": "region",
+    "CHANNEL_VALUE": "channel",
+}
+
+
 def _level_query(name: str, keys: list[str]):
     cols = ROW_KEYS + [k for k in keys if k not in ROW_KEYS] + [name]
 
-    @register(f"level_{name.lower().removesuffix('_value')}", cols, "SELECT * FROM prof_lev")
+    @register(f"level_{LEVEL_KEYS[name]}", cols, "SELECT * FROM prof_lev")
     def q(spark, sf):
         return lv.level_values(inputs.demographic_profile(spark, sf), [(name, keys)])
 
@@ -39,9 +49,7 @@ for _name, _keys in lv.LEVEL_VALUES:
 
 def _percent_query(name: str, value: str, keys: list[str]):
     cols = ROW_KEYS + [k for k in keys if k not in ROW_KEYS] + ["LEAF_NODE_FLAG", value, name]
-    short = name.lower().removesuffix("_value_percent")
-
-    @register(f"level_{short}_pct", cols, "SELECT * FROM prof_pct")
+    @register(f"level_{LEVEL_KEYS[value]}_pct", cols, "SELECT * FROM prof_pct")
     def q(spark, sf):
         with_values = lv.level_values(inputs.demographic_profile(spark, sf))
         return lv.level_percents(with_values, [(name, value, keys)])
@@ -143,10 +151,33 @@ def _median_query(level: str, value: str):
     return q
 
 
-for _level, _value in [("BANNER", "BANNER_VALUE"), ("Region", "REGION_VALUE"), ("CHANNEL", "CHANNEL_VALUE")]:
+MEDIAN_LEVELS = [("BANNER", "BANNER_VALUE"), ("Region", "REGION_VALUE"), ("CHANNEL", "CHANNEL_VALUE")]
+for _level, _value in MEDIAN_LEVELS:
     _median_query(_level, _value)
 
 
+@register(
+    "median_by_level",
+    ["LEVEL", "LEVEL_VALUE", "Description", "MEDIAN"],
+    " UNION ALL ".join(
+        f"SELECT '{lvl}' AS LEVEL, {lvl} AS LEVEL_VALUE, Description, quantile_disc({val}, 0.5) AS MEDIAN"
+        f" FROM sv_lev GROUP BY Description, {lvl}"
+        for lvl, val in MEDIAN_LEVELS
+    ),
+)
+def median_by_level(spark, sf):
+    """AGG-8: the three level medians in one long table (LEVEL names the level
+    column, LEVEL_VALUE its value)."""
+    bench = lv.social_benchmarks(inputs.social_profile(spark, sf))
+    parts = [
+        lv.median_by(bench, lvl, val).select(
+            F.lit(lvl).alias("LEVEL"), F.col(lvl).alias("LEVEL_VALUE"), "Description", F.col(f"Median_{val}").alias("MEDIAN")
+        )
+        for lvl, val in MEDIAN_LEVELS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register(
     "store_name_conflicts",
     ["STORE_NUM", "BANNER", "STORE_PROVINCE", "count"],

@@ -41,6 +41,7 @@ ROUND_DIGITS = {
     "Median_BANNER_VALUE": 6,
     "Median_REGION_VALUE": 6,
     "Median_CHANNEL_VALUE": 6,
+    "MEDIAN": 6,
 }
 PREFIX_DIGITS = {"COMPETITION_ATTRACTION_": 6}
 

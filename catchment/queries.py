@@ -41,4 +41,4 @@ def register(name: str, columns: list[str] | None, sql: str | None):
 
 
 # Importing the query modules fills the registry.
-from .plans import q_attraction, q_competition, q_features, q_profiles  # noqa: E402,F401
+from .plans import q_attraction, q_competition, q_features, q_profiles, q_sinks  # noqa: E402,F401
