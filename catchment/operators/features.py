@@ -119,16 +119,31 @@ def leg_assignment(legs: list[Leg]) -> Column:
     return F.filter(names, lambda x: x.isNotNull())
 
 
-def variables_by_leg(tagged: DataFrame, legs: list[Leg]) -> dict[str, list]:
-    """Distinct variables of every leg, read in one small job and checked
-    against ``spark.sql.pivotMaxValues`` (the same bound Spark's pivot uses
-    for the value list it collects)."""
+def leg_metadata(tagged: DataFrame, legs: list[Leg], metadata_columns: list[str]) -> list:
+    """Distinct (leg, metadata...) rows of every leg, read in one small job.
+
+    The result is bounded like a pivot's value list: at most
+    ``spark.sql.pivotMaxValues`` variables per leg (and a few metadata
+    variants per variable); a larger result raises instead of flooding the
+    driver.
+    """
     limit = int(tagged.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    dv = tagged.select(F.explode(leg_assignment(legs)).alias("leg"), "variable").distinct()
-    rows = dv.limit(limit * len(legs) + 1).collect()
+    bound = 2 * limit * len(legs)
+    dv = tagged.select(F.explode(leg_assignment(legs)).alias("__leg"), *metadata_columns).distinct()
+    rows = dv.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("too many distinct variables to melt; above spark.sql.pivotMaxValues per leg")
+    return rows
+
+
+def variables_by_leg(tagged: DataFrame, legs: list[Leg], rows: list | None = None) -> dict[str, list]:
+    """Distinct variables of every leg (from ``leg_metadata`` rows), checked
+    against ``spark.sql.pivotMaxValues`` as Spark's pivot checks its values."""
+    limit = int(tagged.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = leg_metadata(tagged, legs, ["variable"]) if rows is None else rows
     out: dict[str, set] = {leg.name: set() for leg in legs}
     for row in rows:
-        out[row["leg"]].add(row["variable"])
+        out[row["__leg"]].add(row["variable"])
     result = {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
     for k, v in result.items():
         if len(v) > limit:
@@ -164,7 +179,9 @@ def melt_legs(
     hash-partitioned by POSTALCODE, the layout of the share table, so the
     profile join needs no exchange on this side.
     """
-    values = variables_by_leg(tagged, legs)
+    spark = tagged.sparkSession
+    meta_rows = leg_metadata(tagged, legs, metadata_columns)
+    values = variables_by_leg(tagged, legs, meta_rows)
     n = partitions or shuffle_partitions(tagged)
     legged = tagged.select("*", F.explode(leg_assignment(legs)).alias("__leg"))
     laid = legged.select("CODE", "__leg", "variable", "value").repartition(n, "CODE")
@@ -190,13 +207,13 @@ def melt_legs(
     long = dense.select(
         "POSTALCODE", "__leg", "variable", F.try_element_at("__cells", F.col("variable")).alias("val"), *total_cols
     )
-    # Variable metadata of each leg: a distinct over the rows (map-side
-    # partial aggregation), small, so adaptive execution broadcasts it.
-    meta = legged.select(
-        F.col("__leg").alias("__mleg"),
-        F.col("variable").alias("__mvar"),
+    # Variable metadata of each leg: the rows read by ``leg_metadata`` (count
+    # known), broadcast, so the join keeps the POSTALCODE layout.
+    meta_schema = legged.select(
+        F.col("__leg").alias("__mleg"), F.col("variable").alias("__mvar"),
         *[c for c in metadata_columns if c != "variable"],
-    ).distinct()
+    ).schema
+    meta = F.broadcast(spark.createDataFrame([tuple(r) for r in _reorder(meta_rows, metadata_columns)], meta_schema))
     joined = long.join(meta, (long["__leg"] == meta["__mleg"]) & (long["variable"] == meta["__mvar"]), "left")
     year = None
     for lg in legs:
@@ -206,6 +223,12 @@ def melt_legs(
     return joined.select(*out_cols, year.alias("YEAR"))
 
 
+def _reorder(rows: list, metadata_columns: list[str]) -> list:
+    """(leg, variable, other metadata...) tuples from ``leg_metadata`` rows."""
+    rest = [c for c in metadata_columns if c != "variable"]
+    return [(r["__leg"], r["variable"], *[r[c] for c in rest]) for r in rows]
+
+
 def postal_totals(rows: DataFrame, totals: dict[str, str], total_prefix: str, key: str = "CODE") -> DataFrame:
     """Per-postal-code totals as columns (conditional aggregation)."""
     aggs = [

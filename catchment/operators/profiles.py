@@ -70,14 +70,18 @@ def weighted_profile(
     """Join shares to features on POSTALCODE and sum PERCENT_ATTRACTION x
     column for every column of ``sums``, grouped by the store keys and
     ``feature_keys``.  ``firsts`` are pass-through attributes of the feature
-    (one value per group in well-formed data; ``max`` makes the pick
-    deterministic where the source took an arbitrary first)."""
+    (one value per variable in well-formed data; the source picked an
+    arbitrary first one)."""
     s = shares.select("POSTALCODE", "PERCENT_ATTRACTION", *STORE_KEYS)
     f = features.select("POSTALCODE", *feature_keys, *sums, *[c for c in firsts if c not in feature_keys])
     joined = s.join(f, "POSTALCODE")
     w = F.col("PERCENT_ATTRACTION")
-    aggs = [F.sum(w * F.col(c)).alias(c) for c in sums] + [F.max(c).alias(c) for c in firsts]
-    return joined.groupBy(*STORE_KEYS, *feature_keys).agg(*aggs)
+    aggs = [F.sum(w * F.col(c)).alias(c) for c in sums]
+    # The pass-through attributes come from the variable's dimension row, so
+    # they are constant within a group of well-formed data; as grouping keys
+    # they keep the aggregate hash-based (a max over strings would force a
+    # sort-based aggregate over every joined row).
+    return joined.groupBy(*STORE_KEYS, *feature_keys, *[c for c in firsts if c not in feature_keys]).agg(*aggs)
 
 
 def with_store_labels(profile: DataFrame) -> DataFrame:
