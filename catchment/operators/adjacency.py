@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.layout import maybe_broadcast, shuffle_partitions
+from ..sources.tables import local_table
 
 # ---------------------------------------------------------------------------
 # Postal-code provinces reachable from a store's province.
@@ -37,7 +39,8 @@ REACHABLE_PROVINCES = {
 def adjacency(spark: SparkSession) -> DataFrame:
     """(STORE_PROV, LDU_PROV) pairs a store may reach."""
     rows = [(s, p) for s, provs in REACHABLE_PROVINCES.items() for p in provs]
-    return spark.createDataFrame(rows, "STORE_PROV string, LDU_PROV string")
+    schema = T.StructType([T.StructField("STORE_PROV", T.StringType()), T.StructField("LDU_PROV", T.StringType())])
+    return local_table(spark, rows, schema)
 
 
 def stores_with_reach(stores: DataFrame, adj: DataFrame | None = None) -> DataFrame:

@@ -158,69 +158,102 @@ def pivot_features(rows: DataFrame, values: list, key: str = "CODE") -> DataFram
     return rows.groupBy(key).pivot("variable", values).agg(F.max("value")).withColumnRenamed(key, "POSTALCODE")
 
 
-def melt_legs(
+@dataclass
+class Melted:
+    """A dense melted table in keyed form.
+
+    ``keyed``: POSTALCODE, __mid (metadata id), val and the totals, hash
+    partitioned by POSTALCODE.  ``meta``: one row per metadata id with the
+    leg, variable, its metadata and YEAR; small (its row count was checked
+    when it was collected) and broadcast wherever it is joined.
+    """
+
+    keyed: DataFrame
+    meta: DataFrame
+    totals: list[str]
+    metadata_columns: list[str]
+
+    def table(self) -> DataFrame:
+        """The melted table with attribute columns (pivot + melt layout)."""
+        mc = self.metadata_columns
+        out_cols = ["variable", "POSTALCODE", *[c for c in mc if c in ("Description", "Category")], "val"]
+        out_cols += self.totals + [c for c in mc if c not in ("variable", "Description", "Category")] + ["YEAR"]
+        return self.keyed.join(F.broadcast(self.meta), "__mid").select(*out_cols)
+
+
+def melt_legs_keyed(
     tagged: DataFrame,
     legs: list[Leg],
     totals: dict[str, str],
     metadata_columns: list[str],
     partitions: int | None = None,
-) -> DataFrame:
+    meta_source: DataFrame | None = None,
+) -> Melted:
     """Dense melted table of all legs in one pass (pivot + melt semantics):
     for every leg, every (postal code of the leg, variable of the leg) pair,
     with the value (NULL when absent), the variable's metadata and the postal
     code's totals, and the leg's YEAR.
 
-    One exchange: rows are tagged with their legs and hash-partitioned by
-    CODE; the per-cell value (``max``, deterministic) and the per-(code, leg)
-    map variable -> value are then aggregated without further exchange (a
-    group holds at most one entry per variable of the leg, a size-checked
-    list).  The leg's variable list is exploded per (code, leg) and looked up
-    in the map; totals are looked up in the same map.  The output stays
-    hash-partitioned by POSTALCODE, the layout of the share table, so the
-    profile join needs no exchange on this side.
+    * The legs' metadata rows (distinct leg, variable, metadata) are read in
+      one small job from ``meta_source`` (default ``tagged``; a source without
+      the final distinct gives the same set more cheaply), checked against
+      ``spark.sql.pivotMaxValues`` and numbered on the driver.
+    * One exchange: rows tagged with their legs are hash-partitioned by CODE;
+      the per-cell value (``max``, deterministic) and the per-(code, leg) map
+      variable -> value are aggregated without further exchange (a group
+      holds at most one entry per variable of the leg).
+    * Each (code, leg) meets the leg's metadata rows in a broadcast join on
+      the leg: that is the dense (postal code x variable) grid, with values
+      and totals looked up in the map.  The keyed output stays partitioned by
+      POSTALCODE, the layout of the share table.
     """
     spark = tagged.sparkSession
-    meta_rows = leg_metadata(tagged, legs, metadata_columns)
-    values = variables_by_leg(tagged, legs, meta_rows)
+    meta_rows = leg_metadata(meta_source if meta_source is not None else tagged, legs, metadata_columns)
+    variables_by_leg(tagged, legs, meta_rows)  # size check per leg
     n = partitions or shuffle_partitions(tagged)
-    legged = tagged.select("*", F.explode(leg_assignment(legs)).alias("__leg"))
-    laid = legged.select("CODE", "__leg", "variable", "value").repartition(n, "CODE")
+    rest = [c for c in metadata_columns if c != "variable"]
+    numbered = sorted(_reorder(meta_rows, metadata_columns), key=lambda t: tuple((x is None, str(x)) for x in t))
+    meta_schema = tagged.select(
+        F.lit(0).cast("long").alias("__mid"), F.lit("").alias("__leg"), "variable", *rest
+    ).schema
+    meta = spark.createDataFrame([(i, *t) for i, t in enumerate(numbered)], meta_schema)
+    year = None
+    for lg in legs:
+        year = (F.when if year is None else year.when)(F.col("__leg") == lg.name, lg.year)
+    meta = meta.withColumn("YEAR", year)
+
+    legged = tagged.select("CODE", "variable", "value", F.explode(leg_assignment(legs)).alias("__leg"))
+    laid = legged.repartition(n, "CODE")
     cells = laid.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
     per_code = cells.groupBy("CODE", "__leg").agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "__val"))).alias("__cells")
     )
-    var_lists = F.create_map(
-        *[x for leg in legs for x in (F.lit(leg.name), F.array(*[F.lit(v) for v in values[leg.name]]).cast("array<string>"))]
-    )
-    prefixes = F.create_map(*[x for leg in legs for x in (F.lit(leg.name), F.lit(leg.total_prefix))])
-    leg = F.col("__leg")
-    dense = per_code.filter(F.col("CODE").isNotNull()).select(
-        F.col("CODE").alias("POSTALCODE"),
-        "__leg",
-        "__cells",
-        F.explode(F.element_at(var_lists, leg)).alias("variable"),
-    )
+    grid_side = F.broadcast(meta.select("__mid", F.col("__leg").alias("__gleg"), F.col("variable").alias("__gvar")))
+    grid = per_code.filter(F.col("CODE").isNotNull()).join(grid_side, F.col("__leg") == F.col("__gleg"))
+    prefixes = F.create_map(*[x for lg in legs for x in (F.lit(lg.name), F.lit(lg.total_prefix))])
     total_cols = [
-        F.try_element_at("__cells", F.concat(F.element_at(prefixes, leg), F.lit(sfx))).alias(name)
+        F.try_element_at("__cells", F.concat(F.element_at(prefixes, F.col("__leg")), F.lit(sfx))).alias(name)
         for name, sfx in totals.items()
     ]
-    long = dense.select(
-        "POSTALCODE", "__leg", "variable", F.try_element_at("__cells", F.col("variable")).alias("val"), *total_cols
+    keyed = grid.select(
+        F.col("CODE").alias("POSTALCODE"),
+        "__mid",
+        F.try_element_at("__cells", F.col("__gvar")).alias("val"),
+        *total_cols,
     )
-    # Variable metadata of each leg: the rows read by ``leg_metadata`` (count
-    # known), broadcast, so the join keeps the POSTALCODE layout.
-    meta_schema = legged.select(
-        F.col("__leg").alias("__mleg"), F.col("variable").alias("__mvar"),
-        *[c for c in metadata_columns if c != "variable"],
-    ).schema
-    meta = F.broadcast(spark.createDataFrame([tuple(r) for r in _reorder(meta_rows, metadata_columns)], meta_schema))
-    joined = long.join(meta, (long["__leg"] == meta["__mleg"]) & (long["variable"] == meta["__mvar"]), "left")
-    year = None
-    for lg in legs:
-        year = (F.when if year is None else year.when)(leg == lg.name, lg.year)
-    out_cols = ["variable", "POSTALCODE", *[c for c in metadata_columns if c in ("Description", "Category")], "val"]
-    out_cols += list(totals.keys()) + [c for c in metadata_columns if c not in ("variable", "Description", "Category")]
-    return joined.select(*out_cols, year.alias("YEAR"))
+    return Melted(keyed, meta, list(totals), metadata_columns)
+
+
+def melt_legs(
+    tagged: DataFrame,
+    legs: list[Leg],
+    totals: dict[str, str],
+    metadata_columns: list[str],
+    partitions: int | None = None,
+    meta_source: DataFrame | None = None,
+) -> DataFrame:
+    """``melt_legs_keyed`` with the attribute columns attached."""
+    return melt_legs_keyed(tagged, legs, totals, metadata_columns, partitions, meta_source).table()
 
 
 def _reorder(rows: list, metadata_columns: list[str]) -> list:
@@ -243,17 +276,25 @@ def variable_metadata(rows: DataFrame) -> DataFrame:
     return rows.select(*METADATA_COLUMNS).distinct()
 
 
-def melt_demographics(tagged: DataFrame, legs: list[Leg] | None = None) -> DataFrame:
+def melt_demographics_keyed(
+    tagged: DataFrame, legs: list[Leg] | None = None, meta_source: DataFrame | None = None
+) -> Melted:
     """The stacked melted demographic table: the current-year leg (with
     newcomer variables as 2024) and the three projection legs."""
-    return melt_legs(tagged, legs or demographic_legs(), DEMO_TOTALS, METADATA_COLUMNS)
+    return melt_legs_keyed(tagged, legs or demographic_legs(), DEMO_TOTALS, METADATA_COLUMNS, meta_source=meta_source)
+
+
+def melt_demographics(
+    tagged: DataFrame, legs: list[Leg] | None = None, meta_source: DataFrame | None = None
+) -> DataFrame:
+    return melt_demographics_keyed(tagged, legs, meta_source).table()
 
 
 def social_value_legs(years: list[int]) -> list[Leg]:
     return [Leg(str(y), F.col("YEAR") == y, "", F.lit(y)) for y in years]
 
 
-def melt_social_values(sv_by_year: dict[int, DataFrame]) -> DataFrame:
+def melt_social_values_keyed(sv_by_year: dict[int, DataFrame]) -> Melted:
     """Stacked melted social values: one leg per year table, with the
     Household Population 15+ total as TOTAL_POPULATION."""
     tagged = None
@@ -261,4 +302,8 @@ def melt_social_values(sv_by_year: dict[int, DataFrame]) -> DataFrame:
         part = raw.withColumn("YEAR", F.lit(year))
         tagged = part if tagged is None else tagged.unionByName(part)
     legs = social_value_legs(list(sv_by_year))
-    return melt_legs(tagged, legs, SV_TOTALS, ["variable", "Description", "Category"])
+    return melt_legs_keyed(tagged, legs, SV_TOTALS, ["variable", "Description", "Category"])
+
+
+def melt_social_values(sv_by_year: dict[int, DataFrame]) -> DataFrame:
+    return melt_social_values_keyed(sv_by_year).table()

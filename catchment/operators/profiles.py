@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import region
 from ..functions.text import store_chain
-from ..plans.layout import maybe_broadcast
+from ..plans.layout import broadcast_max_rows, maybe_broadcast, null_safe_on
+from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more
 # than one name; each combination is its own profile row).
@@ -84,6 +85,53 @@ def weighted_profile(
     return joined.groupBy(*STORE_KEYS, *feature_keys, *[c for c in firsts if c not in feature_keys]).agg(*aggs)
 
 
+def store_ids(stores: DataFrame) -> DataFrame | None:
+    """Distinct store tuples (the profile's store keys) numbered 0..n-1 on the
+    driver, or None when there are more than the broadcast bound.  Read from
+    the small store table (not from the shares), so the check is cheap."""
+    bound = broadcast_max_rows(stores)
+    rows = stores.select(*STORE_KEYS).distinct().limit(bound + 1).collect()
+    if len(rows) > bound:
+        return None
+    numbered = sorted((tuple(r) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
+    schema = stores.select(F.lit(0).cast("long").alias("__sid"), *STORE_KEYS).schema
+    return stores.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(numbered)], schema)
+
+
+def keyed_profile(
+    shares: DataFrame,
+    melted: Melted,
+    stores: DataFrame,
+    sums: list[str],
+    meta_filter=None,
+) -> DataFrame | None:
+    """Weighted profile aggregated by two integer keys.
+
+    The share rows get their store's id (broadcast join on the store keys),
+    the melted rows carry their metadata id; the join on POSTALCODE (both
+    sides already hash-partitioned by it) feeds an aggregate keyed by
+    (store id, metadata id), so the partial aggregation, the shuffle and the
+    final aggregation handle two longs instead of twenty mostly-string
+    columns.  Store and metadata attributes are attached to the (small)
+    aggregated result by broadcast joins.  Returns None when the store table
+    is above the broadcast bound (use ``weighted_profile`` then).
+    """
+    sid = store_ids(stores)
+    if sid is None:
+        return None
+    sid_keys = sid.select("__sid", *[F.col(k).alias(f"__s_{k}") for k in STORE_KEYS])
+    cond = None
+    for k in STORE_KEYS:
+        c = shares[k].eqNullSafe(sid_keys[f"__s_{k}"])
+        cond = c if cond is None else cond & c
+    s = shares.join(F.broadcast(sid_keys), cond).select("POSTALCODE", "PERCENT_ATTRACTION", "__sid")
+    meta = melted.meta if meta_filter is None else melted.meta.filter(meta_filter)
+    f = melted.keyed.filter(F.col("val").isNotNull()).join(F.broadcast(meta.select("__mid")), "__mid", "left_semi")
+    w = F.col("PERCENT_ATTRACTION")
+    agg = s.join(f, "POSTALCODE").groupBy("__sid", "__mid").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums])
+    return agg.join(F.broadcast(sid), "__sid").join(F.broadcast(melted.meta), "__mid")
+
+
 def with_store_labels(profile: DataFrame) -> DataFrame:
     """STORE_CHAIN (chain label from the customer group / store name) and
     Region (from the store province)."""
@@ -92,12 +140,27 @@ def with_store_labels(profile: DataFrame) -> DataFrame:
     )
 
 
-def demographic_profile(shares: DataFrame, melted: DataFrame, language: DataFrame) -> DataFrame:
+def demographic_profile(
+    shares: DataFrame, melted: DataFrame | Melted, language: DataFrame, stores: DataFrame | None = None
+) -> DataFrame:
     """Demographic store profile: features outside Trends / Attitudes with a
     value, language grouping attached, weighted by the shares; then chain and
-    region labels."""
-    f = melted.filter(~F.col("Category").isin(EXCLUDED_CATEGORIES) & F.col("val").isNotNull())
+    region labels.
+
+    With a keyed melted table and the store table, the aggregate runs on
+    integer keys (``keyed_profile``); the language grouping, a function of
+    the variable, is attached after aggregation (a variable with several
+    groupings repeats its rows either way)."""
     lang, _ = maybe_broadcast(language.select(F.col("Variable").alias("__lang_var"), "Language_Grouping"))
+    if isinstance(melted, Melted) and stores is not None:
+        keep = ~F.col("Category").isin(EXCLUDED_CATEGORIES)
+        prof = keyed_profile(shares, melted, stores, DEMO_SUMS, keep)
+        if prof is not None:
+            prof = prof.join(lang, prof["variable"] == lang["__lang_var"], "left").drop("__lang_var")
+            return with_store_labels(prof.select(*DEMO_PROFILE_COLUMNS))
+    if isinstance(melted, Melted):
+        melted = melted.table()
+    f = melted.filter(~F.col("Category").isin(EXCLUDED_CATEGORIES) & F.col("val").isNotNull())
     f = f.join(lang, f["variable"] == lang["__lang_var"], "left").drop("__lang_var")
     keys = ["variable", "Description", "Language_Grouping", "Category", "YEAR"]
     prof = weighted_profile(shares, f, keys, DEMO_SUMS, DEMO_DIMS)
@@ -110,9 +173,15 @@ SV_PROFILE_COLUMNS = (
 )
 
 
-def social_profile(shares: DataFrame, melted_sv: DataFrame) -> DataFrame:
+def social_profile(shares: DataFrame, melted_sv: DataFrame | Melted, stores: DataFrame | None = None) -> DataFrame:
     """Social-value store profile: every feature with a value (NULL categories
     included), weighted by the shares; then chain and region labels."""
+    if isinstance(melted_sv, Melted) and stores is not None:
+        prof = keyed_profile(shares, melted_sv, stores, ["val", "TOTAL_POPULATION"])
+        if prof is not None:
+            return with_store_labels(prof.select(*SV_PROFILE_COLUMNS))
+    if isinstance(melted_sv, Melted):
+        melted_sv = melted_sv.table()
     f = melted_sv.filter(F.col("val").isNotNull())
     prof = weighted_profile(shares, f, ["variable", "Description", "Category", "YEAR"], ["val", "TOTAL_POPULATION"])
     return with_store_labels(prof.select(*SV_PROFILE_COLUMNS))

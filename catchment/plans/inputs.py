@@ -54,25 +54,42 @@ def features_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.tag_year(features_selected(spark, sf_dir))
 
 
+def features_meta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged features without the final distinct: the same set of
+    (leg, variable, metadata) combinations, read without a full-row shuffle."""
+    raw = tables.stack_by_position(*fx.feature_parts(spark, sf_dir))
+    return feat.tag_year(feat.select_variables(raw, fx.master_dim(spark)))
+
+
+def features_melted_keyed(spark: SparkSession, sf_dir: str) -> feat.Melted:
+    return feat.melt_demographics_keyed(features_tagged(spark, sf_dir), meta_source=features_meta_source(spark, sf_dir))
+
+
 def features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stacked melted demographic table (four legs)."""
-    return feat.melt_demographics(features_tagged(spark, sf_dir))
+    return features_melted_keyed(spark, sf_dir).table()
 
 
 def social_values_by_year(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
     return {yr: tables.load_social_values(df) for yr, df in fx.social_value_parts(spark, sf_dir).items()}
 
 
+def social_values_melted_keyed(spark: SparkSession, sf_dir: str) -> feat.Melted:
+    return feat.melt_social_values_keyed(social_values_by_year(spark, sf_dir))
+
+
 def social_values_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.melt_social_values(social_values_by_year(spark, sf_dir))
+    return social_values_melted_keyed(spark, sf_dir).table()
 
 
 # ---------------------------------------------------------------------------
 # Profiles
 # ---------------------------------------------------------------------------
 def demographic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.demographic_profile(half_pct(spark, sf_dir), features_melted(spark, sf_dir), fx.language_mapping(spark))
+    return prof.demographic_profile(
+        half_pct(spark, sf_dir), features_melted_keyed(spark, sf_dir), fx.language_mapping(spark), stores(spark, sf_dir)
+    )
 
 
 def social_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.social_profile(half_pct(spark, sf_dir), social_values_melted(spark, sf_dir))
+    return prof.social_profile(half_pct(spark, sf_dir), social_values_melted_keyed(spark, sf_dir), stores(spark, sf_dir))

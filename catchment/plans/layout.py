@@ -32,13 +32,49 @@ def broadcast_max_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("catchment.broadcast.maxRows", str(DEFAULT_BROADCAST_MAX_ROWS)))
 
 
+# Plan nodes that never output more rows than their inputs.
+_NON_GROWING = {
+    "Project", "Filter", "Aggregate", "Distinct", "Deduplicate", "Sort", "GlobalLimit", "LocalLimit",
+    "SubqueryAlias", "Repartition", "RepartitionByExpression", "ResolvedHint",
+}
+
+
+def _row_bound(plan) -> int | None:
+    name = plan.getClass().getSimpleName()
+    if name == "LocalRelation":
+        return int(plan.data().size())
+    children = plan.children()
+    bounds = [_row_bound(children.apply(i)) for i in range(children.size())]
+    if any(b is None for b in bounds) or not bounds:
+        return None
+    if name == "Union":
+        return sum(bounds)
+    if name in _NON_GROWING and len(bounds) == 1:
+        return bounds[0]
+    return None
+
+
+def local_row_count(df: DataFrame) -> int | None:
+    """Upper bound on the row count when every leaf of the optimized plan is
+    a local relation (data held in the plan, e.g. a dimension built from a
+    literal list) and no node above can add rows; else None.  No job runs."""
+    try:
+        return _row_bound(df._jdf.queryExecution().optimizedPlan())
+    except Exception:  # noqa: BLE001 - not a classic plan; fall back to counting
+        return None
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows, so the check stays cheap when the
-    side turns out to be large.
+    A local relation's size is read from the plan; otherwise at most
+    ``max_rows + 1`` rows are read, so the check stays cheap when the side
+    turns out to be large.
     """
     limit = broadcast_max_rows(df) if max_rows is None else max_rows
+    known = local_row_count(df)
+    if known is not None:
+        return known <= limit
     return df.limit(limit + 1).count() <= limit
 
 

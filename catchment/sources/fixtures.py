@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .tables import local_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixtures (FIXTURES.md section B).
@@ -169,12 +170,14 @@ def _literal_rows(rows: list[tuple], names: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
 
 
-def features_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demographic long features for all prefixes (years) and variables."""
+def features_demo(spark: SparkSession, sf_dir: str, prefixes: list[str] | None = None) -> DataFrame:
+    """Demographic long features for the given year prefixes (default: all)
+    and every variable."""
     combos = [
         (prefix, yr, suffix, desc, cat)
         for (suffix, desc, cat, *_flags) in FEATURE_VARIABLES
         for (prefix, yr) in FEATURE_YEARS
+        if prefixes is None or prefix in prefixes
     ]
     c = F.col("c_custkey")
     v = F.col("v")
@@ -235,13 +238,11 @@ def feature_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     newcomer parts.  The year tables are the demographic features split by
     code prefix (EHY/ECY together, as the current-year table carries both);
     the newcomer parts split the newcomer rows by postal-code parity."""
-    demo = features_demo(spark, sf_dir)
-    prefix = F.substring("var_code", 1, 3)
     years = [
-        demo.filter(prefix.isin("EHY", "ECY")),
-        demo.filter(prefix == "P3Y"),
-        demo.filter(prefix == "P5Y"),
-        demo.filter(prefix == "P0Y"),
+        features_demo(spark, sf_dir, ["EHY", "ECY"]),
+        features_demo(spark, sf_dir, ["P3Y"]),
+        features_demo(spark, sf_dir, ["P5Y"]),
+        features_demo(spark, sf_dir, ["P0Y"]),
     ]
     new = features_newcomer(spark, sf_dir)
     number = F.substring("CODE", 2, 7).cast("bigint")
@@ -265,8 +266,8 @@ def master_dim(spark: SparkSession) -> DataFrame:
         (code, NEWCOMER_CATEGORY, f"New > {code}", "N", 0, leaf, 1 - leaf, 2024)
         for (code, _desc, leaf) in NEWCOMER_VARIABLES
     ]
-    return spark.createDataFrame(rows, schemas.MASTER_DIM)
+    return local_table(spark, rows, schemas.MASTER_DIM)
 
 
 def language_mapping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LANGUAGE_ROWS, schemas.LANGUAGE_MAPPING)
+    return local_table(spark, LANGUAGE_ROWS, schemas.LANGUAGE_MAPPING)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") -> DataFrame:
@@ -21,6 +22,29 @@ def read_stage(spark: SparkSession, name_or_path: str, predicate=None, fmt: str
     return df if predicate is None else df.filter(predicate)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table held in the plan itself (an inline VALUES relation):
+    its row count is known to the planner without running a job, and it is
+    folded into the query like a literal.  Values are bound as named
+    parameters, so no text escaping is involved."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    args: dict[str, object] = {}
+    tuples = []
+    for i, row in enumerate(rows):
+        cells = []
+        for j, (value, field) in enumerate(zip(row, schema.fields)):
+            sql_type = field.dataType.simpleString().upper()
+            if value is None:
+                cells.append(f"CAST(NULL AS {sql_type})")
+            else:
+                args[f"v{i}_{j}"] = value
+                cells.append(f"CAST(:v{i}_{j} AS {sql_type})")
+        tuples.append("(" + ", ".join(cells) + ")")
+    names = ", ".join(f"`{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
+
+
 def load_stores(raw: DataFrame) -> DataFrame:
     """Store scan: 12 columns, renamed, coordinates cast to double; stores
     without a chain or without revenue are dropped."""
@@ -45,6 +69,11 @@ def union_distinct(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.union(b), dfs).distinct()
 
 
+def stack_by_position(*dfs: DataFrame) -> DataFrame:
+    """``UNION ALL`` by position (duplicates kept)."""
+    return reduce(lambda a, b: a.union(b), dfs)
+
+
 def stack(*dfs: DataFrame) -> DataFrame:
     """``UNION ALL`` by column name."""
     return reduce(lambda a, b: a.unionByName(b), dfs)
