@@ -67,8 +67,8 @@ def pairs(stores: DataFrame, ldu: DataFrame, adj: DataFrame | None = None, salt_
         return ldu.join(side, ldu["PROV"] == side["LDU_PROV"]).drop("LDU_PROV")
 
     buckets = salt_buckets or max(1, shuffle_partitions(ldu) // 4)
-    l = ldu.withColumn("__salt", F.pmod(F.xxhash64("POSTALCODE"), F.lit(buckets)))
-    r = reach.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+    l = ldu.withColumn("__salt", F.pmod(F.xxhash64("POSTALCODE"), F.lit(buckets).cast("long")))
+    r = reach.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     joined = l.join(r, (l["PROV"] == r["LDU_PROV"]) & (l["__salt"] == r["__salt"]))
     return joined.drop("LDU_PROV", "__salt").repartition(shuffle_partitions(ldu), "POSTALCODE")
 
