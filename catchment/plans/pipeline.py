@@ -1,0 +1,80 @@
+"""End-to-end batch pipeline on warehouse tables, stage by stage.
+
+Each stage is written as a table under the shared stage folder (or a
+catalog table) and the next stage reads it back, as the source notebooks do:
+this cuts lineage at the natural boundaries, so a lost executor only costs
+the current stage, and every stage can be re-run alone.
+
+    gravity      stores + polygon parts  -> attraction, shares 0.5%, shares 1%
+    competition  shares 1%               -> leave-one-out rows (affected only)
+    features     raw feature tables + dim -> melted demographic table
+    profiles     shares 0.5% + melted    -> published store table
+    social       shares 0.5% + social values -> social-value store table
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import attraction as att
+from ..operators import competition as comp
+from ..operators import features as feat
+from ..operators import levels as lv
+from ..operators import profiles as prof
+from ..sinks import tables as sinks
+from ..sources import tables
+
+
+@dataclass
+class StageNames:
+    attraction: str = "store_ldu_attraction"
+    shares_half: str = "store_ldu_attraction_half_pct"
+    shares_full: str = "store_ldu_attraction_full_pct"
+    competition: str = "store_ldu_attraction_competition"
+    melted: str = "ldu_feature_vals_melted"
+    profile: str = "demostats_store_profiles"
+    social: str = "ldu_feature_vals_sv"
+    social_store: str = "demostats_store_sv"
+
+
+def gravity(spark: SparkSession, stores_raw: DataFrame, polygon_parts: list[DataFrame], names=StageNames(),
+            mass: str = "REVENUE_CY", partitions: int | None = None) -> dict[str, DataFrame]:
+    stores = tables.load_stores(stores_raw)
+    ldu = tables.load_ldu(*polygon_parts)
+    sinks.write_stage(att.full_attraction(stores, ldu, mass, partitions), names.attraction, sort_within=["POSTALCODE"])
+    full = sinks.read_stage(spark, names.attraction)
+    for name, cut in ((names.shares_half, att.HALF_PERCENT), (names.shares_full, att.ONE_PERCENT)):
+        sinks.write_stage(att.shares(full, cut), name, sort_within=["POSTALCODE"])
+    return {n: sinks.read_stage(spark, n) for n in (names.attraction, names.shares_half, names.shares_full)}
+
+
+def competition(spark: SparkSession, level: str = "BANNER", names=StageNames()) -> DataFrame:
+    shares = sinks.read_stage(spark, names.shares_full)
+    sinks.write_stage(comp.affected(comp.leave_one_out(shares, level)), f"{names.competition}_{level.lower()}")
+    return sinks.read_stage(spark, f"{names.competition}_{level.lower()}")
+
+
+def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, names=StageNames()) -> DataFrame:
+    tagged = feat.tag_year(feat.select_variables(tables.load_features(*raw_parts), dim))
+    meta_source = feat.tag_year(feat.select_variables(tables.stack_by_position(*raw_parts), dim))
+    sinks.write_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted)
+    return sinks.read_stage(spark, names.melted)
+
+
+def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, names=StageNames()) -> DataFrame:
+    shares = sinks.read_stage(spark, names.shares_half)
+    melted = sinks.read_stage(spark, names.melted)
+    profile = prof.demographic_profile(shares, melted, language, tables.load_stores(stores_raw))
+    sinks.write_stage(lv.demographic_store_table(profile), names.profile)
+    return sinks.read_stage(spark, names.profile)
+
+
+def social(spark: SparkSession, sv_by_year: dict[int, DataFrame], stores_raw: DataFrame, names=StageNames()) -> DataFrame:
+    sv = {y: tables.load_social_values(df) for y, df in sv_by_year.items()}
+    sinks.write_stage(feat.melt_social_values(sv), names.social)
+    shares = sinks.read_stage(spark, names.shares_half)
+    profile = prof.social_profile(shares, sinks.read_stage(spark, names.social), tables.load_stores(stores_raw))
+    sinks.write_stage(lv.social_store_table(profile), names.social_store)
+    return sinks.read_stage(spark, names.social_store)

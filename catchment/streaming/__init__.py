@@ -1,0 +1,8 @@
+"""Streaming.
+
+The source pipeline is batch only: it has no stream source, watermark,
+windowed aggregation or stateful operator, so this package defines none.
+Every operator in ``catchment.operators`` is a plain DataFrame transformation
+and can be applied to the micro-batches of a ``foreachBatch`` sink if a
+caller streams its inputs.
+"""
