@@ -54,15 +54,14 @@ def features_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.tag_year(features_selected(spark, sf_dir))
 
 
-def features_meta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged features without the final distinct: the same set of
-    (leg, variable, metadata) combinations, read without a full-row shuffle."""
-    raw = tables.stack_by_position(*fx.feature_parts(spark, sf_dir))
-    return feat.tag_year(feat.select_variables(raw, fx.master_dim(spark)))
-
-
 def features_melted_keyed(spark: SparkSession, sf_dir: str) -> feat.Melted:
-    return feat.melt_demographics_keyed(features_tagged(spark, sf_dir), meta_source=features_meta_source(spark, sf_dir))
+    """Keyed melted demographic table.  The leg metadata is read from the
+    tagged features without the final distinct (the same set of (leg,
+    variable, metadata) combinations, read without a full-row shuffle)."""
+    parts, dim = fx.feature_parts(spark, sf_dir), fx.master_dim(spark)
+    tagged = feat.tag_year(feat.select_variables(tables.load_features(*parts), dim))
+    meta_source = feat.tag_year(feat.select_variables(tables.stack_by_position(*parts), dim))
+    return feat.melt_demographics_keyed(tagged, meta_source=meta_source)
 
 
 def features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .tables import local_table
+from .tables import literal_rows_sql, local_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixtures (FIXTURES.md section B).
@@ -70,8 +70,19 @@ SOCIAL_VALUE_YEARS = [2023, 2024]
 # ---------------------------------------------------------------------------
 # Base tables
 # ---------------------------------------------------------------------------
+_BASE_READS: dict[tuple, DataFrame] = {}
+
+
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Scan of a base table.  The relation (file listing and schema) is kept
+    per session and path, so building several stages does not re-list the
+    files; the data is read when a query runs."""
+    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), name)
+    df = _BASE_READS.get(key)
+    if df is None:
+        df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        _BASE_READS[key] = df
+    return df
 
 
 def _province(key: Column) -> Column:
@@ -167,7 +178,7 @@ def _postal_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _literal_rows(rows: list[tuple], names: list[str]) -> Column:
     """An array of structs built from literal rows (explode it to expand)."""
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
+    return F.expr(literal_rows_sql(rows, names))
 
 
 def features_demo(spark: SparkSession, sf_dir: str, prefixes: list[str] | None = None) -> DataFrame:

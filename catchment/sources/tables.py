@@ -22,27 +22,42 @@ def read_stage(spark: SparkSession, name_or_path: str, predicate=None, fmt: str
     return df if predicate is None else df.filter(predicate)
 
 
+def sql_literal(value, sql_type: str | None = None) -> str:
+    """A Spark SQL literal for a Python value (strings escaped), optionally
+    cast to ``sql_type``."""
+    if value is None:
+        text = "NULL"
+    elif isinstance(value, bool):
+        text = "TRUE" if value else "FALSE"
+    elif isinstance(value, int):
+        text = str(value)
+    elif isinstance(value, float):
+        text = f"CAST('{value!r}' AS DOUBLE)"
+    else:
+        escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        text = f"'{escaped}'"
+    return f"CAST({text} AS {sql_type})" if sql_type else text
+
+
+def literal_rows_sql(rows: list[tuple], names: list[str]) -> str:
+    """SQL text of an array of named structs holding ``rows`` (explode it to
+    expand every input row by the list)."""
+    structs = (
+        "named_struct(" + ", ".join(f"'{n}', {sql_literal(v)}" for v, n in zip(row, names)) + ")" for row in rows
+    )
+    return "array(" + ", ".join(structs) + ")"
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small table held in the plan itself (an inline VALUES relation):
     its row count is known to the planner without running a job, and it is
-    folded into the query like a literal.  Values are bound as named
-    parameters, so no text escaping is involved."""
+    folded into the query like a literal."""
     if not rows:
         return spark.createDataFrame([], schema)
-    args: dict[str, object] = {}
-    tuples = []
-    for i, row in enumerate(rows):
-        cells = []
-        for j, (value, field) in enumerate(zip(row, schema.fields)):
-            sql_type = field.dataType.simpleString().upper()
-            if value is None:
-                cells.append(f"CAST(NULL AS {sql_type})")
-            else:
-                args[f"v{i}_{j}"] = value
-                cells.append(f"CAST(:v{i}_{j} AS {sql_type})")
-        tuples.append("(" + ", ".join(cells) + ")")
+    types = [f.dataType.simpleString().upper() for f in schema.fields]
+    tuples = ("(" + ", ".join(sql_literal(v, t) for v, t in zip(row, types)) + ")" for row in rows)
     names = ", ".join(f"`{f.name}`" for f in schema.fields)
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})", args=args)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({names})")
 
 
 def load_stores(raw: DataFrame) -> DataFrame:
