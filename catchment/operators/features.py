@@ -172,6 +172,7 @@ class Melted:
     meta: DataFrame
     totals: list[str]
     metadata_columns: list[str]
+    present: DataFrame | None = None  # keyed rows of the cells that hold a value
 
     def table(self) -> DataFrame:
         """The melted table with attribute columns (pivot + melt layout)."""
@@ -222,14 +223,16 @@ def melt_legs_keyed(
         year = (F.when if year is None else year.when)(F.col("__leg") == lg.name, lg.year)
     meta = meta.withColumn("YEAR", year)
 
-    legged = tagged.select("CODE", "variable", "value", F.explode(leg_assignment(legs)).alias("__leg"))
+    legged = tagged.filter(F.col("CODE").isNotNull()).select(
+        "CODE", "variable", "value", F.explode(leg_assignment(legs)).alias("__leg")
+    )
     laid = legged.repartition(n, "CODE")
     cells = laid.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
     per_code = cells.groupBy("CODE", "__leg").agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "__val"))).alias("__cells")
     )
     grid_side = F.broadcast(meta.select("__mid", F.col("__leg").alias("__gleg"), F.col("variable").alias("__gvar")))
-    grid = per_code.filter(F.col("CODE").isNotNull()).join(grid_side, F.col("__leg") == F.col("__gleg"))
+    grid = per_code.join(grid_side, F.col("__leg") == F.col("__gleg"))
     prefixes = F.create_map(*[x for lg in legs for x in (F.lit(lg.name), F.lit(lg.total_prefix))])
     total_cols = [
         F.try_element_at("__cells", F.concat(F.element_at(prefixes, F.col("__leg")), F.lit(sfx))).alias(name)
@@ -241,7 +244,14 @@ def melt_legs_keyed(
         F.try_element_at("__cells", F.col("__gvar")).alias("val"),
         *total_cols,
     )
-    return Melted(keyed, meta, list(totals), metadata_columns)
+    # Sparse form for consumers that drop NULL values (the profiles): only
+    # the cells present in the map, matched to their metadata ids; no grid.
+    cell = per_code.select("CODE", "__leg", "__cells", F.explode("__cells").alias("__pvar", "val"))
+    cell = cell.filter(F.col("val").isNotNull()).join(
+        grid_side, (F.col("__leg") == F.col("__gleg")) & (F.col("__pvar") == F.col("__gvar"))
+    )
+    present = cell.select(F.col("CODE").alias("POSTALCODE"), "__mid", "val", *total_cols)
+    return Melted(keyed, meta, list(totals), metadata_columns, present)
 
 
 def melt_legs(

@@ -126,7 +126,8 @@ def keyed_profile(
         cond = c if cond is None else cond & c
     s = shares.join(F.broadcast(sid_keys), cond).select("POSTALCODE", "PERCENT_ATTRACTION", "__sid")
     meta = melted.meta if meta_filter is None else melted.meta.filter(meta_filter)
-    f = melted.keyed.filter(F.col("val").isNotNull()).join(F.broadcast(meta.select("__mid")), "__mid", "left_semi")
+    cells = melted.present if melted.present is not None else melted.keyed
+    f = cells.filter(F.col("val").isNotNull()).join(F.broadcast(meta.select("__mid")), "__mid", "left_semi")
     w = F.col("PERCENT_ATTRACTION")
     agg = s.join(f, "POSTALCODE").groupBy("__sid", "__mid").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums])
     return agg.join(F.broadcast(sid), "__sid").join(F.broadcast(melted.meta), "__mid")
