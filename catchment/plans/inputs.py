@@ -55,13 +55,17 @@ def features_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_melted_keyed(spark: SparkSession, sf_dir: str) -> feat.Melted:
-    """Keyed melted demographic table.  The leg metadata is read from the
-    tagged features without the final distinct (the same set of (leg,
-    variable, metadata) combinations, read without a full-row shuffle)."""
+    """Keyed melted demographic table.
+
+    The source unions the raw tables with SQL ``UNION`` (distinct) before
+    pivoting.  For the melted table that distinct is redundant: an exact
+    duplicate row lands in the same (code, variable) cell, whose value is
+    picked by ``max``, and adds no new variable or metadata.  So the raw
+    tables are stacked (``UNION ALL``) and the melt's single exchange by CODE
+    is the only shuffle of the raw rows."""
     parts, dim = fx.feature_parts(spark, sf_dir), fx.master_dim(spark)
-    tagged = feat.tag_year(feat.select_variables(tables.load_features(*parts), dim))
-    meta_source = feat.tag_year(feat.select_variables(tables.stack_by_position(*parts), dim))
-    return feat.melt_demographics_keyed(tagged, meta_source=meta_source)
+    tagged = feat.tag_year(feat.select_variables(tables.stack_by_position(*parts), dim))
+    return feat.melt_demographics_keyed(tagged)
 
 
 def features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,9 +57,9 @@ def competition(spark: SparkSession, level: str = "BANNER", names=StageNames())
 
 
 def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, names=StageNames()) -> DataFrame:
-    tagged = feat.tag_year(feat.select_variables(tables.load_features(*raw_parts), dim))
-    meta_source = feat.tag_year(feat.select_variables(tables.stack_by_position(*raw_parts), dim))
-    sinks.write_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted)
+    # UNION ALL: duplicates collapse in the melt's cells (see inputs.features_melted_keyed)
+    tagged = feat.tag_year(feat.select_variables(tables.stack_by_position(*raw_parts), dim))
+    sinks.write_stage(feat.melt_demographics(tagged), names.melted)
     return sinks.read_stage(spark, names.melted)
 
 
