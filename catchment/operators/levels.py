@@ -92,11 +92,14 @@ def category_totals(profile: DataFrame) -> DataFrame:
     )
 
 
-def attach_category_total(profile: DataFrame) -> DataFrame:
+def attach_category_total(profile: DataFrame, totals_from: DataFrame | None = None) -> DataFrame:
     """Left join of the category totals on (Category, STORE_NUM, STORE_NAME,
     YEAR).  Several total variables in one category repeat the row once per
-    total, as the source join does."""
-    return profile.join(category_totals(profile), ["Category", "STORE_NUM", "STORE_NAME", "YEAR"], "left")
+    total, as the source join does.  ``totals_from`` is the table the totals
+    are read from (default: ``profile``; any earlier stage with the same
+    val / TOTAL_FLAG rows gives the same totals)."""
+    source = profile if totals_from is None else totals_from
+    return profile.join(category_totals(source), ["Category", "STORE_NUM", "STORE_NAME", "YEAR"], "left")
 
 
 def store_value(df: DataFrame) -> DataFrame:
@@ -110,21 +113,24 @@ def store_value(df: DataFrame) -> DataFrame:
     return df.withColumn("STORE_VALUE", v)
 
 
-def demographic_benchmarks(profile: DataFrame, per_year: bool = False) -> DataFrame:
+def demographic_benchmarks(profile: DataFrame, per_year: bool = False, with_values: DataFrame | None = None) -> DataFrame:
     """Profile with the four level percents (the level values themselves are
-    dropped, as in the published table)."""
-    with_values = materialize(level_values(null_coordinates(profile)))
+    dropped, as in the published table).  The level values are materialized
+    once: they feed the four denominators."""
+    if with_values is None:
+        with_values = materialize(level_values(null_coordinates(profile)))
     with_pct = level_percents(with_values, per_year=per_year)
     return with_pct.drop(*[name for name, _ in LEVEL_VALUES])
 
 
 def demographic_store_table(profile: DataFrame, per_year: bool = False) -> DataFrame:
     """The published demographic store table: benchmarks, category totals and
-    store values, in the 28-column layout."""
-    # Written once and read back (as the published stage table is) before
-    # the self-join on category totals.
-    bench = materialize(demographic_benchmarks(profile, per_year))
-    valued = store_value(attach_category_total(bench))
+    store values, in the 28-column layout.  One materialized stage (the level
+    values) feeds the denominators and the category totals, so the plan stays
+    linear without a second write."""
+    with_values = materialize(level_values(null_coordinates(profile)))
+    bench = demographic_benchmarks(profile, per_year, with_values)
+    valued = store_value(attach_category_total(bench, totals_from=with_values))
     return valued.drop("MEDIAN_AVERAGE", "LEAF_NODE_FLAG", "TOTAL_FLAG").select(*schemas.PROFILE_FINAL_COLUMNS)
 
 
