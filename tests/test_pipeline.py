@@ -1,0 +1,18 @@
+"""The staged batch pipeline reproduces the registered queries' results."""
+
+from catchment.plans import inputs
+from catchment.plans import pipeline as P
+from catchment.sources import fixtures as fx
+
+
+def test_staged_pipeline_matches_queries(spark, sf_small):
+    sf = sf_small
+    g = P.gravity(spark, fx.stores_raw(spark, sf), [fx.ldu_part1(spark, sf), fx.ldu_part2(spark, sf)])
+    assert g["store_ldu_attraction_half_pct"].count() == inputs.half_pct(spark, sf).count()
+    assert g["store_ldu_attraction_full_pct"].count() == inputs.one_pct(spark, sf).count()
+    assert P.competition(spark).count() > 0
+    melted = P.features(spark, fx.feature_parts(spark, sf), fx.master_dim(spark))
+    assert melted.count() == inputs.features_melted(spark, sf).count()
+    store = P.profiles(spark, fx.stores_raw(spark, sf), fx.language_mapping(spark))
+    assert store.count() == inputs.demographic_profile(spark, sf).count()
+    assert P.social(spark, fx.social_value_parts(spark, sf), fx.stores_raw(spark, sf)).count() > 0
