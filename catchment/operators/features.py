@@ -173,6 +173,7 @@ class Melted:
     totals: list[str]
     metadata_columns: list[str]
     present: DataFrame | None = None  # keyed rows of the cells that hold a value
+    n_meta: int | None = None  # rows of ``meta``
 
     def table(self) -> DataFrame:
         """The melted table with attribute columns (pivot + melt layout)."""
@@ -251,7 +252,7 @@ def melt_legs_keyed(
         grid_side, (F.col("__leg") == F.col("__gleg")) & (F.col("__pvar") == F.col("__gvar"))
     )
     present = cell.select(F.col("CODE").alias("POSTALCODE"), "__mid", "val", *total_cols)
-    return Melted(keyed, meta, list(totals), metadata_columns, present)
+    return Melted(keyed, meta, list(totals), metadata_columns, present, len(numbered))
 
 
 def melt_legs(

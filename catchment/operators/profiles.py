@@ -18,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window
+
 from ..functions.codes import region
+from ..functions.geo import zorder_key
 from ..functions.text import store_chain
 from ..plans.layout import broadcast_max_rows, maybe_broadcast, null_safe_on
 from .features import Melted
@@ -85,17 +88,19 @@ def weighted_profile(
     return joined.groupBy(*STORE_KEYS, *feature_keys, *[c for c in firsts if c not in feature_keys]).agg(*aggs)
 
 
-def store_ids(stores: DataFrame) -> DataFrame | None:
+def store_ids(stores: DataFrame) -> tuple[DataFrame, int] | None:
     """Distinct store tuples (the profile's store keys) numbered 0..n-1 on the
-    driver, or None when there are more than the broadcast bound.  Read from
-    the small store table (not from the shares), so the check is cheap."""
+    driver, with their count; None when there are more than the broadcast
+    bound.  Read from the small store table (not from the shares), so the
+    check is cheap."""
     bound = broadcast_max_rows(stores)
     rows = stores.select(*STORE_KEYS).distinct().limit(bound + 1).collect()
     if len(rows) > bound:
         return None
     numbered = sorted((tuple(r) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
     schema = stores.select(F.lit(0).cast("long").alias("__sid"), *STORE_KEYS).schema
-    return stores.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(numbered)], schema)
+    df = stores.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(numbered)], schema)
+    return df, len(numbered)
 
 
 def keyed_profile(
@@ -116,23 +121,102 @@ def keyed_profile(
     aggregated result by broadcast joins.  Returns None when the store table
     is above the broadcast bound (use ``weighted_profile`` then).
     """
-    sid = store_ids(stores)
-    if sid is None:
+    ids = store_ids(stores)
+    if ids is None:
         return None
+    sid, n_stores = ids
     sid_keys = sid.select("__sid", *[F.col(k).alias(f"__s_{k}") for k in STORE_KEYS])
     cond = None
     for k in STORE_KEYS:
         c = shares[k].eqNullSafe(sid_keys[f"__s_{k}"])
         cond = c if cond is None else cond & c
-    s = shares.join(F.broadcast(sid_keys), cond).select("POSTALCODE", "PERCENT_ATTRACTION", "__sid")
     meta = melted.meta if meta_filter is None else melted.meta.filter(meta_filter)
     cells = melted.present if melted.present is not None else melted.keyed
     f = cells.filter(F.col("val").isNotNull()).join(F.broadcast(meta.select("__mid")), "__mid", "left_semi")
-    w = F.col("PERCENT_ATTRACTION")
-    agg = s.join(f, "POSTALCODE").groupBy("__sid", "__mid").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums])
+    n_meta = melted.n_meta if melted.n_meta is not None else melted.meta.count()
+    if profile_layout(shares.sparkSession, n_stores, n_meta) == "clustered":
+        s = shares.join(F.broadcast(sid_keys), cond).select(
+            "POSTALCODE", "PERCENT_ATTRACTION", "__sid", zorder_key("LATITUDE", "LONGITUDE").alias("__z")
+        )
+        agg = clustered_weighted_sums(s, f, sums)
+    else:
+        s = shares.join(F.broadcast(sid_keys), cond).select("POSTALCODE", "PERCENT_ATTRACTION", "__sid")
+        w = F.col("PERCENT_ATTRACTION")
+        agg = s.join(f, "POSTALCODE").groupBy("__sid", "__mid").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums])
     return agg.join(F.broadcast(sid), "__sid").join(F.broadcast(melted.meta), "__mid")
 
 
+# Worst-case partial-aggregate rows of the postal-code layout above which
+# the geographic layout is used (``catchment.profile.clusterThresholdRows``).
+DEFAULT_CLUSTER_THRESHOLD_ROWS = 200_000_000
+
+
+def profile_layout(spark, n_stores: int, n_meta: int) -> str:
+    """'postal' or 'clustered' for the profile aggregation.
+
+    With shares and cells co-partitioned by postal code (``postal``) the
+    join needs no exchange, but every task sees postal codes from anywhere,
+    so its partial aggregate can hold one row per (store, metadata id):
+    up to tasks x stores x metadata ids rows are shuffled.  The geographic
+    layout (``clustered``) shuffles the cells once more but collapses the
+    partial sums regionally.  The estimate uses the partition count and the
+    sizes of the two id tables (collected, so known on the driver); the
+    session setting ``catchment.profile.layout`` forces either layout.
+    """
+    forced = spark.conf.get("catchment.profile.layout", "auto")
+    if forced in ("postal", "clustered"):
+        return forced
+    threshold = int(spark.conf.get("catchment.profile.clusterThresholdRows", str(DEFAULT_CLUSTER_THRESHOLD_ROWS)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return "clustered" if tasks * n_stores * n_meta > threshold else "postal"
+
+
+def clustered_weighted_sums(shares: DataFrame, cells: DataFrame, sums: list[str]) -> DataFrame:
+    """Sum PERCENT_ATTRACTION x cell value per (store id, metadata id) over
+    the postal codes, with the work laid out by geography.
+
+    ``shares``: POSTALCODE, PERCENT_ATTRACTION, __sid, __z (z-order key of
+    the postal code's centroid).  ``cells``: POSTALCODE, __mid and ``sums``.
+
+    Share rows and cells are stacked and range-partitioned by (z-key,
+    POSTALCODE): every task holds whole postal codes of one compact,
+    balanced region (the range partitioner samples the keys).  Within a
+    postal code a window collects its cells (at most one per variable and
+    year, a checked bound) onto each share row, which is exploded into the
+    weighted terms.  Stores near a region are the same for all its postal
+    codes, so the map-side partial aggregation by (store id, metadata id)
+    collapses the terms before the shuffle, instead of shuffling one partial
+    row per store per task as a hash layout by postal code would.
+    """
+    # Every postal code with a share has a centroid, hence a z-key; cells of
+    # postal codes without shares contribute nothing and are dropped here.
+    zmap = shares.select("POSTALCODE", "__z").distinct()
+    c = cells.join(zmap, "POSTALCODE")
+    cell_struct = F.struct(F.col("__mid").alias("mid"), *[F.col(x).alias(x) for x in sums])
+    null_cell = F.lit(None).cast(c.select(cell_struct.alias("c")).schema["c"].dataType)
+    rows = shares.select(
+        "__z", "POSTALCODE", F.lit(True).alias("__is_share"), "__sid", "PERCENT_ATTRACTION", null_cell.alias("__cell")
+    ).unionByName(
+        c.select(
+            "__z", "POSTALCODE", F.lit(False).alias("__is_share"), F.lit(None).cast("long").alias("__sid"),
+            F.lit(None).cast("double").alias("PERCENT_ATTRACTION"), cell_struct.alias("__cell"),
+        )
+    )
+    n = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, "__z", "POSTALCODE")
+    per_postal = Window.partitionBy("__z", "POSTALCODE")
+    with_cells = laid.select(
+        "__is_share", "__sid", "PERCENT_ATTRACTION", F.collect_list("__cell").over(per_postal).alias("__cells")
+    )
+    terms = with_cells.filter(F.col("__is_share")).select(
+        "__sid", "PERCENT_ATTRACTION", F.explode("__cells").alias("__c")
+    )
+    w = F.col("PERCENT_ATTRACTION")
+    return terms.groupBy("__sid", F.col("__c.mid").alias("__mid")).agg(
+        *[F.sum(w * F.col(f"__c.{x}")).alias(x) for x in sums]
+    )
+
+
 def with_store_labels(profile: DataFrame) -> DataFrame:
     """STORE_CHAIN (chain label from the customer group / store name) and
     Region (from the store province)."""

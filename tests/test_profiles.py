@@ -67,3 +67,20 @@ def test_level_percent_denominators_match_windows(spark, sf_small):
     )
     cols = ["STORE_NUM", "variable", "YEAR", "Language_Grouping", name]
     assert _rows(grouped, cols) == _rows(windowed, cols)
+
+
+def test_clustered_layout_equals_postal_layout(spark, sf_small):
+    cols = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
+    out = {}
+    for layout in ("postal", "clustered"):
+        spark.conf.set("catchment.profile.layout", layout)
+        try:
+            out[layout] = _rows(inputs.demographic_profile(spark, sf_small), cols)
+        finally:
+            spark.conf.unset("catchment.profile.layout")
+    assert out["postal"] == out["clustered"] and len(out["postal"]) > 0
+
+
+def test_layout_choice_follows_estimated_partial_rows(spark):
+    assert prof.profile_layout(spark, 100, 50) == "postal"
+    assert prof.profile_layout(spark, 7_000, 5_000) == "clustered"  # 8 tasks x 35M > 200M
