@@ -255,18 +255,6 @@ def melt_legs_keyed(
     return Melted(keyed, meta, list(totals), metadata_columns, present, len(numbered))
 
 
-def melt_legs(
-    tagged: DataFrame,
-    legs: list[Leg],
-    totals: dict[str, str],
-    metadata_columns: list[str],
-    partitions: int | None = None,
-    meta_source: DataFrame | None = None,
-) -> DataFrame:
-    """``melt_legs_keyed`` with the attribute columns attached."""
-    return melt_legs_keyed(tagged, legs, totals, metadata_columns, partitions, meta_source).table()
-
-
 def _reorder(rows: list, metadata_columns: list[str]) -> list:
     """(leg, variable, other metadata...) tuples from ``leg_metadata`` rows."""
     rest = [c for c in metadata_columns if c != "variable"]

@@ -18,9 +18,10 @@ from . import inputs
 @register("stage_roundtrip", schemas.SHARE_COLUMNS, "SELECT * FROM att_half")
 def stage_roundtrip(spark, sf):
     """SNK-1 / SNK-5 / SRC-6: write the 0.5% share table as a stage table
-    (rows sorted by POSTALCODE inside each file) and read it back."""
+    (rows sorted by POSTALCODE inside each file), copy it unchanged to a
+    published name and read the copy back."""
     sinks.write_stage(inputs.half_pct(spark, sf), "attraction_half_pct", sort_within=["POSTALCODE"])
-    return sinks.read_stage(spark, "attraction_half_pct")
+    return sinks.copy_table(spark, "attraction_half_pct", "attraction_half_pct_published")
 
 
 PUBLISHED = schemas.PROFILE_FINAL_COLUMNS + list(sinks.PUBLISH_PADS)
