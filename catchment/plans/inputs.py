@@ -64,8 +64,12 @@ def features_melted_keyed(spark: SparkSession, sf_dir: str) -> feat.Melted:
     tables are stacked (``UNION ALL``) and the melt's single exchange by CODE
     is the only shuffle of the raw rows."""
     parts, dim = fx.feature_parts(spark, sf_dir), fx.master_dim(spark)
-    tagged = feat.tag_year(feat.select_variables(tables.stack_by_position(*parts), dim))
-    return feat.melt_demographics_keyed(tagged)
+    raw = tables.stack_by_position(*parts)
+    tagged = feat.tag_year(feat.select_variables(raw, dim))
+    # Metadata depends on (code, description, category) only: take that
+    # distinct right after the scan, then select / tag / clean the few rows.
+    meta_source = feat.tag_year(feat.select_variables(raw.select("var_code", "Description", "Category").distinct(), dim))
+    return feat.melt_demographics_keyed(tagged, meta_source=meta_source)
 
 
 def features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,8 +58,10 @@ def competition(spark: SparkSession, level: str = "BANNER", names=StageNames())
 
 def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, names=StageNames()) -> DataFrame:
     # UNION ALL: duplicates collapse in the melt's cells (see inputs.features_melted_keyed)
-    tagged = feat.tag_year(feat.select_variables(tables.stack_by_position(*raw_parts), dim))
-    sinks.write_stage(feat.melt_demographics(tagged), names.melted)
+    raw = tables.stack_by_position(*raw_parts)
+    tagged = feat.tag_year(feat.select_variables(raw, dim))
+    meta_source = feat.tag_year(feat.select_variables(raw.select("var_code", "Description", "Category").distinct(), dim))
+    sinks.write_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted)
     return sinks.read_stage(spark, names.melted)
 
 
