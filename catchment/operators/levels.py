@@ -12,9 +12,10 @@ Layout:
   is not bounded by a dimension (a name may be shared by many stores).  They
   are grouped aggregates (partial aggregation before the shuffle) joined back
   on their keys, so a hot key is never gathered in one task.
-* Stages read more than once (the level values feeding four denominators,
-  the benchmarks feeding the category-total self-join) are materialized with
-  a reliable checkpoint, as the source pipeline writes and re-reads them.
+* The level values are read more than once (four denominators and the
+  category totals); they are materialized once with a reliable checkpoint,
+  as the source pipeline writes and re-reads its stage table.  The social
+  benchmarks are materialized before the Basics self-join the same way.
 """
 
 from __future__ import annotations

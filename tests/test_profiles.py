@@ -84,3 +84,23 @@ def test_clustered_layout_equals_postal_layout(spark, sf_small):
 def test_layout_choice_follows_estimated_partial_rows(spark):
     assert prof.profile_layout(spark, 100, 50) == "postal"
     assert prof.profile_layout(spark, 7_000, 5_000) == "clustered"  # 8 tasks x 35M > 200M
+
+
+def test_region_percent_per_year_option(spark, sf_small):
+    with_values = lv.level_values(inputs.demographic_profile(spark, sf_small))
+    name, value, keys = [p for p in lv.LEVEL_PERCENTS if p[0] == "REGION_VALUE_PERCENT"][0]
+    faithful = lv.level_percents(with_values, [(name, value, keys)])
+    per_year = lv.level_percents(with_values, [(name, value, keys)], per_year=True)
+    # per-year denominators are sums over fewer rows, so the percents grow
+    f = {r.k: r.p for r in faithful.select(F.concat_ws("|", "STORE_NUM", "variable", "YEAR", "Language_Grouping").alias("k"), F.col(name).alias("p")).collect()}
+    y = {r.k: r.p for r in per_year.select(F.concat_ws("|", "STORE_NUM", "variable", "YEAR", "Language_Grouping").alias("k"), F.col(name).alias("p")).collect()}
+    assert f.keys() == y.keys()
+    pairs = [(f[k], y[k]) for k in f if f[k] is not None and y[k] is not None]
+    assert pairs and all(b >= a - 1e-12 for a, b in pairs) and any(b > a + 1e-9 for a, b in pairs)
+
+
+def test_median_exact_option(spark):
+    df = spark.createDataFrame([("d", "B", float(x)) for x in range(4)], "Description string, BANNER string, V double")
+    approx = lv.median_by(df, "BANNER", "V").first()["Median_V"]
+    exact = lv.median_by(df, "BANNER", "V", exact=True).first()["Median_V"]
+    assert approx == 1.0 and exact == 1.5
