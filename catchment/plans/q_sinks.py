@@ -3,6 +3,8 @@ and the multi-source store union."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -15,13 +17,20 @@ from ..sources.store_sources import StoreSource, union_sources
 from . import inputs
 
 
+def _scoped(name: str, sf: str) -> str:
+    """Stage / table name unique to the data folder, so results built for
+    different folders never share files."""
+    return f"{name}_{hashlib.sha1(sf.encode()).hexdigest()[:10]}"
+
+
 @register("stage_roundtrip", schemas.SHARE_COLUMNS, "SELECT * FROM att_half")
 def stage_roundtrip(spark, sf):
     """SNK-1 / SNK-5 / SRC-6: write the 0.5% share table as a stage table
     (rows sorted by POSTALCODE inside each file), copy it unchanged to a
     published name and read the copy back."""
-    sinks.write_stage(inputs.half_pct(spark, sf), "attraction_half_pct", sort_within=["POSTALCODE"])
-    return sinks.copy_table(spark, "attraction_half_pct", "attraction_half_pct_published")
+    stage, published = _scoped("attraction_half_pct", sf), _scoped("attraction_half_pct_published", sf)
+    sinks.write_stage(inputs.half_pct(spark, sf), stage, sort_within=["POSTALCODE"])
+    return sinks.copy_table(spark, stage, published)
 
 
 PUBLISHED = schemas.PROFILE_FINAL_COLUMNS + list(sinks.PUBLISH_PADS)
@@ -45,9 +54,10 @@ def publish_positional(spark, sf):
     name in the target order first."""
     padded = sinks.pad_columns(lv.demographic_store_table(inputs.demographic_profile(spark, sf)), sinks.PUBLISH_PADS)
     target = padded.select(*PUBLISHED)
-    sinks.create_table(spark.createDataFrame([], target.schema), PUBLISH_TABLE)
-    sinks.publish(padded.select(*reversed(PUBLISHED)), PUBLISH_TABLE)
-    return spark.table(PUBLISH_TABLE)
+    table = _scoped(PUBLISH_TABLE, sf)
+    sinks.create_table(spark.createDataFrame([], target.schema), table)
+    sinks.publish(padded.select(*reversed(PUBLISHED)), table)
+    return spark.table(table)
 
 
 MELTED = schemas.MELTED_COLUMNS + ["YEAR"]
@@ -60,7 +70,7 @@ def ctas_union(spark, sf):
     legs = {leg.name: leg for leg in feat.demographic_legs()}
     a = feat.melt_demographics(tagged, [legs["2023"]])
     b = feat.melt_demographics(tagged, [legs["2026"]])
-    return sinks.combine_tables(a, b, "melted_combined")
+    return sinks.combine_tables(a, b, _scoped("melted_combined", sf))
 
 
 STORE_SOURCE_COLUMNS = [
