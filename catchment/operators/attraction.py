@@ -26,7 +26,7 @@ def by_postal() -> Window:
 # Tie-break after the share for the running share (rows with equal shares).
 RUNNING_TIEBREAK = ["STORE_NUM", "STORE_NAME", "CUSTOMER_GROUP", "BANNER", "STORE_STREET", "PROV"]
 
-# Share cuts of the two published tables.
+# Share cuts of the two published tables.
 HALF_PERCENT = 0.005
 ONE_PERCENT = 0.01
 

@@ -25,8 +25,9 @@ from ..functions.codes import newcomer_year, suffix_key, year_from_code
 from ..functions.text import clean_description
 from ..plans.layout import maybe_broadcast, shuffle_partitions
 
-# Population totals lifted to columns, by name of the output column and the
-# variable suffix that holds it (prefixed with the leg's year code).
+# Population totals lifted to columns, by name of the output
+# column and the variable suffix that holds it (prefixed with the leg's year
+# code); the social-value total is its Household Population 15+ variable.
 DEMO_TOTALS = {
     "TOTAL_HOUSEHOLDS": "BASHHD",
     "TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER": "BAS15HP",

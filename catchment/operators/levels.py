@@ -138,6 +138,7 @@ def demographic_store_table(profile: DataFrame, per_year: bool = False) -> DataF
 # ---------------------------------------------------------------------------
 # Social values
 # ---------------------------------------------------------------------------
+# Fixed value: category whose rows are the social-value totals.
 BASICS = "Basics"
 
 

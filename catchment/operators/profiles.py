@@ -41,8 +41,13 @@ STORE_KEYS = [
     "STORE_PROVINCE",
 ]
 
-# Categories left out of the demographic profile.
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the source pipeline's): categories left out of the
+# demographic profile, and the description whose store value is taken over
+# the household population.
+# ---------------------------------------------------------------------------
 EXCLUDED_CATEGORIES = ["Trends", "Attitudes"]
+RECENT_IMMIGRATION = "Household Population For Recent Immigration By Place Of Birth"
 
 DEMO_SUMS = [
     "val",
@@ -60,8 +65,6 @@ DEMO_PROFILE_COLUMNS = (
     + DEMO_DIMS
 )
 
-# Description whose store value is taken over the household population.
-RECENT_IMMIGRATION = "Household Population For Recent Immigration By Place Of Birth"
 
 
 def weighted_profile(

@@ -1,7 +1,7 @@
 """End-to-end batch pipeline on warehouse tables, stage by stage.
 
 Each stage is written as a table under the shared stage folder (or a
-catalog table) and the next stage reads it back, as the source notebooks do:
+catalog table) and the next stage reads it back, as the source pipeline does:
 this cuts lineage at the natural boundaries, so a lost executor only costs
 the current stage, and every stage can be re-run alone.
 
@@ -29,14 +29,14 @@ from ..sources import tables
 
 @dataclass
 class StageNames:
-    attraction: str = "store_ldu_attraction"
-    shares_half: str = "store_ldu_attraction_half_pct"
-    shares_full: str = "store_ldu_attraction_full_pct"
-    competition: str = "store_ldu_attraction_competition"
-    melted: str = "ldu_feature_vals_melted"
-    profile: str = "demostats_store_profiles"
-    social: str = "ldu_feature_vals_sv"
-    social_store: str = "demostats_store_sv"
+    attraction: str = "store_postal_attraction"
+    shares_half: str = "store_postal_attraction_half_pct"
+    shares_full: str = "store_postal_attraction_full_pct"
+    competition: str = "store_postal_attraction_competition"
+    melted: str = "postal_features_melted"
+    profile: str = "store_profiles_published"
+    social: str = "postal_social_values_melted"
+    social_store: str = "store_social_values"
 
 
 def gravity(spark: SparkSession, stores_raw: DataFrame, polygon_parts: list[DataFrame], names=StageNames(),

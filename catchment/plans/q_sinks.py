@@ -44,7 +44,7 @@ def publish_pad(spark, sf):
     return sinks.pad_columns(lv.demographic_store_table(inputs.demographic_profile(spark, sf)), sinks.PUBLISH_PADS)
 
 
-PUBLISH_TABLE = "catchment_demostats_store_profiles"
+PUBLISH_TABLE = "catchment_store_profiles"
 
 
 @register("publish_positional", PUBLISHED, PAD_SQL)

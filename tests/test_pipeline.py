@@ -8,8 +8,8 @@ from catchment.sources import fixtures as fx
 def test_staged_pipeline_matches_queries(spark, sf_small):
     sf = sf_small
     g = P.gravity(spark, fx.stores_raw(spark, sf), [fx.ldu_part1(spark, sf), fx.ldu_part2(spark, sf)])
-    assert g["store_ldu_attraction_half_pct"].count() == inputs.half_pct(spark, sf).count()
-    assert g["store_ldu_attraction_full_pct"].count() == inputs.one_pct(spark, sf).count()
+    assert g["store_postal_attraction_half_pct"].count() == inputs.half_pct(spark, sf).count()
+    assert g["store_postal_attraction_full_pct"].count() == inputs.one_pct(spark, sf).count()
     assert P.competition(spark).count() > 0
     melted = P.features(spark, fx.feature_parts(spark, sf), fx.master_dim(spark))
     assert melted.count() == inputs.features_melted(spark, sf).count()
