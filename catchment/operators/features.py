@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.codes import newcomer_year, suffix_key, year_from_code
@@ -219,6 +220,7 @@ def melt_legs_keyed(
     meta_schema = tagged.select(
         F.lit(0).cast("long").alias("__mid"), F.lit("").alias("__leg"), "variable", *rest
     ).schema
+    meta_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in meta_schema.fields])
     meta = spark.createDataFrame([(i, *t) for i, t in enumerate(numbered)], meta_schema)
     year = None
     for lg in legs:
@@ -226,7 +228,10 @@ def melt_legs_keyed(
     meta = meta.withColumn("YEAR", year)
 
     legged = tagged.filter(F.col("CODE").isNotNull()).select(
-        "CODE", "variable", "value", F.explode(leg_assignment(legs)).alias("__leg")
+        "CODE",
+        F.coalesce(F.col("variable"), F.lit(NULL_VARIABLE)).alias("variable"),
+        "value",
+        F.explode(leg_assignment(legs)).alias("__leg"),
     )
     laid = legged.repartition(n, "CODE")
     cells = laid.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
@@ -256,10 +261,23 @@ def melt_legs_keyed(
     return Melted(keyed, meta, list(totals), metadata_columns, present, len(numbered))
 
 
+# A NULL variable becomes a pivot column named "null", which the metadata
+# join (on the real, NULL, variable) never matches.
+NULL_VARIABLE = "null"
+
+
 def _reorder(rows: list, metadata_columns: list[str]) -> list:
-    """(leg, variable, other metadata...) tuples from ``leg_metadata`` rows."""
+    """(leg, variable, other metadata...) tuples from ``leg_metadata`` rows;
+    a NULL variable is listed once per leg as "null" without metadata."""
     rest = [c for c in metadata_columns if c != "variable"]
-    return [(r["__leg"], r["variable"], *[r[c] for c in rest]) for r in rows]
+    out, null_legs = [], set()
+    for r in rows:
+        if r["variable"] is None:
+            null_legs.add(r["__leg"])
+        else:
+            out.append((r["__leg"], r["variable"], *[r[c] for c in rest]))
+    out += [(leg, NULL_VARIABLE, *[None] * len(rest)) for leg in sorted(null_legs)]
+    return out
 
 
 def postal_totals(rows: DataFrame, totals: dict[str, str], total_prefix: str, key: str = "CODE") -> DataFrame:

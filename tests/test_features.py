@@ -89,3 +89,50 @@ def test_social_values_keep_null_category(spark, sf_small):
     m = inputs.social_values_melted(spark, sf_small)
     assert m.filter(F.col("Category").isNull()).count() > 0
     assert {r.YEAR for r in m.select("YEAR").distinct().collect()} == {2023, 2024}
+
+
+def _tagged(spark, rows):
+    """rows: (CODE, variable, value, Description, Category, ADD, LEAF, TOTAL, YEAR)."""
+    df = spark.createDataFrame(
+        rows,
+        "CODE string, variable string, value double, Description string, Category string, "
+        "ADD_TO_PROFILE int, LEAF_NODE_FLAG int, TOTAL_FLAG int, YEAR int",
+    )
+    return df.select(
+        "*", F.lit("h").alias("Hierarchy_Description"), F.lit("N").alias("MEDIAN_AVERAGE"),
+        F.lit(None).cast("int").alias("WHOLE_YEAR"),
+    )
+
+
+def test_null_variable_becomes_null_column_without_metadata(spark):
+    t = _tagged(
+        spark,
+        [
+            ("P1", "P3YBASPOP", 10.0, "Pop", "Basics", 1, 0, 1, 2026),
+            ("P1", None, 5.0, "Orphan", "Basics", 1, 1, 0, 2026),
+            ("P2", "P3YBASPOP", 20.0, "Pop", "Basics", 1, 0, 1, 2026),
+        ],
+    )
+    leg = feat.demographic_legs()[1]
+    m = feat.melt_demographics(t, [leg]).collect()
+    nulls = [r for r in m if r.variable == "null"]
+    assert len(nulls) == 2  # one per postal code (dense)
+    assert all(r.Description is None and r.Category is None for r in nulls)
+    assert {r.POSTALCODE: r.val for r in nulls} == {"P1": 5.0, "P2": None}
+    assert all(r.TOTAL_POPULATION in (10.0, 20.0) for r in m)
+
+
+def test_variable_with_two_descriptions_fans_out(spark):
+    t = _tagged(
+        spark,
+        [
+            ("P1", "P3YBASPOP", 10.0, "Pop", "Basics", 1, 0, 1, 2026),
+            ("P1", "P3YINC0", 3.0, "Income A", "Income", 1, 1, 0, 2026),
+            ("P2", "P3YINC0", 4.0, "Income B", "Income", 1, 1, 0, 2026),
+            ("P2", "P3YBASPOP", 20.0, "Pop", "Basics", 1, 0, 1, 2026),
+        ],
+    )
+    leg = feat.demographic_legs()[1]
+    m = feat.melt_demographics(t, [leg]).filter(F.col("variable") == "P3YINC0").collect()
+    # 2 postal codes x 2 metadata rows of the variable, as the metadata join does
+    assert len(m) == 4 and {r.Description for r in m} == {"Income A", "Income B"}

@@ -104,3 +104,18 @@ def test_median_exact_option(spark):
     approx = lv.median_by(df, "BANNER", "V").first()["Median_V"]
     exact = lv.median_by(df, "BANNER", "V", exact=True).first()["Median_V"]
     assert approx == 1.0 and exact == 1.5
+
+
+def test_two_total_rows_in_a_category_fan_out(spark):
+    df = spark.createDataFrame(
+        [
+            ("Income", 1, "S1", 2026, "v1", 10.0, 0, 1),
+            ("Income", 1, "S1", 2026, "v2", 30.0, 0, 1),
+            ("Income", 1, "S1", 2026, "v3", 5.0, 1, 0),
+        ],
+        "Category string, STORE_NUM long, STORE_NAME string, YEAR int, variable string, val double, "
+        "LEAF_NODE_FLAG int, TOTAL_FLAG int",
+    )
+    out = lv.attach_category_total(df).collect()
+    assert len(out) == 6  # every row once per total row
+    assert sorted({r.TOTAL_CATEGORY for r in out}) == [10.0, 30.0]
