@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from ..functions.codes import region
 from ..functions.geo import zorder_key
 from ..functions.text import store_chain
-from ..plans.layout import broadcast_max_rows, maybe_broadcast, null_safe_on
+from ..plans.layout import broadcast_max_rows, maybe_broadcast
 from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
-from . import schemas
 from .present import present
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
