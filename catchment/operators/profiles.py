@@ -91,12 +91,17 @@ def weighted_profile(
     return joined.groupBy(*STORE_KEYS, *feature_keys, *[c for c in firsts if c not in feature_keys]).agg(*aggs)
 
 
+# Most store tuples numbered on the driver (``catchment.profile.maxStores``);
+# above it the profile aggregates on the store columns themselves.
+MAX_STORE_IDS = 200_000
+
+
 def store_ids(stores: DataFrame) -> tuple[DataFrame, int] | None:
     """Distinct store tuples (the profile's store keys) numbered 0..n-1 on the
     driver, with their count; None when there are more than the broadcast
     bound.  Read from the small store table (not from the shares), so the
     check is cheap."""
-    bound = broadcast_max_rows(stores)
+    bound = min(broadcast_max_rows(stores), int(stores.sparkSession.conf.get("catchment.profile.maxStores", str(MAX_STORE_IDS))))
     rows = stores.select(*STORE_KEYS).distinct().limit(bound + 1).collect()
     if len(rows) > bound:
         return None

@@ -119,3 +119,15 @@ def test_two_total_rows_in_a_category_fan_out(spark):
     out = lv.attach_category_total(df).collect()
     assert len(out) == 6  # every row once per total row
     assert sorted({r.TOTAL_CATEGORY for r in out}) == [10.0, 30.0]
+
+
+def test_store_id_bound_falls_back_to_wide_keys(spark, sf_small):
+    cols = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
+    keyed = _rows(inputs.demographic_profile(spark, sf_small), cols)
+    spark.conf.set("catchment.profile.maxStores", "1")
+    try:
+        assert prof.store_ids(inputs.stores(spark, sf_small)) is None
+        wide = _rows(inputs.demographic_profile(spark, sf_small), cols)
+    finally:
+        spark.conf.unset("catchment.profile.maxStores")
+    assert keyed == wide and len(keyed) > 0
