@@ -7,6 +7,8 @@ generation is an equi-join instead of a cross join with a row filter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,22 +58,30 @@ def pairs(stores: DataFrame, ldu: DataFrame, adj: DataFrame | None = None, salt_
     ``ldu`` should be hash-partitioned by POSTALCODE: with the store side
     broadcast the join keeps that layout, so the per-postal-code windows that
     follow need no exchange.  The store side is tiny in practice (thousands of
-    stores times at most five provinces); its size is checked, and beyond the
-    bound a salted shuffle join on (province, salt) runs instead: the postal
-    side goes to one deterministic salt bucket, the store side is copied to
-    every bucket, so the 13-value province key does not collapse the join into
-    13 tasks.
+    stores times at most five provinces); its size is checked.
+
+    Beyond the bound a two-way salted shuffle join runs: postal codes get a
+    deterministic bucket out of k and are copied to the k store buckets,
+    stores get a bucket out of k and are copied to the k postal buckets, and
+    the join is on (province, postal bucket, store bucket).  Every pair meets
+    in exactly one of the k x k cells of its province, each side is copied
+    only k times (k = sqrt(partitions / 13)), and a province holding a large
+    share of postal codes and stores is spread over k x k tasks.
     """
     reach = stores_with_reach(stores, adj)
     side, is_broadcast = maybe_broadcast(reach)
     if is_broadcast:
         return ldu.join(side, ldu["PROV"] == side["LDU_PROV"]).drop("LDU_PROV")
 
-    buckets = salt_buckets or max(1, shuffle_partitions(ldu) // 4)
-    l = ldu.withColumn("__salt", F.pmod(F.xxhash64("POSTALCODE"), F.lit(buckets).cast("long")))
-    r = reach.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    joined = l.join(r, (l["PROV"] == r["LDU_PROV"]) & (l["__salt"] == r["__salt"]))
-    return joined.drop("LDU_PROV", "__salt").repartition(shuffle_partitions(ldu), "POSTALCODE")
+    n = shuffle_partitions(ldu)
+    k = salt_buckets or max(1, math.ceil(math.sqrt(n / 13)))
+    buckets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    l = ldu.withColumn("__lb", F.pmod(F.xxhash64("POSTALCODE"), F.lit(k).cast("long"))).withColumn("__sb", buckets)
+    store_key = F.xxhash64(*[F.col(c) for c in reach.columns if c != "LDU_PROV"])
+    r = reach.withColumn("__sb", F.pmod(store_key, F.lit(k).cast("long"))).withColumn("__lb", buckets)
+    cond = (l["PROV"] == r["LDU_PROV"]) & (l["__lb"] == r["__lb"]) & (l["__sb"] == r["__sb"])
+    joined = l.join(r, cond)
+    return joined.drop("LDU_PROV", "__lb", "__sb").repartition(n, "POSTALCODE")
 
 
 def province_pairs(pair_df: DataFrame) -> DataFrame:

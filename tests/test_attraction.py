@@ -129,3 +129,23 @@ def test_cut_is_strict_and_share_bound(spark, sf_small):
     per_pc = half.groupBy("POSTALCODE").count().agg(F.max("count")).first()[0]
     assert per_pc < 200  # every kept store holds more than 0.5% of its postal code
     assert half.filter(F.col("Attraction") <= 0.005 * F.col("TOTAL_POSTALCODE_ATTRACTION")).count() == 0
+
+
+def test_salted_fallback_shares_equal_broadcast_shares(spark, sf_small):
+    from catchment.plans import inputs
+
+    cols = ["STORE_NUM", "POSTALCODE", "PERCENT_ATTRACTION", "CUMULATIVE_PERCENT_ATTRACTION"]
+
+    def rows():
+        return sorted(
+            (r[0], r[1], round(r[2], 12), round(r[3], 12) if r[3] is not None else None)
+            for r in inputs.half_pct(spark, sf_small).select(*cols).collect()
+        )
+
+    fast = rows()
+    spark.conf.set("catchment.broadcast.maxRows", "0")
+    try:
+        salted = rows()
+    finally:
+        spark.conf.unset("catchment.broadcast.maxRows")
+    assert fast == salted and len(fast) > 0
