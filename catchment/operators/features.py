@@ -202,10 +202,11 @@ def melt_legs_keyed(
       one small job from ``meta_source`` (default ``tagged``; a source without
       the final distinct gives the same set more cheaply), checked against
       ``spark.sql.pivotMaxValues`` and numbered on the driver.
-    * One exchange: rows tagged with their legs are hash-partitioned by CODE;
-      the per-cell value (``max``, deterministic) and the per-(code, leg) map
-      variable -> value are aggregated without further exchange (a group
-      holds at most one entry per variable of the leg).
+    * Rows tagged with their legs are aggregated into cells (``max``,
+      deterministic) with map-side partial aggregation, so copies of a row
+      collapse before any shuffle; the distinct cells are hash-partitioned by
+      CODE and the per-(code, leg) map variable -> value is aggregated there
+      (a group holds at most one entry per variable of the leg).
     * Each (code, leg) meets the leg's metadata rows in a broadcast join on
       the leg: that is the dense (postal code x variable) grid, with values
       and totals looked up in the map.  The keyed output stays partitioned by
@@ -233,9 +234,13 @@ def melt_legs_keyed(
         "value",
         F.explode(leg_assignment(legs)).alias("__leg"),
     )
-    laid = legged.repartition(n, "CODE")
-    cells = laid.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
-    per_code = cells.groupBy("CODE", "__leg").agg(
+    # Cells first, with map-side partial aggregation: any number of copies of
+    # a row collapse before the shuffle (which spreads a code's cells by
+    # variable).  The distinct cells are then laid out by CODE, where a code
+    # holds at most one cell per variable of each leg.
+    cells = legged.groupBy("CODE", "__leg", "variable").agg(F.max("value").alias("__val"))
+    laid = cells.repartition(n, "CODE")
+    per_code = laid.groupBy("CODE", "__leg").agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "__val"))).alias("__cells")
     )
     grid_side = F.broadcast(meta.select("__mid", F.col("__leg").alias("__gleg"), F.col("variable").alias("__gvar")))
