@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.layout import join_keyed, materialize, shuffle_partitions
+from ..plans.layout import join_keyed, materialize, shuffle_partitions, small_enough_to_broadcast
 from .profiles import RECENT_IMMIGRATION
 
 # (value column, window keys); every key list contains variable and YEAR.
@@ -59,14 +59,16 @@ def level_values(profile: DataFrame, levels=None, partitions: int | None = None)
     return laid.select("*", *[level_ratio(keys).alias(name) for name, keys in levels])
 
 
-def level_percents(df: DataFrame, percents=None, per_year: bool = False) -> DataFrame:
+def level_percents(df: DataFrame, percents=None, per_year: bool = False, small: bool = False) -> DataFrame:
     """Add each percent: the level value over the sum of the level value of
     the leaf variables (LEAF_NODE_FLAG = 1) sharing the percent's keys.
 
     Every denominator is a grouped aggregate of ``df`` itself (not of the
     frame with the previous denominators joined), so the plan reads ``df``
     once per denominator instead of doubling with every join; pass a
-    materialized ``df`` (see ``plans.layout.materialize``).
+    materialized ``df`` (see ``plans.layout.materialize``).  ``small``: the
+    caller checked that ``df`` itself is under the broadcast bound, so every
+    denominator (at most as many rows) is broadcast.
     """
     percents = LEVEL_PERCENTS if percents is None else percents
     out = df
@@ -75,7 +77,7 @@ def level_percents(df: DataFrame, percents=None, per_year: bool = False) -> Data
             keys = keys + ["YEAR"]
         leaf_sum = F.sum(F.when(F.col("LEAF_NODE_FLAG") == 1, F.col(value)).otherwise(F.lit(0.0)))
         den = df.groupBy(*keys).agg(leaf_sum.alias(f"__den_{name}"))
-        out = join_keyed(out, den, keys)
+        out = join_keyed(out, den, keys, broadcast_totals=small)
         out = out.withColumn(name, F.try_divide(F.col(value), F.col(f"__den_{name}"))).drop(f"__den_{name}")
     return out
 
@@ -100,7 +102,10 @@ def attach_category_total(profile: DataFrame, totals_from: DataFrame | None = No
     are read from (default: ``profile``; any earlier stage with the same
     val / TOTAL_FLAG rows gives the same totals)."""
     source = profile if totals_from is None else totals_from
-    return profile.join(category_totals(source), ["Category", "STORE_NUM", "STORE_NAME", "YEAR"], "left")
+    totals = category_totals(source)
+    if totals_from is not None and small_enough_to_broadcast(totals_from):
+        totals = F.broadcast(totals)  # at most as many rows as the checked table
+    return profile.join(totals, ["Category", "STORE_NUM", "STORE_NAME", "YEAR"], "left")
 
 
 def store_value(df: DataFrame) -> DataFrame:
@@ -120,7 +125,7 @@ def demographic_benchmarks(profile: DataFrame, per_year: bool = False, with_valu
     once: they feed the four denominators."""
     if with_values is None:
         with_values = materialize(level_values(null_coordinates(profile)))
-    with_pct = level_percents(with_values, per_year=per_year)
+    with_pct = level_percents(with_values, per_year=per_year, small=small_enough_to_broadcast(with_values))
     return with_pct.drop(*[name for name, _ in LEVEL_VALUES])
 
 

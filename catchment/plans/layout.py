@@ -95,7 +95,9 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def join_keyed(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_keyed(
+    df: DataFrame, totals: DataFrame, keys: list[str], how: str = "left", broadcast_totals: bool = False
+) -> DataFrame:
     """Attach per-key ``totals`` (one row per key) to ``df`` on ``keys``,
     NULL-safe.
 
@@ -104,11 +106,15 @@ def join_keyed(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "le
     join into a broadcast join when it is under
     ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise a sort-merge
     join runs, where adaptive skew handling splits hot keys of ``df``.  (An
-    eager row count here would recompute the whole upstream plan.)
+    eager row count here would recompute the whole upstream plan.)  With
+    ``broadcast_totals`` the caller has proven the totals small (e.g. they
+    aggregate a materialized table whose row count is under the bound).
     """
     t = totals
     for k in keys:
         t = t.withColumnRenamed(k, f"__k_{k}")
+    if broadcast_totals:  # the caller proved a bound on the totals' size
+        t = F.broadcast(t)
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(t[f"__k_{k}"]) for k in keys])
     return df.join(t, cond, how).drop(*[f"__k_{k}" for k in keys])
 
@@ -134,3 +140,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_enough_to_broadcast(df: DataFrame) -> bool:
+    """Row-count check of a materialized (checkpointed) table: a scan of the
+    written copy, not a recomputation.  Anything aggregated from it has at
+    most as many rows."""
+    return fits_broadcast(df)
