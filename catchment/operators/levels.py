@@ -154,7 +154,7 @@ def basics_totals(profile: DataFrame) -> DataFrame:
     )
 
 
-def attach_basics_total(profile: DataFrame, match_year: bool = False) -> DataFrame:
+def attach_basics_total(profile: DataFrame, match_year: bool = False, broadcast_totals: bool = False) -> DataFrame:
     """Left join of the Basics totals on (STORE_NUM, STORE_NAME).  Without
     ``match_year`` (source behaviour) every row repeats once per Basics row of
     the store, across years; with it the join also keys on YEAR."""
@@ -166,6 +166,8 @@ def attach_basics_total(profile: DataFrame, match_year: bool = False) -> DataFra
     else:
         totals = basics_totals(profile)
         keys = ["STORE_NUM", "STORE_NAME"]
+    if broadcast_totals:  # the caller proved ``profile`` (hence the totals) small
+        totals = F.broadcast(totals)
     return profile.join(totals, keys, "left")
 
 
@@ -181,7 +183,8 @@ def social_benchmarks(profile: DataFrame) -> DataFrame:
 def social_store_table(profile: DataFrame, match_year: bool = False) -> DataFrame:
     """Social-value store table; the benchmarks are materialized before the
     self-join on Basics totals."""
-    return social_store_value(attach_basics_total(materialize(social_benchmarks(profile)), match_year))
+    bench = materialize(social_benchmarks(profile))
+    return social_store_value(attach_basics_total(bench, match_year, small_enough_to_broadcast(bench)))
 
 
 def median_by(df: DataFrame, level: str, value: str, exact: bool = False) -> DataFrame:
