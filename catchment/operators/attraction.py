@@ -23,8 +23,13 @@ def by_postal() -> Window:
     return Window.partitionBy("POSTALCODE")
 
 
-# Tie-break after the share for the running share (rows with equal shares).
-RUNNING_TIEBREAK = ["STORE_NUM", "STORE_NAME", "CUSTOMER_GROUP", "BANNER", "STORE_STREET", "PROV"]
+# Tie-break after the share for the running share: every store attribute
+# and the postal province, so rows with equal shares are always ordered the
+# same way (a recomputed partition gives the same running sums).
+RUNNING_TIEBREAK = [
+    "STORE_NUM", "STORE_NAME", "CUSTOMER_GROUP", "BANNER", "STORE_STREET", "CHANNEL", "SALES_GROUP",
+    "STORE_PROVINCE", "STORE_LATITUDE", "STORE_LONGITUDE", "REVENUE_CY", "PROV",
+]
 
 # Share cuts of the two published tables.
 HALF_PERCENT = 0.005

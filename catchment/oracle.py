@@ -61,9 +61,10 @@ HAVERSINE = (
     " + power(sin(radians(l.LONGITUDE - s.STORE_LONGITUDE)/2),2)*cos(radians(s.STORE_LATITUDE))*cos(radians(l.LATITUDE))))"
 )
 
-RUNNING_ORDER = (
-    "Attraction / nullif(TOTAL_POSTALCODE_ATTRACTION, 0) ASC NULLS FIRST, STORE_NUM, STORE_NAME, CUSTOMER_GROUP,"
-    " BANNER, STORE_STREET, PROV"
+RUNNING_ORDER = "Attraction / nullif(TOTAL_POSTALCODE_ATTRACTION, 0) ASC NULLS FIRST, " + ", ".join(
+    f"{c} ASC NULLS FIRST"
+    for c in ["STORE_NUM", "STORE_NAME", "CUSTOMER_GROUP", "BANNER", "STORE_STREET", "CHANNEL", "SALES_GROUP",
+              "STORE_PROVINCE", "STORE_LATITUDE", "STORE_LONGITUDE", "REVENUE_CY", "PROV"]
 )
 
 ATT_COLS = (
