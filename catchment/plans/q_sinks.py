@@ -8,6 +8,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import attraction as att
 from ..operators import features as feat
 from ..operators import levels as lv
 from ..queries import register
@@ -101,3 +102,27 @@ def store_sources_union(spark, sf):
             StoreSource(club, "CLUB", predicate=F.col("CHANNEL") == "DRUG"),
         ]
     )
+
+
+@register("attraction_half_pct_staged", schemas.SHARE_COLUMNS, "SELECT * FROM att_half")
+def attraction_half_pct_staged(spark, sf):
+    """SRC-6 / SNK-1: the source's staged flow.  The full attraction table is
+    written as a stage (rows sorted by POSTALCODE inside each file), read
+    back with the cut predicate, and renormalised per postal code."""
+    stage = _scoped("store_postal_attraction", sf)
+    sinks.write_stage(inputs.full_attraction(spark, sf), stage, sort_within=["POSTALCODE"])
+    cut = F.col("Attraction") > F.lit(att.HALF_PERCENT) * F.col("TOTAL_POSTALCODE_ATTRACTION")
+    return att.renormalise(sinks.read_stage(spark, stage, cut)).select(*schemas.SHARE_COLUMNS)
+
+
+@register(
+    "postal_lookup_staged",
+    ["STORE_NUM", "POSTALCODE", "Attraction", "TOTAL_POSTALCODE_ATTRACTION", "CUMULATIVE_PERCENT_ATTRACTION"],
+    "SELECT * FROM att_full WHERE POSTALCODE = 'P0000003'",
+)
+def postal_lookup_staged(spark, sf):
+    """F-6 on a stage table: the equality filter is pushed to the Parquet scan,
+    where the POSTALCODE-sorted files let row groups be skipped."""
+    stage = _scoped("store_postal_attraction_lookup", sf)
+    sinks.write_stage(inputs.full_attraction(spark, sf), stage, sort_within=["POSTALCODE"])
+    return sinks.read_stage(spark, stage, F.col("POSTALCODE") == "P0000003")

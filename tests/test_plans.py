@@ -46,3 +46,8 @@ def test_profile_join_is_co_partitioned(spark, sf_small):
     alone = re.findall(r"hashpartitioning\(POSTALCODE#\d+, \d+\)", final)
     assert len(alone) == 1  # only the postal-code table's own layout
     assert "REPARTITION_BY_NUM" in final
+
+
+def test_stage_lookup_pushes_the_filter_to_parquet(spark, sf_small):
+    p = plan_of(E.queries()["postal_lookup_staged"](spark, sf_small))
+    assert "PushedFilters: [IsNotNull(POSTALCODE), EqualTo(POSTALCODE,P0000003)]" in p
