@@ -1,9 +1,12 @@
 """End-to-end batch pipeline on warehouse tables, stage by stage.
 
-Each stage is written as a table under the shared stage folder (or a
-catalog table) and the next stage reads it back, as the source pipeline does:
-this cuts lineage at the natural boundaries, so a lost executor only costs
-the current stage, and every stage can be re-run alone.
+Each stage is written as a table under the shared stage folder and the next
+stage reads it back, as the source pipeline does: this cuts lineage at the
+natural boundaries, so a lost executor only costs the current stage, and
+every stage can be re-run alone.  The stages keyed by postal code (the
+attraction, share and melted tables) are bucketed by POSTALCODE with one
+bucket count, so the per-postal windows and the profile join read them
+without a shuffle.
 
     gravity      stores + polygon parts  -> attraction, shares 0.5%, shares 1%
     competition  shares 1%               -> leave-one-out rows (affected only)
@@ -27,6 +30,9 @@ from ..sinks import tables as sinks
 from ..sources import tables
 
 
+KEY = ["POSTALCODE"]
+
+
 @dataclass
 class StageNames:
     attraction: str = "store_postal_attraction"
@@ -41,17 +47,21 @@ class StageNames:
 
 def gravity(spark: SparkSession, stores_raw: DataFrame, polygon_parts: list[DataFrame], names=StageNames(),
             mass: str = "REVENUE_CY", partitions: int | None = None) -> dict[str, DataFrame]:
+    """Attraction and the two share tables, each a stage bucketed by
+    POSTALCODE: every later per-postal window or POSTALCODE join reads them
+    without a shuffle."""
     stores = tables.load_stores(stores_raw)
     ldu = tables.load_ldu(*polygon_parts)
-    sinks.write_stage(att.full_attraction(stores, ldu, mass, partitions), names.attraction, sort_within=["POSTALCODE"])
-    full = sinks.read_stage(spark, names.attraction)
+    full = sinks.read_bucketed_stage(
+        spark, sinks.write_bucketed_stage(att.full_attraction(stores, ldu, mass, partitions), names.attraction, KEY)
+    )
     for name, cut in ((names.shares_half, att.HALF_PERCENT), (names.shares_full, att.ONE_PERCENT)):
-        sinks.write_stage(att.shares(full, cut), name, sort_within=["POSTALCODE"])
-    return {n: sinks.read_stage(spark, n) for n in (names.attraction, names.shares_half, names.shares_full)}
+        sinks.write_bucketed_stage(att.shares(full, cut), name, KEY)
+    return {n: sinks.read_bucketed_stage(spark, n) for n in (names.attraction, names.shares_half, names.shares_full)}
 
 
 def competition(spark: SparkSession, level: str = "BANNER", names=StageNames()) -> DataFrame:
-    shares = sinks.read_stage(spark, names.shares_full)
+    shares = sinks.read_bucketed_stage(spark, names.shares_full)
     sinks.write_stage(comp.affected(comp.leave_one_out(shares, level)), f"{names.competition}_{level.lower()}")
     return sinks.read_stage(spark, f"{names.competition}_{level.lower()}")
 
@@ -61,13 +71,13 @@ def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, na
     raw = tables.stack_by_position(*raw_parts)
     tagged = feat.tag_year(feat.select_variables(raw, dim))
     meta_source = feat.tag_year(feat.select_variables(raw.select("var_code", "Description", "Category").distinct(), dim))
-    sinks.write_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted)
-    return sinks.read_stage(spark, names.melted)
+    sinks.write_bucketed_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted, KEY)
+    return sinks.read_bucketed_stage(spark, names.melted)
 
 
 def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, names=StageNames()) -> DataFrame:
-    shares = sinks.read_stage(spark, names.shares_half)
-    melted = sinks.read_stage(spark, names.melted)
+    shares = sinks.read_bucketed_stage(spark, names.shares_half)
+    melted = sinks.read_bucketed_stage(spark, names.melted)  # same buckets: the join needs no shuffle
     profile = prof.demographic_profile(shares, melted, language, tables.load_stores(stores_raw))
     sinks.write_stage(lv.demographic_store_table(profile), names.profile)
     return sinks.read_stage(spark, names.profile)
@@ -75,8 +85,8 @@ def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, na
 
 def social(spark: SparkSession, sv_by_year: dict[int, DataFrame], stores_raw: DataFrame, names=StageNames()) -> DataFrame:
     sv = {y: tables.load_social_values(df) for y, df in sv_by_year.items()}
-    sinks.write_stage(feat.melt_social_values(sv), names.social)
-    shares = sinks.read_stage(spark, names.shares_half)
-    profile = prof.social_profile(shares, sinks.read_stage(spark, names.social), tables.load_stores(stores_raw))
+    sinks.write_bucketed_stage(feat.melt_social_values(sv), names.social, KEY)
+    shares = sinks.read_bucketed_stage(spark, names.shares_half)
+    profile = prof.social_profile(shares, sinks.read_bucketed_stage(spark, names.social), tables.load_stores(stores_raw))
     sinks.write_stage(lv.social_store_table(profile), names.social_store)
     return sinks.read_stage(spark, names.social_store)

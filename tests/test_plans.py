@@ -51,3 +51,10 @@ def test_profile_join_is_co_partitioned(spark, sf_small):
 def test_stage_lookup_pushes_the_filter_to_parquet(spark, sf_small):
     p = plan_of(E.queries()["postal_lookup_staged"](spark, sf_small))
     assert "PushedFilters: [IsNotNull(POSTALCODE), EqualTo(POSTALCODE,P0000003)]" in p
+
+
+def test_bucketed_stage_reread_needs_no_exchange(spark, sf_small):
+    df = E.queries()["attraction_half_pct_staged"](spark, sf_small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange" not in final
