@@ -66,18 +66,37 @@ def competition(spark: SparkSession, level: str = "BANNER", names=StageNames())
     return sinks.read_stage(spark, f"{names.competition}_{level.lower()}")
 
 
+def _write_melted(spark: SparkSession, melted: feat.Melted, name: str) -> DataFrame:
+    """Write a melted table in both forms: the published table (dense, with
+    attributes) and its keyed form for the profiles (present cells, bucketed
+    by POSTALCODE, plus the small metadata table)."""
+    sinks.write_bucketed_stage(melted.table(), name, KEY)
+    sinks.write_bucketed_stage(melted.present, f"{name}_cells", KEY)
+    sinks.write_stage(melted.meta, f"{name}_meta")
+    return sinks.read_bucketed_stage(spark, name)
+
+
+def _read_keyed(spark: SparkSession, name: str, totals: list[str], metadata_columns: list[str]) -> feat.Melted:
+    """The keyed form written by ``_write_melted`` (metadata row count read
+    from the small metadata stage)."""
+    cells = sinks.read_bucketed_stage(spark, f"{name}_cells")
+    meta = sinks.read_stage(spark, f"{name}_meta")
+    return feat.Melted(cells, meta, totals, metadata_columns, present=cells, n_meta=meta.count())
+
+
 def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, names=StageNames()) -> DataFrame:
     # UNION ALL: duplicates collapse in the melt's cells (see inputs.features_melted_keyed)
     raw = tables.stack_by_position(*raw_parts)
     tagged = feat.tag_year(feat.select_variables(raw, dim))
     meta_source = feat.tag_year(feat.select_variables(raw.select("var_code", "Description", "Category").distinct(), dim))
-    sinks.write_bucketed_stage(feat.melt_demographics(tagged, meta_source=meta_source), names.melted, KEY)
-    return sinks.read_bucketed_stage(spark, names.melted)
+    return _write_melted(spark, feat.melt_demographics_keyed(tagged, meta_source=meta_source), names.melted)
 
 
 def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, names=StageNames()) -> DataFrame:
+    """Profile from the bucketed shares and keyed cells (same buckets: the
+    join needs no shuffle), aggregated on store and metadata ids."""
     shares = sinks.read_bucketed_stage(spark, names.shares_half)
-    melted = sinks.read_bucketed_stage(spark, names.melted)  # same buckets: the join needs no shuffle
+    melted = _read_keyed(spark, names.melted, list(feat.DEMO_TOTALS), feat.METADATA_COLUMNS)
     profile = prof.demographic_profile(shares, melted, language, tables.load_stores(stores_raw))
     sinks.write_stage(lv.demographic_store_table(profile), names.profile)
     return sinks.read_stage(spark, names.profile)
@@ -85,8 +104,9 @@ def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, na
 
 def social(spark: SparkSession, sv_by_year: dict[int, DataFrame], stores_raw: DataFrame, names=StageNames()) -> DataFrame:
     sv = {y: tables.load_social_values(df) for y, df in sv_by_year.items()}
-    sinks.write_bucketed_stage(feat.melt_social_values(sv), names.social, KEY)
+    _write_melted(spark, feat.melt_social_values_keyed(sv), names.social)
     shares = sinks.read_bucketed_stage(spark, names.shares_half)
-    profile = prof.social_profile(shares, sinks.read_bucketed_stage(spark, names.social), tables.load_stores(stores_raw))
+    melted = _read_keyed(spark, names.social, list(feat.SV_TOTALS), ["variable", "Description", "Category"])
+    profile = prof.social_profile(shares, melted, tables.load_stores(stores_raw))
     sinks.write_stage(lv.social_store_table(profile), names.social_store)
     return sinks.read_stage(spark, names.social_store)
