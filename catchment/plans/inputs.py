@@ -3,7 +3,7 @@
 Each function takes ``(spark, sf_dir)`` and returns the plan of one stage;
 nothing is computed until an action runs.  Production jobs read warehouse
 tables instead of the fixtures and may write each stage with
-``sinks.write_stage`` to cut lineage (see ``plans.pipeline``).
+``sinks.write_stage`` to cut lineage (see ``plans.staged``).
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 from catchment import schemas
 from catchment.operators import levels as lv
 from catchment.plans import inputs
-from catchment.plans import pipeline as P
+from catchment.plans import staged as P
 from catchment.sources import fixtures as fx
 
 
