@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import tokens as T
 from .buffers import slices, text_buffer
@@ -217,8 +218,9 @@ def encode_texts(df: DataFrame, text_col: str = "text", vocab_path: str | None =
     """The columns of ``df`` and ``token_ids`` (array<int>), ``decoded_text``."""
     ship_package(df.sparkSession)
     path = vocab_path or T.default_path()
-    schema = df.select("*").schema
-    out_schema = schema.add("token_ids", "array<int>").add("decoded_text", "string")
+    out_schema = StructType([
+        *df.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded_text", StringType()),
+    ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

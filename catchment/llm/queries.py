@@ -6,13 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op03_url_rules, op05_bpe_trie, op07_token_counts, op08_lang_cnn, op10_line_dedup, sql
+from . import op02_decontaminate, op03_url_rules, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op10_line_dedup, sql
 from .stage import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_decontaminate.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return op03_url_rules.judge_urls(pages, op03_url_rules.rules_table(spark))
@@ -22,6 +27,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_bpe_trie.bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return op06_rp_forest.nearest(vectors, F.col("id") % 100 == 0, "vec_id", "embedding")
+
+
 def op7_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -35,14 +45,17 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_nearest": op6_nearest,
     "op7_token_counts": op7_token_counts_query,
     "op8_language_id": op8_language_id,
     "op10_line_dedup": op10_line_dedup_query,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": sql.DECONTAMINATION,
     "op3_url_filters": sql.URL_FILTERS,
     "op10_line_dedup": sql.LINE_DEDUP,
 }

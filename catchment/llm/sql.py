@@ -38,3 +38,32 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY rid
 """
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+DECONTAMINATION = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS size, unnest([array_to_string(ws[s + 1 : s + least(10, len(ws))], ' ')
+         FOR s IN range(greatest(1, len(ws) - 9))]) AS phrase
+  FROM items WHERE len(ws) > 0
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents
+), sizes AS (SELECT DISTINCT size FROM windows
+), grams AS (
+  SELECT rid, size, unnest(range(len(ws) - size + 1)) AS s,
+         unnest([array_to_string(ws[s + 1 : s + size], ' ') FOR s IN range(len(ws) - size + 1)]) AS phrase
+  FROM docs JOIN sizes ON len(ws) >= size
+), hits AS (
+  SELECT rid, item, s, size FROM grams JOIN windows USING (size, phrase)
+), hit_words AS (
+  SELECT rid, count(DISTINCT w) AS n FROM (SELECT rid, unnest(range(s, s + size)) AS w FROM hits) GROUP BY rid
+), hit_items AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit_words.n, 0) AS n_hit, coalesce(hit_items.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(hit_words.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+"""
