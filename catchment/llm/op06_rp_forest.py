@@ -7,7 +7,9 @@ trees and indexed by its leaves.  A query searches all trees through one
 shared priority queue, nearest split planes first, until the leaves it took
 hold ``search_rows`` rows.  Per leaf, the queries that took it are compared
 exactly with its vectors, in double precision, and the best of all leaves
-are merged per query.  A query stops after ``SEARCH_SHARE`` times all rows,
+are merged per query.  A leaf only reports rows within the distance of the
+query's k-th nearest row of the sample: the k nearest of all rows are no
+farther, so nothing is lost and little is merged.  A query stops after ``SEARCH_SHARE`` times all rows,
 counted per tree (about half of the distinct rows): the given vectors have
 little structure, and recall over 0.9 against brute force needs that much.
 Clustered vectors need far less; both figures are parameters.
@@ -149,7 +151,9 @@ def nearest(
     cut = (1 << 20) if n <= FIT_ROWS else int((1 << 20) * FIT_ROWS / n) + 1
     sample = rows.filter(mark < cut).select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
     depth = max(0, int(np.ceil(np.log2(max(1, min(n, FIT_ROWS * 8) / LEAF_ROWS)))))
-    forest = spark.sparkContext.broadcast(Forest(unpack(sample["vec"]), depth))
+    known = unpack(sample["vec"])
+    forest = spark.sparkContext.broadcast(Forest(known, depth))
+    sampled = spark.sparkContext.broadcast((sample["id"].to_numpy(), known, np.einsum("nd,nd->n", known, known)))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -164,20 +168,31 @@ def nearest(
     shared = spark.sparkContext.broadcast(sizes)
     budget = max(least, int(share * n))
 
+    def bounds(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Distance of each query's k-th nearest sampled row other than itself, rounded up."""
+        own, y, norms = sampled.value
+        squares = np.einsum("nd,nd->n", x, x)[:, None] + norms[None] - 2 * (x @ y.T)
+        squares[ids[:, None] == own[None]] = np.inf
+        if len(own) <= k:
+            return np.full(len(ids), np.inf)
+        kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+        return np.sqrt(np.maximum(kth, 0) + 1e-9 * (1 + norms.max()))
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 64):
                 part = f.iloc[at : at + 64]
+                x = unpack(part["vec"])
                 hits = [
-                    (i, v, t, leaf, salt)
-                    for i, v, q in zip(part["id"], part["vec"], unpack(part["vec"]), strict=True)
+                    (i, v, most, t, leaf, salt)
+                    for i, v, q, most in zip(part["id"], part["vec"], x, bounds(part["id"].to_numpy(), x), strict=True)
                     for t, leaf in forest.value.search(q, shared.value, budget)
                     for salt in range(-(-int(shared.value[t, leaf]) // GROUP_ROWS))
                 ]
-                yield pd.DataFrame(hits, columns=["query_id", "query", "tree", "leaf", "salt"])
+                yield pd.DataFrame(hits, columns=["query_id", "query", "most", "tree", "leaf", "salt"])
 
     asked = indexed.filter(is_query).select("id", "vec").repartition(F.xxhash64("id")).mapInPandas(
-        search, "query_id long, query binary, tree int, leaf int, salt int"
+        search, "query_id long, query binary, most double, tree int, leaf int, salt int"
     )
     parts = spark.createDataFrame(
         [(r["tree"], r["leaf"], -(-r["count"] // GROUP_ROWS)) for r in counts], "tree int, leaf int, parts int"
@@ -198,7 +213,7 @@ def nearest(
             block = q.iloc[a : a + 256]
             y = unpack(block["query"])
             near = norms[None] - 2 * (y @ x.T)
-            for i, qid in enumerate(block["query_id"]):
+            for i, (qid, most) in enumerate(zip(block["query_id"], block["most"], strict=True)):
                 near[i, ids == qid] = np.inf
                 size = min(k, len(ids))
                 worst = np.partition(near[i], size - 1)[size - 1]
@@ -206,6 +221,7 @@ def nearest(
                 at = np.flatnonzero((near[i] <= worst + 1e-9 * (1 + norms.max())) & (ids != qid))
                 exact = np.sqrt(((x[at] - y[i]) ** 2).sum(1))
                 best = np.lexsort((ids[at], exact))[:k]
+                best = best[exact[best] <= most]
                 found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][best], "score": exact[best]}))
         return pd.concat(found)
 
