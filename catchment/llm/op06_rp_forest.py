@@ -8,8 +8,8 @@ shared priority queue, nearest split planes first, until the leaves it took
 hold ``search_rows`` rows.  Per leaf, the queries that took it are compared
 exactly with its vectors, in double precision, and the best of all leaves
 are merged per query.  A leaf only reports rows within the distance of the
-query's k-th nearest row of the sample: the k nearest of all rows are no
-farther, so nothing is lost and little is merged.  A query stops after ``SEARCH_SHARE`` times all rows,
+query's k-th nearest among the sampled rows that its own leaves hold: the k
+nearest found are no farther, so nothing is lost and little is merged.  A query stops after ``SEARCH_SHARE`` times all rows,
 counted per tree (about half of the distinct rows): the given vectors have
 little structure, and recall over 0.9 against brute force needs that much.
 Clustered vectors need far less; both figures are parameters.
@@ -153,7 +153,9 @@ def nearest(
     depth = max(0, int(np.ceil(np.log2(max(1, min(n, FIT_ROWS * 8) / LEAF_ROWS)))))
     known = unpack(sample["vec"])
     forest = spark.sparkContext.broadcast(Forest(known, depth))
-    sampled = spark.sparkContext.broadcast((sample["id"].to_numpy(), known, np.einsum("nd,nd->n", known, known)))
+    sampled = spark.sparkContext.broadcast(
+        (sample["id"].to_numpy(), known, np.einsum("nd,nd->n", known, known), forest.value.leaves(known))
+    )
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -168,27 +170,30 @@ def nearest(
     shared = spark.sparkContext.broadcast(sizes)
     budget = max(least, int(share * n))
 
-    def bounds(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Distance of each query's k-th nearest sampled row other than itself, rounded up."""
-        own, y, norms = sampled.value
-        squares = np.einsum("nd,nd->n", x, x)[:, None] + norms[None] - 2 * (x @ y.T)
-        squares[ids[:, None] == own[None]] = np.inf
-        if len(own) <= k:
-            return np.full(len(ids), np.inf)
-        kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
-        return np.sqrt(np.maximum(kth, 0) + 1e-9 * (1 + norms.max()))
+    def bound(qid: int, squares: np.ndarray, taken: list[tuple[int, int]]) -> float:
+        """Distance, rounded up, of the query's k-th nearest sampled row in its leaves."""
+        own, _, norms, leaves = sampled.value
+        open_leaf = np.zeros(shared.value.shape, bool)
+        open_leaf[tuple(np.array(taken).T)] = True
+        found = squares[open_leaf[np.arange(TREES), leaves].any(1) & (own != qid)]
+        if len(found) < k:
+            return np.inf
+        return float(np.sqrt(max(np.partition(found, k - 1)[k - 1], 0) + 1e-9 * (1 + norms.max())))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 64):
                 part = f.iloc[at : at + 64]
                 x = unpack(part["vec"])
-                hits = [
-                    (i, v, most, t, leaf, salt)
-                    for i, v, q, most in zip(part["id"], part["vec"], x, bounds(part["id"].to_numpy(), x), strict=True)
-                    for t, leaf in forest.value.search(q, shared.value, budget)
-                    for salt in range(-(-int(shared.value[t, leaf]) // GROUP_ROWS))
-                ]
+                _, y, norms, _ = sampled.value
+                squares = np.einsum("nd,nd->n", x, x)[:, None] + norms[None] - 2 * (x @ y.T)
+                hits = []
+                for i, v, q, near in zip(part["id"], part["vec"], x, squares, strict=True):
+                    taken = forest.value.search(q, shared.value, budget)
+                    most = bound(i, near, taken)
+                    for t, leaf in taken:
+                        parts_of = -(-int(shared.value[t, leaf]) // GROUP_ROWS)
+                        hits += [(i, v, most, t, leaf, salt) for salt in range(parts_of)]
                 yield pd.DataFrame(hits, columns=["query_id", "query", "most", "tree", "leaf", "salt"])
 
     asked = indexed.filter(is_query).select("id", "vec").repartition(F.xxhash64("id")).mapInPandas(
