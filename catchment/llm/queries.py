@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_decontaminate, op03_url_rules, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op10_line_dedup, sql
+from . import op02_decontaminate, op03_url_rules, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql
 from .stage import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_lang_cnn.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_chosen_path.near_duplicate_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, QueryFn] = {
     "op6_nearest": op6_nearest,
     "op7_token_counts": op7_token_counts_query,
     "op8_language_id": op8_language_id,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup_query,
 }
 
