@@ -196,15 +196,16 @@ def nearest(
                         hits += [(i, v, most, t, leaf, salt) for salt in range(parts_of)]
                 yield pd.DataFrame(hits, columns=["query_id", "query", "most", "tree", "leaf", "salt"])
 
-    asked = indexed.filter(is_query).select("id", "vec").repartition(F.xxhash64("id")).mapInPandas(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = indexed.filter(is_query).select("id", "vec").repartition(parts, F.xxhash64("id")).mapInPandas(
         search, "query_id long, query binary, most double, tree int, leaf int, salt int"
     )
-    parts = spark.createDataFrame(
+    leaf_parts = spark.createDataFrame(
         [(r["tree"], r["leaf"], -(-r["count"] // GROUP_ROWS)) for r in counts], "tree int, leaf int, parts int"
     )
     placed = (
         indexed.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
-        .join(F.broadcast(parts), ["tree", "leaf"])
+        .join(F.broadcast(leaf_parts), ["tree", "leaf"])
         .select("tree", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), "id", "vec")
     )
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_decontaminate, op03_url_rules, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql
+from . import op02_decontaminate, op03_url_rules, op04_wrappers, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql
 from .stage import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_url_rules.judge_urls(pages, op03_url_rules.rules_table(spark))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_bpe_trie.bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op4_html_text": op4_html_text,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_nearest": op6_nearest,
     "op7_token_counts": op7_token_counts_query,
