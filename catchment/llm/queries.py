@@ -8,12 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_decontaminate, op03_url_rules, op04_wrappers, op05_bpe_trie, op06_rp_forest, op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql
+from . import (
+    op01_repeats, op02_decontaminate, op03_url_rules, op04_wrappers, op05_bpe_trie, op06_rp_forest,
+    op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql,
+)
 from .stage import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_decontaminate.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +60,7 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_repeated_text": op1_repeated_text,
     "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_html_text": op4_html_text,
