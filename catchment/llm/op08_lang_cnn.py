@@ -40,6 +40,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 512, 6
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
 UNKNOWN = "und"
+#: A text predicted with less is of no language that the network knows.
+MIN_SCORE = 0.4
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -240,3 +242,15 @@ def predict_languages(docs: DataFrame) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lid_pred").alias("lang_pred"),
         F.col("__lid_score").alias("score"),
     )
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) whose language
+    is known: not ``und``, nor with a score under ``MIN_SCORE``.  Without any
+    labelled text to learn from no language can be rejected: all rows with a
+    letter stay."""
+    predictor = train_network(training_sample(docs.select("doc_id", "text", "lang")))
+    if predictor is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    marked = with_language(docs, predictor=predictor)
+    return marked.filter((F.col("__lid_pred") != UNKNOWN) & (F.col("__lid_score") >= MIN_SCORE)).select(*docs.columns)
