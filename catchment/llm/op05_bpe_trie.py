@@ -39,7 +39,7 @@ from .buffers import slices, text_buffer
 from .stage import ship_package
 
 #: Chunks and token pairs a worker remembers before it starts anew.
-MAX_WORDS, MAX_PAIRS = 400_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 700_000, 1_000_000
 
 
 class TrieEncoder:
