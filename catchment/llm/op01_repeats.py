@@ -128,7 +128,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def gram_table(texts: DataFrame) -> DataFrame:
-    """(h, ctx, tk, n, id, pos, lo, hi) of all texts long enough, copies in a task once."""
+    """(h, ctx, tk, n, id, places, lo, hi) of all texts long enough, copies in a task once."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +153,27 @@ def gram_table(texts: DataFrame) -> DataFrame:
                         parts.append((*p[:3], *(x + s for x in p[3:])))
                     found = tuple(map(np.concatenate, zip(*parts, strict=True)))
                 row, h, ctx, pos, lo, hi = found
-                rows = pa.array(row + a)
+                lo, hi = (pos - hi).astype(np.int16), (pos - lo).astype(np.int16)
+                # A text that goes round in circles has the same gram and surroundings many times: one row.
+                order = np.lexsort((pos, lo, hi, ctx, h, row))
+                row, h, ctx, pos, lo, hi = (x[order] for x in (row, h, ctx, pos, lo, hi))
+                if len(row):
+                    new = np.any([x[1:] != x[:-1] for x in (row, h, ctx, lo, hi)], axis=0)
+                    head = np.flatnonzero(np.r_[True, new])
+                else:
+                    head = np.empty(0, np.int64)
+                places = pa.ListArray.from_arrays(
+                    pa.array(np.r_[head, len(pos)].astype(np.int32)), pa.array(pos.astype(np.int32))
+                )
+                rows = pa.array(row[head] + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(2).take(rows),
-                     batch.column(3).take(rows), batch.column(0).take(rows), pa.array(pos.astype(np.int32)),
-                     pa.array((pos - hi).astype(np.int16)), pa.array((pos - lo).astype(np.int16))],
-                    names=["h", "ctx", "tk", "n", "id", "pos", "lo", "hi"],
+                    [pa.array(h[head].view(np.int64)), pa.array(ctx[head].view(np.int64)), batch.column(2).take(rows),
+                     batch.column(3).take(rows), batch.column(0).take(rows), places, pa.array(lo[head]), pa.array(hi[head])],
+                    names=["h", "ctx", "tk", "n", "id", "places", "lo", "hi"],
                 )
 
     return texts.select("id", "text", "tk", "n").filter(F.col("n") >= LENGTH).mapInArrow(
-        work, f"h long, ctx long, tk long, n int, id {kind}, pos int, lo short, hi short"
+        work, f"h long, ctx long, tk long, n int, id {kind}, places array<int>, lo short, hi short"
     )
 
 
@@ -256,19 +267,19 @@ def repeat_spans(texts: DataFrame) -> DataFrame:
     """(tk, n, spans): byte ranges to remove of every text that has some."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    occurrence = F.struct("tk", "n", "pos")
+    occurrence = F.struct("tk", "n", "places")
     gram, ctx = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
     # Of grams that occur once nothing is kept.  ``members`` is at least the number of distinct surroundings.
     kept = written(
         gram_table(texts).repartition(parts, "h")
         .withColumns({"mixed": F.min("ctx").over(gram) != F.max("ctx").over(gram), "members": F.count(F.lit(1)).over(gram)})
-        .withColumns({"whole": F.min(occurrence).over(ctx) != F.max(occurrence).over(ctx)})
-        .withColumn("head", F.row_number().over(ctx.orderBy("tk", "n", "pos")) == 1)
+        .withColumn("whole", (F.min(occurrence).over(ctx) != F.max(occurrence).over(ctx)) | (F.max(F.size("places")).over(ctx) > 1))
+        .withColumn("head", F.row_number().over(ctx.orderBy("tk", "n", "places")) == 1)
         .filter("mixed OR whole"),
         "grams",
     )
     asked = kept.filter("mixed AND head").groupBy("tk", "n").agg(
-        F.collect_list(F.struct("h", "ctx", "id", "pos", "lo", "hi", "members")).alias("asked")
+        F.collect_list(F.struct("h", "ctx", "id", F.col("places")[0].alias("pos"), "lo", "hi", "members")).alias("asked")
     )
     total = kept.filter("mixed AND head").count() * 2 * OFFSETS
     packs = max(parts, -(-total // PACK_BYTES))
@@ -298,8 +309,8 @@ def repeat_spans(texts: DataFrame) -> DataFrame:
     )
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     pos: Column = F.col("pos")
-    whole = kept.filter("whole").select("tk", "n", span(pos - F.col("hi"), pos - F.col("lo") + LENGTH).alias("s"))
-    partly = kept.filter("mixed AND NOT whole").select("h", "ctx", "tk", "n", "pos").join(found, ["h", "ctx"]).select(
+    whole = kept.filter("whole").withColumn("pos", F.explode("places")).select("tk", "n", span(pos - F.col("hi"), pos - F.col("lo") + LENGTH).alias("s"))
+    partly = kept.filter("mixed AND NOT whole").select("h", "ctx", "tk", "n", "places").join(found, ["h", "ctx"]).withColumn("pos", F.explode("places")).select(
         "tk", "n", span(pos - F.col("b"), pos - F.col("a") + LENGTH).alias("s")
     )
     copies = texts.filter(F.col("n") >= LENGTH).groupBy("tk", "n").count().filter("count > 1").select(
