@@ -242,7 +242,7 @@ def expand(table: pa.Table) -> pa.Table:
         c, r = cls[ready], same_right[ready]
         by = np.argsort(c, kind="stable")  # intervals; members stay in suffix order
         pair = (c[by][1:] == c[by][:-1]) & (r[by][1:] == r[by][:-1])
-        hit = ready[by[np.r_[pair, False] | np.r_[False, pair]]]
+        hit = ready[by[(np.r_[pair, False] | np.r_[False, pair])[: len(ready)]]]
         found.append(np.stack([live[hit], np.full(len(hit), d)], 1))
         # One byte further back: an interval splits by the byte before it.
         rank = rank[hi[live[rank]] > d]

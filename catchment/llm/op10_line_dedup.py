@@ -98,7 +98,7 @@ def common_lines(
     spark = docs.sparkSession
     # Batch bounds only set how much is read at a time; results don't depend on them.
     ids = docs.select(F.col(id_col).cast("double").alias("v"))
-    cuts = ids.approxQuantile("v", [i / batches for i in range(batches - 1, 0, -1)], 0.01)
+    cuts = ids.approxQuantile("v", [i / batches for i in range(batches - 1, 0, -1)], 0.01) if batches > 1 else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + F.when(F.col("doc").cast("double") > cut, 0).otherwise(1)
