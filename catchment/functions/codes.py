@@ -41,7 +41,7 @@ def code_prefix(code) -> Column:
 
 def suffix_key(code) -> Column:
     """The code without its 3-character year prefix."""
-    return F.substring(_c(code), CODE_PREFIX_LEN + 1, 1 << 20)
+    return F.substr(_c(code), F.lit(CODE_PREFIX_LEN + 1))
 
 
 def year_from_code(code) -> Column:

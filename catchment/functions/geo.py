@@ -30,18 +30,3 @@ def gravity(mass, distance) -> Column:
     the pair takes no part in totals and fails every share cut.
     """
     return F.try_divide(_c(mass), F.pow(_c(distance), 2))
-
-
-def zorder_key(lat, lon, bits: int = 16) -> Column:
-    """Z-order (Morton) key of a point: latitude and longitude quantized to
-    ``bits`` bits each and bit-interleaved.  Points close on the map mostly
-    get close keys, so ranges of keys are compact regions."""
-    lat, lon = _c(lat), _c(lon)
-    scale = (1 << bits) - 1
-    y = F.floor((lat + F.lit(90.0)) / F.lit(180.0) * F.lit(scale)).cast("long")
-    x = F.floor((lon + F.lit(180.0)) / F.lit(360.0) * F.lit(scale)).cast("long")
-    key = F.lit(0).cast("long")
-    for i in range(bits):
-        key = key + F.shiftleft(F.shiftright(x, i).bitwiseAND(F.lit(1)), 2 * i)
-        key = key + F.shiftleft(F.shiftright(y, i).bitwiseAND(F.lit(1)), 2 * i + 1)
-    return key

@@ -48,8 +48,7 @@ def adjacency(spark: SparkSession) -> DataFrame:
 def stores_with_reach(stores: DataFrame, adj: DataFrame | None = None) -> DataFrame:
     """Each store once per province it reaches (column LDU_PROV)."""
     adj = adjacency(stores.sparkSession) if adj is None else adj
-    side, _ = maybe_broadcast(adj)  # the built-in table is a 46-row inline relation
-    return stores.join(side, stores["STORE_PROVINCE"] == side["STORE_PROV"]).drop("STORE_PROV")
+    return stores.join(adj, stores["STORE_PROVINCE"] == adj["STORE_PROV"]).drop("STORE_PROV")
 
 
 def pairs(stores: DataFrame, ldu: DataFrame, adj: DataFrame | None = None, salt_buckets: int | None = None) -> DataFrame:

@@ -18,10 +18,11 @@ is bounded), and everything stays partitioned by POSTALCODE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excluded_label
+from ..plans.layout import materialize
 
 LEVELS = ("BANNER", "CHANNEL", "CUSTOMER_GROUP")
 
@@ -31,18 +32,10 @@ def _check_level(level: str) -> None:
         raise ValueError(f"level must be one of {LEVELS}, got {level!r}")
 
 
-def present_values(shares: DataFrame, level: str = "BANNER") -> DataFrame:
-    """Distinct (POSTALCODE, excluded value) pairs present in the shares."""
-    return (
-        shares.filter(F.col(level).isNotNull())
-        .select("POSTALCODE", F.col(level).alias("__excluded"))
-        .distinct()
-    )
-
-
 def leave_one_out(shares: DataFrame, level: str = "BANNER") -> DataFrame:
     """Long competition rows: every share row once per level value present in
-    its postal code, with EXCLUDED_BANNER (label, spaces as underscores) and
+    its postal code, with EXCLUDED_BANNER (label, spaces as underscores),
+    EXCLUDED_VALUE (the value itself: labels may coincide) and
     EXCLUDED_ATTRACTION.  These are exactly the affected rows.
 
     One pass over rows partitioned by POSTALCODE, no self-join: a window per
@@ -70,6 +63,7 @@ def leave_one_out(shares: DataFrame, level: str = "BANNER") -> DataFrame:
     return exploded.select(
         *shares.columns,
         excluded_label("__b.value").alias("EXCLUDED_BANNER"),
+        F.col("__b.value").alias("EXCLUDED_VALUE"),
         excluded_att.alias("EXCLUDED_ATTRACTION"),
     )
 
@@ -80,39 +74,69 @@ def affected(long_df: DataFrame) -> DataFrame:
     return long_df.filter(F.col("PERCENT_ATTRACTION") != F.col("EXCLUDED_ATTRACTION"))
 
 
-def competition_wide(shares: DataFrame, level: str = "BANNER") -> DataFrame:
-    """Wide form: one COMPETITION_ATTRACTION_<value> column per level value.
+PREFIX = "COMPETITION_ATTRACTION_"
 
-    The column set is the (small) list of distinct level values, read once
-    and size-checked like a pivot's value list.  Each column is a conditional
-    sum over the postal code; all columns share one window partition, so the
-    plan has a single window over POSTALCODE whatever the number of values.
-    """
+
+def _with_level_sums(shares: DataFrame, level: str) -> tuple[DataFrame, list]:
+    """The shares with the postal code's total and its attraction by level
+    value, and all level values.  The shares are written first, so listing
+    the values does not run the pairs again."""
     _check_level(level)
-    limit = int(shares.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    rows = shares.select(level).filter(F.col(level).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"too many distinct {level} values for the wide form; use leave_one_out")
-    values = sorted(r[0] for r in rows)
-    w = Window.partitionBy("POSTALCODE")
-    cols = []
-    for v in values:
-        outside = F.col(level) != F.lit(v)
-        denom = F.sum(F.when(outside, F.col("Attraction")).otherwise(F.lit(0.0))).over(w)
-        name = "COMPETITION_ATTRACTION_" + v.replace(" ", "_")
-        cols.append(F.when(outside, F.try_divide(F.col("Attraction"), denom)).otherwise(F.lit(0.0)).alias(name))
-    return shares.select(*shares.columns, *cols)
-
-
-def competition_long(wide: DataFrame, base_columns: list[str] | None = None) -> DataFrame:
-    """Wide competition to long: one row per (row, COMPETITION_ATTRACTION_*
-    column) with EXCLUDED_BANNER taken from the column name (``unpivot``,
-    no driver loop of unions)."""
-    prefix = "COMPETITION_ATTRACTION_"
-    comp = [c for c in wide.columns if c.startswith(prefix)]
-    base = base_columns or [c for c in wide.columns if not c.startswith(prefix)]
-    renamed = wide.select(*base, *[F.col(f"`{c}`").alias(c[len(prefix):]) for c in comp])
-    return renamed.unpivot(base, [c[len(prefix):] for c in comp], "EXCLUDED_BANNER", "EXCLUDED_ATTRACTION")
+    shares = materialize(shares)
+    values = sorted(r[0] for r in shares.select(level).filter(F.col(level).isNotNull()).distinct().collect())
+    lvl = F.col(level)
+    counted = F.when(lvl.isNotNull(), F.col("Attraction")).otherwise(F.lit(0.0))
+    by_postal = Window.partitionBy("POSTALCODE")
+    own = F.sum(counted).over(Window.partitionBy("POSTALCODE", level))
+    entries = F.collect_set(F.when(lvl.isNotNull(), F.struct(lvl.alias("value"), own.alias("att")))).over(by_postal)
+    return shares.select(
+        "*", F.sum(counted).over(by_postal).alias("__total"),
+        F.count(F.when(lvl.isNull(), 1)).over(by_postal).alias("__nulls"), F.map_from_entries(entries).alias("__by_value")
+    ), values
+
+
+def _outside_share(level: str, value) -> Column:
+    """The row's attraction over that of its postal code without ``value``;
+    0 for rows of the value itself and rows without a level value.  A value
+    that the postal code lacks changes nothing: the share stays as it is,
+    unless stores without a level value leave the denominator."""
+    without = F.try_element_at("__by_value", value)
+    unchanged = without.isNull() & (F.col("__nulls") == 0)
+    share = F.when(unchanged, F.col("PERCENT_ATTRACTION")).otherwise(
+        F.try_divide(F.col("Attraction"), F.col("__total") - F.coalesce(without, F.lit(0.0)))
+    )
+    return F.when(F.col(level) != value, share).otherwise(F.lit(0.0))
+
+
+def competition_wide(shares: DataFrame, level: str = "BANNER") -> DataFrame:
+    """Wide form: one COMPETITION_ATTRACTION_<value> column per level value,
+    spaces as underscores.  Values whose columns would have one name, or the
+    name of a share column, raise: use ``competition_long`` then.
+
+    A column is the row's attraction over the postal code's total less the
+    value's own sum, so all columns share one window over POSTALCODE."""
+    with_sums, values = _with_level_sums(shares, level)
+    names = [PREFIX + v.replace(" ", "_") for v in values]
+    taken = [n.lower() for n in (*names, *shares.columns)]
+    clash = sorted({n for n in names if taken.count(n.lower()) > 1})
+    if clash:
+        raise ValueError(f"several {level} values have the wide column {', '.join(clash)}; use competition_long")
+    cols = [_outside_share(level, F.lit(v)).alias(n) for v, n in zip(values, names, strict=True)]
+    return with_sums.select(*[f"`{c}`" for c in shares.columns], *cols)
+
+
+def competition_long(shares: DataFrame, level: str = "BANNER") -> DataFrame:
+    """Long form of all combinations: every share row once per level value of
+    any postal code, with EXCLUDED_BANNER (label), EXCLUDED_VALUE and
+    EXCLUDED_ATTRACTION.  Values are data here, never column names."""
+    with_sums, values = _with_level_sums(shares, level)
+    each = with_sums.withColumn("EXCLUDED_VALUE", F.explode(F.array(*map(F.lit, values)).cast("array<string>")))
+    return each.select(
+        *shares.columns,
+        excluded_label("EXCLUDED_VALUE").alias("EXCLUDED_BANNER"),
+        "EXCLUDED_VALUE",
+        _outside_share(level, F.col("EXCLUDED_VALUE")).alias("EXCLUDED_ATTRACTION"),
+    )
 
 
 def top(df: DataFrame, n: int, keys: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.codes import newcomer_year, suffix_key, year_from_code
 from ..functions.text import clean_description
-from ..plans.layout import maybe_broadcast, shuffle_partitions
+from ..plans.layout import shuffle_partitions
 
 # Population totals lifted to columns, by name of the output
 # column and the variable suffix that holds it (prefixed with the leg's year
@@ -89,8 +89,7 @@ def select_variables(features: DataFrame, dim: DataFrame, dim_keep: DataFrame |
         *schemas.DIM_COLUMNS,
         F.col("YEAR").alias("WHOLE_YEAR"),
     )
-    d, _ = maybe_broadcast(d)
-    cats, _ = maybe_broadcast(profile_categories(dim_keep))
+    cats = profile_categories(dim_keep)
     joined = features.join(d, suffix_key("var_code") == d["__suffix"], "left")
     joined = joined.join(cats, joined["Category"] == cats["__keep_category"], "left")
     in_profile = F.col("__keep_category").isNotNull()
@@ -153,7 +152,7 @@ def variables_by_leg(tagged: DataFrame, legs: list[Leg], rows: list | None = Non
     return result
 
 
-def pivot_features(rows: DataFrame, values: list, key: str = "CODE") -> DataFrame:
+def pivot_features(rows: DataFrame, values: list | None = None, key: str = "CODE") -> DataFrame:
     """Long -> wide: one row per code (renamed POSTALCODE), one column per
     variable holding its value.  ``max`` picks a value deterministically when a
     (code, variable) pair repeats (the source took an arbitrary first one)."""

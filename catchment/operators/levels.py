@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.layout import join_keyed, materialize, shuffle_partitions, small_enough_to_broadcast
+from ..plans.layout import join_keyed, materialize, shuffle_partitions
 from .profiles import RECENT_IMMIGRATION
 
 # (value column, window keys); every key list contains variable and YEAR.
@@ -59,16 +59,14 @@ def level_values(profile: DataFrame, levels=None, partitions: int | None = None)
     return laid.select("*", *[level_ratio(keys).alias(name) for name, keys in levels])
 
 
-def level_percents(df: DataFrame, percents=None, per_year: bool = False, small: bool = False) -> DataFrame:
+def level_percents(df: DataFrame, percents=None, per_year: bool = False) -> DataFrame:
     """Add each percent: the level value over the sum of the level value of
     the leaf variables (LEAF_NODE_FLAG = 1) sharing the percent's keys.
 
     Every denominator is a grouped aggregate of ``df`` itself (not of the
     frame with the previous denominators joined), so the plan reads ``df``
     once per denominator instead of doubling with every join; pass a
-    materialized ``df`` (see ``plans.layout.materialize``).  ``small``: the
-    caller checked that ``df`` itself is under the broadcast bound, so every
-    denominator (at most as many rows) is broadcast.
+    materialized ``df`` (see ``plans.layout.materialize``).
     """
     percents = LEVEL_PERCENTS if percents is None else percents
     out = df
@@ -77,7 +75,7 @@ def level_percents(df: DataFrame, percents=None, per_year: bool = False, small:
             keys = keys + ["YEAR"]
         leaf_sum = F.sum(F.when(F.col("LEAF_NODE_FLAG") == 1, F.col(value)).otherwise(F.lit(0.0)))
         den = df.groupBy(*keys).agg(leaf_sum.alias(f"__den_{name}"))
-        out = join_keyed(out, den, keys, broadcast_totals=small)
+        out = join_keyed(out, den, keys)
         out = out.withColumn(name, F.try_divide(F.col(value), F.col(f"__den_{name}"))).drop(f"__den_{name}")
     return out
 
@@ -103,8 +101,6 @@ def attach_category_total(profile: DataFrame, totals_from: DataFrame | None = No
     val / TOTAL_FLAG rows gives the same totals)."""
     source = profile if totals_from is None else totals_from
     totals = category_totals(source)
-    if totals_from is not None and small_enough_to_broadcast(totals_from):
-        totals = F.broadcast(totals)  # at most as many rows as the checked table
     return profile.join(totals, ["Category", "STORE_NUM", "STORE_NAME", "YEAR"], "left")
 
 
@@ -125,7 +121,7 @@ def demographic_benchmarks(profile: DataFrame, per_year: bool = False, with_valu
     once: they feed the four denominators."""
     if with_values is None:
         with_values = materialize(level_values(null_coordinates(profile)))
-    with_pct = level_percents(with_values, per_year=per_year, small=small_enough_to_broadcast(with_values))
+    with_pct = level_percents(with_values, per_year=per_year)
     return with_pct.drop(*[name for name, _ in LEVEL_VALUES])
 
 
@@ -154,7 +150,7 @@ def basics_totals(profile: DataFrame) -> DataFrame:
     )
 
 
-def attach_basics_total(profile: DataFrame, match_year: bool = False, broadcast_totals: bool = False) -> DataFrame:
+def attach_basics_total(profile: DataFrame, match_year: bool = False) -> DataFrame:
     """Left join of the Basics totals on (STORE_NUM, STORE_NAME).  Without
     ``match_year`` (source behaviour) every row repeats once per Basics row of
     the store, across years; with it the join also keys on YEAR."""
@@ -166,8 +162,6 @@ def attach_basics_total(profile: DataFrame, match_year: bool = False, broadcast_
     else:
         totals = basics_totals(profile)
         keys = ["STORE_NUM", "STORE_NAME"]
-    if broadcast_totals:  # the caller proved ``profile`` (hence the totals) small
-        totals = F.broadcast(totals)
     return profile.join(totals, keys, "left")
 
 
@@ -184,7 +178,7 @@ def social_store_table(profile: DataFrame, match_year: bool = False) -> DataFram
     """Social-value store table; the benchmarks are materialized before the
     self-join on Basics totals."""
     bench = materialize(social_benchmarks(profile))
-    return social_store_value(attach_basics_total(bench, match_year, small_enough_to_broadcast(bench)))
+    return social_store_value(attach_basics_total(bench, match_year))
 
 
 def median_by(df: DataFrame, level: str, value: str, exact: bool = False) -> DataFrame:
@@ -193,3 +187,14 @@ def median_by(df: DataFrame, level: str, value: str, exact: bool = False) -> Dat
     median."""
     agg = F.median(value) if exact else F.percentile_approx(value, 0.5)
     return df.groupBy("Description", level).agg(agg.alias(f"Median_{value}"))
+
+
+def medians_by(df: DataFrame, levels: list[tuple[str, str]]) -> DataFrame:
+    """(LEVEL, LEVEL_VALUE, Description, MEDIAN) of several (level column,
+    value column) pairs in one aggregation: each row once per level."""
+    entries = F.array(*[
+        F.struct(F.lit(level).alias("LEVEL"), F.col(level).alias("LEVEL_VALUE"), F.col(value).alias("v"))
+        for level, value in levels
+    ])
+    rows = df.select("Description", F.explode(entries).alias("e"))
+    return rows.groupBy("e.LEVEL", "e.LEVEL_VALUE", "Description").agg(F.percentile_approx("e.v", 0.5).alias("MEDIAN"))

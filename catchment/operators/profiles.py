@@ -8,22 +8,18 @@ Layout: the join is on POSTALCODE.  On the share side a postal code has at
 most 199 rows after the 0.5% cut (every kept store holds more than 0.5% of
 the postal code), and on the feature side at most one row per variable and
 year, so no join key can hold a large fraction of the data.  Features are
-filtered before the join (the NULL cells of the dense melt never reach it),
-dimensions are broadcast after a size check, and the grouped sums use
-partial aggregation before the shuffle.
+filtered before the join (the NULL cells of the dense melt never reach it)
+and the grouped sums use partial aggregation before the shuffle.  Stores are
+what the shares say they are: no store table is read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
 from ..functions.codes import region
-from ..functions.geo import zorder_key
 from ..functions.text import store_chain
-from ..plans.layout import broadcast_max_rows, maybe_broadcast
 from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more
@@ -67,162 +63,51 @@ DEMO_PROFILE_COLUMNS = (
 
 
 
-def weighted_profile(
-    shares: DataFrame,
-    features: DataFrame,
-    feature_keys: list[str],
-    sums: list[str],
-    firsts: list[str] = (),
-) -> DataFrame:
+def weighted_sums(shares: DataFrame, features: DataFrame, keys: list[str], sums: list[str], firsts=()) -> DataFrame:
     """Join shares to features on POSTALCODE and sum PERCENT_ATTRACTION x
-    column for every column of ``sums``, grouped by the store keys and
-    ``feature_keys``.  ``firsts`` are pass-through attributes of the feature
-    (one value per variable in well-formed data; the source picked an
-    arbitrary first one)."""
-    s = shares.select("POSTALCODE", "PERCENT_ATTRACTION", *STORE_KEYS)
-    f = features.select("POSTALCODE", *feature_keys, *sums, *[c for c in firsts if c not in feature_keys])
-    joined = s.join(f, "POSTALCODE")
+    column for every column of ``sums``, grouped by the store attributes (as
+    the shares carry them) and ``keys``.  Of the ``firsts`` one row's values
+    are taken together (the smallest), where the source took any."""
+    joined = shares.select("POSTALCODE", "PERCENT_ATTRACTION", *STORE_KEYS).join(
+        features.select("POSTALCODE", *keys, *sums, *firsts), "POSTALCODE"
+    )
     w = F.col("PERCENT_ATTRACTION")
     aggs = [F.sum(w * F.col(c)).alias(c) for c in sums]
-    # The pass-through attributes come from the variable's dimension row, so
-    # they are constant within a group of well-formed data; as grouping keys
-    # they keep the aggregate hash-based (a max over strings would force a
-    # sort-based aggregate over every joined row).
-    return joined.groupBy(*STORE_KEYS, *feature_keys, *[c for c in firsts if c not in feature_keys]).agg(*aggs)
-
-
-# Most store tuples numbered on the driver (``catchment.profile.maxStores``);
-# above it the profile aggregates on the store columns themselves.
-MAX_STORE_IDS = 200_000
-
-
-def store_ids(stores: DataFrame) -> tuple[DataFrame, int] | None:
-    """Distinct store tuples (the profile's store keys) numbered 0..n-1 on the
-    driver, with their count; None when there are more than the broadcast
-    bound.  Read from the small store table (not from the shares), so the
-    check is cheap."""
-    bound = min(broadcast_max_rows(stores), int(stores.sparkSession.conf.get("catchment.profile.maxStores", str(MAX_STORE_IDS))))
-    rows = stores.select(*STORE_KEYS).distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
-    numbered = sorted((tuple(r) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
-    schema = stores.select(F.lit(0).cast("long").alias("__sid"), *STORE_KEYS).schema
-    df = stores.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(numbered)], schema)
-    return df, len(numbered)
-
-
-def keyed_profile(
-    shares: DataFrame,
-    melted: Melted,
-    stores: DataFrame,
-    sums: list[str],
-    meta_filter=None,
-) -> DataFrame | None:
-    """Weighted profile aggregated by two integer keys.
-
-    The share rows get their store's id (broadcast join on the store keys),
-    the melted rows carry their metadata id; the join on POSTALCODE (both
-    sides already hash-partitioned by it) feeds an aggregate keyed by
-    (store id, metadata id), so the partial aggregation, the shuffle and the
-    final aggregation handle two longs instead of twenty mostly-string
-    columns.  Store and metadata attributes are attached to the (small)
-    aggregated result by broadcast joins.  Returns None when the store table
-    is above the broadcast bound (use ``weighted_profile`` then).
-    """
-    ids = store_ids(stores)
-    if ids is None:
-        return None
-    sid, n_stores = ids
-    sid_keys = sid.select("__sid", *[F.col(k).alias(f"__s_{k}") for k in STORE_KEYS])
-    cond = None
-    for k in STORE_KEYS:
-        c = shares[k].eqNullSafe(sid_keys[f"__s_{k}"])
-        cond = c if cond is None else cond & c
-    meta = melted.meta if meta_filter is None else melted.meta.filter(meta_filter)
-    cells = melted.present if melted.present is not None else melted.keyed
-    f = cells.filter(F.col("val").isNotNull()).join(F.broadcast(meta.select("__mid")), "__mid", "left_semi")
-    n_meta = melted.n_meta if melted.n_meta is not None else melted.meta.count()
-    if profile_layout(shares.sparkSession, n_stores, n_meta) == "clustered":
-        s = shares.join(F.broadcast(sid_keys), cond).select(
-            "POSTALCODE", "PERCENT_ATTRACTION", "__sid", zorder_key("LATITUDE", "LONGITUDE").alias("__z")
-        )
-        agg = clustered_weighted_sums(s, f, sums)
-    else:
-        s = shares.join(F.broadcast(sid_keys), cond).select("POSTALCODE", "PERCENT_ATTRACTION", "__sid")
-        w = F.col("PERCENT_ATTRACTION")
-        agg = s.join(f, "POSTALCODE").groupBy("__sid", "__mid").agg(*[F.sum(w * F.col(c)).alias(c) for c in sums])
-    return agg.join(F.broadcast(sid), "__sid").join(F.broadcast(melted.meta), "__mid")
-
-
-# Worst-case partial-aggregate rows of the postal-code layout above which
-# the geographic layout is used (``catchment.profile.clusterThresholdRows``).
-DEFAULT_CLUSTER_THRESHOLD_ROWS = 200_000_000
-
-
-def profile_layout(spark, n_stores: int, n_meta: int) -> str:
-    """'postal' or 'clustered' for the profile aggregation.
-
-    With shares and cells co-partitioned by postal code (``postal``) the
-    join needs no exchange, but every task sees postal codes from anywhere,
-    so its partial aggregate can hold one row per (store, metadata id):
-    up to tasks x stores x metadata ids rows are shuffled.  The geographic
-    layout (``clustered``) shuffles the cells once more but collapses the
-    partial sums regionally.  The estimate uses the partition count and the
-    sizes of the two id tables (collected, so known on the driver); the
-    session setting ``catchment.profile.layout`` forces either layout.
-    """
-    forced = spark.conf.get("catchment.profile.layout", "auto")
-    if forced in ("postal", "clustered"):
-        return forced
-    threshold = int(spark.conf.get("catchment.profile.clusterThresholdRows", str(DEFAULT_CLUSTER_THRESHOLD_ROWS)))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return "clustered" if tasks * n_stores * n_meta > threshold else "postal"
-
-
-def clustered_weighted_sums(shares: DataFrame, cells: DataFrame, sums: list[str]) -> DataFrame:
-    """Sum PERCENT_ATTRACTION x cell value per (store id, metadata id) over
-    the postal codes, with the work laid out by geography.
+    if not firsts:
+        return joined.groupBy(*STORE_KEYS, *keys).agg(*aggs)
+    one = joined.groupBy(*STORE_KEYS, *keys).agg(*aggs, F.min(F.struct(*firsts)).alias("__first"))
+    return one.select(*STORE_KEYS, *keys, *sums, *[F.col(f"__first.{c}").alias(c) for c in firsts])
+
+
+def metadata_groups(meta: DataFrame, keys: list[str], firsts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(__mid -> __gid) and one row per __gid with ``keys`` and one variant of
+    the ``firsts``: metadata rows that differ in pass-through attributes only
+    are one group of the profile."""
+    numbered = meta.withColumn("__gid", F.min("__mid").over(Window.partitionBy(*keys)))
+    groups = numbered.groupBy("__gid", *keys).agg(F.min(F.struct(F.lit(0).alias("__"), *firsts)).alias("__first"))
+    return numbered.select("__mid", "__gid"), groups.select(
+        "__gid", *keys, *[F.col(f"__first.{c}").alias(c) for c in firsts]
+    )
 
-    ``shares``: POSTALCODE, PERCENT_ATTRACTION, __sid, __z (z-order key of
-    the postal code's centroid).  ``cells``: POSTALCODE, __mid and ``sums``.
 
-    Share rows and cells are stacked and range-partitioned by (z-key,
-    POSTALCODE): every task holds whole postal codes of one compact,
-    balanced region (the range partitioner samples the keys).  Within a
-    postal code a window collects its cells (at most one per variable and
-    year, a checked bound) onto each share row, which is exploded into the
-    weighted terms.  Stores near a region are the same for all its postal
-    codes, so the map-side partial aggregation by (store id, metadata id)
-    collapses the terms before the shuffle, instead of shuffling one partial
-    row per store per task as a hash layout by postal code would.
-    """
-    # Every postal code with a share has a centroid, hence a z-key; cells of
-    # postal codes without shares contribute nothing and are dropped here.
-    zmap = shares.select("POSTALCODE", "__z").distinct()
-    c = cells.join(zmap, "POSTALCODE")
-    cell_struct = F.struct(F.col("__mid").alias("mid"), *[F.col(x).alias(x) for x in sums])
-    null_cell = F.lit(None).cast(c.select(cell_struct.alias("c")).schema["c"].dataType)
-    rows = shares.select(
-        "__z", "POSTALCODE", F.lit(True).alias("__is_share"), "__sid", "PERCENT_ATTRACTION", null_cell.alias("__cell")
-    ).unionByName(
-        c.select(
-            "__z", "POSTALCODE", F.lit(False).alias("__is_share"), F.lit(None).cast("long").alias("__sid"),
-            F.lit(None).cast("double").alias("PERCENT_ATTRACTION"), cell_struct.alias("__cell"),
-        )
-    )
-    n = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(n, "__z", "POSTALCODE")
-    per_postal = Window.partitionBy("__z", "POSTALCODE")
-    with_cells = laid.select(
-        "__is_share", "__sid", "PERCENT_ATTRACTION", F.collect_list("__cell").over(per_postal).alias("__cells")
-    )
-    terms = with_cells.filter(F.col("__is_share")).select(
-        "__sid", "PERCENT_ATTRACTION", F.explode("__cells").alias("__c")
-    )
-    w = F.col("PERCENT_ATTRACTION")
-    return terms.groupBy("__sid", F.col("__c.mid").alias("__mid")).agg(
-        *[F.sum(w * F.col(f"__c.{x}")).alias(x) for x in sums]
-    )
+def profile(
+    shares: DataFrame, melted: DataFrame | Melted, keys: list[str], sums: list[str], firsts=(), keep=None
+) -> DataFrame:
+    """Weighted profile by store and ``keys``; ``keep`` filters the features.
+
+    One plan at every size: the share pipeline is read once, joined to the
+    cells that hold a value on POSTALCODE (both sides are laid out by it) and
+    aggregated with partial sums before the only shuffle.  A keyed melted
+    table is grouped by one integer per metadata group, whose attributes are
+    attached to the aggregated rows; a plain table by the attributes."""
+    if not isinstance(melted, Melted):
+        f = melted.filter(F.col("val").isNotNull())
+        return weighted_sums(shares, f if keep is None else f.filter(keep), keys, sums, list(firsts))
+    mids, groups = metadata_groups(melted.meta if keep is None else melted.meta.filter(keep), keys, list(firsts))
+    cells = (melted.present if melted.present is not None else melted.keyed).filter(F.col("val").isNotNull())
+    # The metadata was collected on the driver when it was numbered, so it is bounded.
+    agg = weighted_sums(shares, cells.join(F.broadcast(mids), "__mid"), ["__gid"], sums)
+    return agg.join(F.broadcast(groups), "__gid").drop("__gid")
 
 
 def with_store_labels(profile: DataFrame) -> DataFrame:
@@ -233,30 +118,23 @@ def with_store_labels(profile: DataFrame) -> DataFrame:
     )
 
 
-def demographic_profile(
-    shares: DataFrame, melted: DataFrame | Melted, language: DataFrame, stores: DataFrame | None = None
-) -> DataFrame:
+def demographic_profile(shares: DataFrame, melted: DataFrame | Melted, language: DataFrame) -> DataFrame:
     """Demographic store profile: features outside Trends / Attitudes with a
-    value, language grouping attached, weighted by the shares; then chain and
-    region labels.
-
-    With a keyed melted table and the store table, the aggregate runs on
-    integer keys (``keyed_profile``); the language grouping, a function of
-    the variable, is attached after aggregation (a variable with several
-    groupings repeats its rows either way)."""
-    lang, _ = maybe_broadcast(language.select(F.col("Variable").alias("__lang_var"), "Language_Grouping"))
-    if isinstance(melted, Melted) and stores is not None:
-        keep = ~F.col("Category").isin(EXCLUDED_CATEGORIES)
-        prof = keyed_profile(shares, melted, stores, DEMO_SUMS, keep)
-        if prof is not None:
-            prof = prof.join(lang, prof["variable"] == lang["__lang_var"], "left").drop("__lang_var")
-            return with_store_labels(prof.select(*DEMO_PROFILE_COLUMNS))
-    if isinstance(melted, Melted):
-        melted = melted.table()
-    f = melted.filter(~F.col("Category").isin(EXCLUDED_CATEGORIES) & F.col("val").isNotNull())
-    f = f.join(lang, f["variable"] == lang["__lang_var"], "left").drop("__lang_var")
-    keys = ["variable", "Description", "Language_Grouping", "Category", "YEAR"]
-    prof = weighted_profile(shares, f, keys, DEMO_SUMS, DEMO_DIMS)
+    value, weighted by the shares and grouped by store, variable, description,
+    language grouping, category and year; then chain and region labels.
+
+    The language grouping, a function of the variable, is attached after
+    aggregation.  A mapping row that repeats multiplies the sums, as joining
+    it before the aggregation would."""
+    keep = ~F.col("Category").isin(EXCLUDED_CATEGORIES)
+    prof = profile(shares, melted, ["variable", "Description", "Category", "YEAR"], DEMO_SUMS, DEMO_DIMS, keep)
+    lang = language.groupBy(F.col("Variable").alias("__lang_var"), "Language_Grouping").agg(
+        F.count(F.lit(1)).alias("__times")
+    )
+    times = F.coalesce("__times", F.lit(1))
+    prof = prof.join(lang, prof["variable"] == lang["__lang_var"], "left").withColumns(
+        {c: F.col(c) * times for c in DEMO_SUMS}
+    )
     return with_store_labels(prof.select(*DEMO_PROFILE_COLUMNS))
 
 
@@ -266,17 +144,10 @@ SV_PROFILE_COLUMNS = (
 )
 
 
-def social_profile(shares: DataFrame, melted_sv: DataFrame | Melted, stores: DataFrame | None = None) -> DataFrame:
+def social_profile(shares: DataFrame, melted_sv: DataFrame | Melted) -> DataFrame:
     """Social-value store profile: every feature with a value (NULL categories
     included), weighted by the shares; then chain and region labels."""
-    if isinstance(melted_sv, Melted) and stores is not None:
-        prof = keyed_profile(shares, melted_sv, stores, ["val", "TOTAL_POPULATION"])
-        if prof is not None:
-            return with_store_labels(prof.select(*SV_PROFILE_COLUMNS))
-    if isinstance(melted_sv, Melted):
-        melted_sv = melted_sv.table()
-    f = melted_sv.filter(F.col("val").isNotNull())
-    prof = weighted_profile(shares, f, ["variable", "Description", "Category", "YEAR"], ["val", "TOTAL_POPULATION"])
+    prof = profile(shares, melted_sv, ["variable", "Description", "Category", "YEAR"], ["val", "TOTAL_POPULATION"])
     return with_store_labels(prof.select(*SV_PROFILE_COLUMNS))
 
 

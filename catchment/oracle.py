@@ -39,21 +39,21 @@ FROM customer JOIN prov p ON p.k = (c_custkey - c_custkey % 3) % 13 WHERE c_cust
     "fvars": """SELECT * FROM (VALUES ('BASPOP','Total Population','Basics',1,0,1),('BASHHD','Total Households','Basics',1,0,0),('BASHPOP','Total Household Population','Basics',1,0,0),('BAS15HP','Total Household Population 15+','Basics',1,0,0),('INC0','Household Income ($0-$50) (Current Year $)','Income',1,1,0),('INC1','Household Income, Over $50.','Income',1,1,0),('INCT','Household Income Total','Income',1,0,1),('INCM','Household Income Mid Node','Income',1,0,0),('CIV','Born in Côte d''Ivoire','Birthplace',1,1,0),('BPT','Household Population For Recent Immigration By Place Of Birth','Birthplace',1,0,1),('TR1','Trend One','Trends',1,1,0),('HID','Hidden','Income',0,1,0)) t(suffix, Description, Category, ADD_TO_PROFILE, LEAF_NODE_FLAG, TOTAL_FLAG)""",
     "fyrs": """SELECT * FROM (VALUES ('EHY',2018),('ECY',2023),('P3Y',2026),('P5Y',2028),('P0Y',2033)) t(prefix, yr)""",
     "features_demo": """SELECT concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 7, '0')) AS CODE, concat(y.prefix, v.suffix) AS var_code,
-  CASE WHEN v.Category <> 'Basics' AND (c_custkey + y.yr) % 11 = 0 THEN NULL ELSE CAST((c_custkey * 31 + y.yr * 7 + length(v.suffix) * 13) % 997 + 1 AS DOUBLE) END AS var_value,
+  CASE WHEN v.Category <> 'Basics' AND (c_custkey + y.yr) % 11 = 0 THEN NULL ELSE CAST((c_custkey * 31 + y.yr * 7 + length(v.suffix) * 13 + cents) % 997 + 1 AS DOUBLE) END AS var_value,
   v.Description AS Description, v.Category AS Category
-FROM customer CROSS JOIN fvars v CROSS JOIN fyrs y
-WHERE c_custkey % 3 = 0 AND NOT (v.suffix = 'INC1' AND c_custkey % 21 = 0)""",
+FROM (SELECT c_custkey - c_custkey % 3 AS c_custkey, CAST(abs(sum(CAST(round(c_acctbal * 100) AS BIGINT))) AS BIGINT) AS cents FROM customer GROUP BY 1) customer CROSS JOIN fvars v CROSS JOIN fyrs y
+WHERE NOT (v.suffix = 'INC1' AND c_custkey % 21 = 0)""",
     "features_newcomer": """SELECT concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 7, '0')) AS CODE, v.code AS var_code,
-  CAST((c_custkey * 17 + length(v.descr)) % 101 AS DOUBLE) AS var_value, v.descr AS Description, '23Q2 to 24Q1 - Temporary Resident - Region of Citizenship' AS Category
-FROM customer CROSS JOIN (SELECT * FROM (VALUES ('NC24TR01','Temporary Resident - Asia'),('NC24TR02','Temporary Resident - Europe'),('NC24TRT','Temporary Resident Total')) t(code, descr)) v
-WHERE c_custkey % 3 = 0""",
+  CAST((c_custkey * 17 + length(v.descr) + cents) % 101 AS DOUBLE) AS var_value, v.descr AS Description, '23Q2 to 24Q1 - Temporary Resident - Region of Citizenship' AS Category
+FROM (SELECT c_custkey - c_custkey % 3 AS c_custkey, CAST(abs(sum(CAST(round(c_acctbal * 100) AS BIGINT))) AS BIGINT) AS cents FROM customer GROUP BY 1) customer CROSS JOIN (SELECT * FROM (VALUES ('NC24TR01','Temporary Resident - Asia'),('NC24TR02','Temporary Resident - Europe'),('NC24TRT','Temporary Resident Total')) t(code, descr)) v
+""",
     "master_dim": """SELECT concat('ECY', suffix) AS variable, Category, concat('All > ', Category, ' > ', suffix) AS Hierarchy_Description, 'N' AS MEDIAN_AVERAGE, ADD_TO_PROFILE, LEAF_NODE_FLAG, TOTAL_FLAG, CAST(NULL AS INT) AS YEAR FROM fvars
 UNION ALL SELECT code, '23Q2 to 24Q1 - Temporary Resident - Region of Citizenship', concat('New > ', code), 'N', 0, leaf, 1 - leaf, 2024 FROM (VALUES ('NC24TR01',1),('NC24TR02',1),('NC24TRT',0)) t(code, leaf)""",
     "language_mapping": """SELECT * FROM (VALUES ('ECYCIV','French'),('P3YCIV','French'),('NC24TR01','Asian')) t(Variable, Language_Grouping)""",
     "features_sv": """SELECT concat('P', lpad(CAST(c_custkey AS VARCHAR(20)), 7, '0')) AS CODE, v.code AS var_code,
-  CAST((c_custkey * 13 + y.yr + length(v.descr)) % 211 + 1 AS DOUBLE) AS var_value, v.descr AS Description, v.cat AS Category, y.yr AS YEAR
-FROM customer CROSS JOIN (SELECT * FROM (VALUES ('SVBAS15HP','Household Population 15+','Basics'),('SV001','Importance of Price','Consumption'),('SV002','Brand Apathy','Attitudes'),('SV003','Uncategorised',NULL)) t(code, descr, cat)) v
-CROSS JOIN (SELECT * FROM (VALUES (2023),(2024)) t(yr)) y WHERE c_custkey % 3 = 0""",
+  CAST((c_custkey * 13 + y.yr + length(v.descr) + cents) % 211 + 1 AS DOUBLE) AS var_value, v.descr AS Description, v.cat AS Category, y.yr AS YEAR
+FROM (SELECT c_custkey - c_custkey % 3 AS c_custkey, CAST(abs(sum(CAST(round(c_acctbal * 100) AS BIGINT))) AS BIGINT) AS cents FROM customer GROUP BY 1) customer CROSS JOIN (SELECT * FROM (VALUES ('SVBAS15HP','Household Population 15+','Basics'),('SV001','Importance of Price','Consumption'),('SV002','Brand Apathy','Attitudes'),('SV003','Uncategorised',NULL)) t(code, descr, cat)) v
+CROSS JOIN (SELECT * FROM (VALUES (2023),(2024)) t(yr)) y""",
 }
 
 HAVERSINE = (

@@ -94,9 +94,9 @@ def social_values_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def demographic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.demographic_profile(
-        half_pct(spark, sf_dir), features_melted_keyed(spark, sf_dir), fx.language_mapping(spark), stores(spark, sf_dir)
+        half_pct(spark, sf_dir), features_melted_keyed(spark, sf_dir), fx.language_mapping(spark)
     )
 
 
 def social_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.social_profile(half_pct(spark, sf_dir), social_values_melted_keyed(spark, sf_dir), stores(spark, sf_dir))
+    return prof.social_profile(half_pct(spark, sf_dir), social_values_melted_keyed(spark, sf_dir))

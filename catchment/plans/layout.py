@@ -3,8 +3,8 @@ keyed totals that pre-aggregate before shuffling.
 
 Rules followed throughout the package:
 
-* A base or dimension table is broadcast only after its row count was
-  checked against a bound (``fits_broadcast``); beyond the bound the code
+* A base or dimension table is broadcast only after its size in bytes was
+  measured against a bound (``fits_broadcast``); beyond the bound the code
   takes a shuffle path.  A derived side (an aggregate) is left to adaptive
   execution, which broadcasts it only when its materialized size is under the
   adaptive threshold and keeps the sort-merge join otherwise.
@@ -23,64 +23,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default bound for broadcast sides, in rows.  Overridable per session with
-# ``spark.conf.set("catchment.broadcast.maxRows", ...)``.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+# Default bound for broadcast sides, in bytes.  Overridable per session with
+# ``spark.conf.set("catchment.broadcast.maxBytes", ...)``.
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 
 
-def broadcast_max_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("catchment.broadcast.maxRows", str(DEFAULT_BROADCAST_MAX_ROWS)))
+def broadcast_max_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("catchment.broadcast.maxBytes", str(DEFAULT_BROADCAST_MAX_BYTES)))
 
 
-# Plan nodes that never output more rows than their inputs.
-_NON_GROWING = {
-    "Project", "Filter", "Aggregate", "Distinct", "Deduplicate", "Sort", "GlobalLimit", "LocalLimit",
-    "SubqueryAlias", "Repartition", "RepartitionByExpression", "ResolvedHint",
-}
+def table_bytes(df: DataFrame) -> int:
+    """Size of ``df``'s values, measured: bytes of text, eight of any other
+    column, and sixteen a row.  A grouped sum, so no rows meet in one task."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    size = F.lit(16 + 8 * (len(df.columns) - len(text)))
+    for c in text:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 8
+    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
 
 
-def _row_bound(plan) -> int | None:
-    name = plan.getClass().getSimpleName()
-    if name == "LocalRelation":
-        return int(plan.data().size())
-    children = plan.children()
-    bounds = [_row_bound(children.apply(i)) for i in range(children.size())]
-    if any(b is None for b in bounds) or not bounds:
-        return None
-    if name == "Union":
-        return sum(bounds)
-    if name in _NON_GROWING and len(bounds) == 1:
-        return bounds[0]
-    return None
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """True when ``df`` measures at most ``max_bytes``."""
+    return table_bytes(df) <= (broadcast_max_bytes(df) if max_bytes is None else max_bytes)
 
 
-def local_row_count(df: DataFrame) -> int | None:
-    """Upper bound on the row count when every leaf of the optimized plan is
-    a local relation (data held in the plan, e.g. a dimension built from a
-    literal list) and no node above can add rows; else None.  No job runs."""
-    try:
-        return _row_bound(df._jdf.queryExecution().optimizedPlan())
-    except Exception:  # noqa: BLE001 - not a classic plan; fall back to counting
-        return None
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    A local relation's size is read from the plan; otherwise at most
-    ``max_rows + 1`` rows are read, so the check stays cheap when the side
-    turns out to be large.
-    """
-    limit = broadcast_max_rows(df) if max_rows is None else max_rows
-    known = local_row_count(df)
-    if known is not None:
-        return known <= limit
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when the size check passes, else ``(df, False)``."""
-    if fits_broadcast(df, max_rows):
+    if fits_broadcast(df, max_bytes):
         return F.broadcast(df), True
     return df, False
 
@@ -95,9 +64,7 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def join_keyed(
-    df: DataFrame, totals: DataFrame, keys: list[str], how: str = "left", broadcast_totals: bool = False
-) -> DataFrame:
+def join_keyed(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach per-key ``totals`` (one row per key) to ``df`` on ``keys``,
     NULL-safe.
 
@@ -105,16 +72,11 @@ def join_keyed(
     adaptive execution knows its exact size once that stage ran and turns the
     join into a broadcast join when it is under
     ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise a sort-merge
-    join runs, where adaptive skew handling splits hot keys of ``df``.  (An
-    eager row count here would recompute the whole upstream plan.)  With
-    ``broadcast_totals`` the caller has proven the totals small (e.g. they
-    aggregate a materialized table whose row count is under the bound).
+    join runs, where adaptive skew handling splits hot keys of ``df``.
     """
     t = totals
     for k in keys:
         t = t.withColumnRenamed(k, f"__k_{k}")
-    if broadcast_totals:  # the caller proved a bound on the totals' size
-        t = F.broadcast(t)
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(t[f"__k_{k}"]) for k in keys])
     return df.join(t, cond, how).drop(*[f"__k_{k}" for k in keys])
 
@@ -140,10 +102,3 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def small_enough_to_broadcast(df: DataFrame) -> bool:
-    """Row-count check of a materialized (checkpointed) table: a scan of the
-    written copy, not a recomputation.  Anything aggregated from it has at
-    most as many rows."""
-    return fits_broadcast(df)

@@ -8,7 +8,7 @@ from ..queries import register
 from . import inputs
 
 SHARES = schemas.SHARE_COLUMNS
-LONG = SHARES + ["EXCLUDED_BANNER", "EXCLUDED_ATTRACTION"]
+LONG = SHARES + ["EXCLUDED_BANNER", "EXCLUDED_VALUE", "EXCLUDED_ATTRACTION"]
 
 # Banner values of the store fixture (the wide form has one column each).
 FIXTURE_BANNERS = ["FRESH MART", "VALUE STOP", "CITY GROCER", "PRIME", "CLUB", "LOCAL CO"]
@@ -17,7 +17,7 @@ FIXTURE_BANNERS = ["FRESH MART", "VALUE STOP", "CITY GROCER", "PRIME", "CLUB", "
 def _present_sql(level: str) -> str:
     """Oracle: rows x level values present in the same postal code."""
     return f"""SELECT * FROM (
-  SELECT f.*, replace(b.EXCLUDED, ' ', '_') AS EXCLUDED_BANNER,
+  SELECT f.*, replace(b.EXCLUDED, ' ', '_') AS EXCLUDED_BANNER, b.EXCLUDED AS EXCLUDED_VALUE,
     CASE WHEN f.{level} <> b.EXCLUDED THEN f.Attraction / nullif(sum(CASE WHEN f.{level} <> b.EXCLUDED THEN f.Attraction ELSE 0 END)
       OVER (PARTITION BY f.POSTALCODE, b.EXCLUDED), 0) ELSE 0 END AS EXCLUDED_ATTRACTION
   FROM att_onep f JOIN (SELECT DISTINCT POSTALCODE, {level} AS EXCLUDED FROM att_onep WHERE {level} IS NOT NULL) b
@@ -61,7 +61,7 @@ def competition_wide(spark, sf):
     return comp.competition_wide(inputs.one_pct(spark, sf), "BANNER")
 
 
-LONG_ALL_SQL = """SELECT f.*, replace(b.B, ' ', '_') AS EXCLUDED_BANNER,
+LONG_ALL_SQL = """SELECT f.*, replace(b.B, ' ', '_') AS EXCLUDED_BANNER, b.B AS EXCLUDED_VALUE,
   CASE WHEN f.BANNER <> b.B THEN f.Attraction / nullif(sum(CASE WHEN f.BANNER <> b.B THEN f.Attraction ELSE 0 END)
     OVER (PARTITION BY f.POSTALCODE, b.B), 0) ELSE 0 END AS EXCLUDED_ATTRACTION
 FROM att_onep f CROSS JOIN (SELECT DISTINCT BANNER AS B FROM att_onep WHERE BANNER IS NOT NULL) b"""
@@ -69,12 +69,12 @@ FROM att_onep f CROSS JOIN (SELECT DISTINCT BANNER AS B FROM att_onep WHERE BANN
 
 @register("competition_long", LONG, LONG_ALL_SQL)
 def competition_long(spark, sf):
-    """RSH-4 / CTL-2 / FN-11: wide competition unpivoted to long (every row
-    once per banner, before the affected-rows filter)."""
-    return comp.competition_long(comp.competition_wide(inputs.one_pct(spark, sf), "BANNER"), SHARES)
+    """RSH-4 / CTL-2 / FN-11: every share row once per banner, before the
+    affected-rows filter."""
+    return comp.competition_long(inputs.one_pct(spark, sf), "BANNER")
 
 
-TOP_KEYS = ["POSTALCODE", "STORE_NUM", "STORE_NAME", "EXCLUDED_BANNER"]
+TOP_KEYS = ["POSTALCODE", "STORE_NUM", "STORE_NAME", "EXCLUDED_VALUE"]
 
 
 @register(

@@ -125,8 +125,7 @@ SV_2024 = "(SELECT CODE, var_code AS variable, var_value AS value FROM features_
 def sv_pivot(spark, sf):
     """RSH-1 / AGG-2: 2024 social values long -> wide."""
     raw = inputs.social_values_by_year(spark, sf)[2024]
-    values = sorted(r[0] for r in raw.select("variable").distinct().collect())
-    return feat.pivot_features(raw, values)
+    return feat.pivot_features(raw)  # Spark lists the variables itself, up to its pivot limit
 
 
 @register(

@@ -10,6 +10,7 @@ from ..functions.text import store_chain
 from ..operators import levels as lv
 from ..operators import profiles as prof
 from ..queries import register
+from .layout import materialize
 from . import inputs
 
 PROFILE = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
@@ -51,7 +52,7 @@ def _percent_query(name: str, value: str, keys: list[str]):
     cols = ROW_KEYS + [k for k in keys if k not in ROW_KEYS] + ["LEAF_NODE_FLAG", value, name]
     @register(f"level_{LEVEL_KEYS[value]}_pct", cols, "SELECT * FROM prof_pct")
     def q(spark, sf):
-        with_values = lv.level_values(inputs.demographic_profile(spark, sf))
+        with_values = materialize(lv.level_values(inputs.demographic_profile(spark, sf)))
         return lv.level_percents(with_values, [(name, value, keys)])
 
     q.__doc__ = f"WIN-11..14: {name} = {value} over the leaf {value} sum over {', '.join(keys)}."
@@ -169,13 +170,7 @@ def median_by_level(spark, sf):
     """AGG-8: the three level medians in one long table (LEVEL names the level
     column, LEVEL_VALUE its value)."""
     bench = lv.social_benchmarks(inputs.social_profile(spark, sf))
-    parts = [
-        lv.median_by(bench, lvl, val).select(
-            F.lit(lvl).alias("LEVEL"), F.col(lvl).alias("LEVEL_VALUE"), "Description", F.col(f"Median_{val}").alias("MEDIAN")
-        )
-        for lvl, val in MEDIAN_LEVELS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return lv.medians_by(bench, MEDIAN_LEVELS)
 
 
 @register(

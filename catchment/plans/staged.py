@@ -53,10 +53,10 @@ def gravity(spark: SparkSession, stores_raw: DataFrame, polygon_parts: list[Data
     stores = tables.load_stores(stores_raw)
     ldu = tables.load_ldu(*polygon_parts)
     full = sinks.read_bucketed_stage(
-        spark, sinks.write_bucketed_stage(att.full_attraction(stores, ldu, mass, partitions), names.attraction, KEY)
+        spark, sinks.write_bucketed_stage(att.full_attraction(stores, ldu, mass, partitions), names.attraction, KEY, partitions)
     )
     for name, cut in ((names.shares_half, att.HALF_PERCENT), (names.shares_full, att.ONE_PERCENT)):
-        sinks.write_bucketed_stage(att.shares(full, cut), name, KEY)
+        sinks.write_bucketed_stage(att.shares(full, cut), name, KEY, partitions)
     return {n: sinks.read_bucketed_stage(spark, n) for n in (names.attraction, names.shares_half, names.shares_full)}
 
 
@@ -92,21 +92,21 @@ def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, na
     return _write_melted(spark, feat.melt_demographics_keyed(tagged, meta_source=meta_source), names.melted)
 
 
-def profiles(spark: SparkSession, stores_raw: DataFrame, language: DataFrame, names=StageNames()) -> DataFrame:
+def profiles(spark: SparkSession, language: DataFrame, names=StageNames()) -> DataFrame:
     """Profile from the bucketed shares and keyed cells (same buckets: the
-    join needs no shuffle), aggregated on store and metadata ids."""
+    join needs no shuffle)."""
     shares = sinks.read_bucketed_stage(spark, names.shares_half)
     melted = _read_keyed(spark, names.melted, list(feat.DEMO_TOTALS), feat.METADATA_COLUMNS)
-    profile = prof.demographic_profile(shares, melted, language, tables.load_stores(stores_raw))
+    profile = prof.demographic_profile(shares, melted, language)
     sinks.write_stage(lv.demographic_store_table(profile), names.profile)
     return sinks.read_stage(spark, names.profile)
 
 
-def social(spark: SparkSession, sv_by_year: dict[int, DataFrame], stores_raw: DataFrame, names=StageNames()) -> DataFrame:
+def social(spark: SparkSession, sv_by_year: dict[int, DataFrame], names=StageNames()) -> DataFrame:
     sv = {y: tables.load_social_values(df) for y, df in sv_by_year.items()}
     _write_melted(spark, feat.melt_social_values_keyed(sv), names.social)
     shares = sinks.read_bucketed_stage(spark, names.shares_half)
     melted = _read_keyed(spark, names.social, list(feat.SV_TOTALS), ["variable", "Description", "Category"])
-    profile = prof.social_profile(shares, melted, tables.load_stores(stores_raw))
+    profile = prof.social_profile(shares, melted)
     sinks.write_stage(lv.social_store_table(profile), names.social_store)
     return sinks.read_stage(spark, names.social_store)

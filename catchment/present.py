@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 # Digits kept per floating-point output column.
 ROUND_DIGITS = {
     "HAVERSINE_DISTANCE": 4,
-    "Attraction": 3,
-    "Max_Attraction": 3,
-    "TOTAL_POSTALCODE_ATTRACTION": 2,
     "CUMULATIVE_PERCENT_ATTRACTION": 6,
     "PERCENT_ATTRACTION": 6,
     "EXCLUDED_ATTRACTION": 6,
@@ -43,6 +40,8 @@ ROUND_DIGITS = {
     "Median_CHANNEL_VALUE": 6,
     "MEDIAN": 6,
 }
+# Columns whose values span many magnitudes keep significant digits instead.
+SIGNIFICANT = {"Attraction": 9, "Max_Attraction": 9, "TOTAL_POSTALCODE_ATTRACTION": 9}
 PREFIX_DIGITS = {"COMPETITION_ATTRACTION_": 6}
 
 
@@ -56,11 +55,16 @@ def digits(name: str) -> int | None:
 
 
 def present(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Select ``columns`` (default: all) and round the floating-point ones."""
+    """Select ``columns`` (default: all) and round the floating-point ones, to
+    decimals or to significant digits."""
     cols = columns or df.columns
     out = []
     for c in cols:
         d = digits(c)
+        if c in SIGNIFICANT:
+            text = F.format_string(f"%.{SIGNIFICANT[c] - 1}e", F.col(f"`{c}`"))
+            out.append(F.when(F.col(f"`{c}`").isNotNull(), text.cast("double")).alias(c))
+            continue
         out.append(F.round(F.col(f"`{c}`"), d).alias(c) if d is not None else F.col(f"`{c}`"))
     return df.select(*out)
 
@@ -71,5 +75,8 @@ def sql_select_list(columns: list[str], table_alias: str = "q") -> str:
     for c in columns:
         d = digits(c)
         ref = f'{table_alias}."{c}"'
+        if c in SIGNIFICANT:
+            parts.append(f"CAST(printf('%.{SIGNIFICANT[c] - 1}e', CAST({ref} AS DOUBLE)) AS DOUBLE) AS \"{c}\"")
+            continue
         parts.append(f'round({ref}, {d}) AS "{c}"' if d is not None else f'{ref} AS "{c}"')
     return ", ".join(parts)

@@ -47,8 +47,17 @@ LDU_POLYGONS = T.StructType(
     ]
 )
 
-# Full attraction table (one row per store x postal code).
-ATTRACTION_COLUMNS = STORE_COLUMNS[:8] + [
+# Fixed values (column names and orders of published tables): full attraction
+# table, one row per store x postal code.
+ATTRACTION_COLUMNS = [
+    "STORE_NUM",
+    "CUSTOMER_GROUP",
+    "STORE_NAME",
+    "CHANNEL",
+    "SALES_GROUP",
+    "BANNER",
+    "STORE_STREET",
+    "STORE_PROVINCE",
     "POSTALCODE",
     "STORE_LATITUDE",
     "STORE_LONGITUDE",
@@ -62,8 +71,29 @@ ATTRACTION_COLUMNS = STORE_COLUMNS[:8] + [
     "HAVERSINE_DISTANCE",
 ]
 
-# Attraction after the share cut: adds PERCENT_ATTRACTION.
-SHARE_COLUMNS = ATTRACTION_COLUMNS[:17] + ["PERCENT_ATTRACTION", "REVENUE_CY", "HAVERSINE_DISTANCE"]
+# Attraction after the share cut, with PERCENT_ATTRACTION.
+SHARE_COLUMNS = [
+    "STORE_NUM",
+    "CUSTOMER_GROUP",
+    "STORE_NAME",
+    "CHANNEL",
+    "SALES_GROUP",
+    "BANNER",
+    "STORE_STREET",
+    "STORE_PROVINCE",
+    "POSTALCODE",
+    "STORE_LATITUDE",
+    "STORE_LONGITUDE",
+    "LATITUDE",
+    "LONGITUDE",
+    "PROV",
+    "Attraction",
+    "TOTAL_POSTALCODE_ATTRACTION",
+    "CUMULATIVE_PERCENT_ATTRACTION",
+    "PERCENT_ATTRACTION",
+    "REVENUE_CY",
+    "HAVERSINE_DISTANCE",
+]
 
 # Raw long features (one table per projection year / newcomer part).
 # VARIABLES / VALUES are keywords in most SQL dialects; the fixtures call

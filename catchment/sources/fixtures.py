@@ -11,7 +11,6 @@ text is the oracle's copy.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,19 +69,9 @@ SOCIAL_VALUE_YEARS = [2023, 2024]
 # ---------------------------------------------------------------------------
 # Base tables
 # ---------------------------------------------------------------------------
-_BASE_READS: dict[tuple, DataFrame] = {}
-
-
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a base table.  The relation (file listing and schema) is kept
-    per session and path, so building several stages does not re-list the
-    files; the data is read when a query runs."""
-    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), name)
-    df = _BASE_READS.get(key)
-    if df is None:
-        df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-        _BASE_READS[key] = df
-    return df
+    """Scan of a base table, from wherever Spark finds the folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _province(key: Column) -> Column:
@@ -170,10 +159,13 @@ def ldu_part2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Long feature tables
 # ---------------------------------------------------------------------------
 def _postal_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per postal code: the customer whose key is the postal
-    code's own number."""
+    """One record per postal code from all of its customers: the postal
+    code's number (as c_custkey) and their balances added up, in cents."""
     c = F.col("c_custkey")
-    return read_base(spark, sf_dir, "customer").select("c_custkey").filter(c % POLYGONS_PER_POSTAL == 0)
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    return read_base(spark, sf_dir, "customer").groupBy((c - c % POLYGONS_PER_POSTAL).alias("c_custkey")).agg(
+        F.abs(F.sum(cents)).alias("cents")
+    )
 
 
 def _literal_rows(rows: list[tuple], names: list[str]) -> Column:
@@ -195,11 +187,11 @@ def features_demo(spark: SparkSession, sf_dir: str, prefixes: list[str] | None =
     value = (
         F.when(
             (v.Category != "Basics") & ((c + v.yr) % 11 == 0), F.lit(None).cast("double")
-        ).otherwise(((c * 31 + v.yr * 7 + F.length(v.suffix) * 13) % 997 + 1).cast("double"))
+        ).otherwise(((c * 31 + v.yr * 7 + F.length(v.suffix) * 13 + F.col("cents")) % 997 + 1).cast("double"))
     )
     return (
         _postal_customers(spark, sf_dir)
-        .select(c, F.explode(_literal_rows(combos, ["prefix", "yr", "suffix", "Description", "Category"])).alias("v"))
+        .select(c, "cents", F.explode(_literal_rows(combos, ["prefix", "yr", "suffix", "Description", "Category"])).alias("v"))
         .filter(~((v.suffix == "INC1") & (c % 21 == 0)))
         .select(
             _postal_code(c).alias("CODE"),
@@ -217,11 +209,11 @@ def features_newcomer(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     rows = [(code, desc) for code, desc, _leaf in NEWCOMER_VARIABLES]
     return _postal_customers(spark, sf_dir).select(
-        c, F.explode(_literal_rows(rows, ["code", "descr"])).alias("v")
+        c, "cents", F.explode(_literal_rows(rows, ["code", "descr"])).alias("v")
     ).select(
         _postal_code(c).alias("CODE"),
         v.code.alias("var_code"),
-        ((c * 17 + F.length(v.descr)) % 101).cast("double").alias("var_value"),
+        ((c * 17 + F.length(v.descr) + F.col("cents")) % 101).cast("double").alias("var_value"),
         v.descr.alias("Description"),
         F.lit(NEWCOMER_CATEGORY).alias("Category"),
     )
@@ -233,11 +225,11 @@ def features_social(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     v = F.col("v")
     return _postal_customers(spark, sf_dir).select(
-        c, F.explode(_literal_rows(combos, ["code", "descr", "cat", "yr"])).alias("v")
+        c, "cents", F.explode(_literal_rows(combos, ["code", "descr", "cat", "yr"])).alias("v")
     ).select(
         _postal_code(c).alias("CODE"),
         v.code.alias("var_code"),
-        ((c * 13 + v.yr + F.length(v.descr)) % 211 + 1).cast("double").alias("var_value"),
+        ((c * 13 + v.yr + F.length(v.descr) + F.col("cents")) % 211 + 1).cast("double").alias("var_value"),
         v.descr.alias("Description"),
         v.cat.cast("string").alias("Category"),
         v.yr.cast("int").alias("YEAR"),

@@ -9,19 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") -> DataFrame:
-    """Whole-table scan by catalog name, or by path when it contains a '/'."""
-    if "/" in name_or_path:
-        return spark.read.format(fmt).load(name_or_path)
-    return spark.table(name_or_path)
-
-
-def read_stage(spark: SparkSession, name_or_path: str, predicate=None, fmt: str = "parquet") -> DataFrame:
-    """Re-read a stage table with an optional filter (pushed to the scan)."""
-    df = read_table(spark, name_or_path, fmt)
-    return df if predicate is None else df.filter(predicate)
-
-
 def sql_literal(value, sql_type: str | None = None) -> str:
     """A Spark SQL literal for a Python value (strings escaped), optionally
     cast to ``sql_type``."""
@@ -89,11 +76,6 @@ def stack_by_position(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.union(b), dfs)
 
 
-def stack(*dfs: DataFrame) -> DataFrame:
-    """``UNION ALL`` by column name."""
-    return reduce(lambda a, b: a.unionByName(b), dfs)
-
-
 def largest_polygon(polygons: DataFrame) -> DataFrame:
     """One centroid per (POSTALCODE, PROV): that of the largest polygon.
 

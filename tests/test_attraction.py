@@ -44,11 +44,11 @@ def test_salted_fallback_equals_broadcast(spark, sf_small):
     s, l = inputs.stores(spark, sf_small), inputs.ldu(spark, sf_small)
     cols = ["STORE_NUM", "POSTALCODE", "PROV"]
     fast = sorted(tuple(r) for r in adjm.pairs(s, att.layout_postal(l)).select(*cols).collect())
-    spark.conf.set("catchment.broadcast.maxRows", "0")
+    spark.conf.set("catchment.broadcast.maxBytes", "0")
     try:
         salted = sorted(tuple(r) for r in adjm.pairs(s, att.layout_postal(l)).select(*cols).collect())
     finally:
-        spark.conf.unset("catchment.broadcast.maxRows")
+        spark.conf.unset("catchment.broadcast.maxBytes")
     assert fast == salted and len(fast) > 0
 
 
@@ -143,9 +143,9 @@ def test_salted_fallback_shares_equal_broadcast_shares(spark, sf_small):
         )
 
     fast = rows()
-    spark.conf.set("catchment.broadcast.maxRows", "0")
+    spark.conf.set("catchment.broadcast.maxBytes", "0")
     try:
         salted = rows()
     finally:
-        spark.conf.unset("catchment.broadcast.maxRows")
+        spark.conf.unset("catchment.broadcast.maxBytes")
     assert fast == salted and len(fast) > 0

@@ -1,5 +1,6 @@
 """Leave-one-out competition invariants and the wide / long equivalence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from catchment import schemas
@@ -66,9 +67,31 @@ def test_long_equals_wide_then_unpivot_then_affected(spark, sf_small):
     s = inputs.one_pct(spark, sf_small)
     cols = ["STORE_NUM", "POSTALCODE", "EXCLUDED_BANNER", "EXCLUDED_ATTRACTION"]
     a = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in comp.affected(comp.leave_one_out(s)).select(*cols).collect())
-    wide = comp.competition_wide(s)
-    b = sorted(
-        (r[0], r[1], r[2], round(r[3], 9))
-        for r in comp.affected(comp.competition_long(wide, schemas.SHARE_COLUMNS)).select(*cols).collect()
-    )
+    b = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in comp.affected(comp.competition_long(s)).select(*cols).collect())
     assert a == b and len(a) > 0
+    wide = comp.competition_wide(s)
+    names = [c for c in wide.columns if c.startswith(comp.PREFIX)]
+    one = {(r.STORE_NUM, r.POSTALCODE): r for r in wide.collect()}
+    for store, postal, label, value in b:
+        assert round(one[store, postal][comp.PREFIX + label], 9) == value
+    assert len(names) == len({r[2] for r in b})
+
+
+AWKWARD = [(1, "ST. JOHN", "P1", 10.0), (2, "A B", "P1", 5.0), (3, "A_B", "P1", 5.0), (4, "CHANNEL", "P1", 20.0), (5, "A B", "P2", 1.0)]
+
+
+def test_long_form_takes_any_banner_name(spark):
+    rows = comp.competition_long(shares_df(spark, AWKWARD)).collect()
+    assert len(rows) == 5 * 4 and {r.EXCLUDED_VALUE for r in rows} == {"ST. JOHN", "A B", "A_B", "CHANNEL"}
+    got = {(r.STORE_NUM, r.EXCLUDED_VALUE): r.EXCLUDED_ATTRACTION for r in rows}
+    assert got[1, "A B"] == 10 / 35 and got[1, "A_B"] == 10 / 35 and got[1, "ST. JOHN"] == 0
+    assert got[4, "ST. JOHN"] == 20 / 30 and got[5, "CHANNEL"] == 1.0
+    present = {(r.STORE_NUM, r.EXCLUDED_VALUE) for r in comp.leave_one_out(shares_df(spark, AWKWARD)).collect()}
+    assert present == {k for k in got if k[0] < 5} | {(5, "A B")}
+
+
+def test_wide_form_names(spark):
+    wide = comp.competition_wide(shares_df(spark, [r for r in AWKWARD if r[1] != "A_B"]))
+    assert comp.PREFIX + "ST._JOHN" in wide.columns and wide.count() == 4
+    with pytest.raises(ValueError, match="A_B"):
+        comp.competition_wide(shares_df(spark, AWKWARD))

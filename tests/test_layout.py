@@ -2,18 +2,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catchment.plans import layout
-from catchment.sources import fixtures as fx
 
 
-def test_local_tables_have_known_sizes(spark):
-    assert layout.local_row_count(fx.master_dim(spark)) == 15
-    assert layout.local_row_count(fx.language_mapping(spark)) == 3
-    assert layout.local_row_count(spark.range(10)) is None
-
-
-def test_fits_broadcast_counts_at_most_bound(spark):
-    assert layout.fits_broadcast(spark.range(10), max_rows=10)
-    assert not layout.fits_broadcast(spark.range(11), max_rows=10)
+def test_broadcast_bound_is_in_bytes(spark):
+    df = spark.createDataFrame([("abc", 1), (None, 2)], "s string, n long")
+    assert layout.table_bytes(df) == 2 * (16 + 8 + 8) + 3
+    assert layout.fits_broadcast(df, max_bytes=67) and not layout.fits_broadcast(df, max_bytes=66)
+    assert layout.table_bytes(df.limit(0)) == 0
 
 
 def test_keyed_totals_equals_window_with_null_keys(spark):

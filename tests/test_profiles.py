@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catchment.operators import features as feat
 from catchment.operators import levels as lv
 from catchment.operators import profiles as prof
 from catchment.plans import inputs
@@ -15,16 +16,79 @@ def _rows(df, cols, digits=9):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-def test_keyed_profile_equals_wide_profile(spark, sf_small):
+def test_keyed_profile_equals_plain_table_profile(spark, sf_small):
     shares = inputs.half_pct(spark, sf_small)
     keyed = inputs.features_melted_keyed(spark, sf_small)
     lang = fx.language_mapping(spark)
-    a = prof.demographic_profile(shares, keyed, lang, inputs.stores(spark, sf_small))
+    a = prof.demographic_profile(shares, keyed, lang)
     b = prof.demographic_profile(shares, keyed.table(), lang)
     cols = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
     assert _rows(a, cols) == _rows(b, cols)
 
 
+def _variants(spark, dims=1, languages=1):
+    """One store, one postal code, one variable with value 4 and population 10,
+    whose dimension or language rows repeat."""
+    shares = spark.createDataFrame(
+        [("P1", 1.0, *[None] * 7, 1.0, 2.0, "ON")],
+        "POSTALCODE string, PERCENT_ATTRACTION double, CUSTOMER_GROUP string, STORE_NAME string, STORE_NUM long, "
+        "CHANNEL string, SALES_GROUP string, BANNER string, STORE_STREET string, STORE_LONGITUDE double, "
+        "STORE_LATITUDE double, STORE_PROVINCE string",
+    )
+    cells = spark.createDataFrame(
+        [("P1", m, 4.0, 1.0, 1.0, 1.0, 10.0) for m in range(dims)],
+        "POSTALCODE string, __mid long, val double, TOTAL_HOUSEHOLDS double, TOTAL_HOUSEHOLD_POPULATION double, "
+        "TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER double, TOTAL_POPULATION double",
+    )
+    meta = spark.createDataFrame(
+        [(m, "v1", "d", "c", f"h{m}", "x", 1, 1, m, 2023) for m in range(dims)],
+        "__mid long, variable string, Description string, Category string, Hierarchy_Description string, "
+        "MEDIAN_AVERAGE string, ADD_TO_PROFILE int, LEAF_NODE_FLAG int, TOTAL_FLAG int, YEAR int",
+    )
+    language = spark.createDataFrame([("v1", "EN")] * languages, "Variable string, Language_Grouping string")
+    names = [c for c in meta.columns if c not in ("__mid", "YEAR")]
+    return shares, feat.Melted(cells, meta, list(feat.DEMO_TOTALS), names, present=cells), language
+
+
+def test_dimension_variants_are_one_row(spark):
+    shares, melted, language = _variants(spark, dims=2)
+    for m in (melted, melted.table()):
+        rows = prof.demographic_profile(shares, m, language).collect()
+        assert [(r.val, r.TOTAL_POPULATION, r.Hierarchy_Description, r.TOTAL_FLAG) for r in rows] == [(8.0, 20.0, "h0", 0)]
+
+
+def test_language_repeats_weigh_the_sums(spark):
+    shares, melted, language = _variants(spark, languages=2)
+    for m in (melted, melted.table()):
+        rows = prof.demographic_profile(shares, m, language).collect()
+        assert [(r.val, r.TOTAL_POPULATION, r.Language_Grouping) for r in rows] == [(8.0, 20.0, "EN")]
+    missing = prof.demographic_profile(shares, melted, language.limit(0)).collect()
+    assert [(r.val, r.Language_Grouping) for r in missing] == [(4.0, None)]
+
+
+def test_profile_reads_the_pairs_once_and_collects_nothing(spark, sf_small):
+    plan = inputs.demographic_profile(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("supplier") <= 1 or plan.count("Window") <= 6
+    assert "collect_list(named_struct(__mid" not in plan
+
+
+def test_store_name_conflicts(spark):
+    rows = [(1, "B", "ON", "a"), (1, "B", "ON", "b"), (1, "B", "ON", "a"), (1, "B", "QC", "a"), (2, "B", "ON", "c")]
+    df = spark.createDataFrame(rows, "STORE_NUM long, BANNER string, STORE_PROVINCE string, STORE_NAME string")
+    assert [tuple(r) for r in prof.store_name_conflicts(df).collect()] == [(1, "B", "ON", 2)]
+
+
+def test_ratio_by_category_branches(spark):
+    cats = ["Households by Type", "Household Population 15 Years or Over by X", "Household Population by Age", "Other", None]
+    df = spark.createDataFrame(
+        [(c, 12.0, 2.0, 3.0, 4.0, 6.0) for c in cats],
+        "Category string, val double, TOTAL_HOUSEHOLDS double, TOTAL_HOUSEHOLD_POPULATION double, "
+        "TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER double, TOTAL_POPULATION double",
+    )
+    got = {r.Category: r.STORE_RATIO for r in prof.ratio_by_category(df).collect()}
+    assert got == dict(zip(cats, [6.0, 3.0, 4.0, 2.0, 2.0], strict=True))
+
+
 def test_profile_drops_trends_and_null_values(spark, sf_small):
     p = inputs.demographic_profile(spark, sf_small)
     assert p.filter(F.col("Category").isin("Trends", "Attitudes") | F.col("Category").isNull()).count() == 0
@@ -69,23 +133,6 @@ def test_level_percent_denominators_match_windows(spark, sf_small):
     assert _rows(grouped, cols) == _rows(windowed, cols)
 
 
-def test_clustered_layout_equals_postal_layout(spark, sf_small):
-    cols = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
-    out = {}
-    for layout in ("postal", "clustered"):
-        spark.conf.set("catchment.profile.layout", layout)
-        try:
-            out[layout] = _rows(inputs.demographic_profile(spark, sf_small), cols)
-        finally:
-            spark.conf.unset("catchment.profile.layout")
-    assert out["postal"] == out["clustered"] and len(out["postal"]) > 0
-
-
-def test_layout_choice_follows_estimated_partial_rows(spark):
-    assert prof.profile_layout(spark, 100, 50) == "postal"
-    assert prof.profile_layout(spark, 7_000, 5_000) == "clustered"  # 8 tasks x 35M > 200M
-
-
 def test_region_percent_per_year_option(spark, sf_small):
     with_values = lv.level_values(inputs.demographic_profile(spark, sf_small))
     name, value, keys = [p for p in lv.LEVEL_PERCENTS if p[0] == "REGION_VALUE_PERCENT"][0]
@@ -119,15 +166,3 @@ def test_two_total_rows_in_a_category_fan_out(spark):
     out = lv.attach_category_total(df).collect()
     assert len(out) == 6  # every row once per total row
     assert sorted({r.TOTAL_CATEGORY for r in out}) == [10.0, 30.0]
-
-
-def test_store_id_bound_falls_back_to_wide_keys(spark, sf_small):
-    cols = prof.DEMO_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
-    keyed = _rows(inputs.demographic_profile(spark, sf_small), cols)
-    spark.conf.set("catchment.profile.maxStores", "1")
-    try:
-        assert prof.store_ids(inputs.stores(spark, sf_small)) is None
-        wide = _rows(inputs.demographic_profile(spark, sf_small), cols)
-    finally:
-        spark.conf.unset("catchment.profile.maxStores")
-    assert keyed == wide and len(keyed) > 0

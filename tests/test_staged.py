@@ -20,10 +20,10 @@ def test_staged_pipeline_matches_queries(spark, sf_small):
     melted = P.features(spark, fx.feature_parts(spark, sf), fx.master_dim(spark))
     assert melted.count() == inputs.features_melted(spark, sf).count()
 
-    staged = P.profiles(spark, fx.stores_raw(spark, sf), fx.language_mapping(spark))
+    staged = P.profiles(spark, fx.language_mapping(spark))
     direct = lv.demographic_store_table(inputs.demographic_profile(spark, sf))
     assert _rows(staged, schemas.PROFILE_FINAL_COLUMNS) == _rows(direct, schemas.PROFILE_FINAL_COLUMNS)
 
-    sv_staged = P.social(spark, fx.social_value_parts(spark, sf), fx.stores_raw(spark, sf))
+    sv_staged = P.social(spark, fx.social_value_parts(spark, sf))
     sv_direct = lv.social_store_table(inputs.social_profile(spark, sf))
     assert _rows(sv_staged, sv_direct.columns) == _rows(sv_direct, sv_direct.columns)
