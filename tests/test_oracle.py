@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from catchment.queries import ORACLES, QUERIES
 
 SF = os.environ.get("CATCHMENT_ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = ["supplier", "customer"]
@@ -35,14 +36,15 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     s_rows = df.collect()
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     o_cols = [d[0] for d in cur.description]
     o_rows = cur.fetchall()
     assert sorted(df.columns) == sorted(o_cols)
