@@ -63,7 +63,7 @@ def main():
     ap.add_argument("--out", default="PLANS.md")
     args = ap.parse_args()
     from catchment.session import local_session
-    import __spark_entry__ as E
+    from catchment import queries as Q
 
     spark = local_session(8)
     lines = [
@@ -78,7 +78,7 @@ def main():
         "| Query | Exchanges (keys, origin) | Broadcasts | Joins | Windows | Python |",
         "| --- | --- | --- | --- | --- | --- |",
     ]
-    for name, fn in E.queries().items():
+    for name, fn in dict(Q.QUERIES).items():
         df = fn(spark, args.sf)
         df.collect()  # run it, so the adaptive plan is final
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
