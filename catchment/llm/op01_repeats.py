@@ -24,8 +24,10 @@ Exact copies of a text are one text from the start, and copies of a passage
 collapse by the hash of their surroundings, so buckets hold distinct strings
 only.  A gram with more than ``BUCKET`` of them (a line in a third of all
 documents) is split: its windows are dealt by offset into cells keyed by all
-bytes that the cell's windows share, down to one window a cell, where the key
-is the whole string.  Buckets are packed into tasks by bytes.
+bytes that the cell's windows share.  Beyond ``BUCKET`` times the largest of
+``CELLS`` a cell is one window, its key the whole string, and keys are only
+counted.  Counts are aggregated before they are shuffled, and joined back so
+that a hot gram can be split; buckets are packed into tasks by bytes.
 
 Defined results: null and empty texts have no bytes and no spans; texts are
 UTF-8 bytes, matches never cross texts; two documents with the same text of
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
@@ -177,14 +179,14 @@ def gram_table(texts: DataFrame) -> DataFrame:
     )
 
 
-def cell_width(members: int) -> int:
-    return next((w for times, w in CELLS if members <= BUCKET * times), 1)
+def cell_width(members: int, bucket: int = BUCKET) -> int:
+    return next((w for times, w in CELLS if members <= bucket * times), 1)
 
 
-def cells(text: bytes, h: int, pos: int, lo: int, hi: int, members: int) -> Iterator[tuple]:
+def cells(text: bytes, h: int, pos: int, lo: int, hi: int, members: int, bucket: int = BUCKET) -> Iterator[tuple]:
     """(key, first offset, last offset, own range, left part reversed, right
     part) of each cell of a gram's windows; offsets are bytes before the gram."""
-    width = cell_width(members)
+    width = cell_width(members, bucket)
     for c in range(lo // width, hi // width + 1):
         olo, ohi = c * width, min(c * width + width, OFFSETS) - 1
         mlo, mhi = max(lo, olo), min(hi, ohi)
@@ -252,6 +254,7 @@ def expand(table: pa.Table) -> pa.Table:
         cls[rank] = new
         rank = rank[size[new] > 1]
     out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    out = out[~table.column("whole").to_numpy()[out[:, 0]]]  # known to be repeated as they stand
     out = out[np.lexsort((out[:, 1], out[:, 0]))]
     head = np.r_[True, (np.diff(out[:, 0]) != 0) | (np.diff(out[:, 1]) != 1)][: len(out)]
     first = np.flatnonzero(head)
@@ -263,30 +266,37 @@ def expand(table: pa.Table) -> pa.Table:
     })
 
 
-def repeat_spans(texts: DataFrame) -> DataFrame:
-    """(tk, n, spans): byte ranges to remove of every text that has some."""
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    occurrence = F.struct("tk", "n", "places")
-    gram, ctx = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
-    # Of grams that occur once nothing is kept.  ``members`` is at least the number of distinct surroundings.
-    kept = written(
-        gram_table(texts).repartition(parts, "h")
-        .withColumns({"mixed": F.min("ctx").over(gram) != F.max("ctx").over(gram), "members": F.count(F.lit(1)).over(gram)})
-        .withColumn("whole", (F.min(occurrence).over(ctx) != F.max(occurrence).over(ctx)) | (F.max(F.size("places")).over(ctx) > 1))
-        .withColumn("head", F.row_number().over(ctx.orderBy("tk", "n", "places")) == 1)
-        .filter("mixed OR whole"),
-        "grams",
+def repeated_grams(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``kept``: the gram rows of grams that occur more than once, with
+    ``mixed`` (their surroundings differ) and ``members`` (at least the number
+    of distinct surroundings); ``contexts``: one row per gram and surroundings
+    with its smallest occurrence and ``whole`` (it occurs more than once)."""
+    found = written(gram_table(texts), "grams")
+    # Written, so that the join shuffles both sides itself and adaptive execution can split a hot gram.
+    seen = written(
+        found.groupBy("h").agg(
+            (F.min("ctx") != F.max("ctx")).alias("mixed"), F.count(F.lit(1)).alias("members"),
+            F.sum(F.size("places")).alias("occurrences"),
+        ).filter("occurrences > 1").drop("occurrences"), "gram-counts",
     )
-    asked = kept.filter("mixed AND head").groupBy("tk", "n").agg(
-        F.collect_list(F.struct("h", "ctx", "id", F.col("places")[0].alias("pos"), "lo", "hi", "members")).alias("asked")
+    kept = written(found.join(seen, "h"), "repeated-grams")
+    ends = kept.groupBy("h", "ctx", "mixed", "members").agg(
+        F.min(F.struct("tk", "n", "places", "id", "lo", "hi")).alias("one"),
+        F.max(F.struct("tk", "n", "places")).alias("last"), F.max(F.size("places")).alias("most"),
     )
-    total = kept.filter("mixed AND head").count() * 2 * OFFSETS
-    packs = max(parts, -(-total // PACK_BYTES))
+    whole = (F.struct("one.tk", "one.n", "one.places") != F.col("last")) | (F.col("most") > 1)
+    return kept, written(ends.withColumn("whole", whole).select("h", "ctx", "mixed", "members", "one.*", "whole"), "gram-contexts")
+
 
-    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "ctx", "key", "span", "lo", "hi", "olo", "left", "right"]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
+def surroundings(texts: DataFrame, contexts: DataFrame, bucket: int) -> DataFrame:
+    """The cells of the given surroundings, from the texts of their occurrences."""
+    asked = contexts.groupBy("tk", "n").agg(
+        F.collect_list(F.struct("h", "ctx", "whole", "id", F.col("places")[0].alias("pos"), "lo", "hi", "members")).alias("asked")
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "ctx", "whole", "key", "span", "lo", "hi", "olo", "left", "right"]
+        kinds = [pa.int64()] * 2 + [pa.bool_(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()] * 2
         for batch in batches:
             for i in range(batch.num_rows):
                 me = batch.column(0)[i].as_py()
@@ -295,28 +305,48 @@ def repeat_spans(texts: DataFrame) -> DataFrame:
                     continue
                 text = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")
                 rows = [
-                    (x["h"], x["ctx"], *cell) for x in mine
-                    for cell in cells(text, x["h"], x["pos"], x["lo"], x["hi"], x["members"])
+                    (x["h"], x["ctx"], x["whole"], *cell) for x in mine
+                    for cell in cells(text, x["h"], x["pos"], x["lo"], x["hi"], x["members"], bucket)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
                 )
 
-    found = (
-        texts.join(asked.hint("merge"), ["tk", "n"]).select("id", "text", "asked")
-        .mapInArrow(surround, "h long, ctx long, key long, span int, lo int, hi int, olo int, left binary, right binary")
-        .groupBy(F.pmod(F.xxhash64("key"), F.lit(packs)).alias("pack")).applyInArrow(expand, "h long, ctx long, a int, b int")
+    return texts.join(asked.hint("merge"), ["tk", "n"]).select("id", "text", "asked").mapInArrow(
+        work, "h long, ctx long, whole boolean, key long, span int, lo int, hi int, olo int, left binary, right binary"
+    )
+
+
+def repeat_spans(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(tk, n, spans): byte ranges to remove of every text that has some."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept, contexts = repeated_grams(texts)
+    mixed = contexts.filter("mixed")
+    packs = max(parts, -(-mixed.count() * 2 * OFFSETS // PACK_BYTES))
+    shared = F.col("members") > bucket * CELLS[-1][0]
+    expanded = (
+        surroundings(texts, mixed.filter(~shared), bucket).groupBy(F.pmod(F.xxhash64("key"), F.lit(packs)).alias("pack"))
+        .applyInArrow(expand, "h long, ctx long, a int, b int")
+    )
+    # Cells of one window need no extension: counting their keys, before the shuffle too, tells which occur twice.
+    singles = written(surroundings(texts, mixed.filter(shared), bucket).select("h", "ctx", "whole", "key", "olo"), "windows")
+    twice = written(
+        singles.groupBy("h", "olo", "key").agg((F.min("ctx") != F.max("ctx")).alias("twice")).filter("twice"), "repeated-windows"
     )
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    counted = singles.filter("NOT whole").join(twice, ["h", "olo", "key"]).select(
+        "h", "ctx", F.col("olo").alias("a"), F.col("olo").alias("b")
+    ).distinct()
+    whole = contexts.filter("whole").select("h", "ctx", F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b"))
+    ranges = whole.unionByName(expanded).unionByName(counted)
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")).alias("s")
     pos: Column = F.col("pos")
-    whole = kept.filter("whole").withColumn("pos", F.explode("places")).select("tk", "n", span(pos - F.col("hi"), pos - F.col("lo") + LENGTH).alias("s"))
-    partly = kept.filter("mixed AND NOT whole").select("h", "ctx", "tk", "n", "places").join(found, ["h", "ctx"]).withColumn("pos", F.explode("places")).select(
-        "tk", "n", span(pos - F.col("b"), pos - F.col("a") + LENGTH).alias("s")
+    inside = kept.select("h", "ctx", "tk", "n", "places").join(ranges, ["h", "ctx"]).withColumn("pos", F.explode("places")).select(
+        "tk", "n", span(pos - F.col("b"), pos - F.col("a") + LENGTH)
     )
     copies = texts.filter(F.col("n") >= LENGTH).groupBy("tk", "n").count().filter("count > 1").select(
-        "tk", "n", span(F.lit(0), F.col("n")).alias("s")
+        "tk", "n", span(F.lit(0), F.col("n"))
     )
-    return whole.unionByName(partly).unionByName(copies).groupBy("tk", "n").agg(F.collect_set("s").alias("spans"))
+    return inside.unionByName(copies).groupBy("tk", "n").agg(F.collect_set("s").alias("spans"))
 
 
 def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -329,12 +359,12 @@ def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id, __sa_spans, __sa_kept): per row the removed byte ranges and the
     bytes that stay (not always whole characters)."""
     ship_package(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
-    joined = texts.join(repeat_spans(texts).hint("merge"), ["tk", "n"], "left").select("id", "text", "spans")
+    joined = texts.join(repeat_spans(texts, bucket).hint("merge"), ["tk", "n"], "left").select("id", "text", "spans")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +393,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(work, schema)
 
 
-def repeat_digest(docs: DataFrame) -> DataFrame:
+def repeat_digest(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    out = remove_repeats(docs.select("doc_id", "text"))
+    out = remove_repeats(docs.select("doc_id", "text"), bucket=bucket)
     removed = F.aggregate("__sa_spans", F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["start"]))
     return out.select(
         "doc_id", (F.octet_length("__sa_kept") + removed).alias("n_bytes"), removed.alias("n_removed"),

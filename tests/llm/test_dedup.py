@@ -33,6 +33,23 @@ def test_repeats_match_brute_force(spark):
     assert bag(op01_repeats.repeat_digest(docs_of(spark, rows))) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("bucket", [4096, 1, 0])
+def test_repeats_of_a_passage_in_many_texts(spark, bucket):
+    """One gram in all texts, with surroundings of its own in each; with small
+    buckets its windows are split into cells and counted by key."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: "".join(chr(c) for c in rng.integers(97, 101, n))
+    passage, tail = noise(230), noise(60)
+    rows = [(k, noise(40 + k) + passage + (tail[: k % 7 * 10] if k % 2 else "") + noise(30)) for k in range(80)]
+    rows += [(100, rows[3][1]), (101, passage[:190] + noise(100)), (102, noise(150) * 3)]
+    raw = [t.encode() for _, t in rows]
+    want = []
+    for (i, _), t, hit in zip(rows, raw, covered(raw), strict=True):
+        spans = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
+        want.append((i, len(t), int(hit.sum()), spans, sha(np.frombuffer(t, np.uint8)[~hit].tobytes())))
+    assert bag(op01_repeats.repeat_digest(docs_of(spark, rows), bucket)) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("members", [10, 5_000, 40_000, 10_000_000])
 def test_repeats_in_split_buckets(members):
     """Cells of any width find the same windows."""
@@ -46,12 +63,12 @@ def test_repeats_in_split_buckets(members):
     data, offsets = text_buffer(pa.array([t.decode() for t in texts]))
     row, h, ctx, pos, first, last = op01_repeats.grams(data, offsets, op01_repeats.Roller())
     parts = [
-        (int(hh), int(c), *cell)
+        (int(hh), int(c), False, *cell)
         for i, hh, c, p, a, b in zip(row, h.view(np.int64), ctx.view(np.int64), pos, first, last, strict=True)
         for cell in op01_repeats.cells(texts[i], int(hh), int(p), int(p - b), int(p - a), members)
     ]
-    names = ["h", "ctx", "key", "span", "lo", "hi", "olo", "left", "right"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
+    names = ["h", "ctx", "whole", "key", "span", "lo", "hi", "olo", "left", "right"]
+    kinds = [pa.int64()] * 2 + [pa.bool_(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()] * 2
     table = pa.table([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
     found = {(r["h"], r["ctx"], o) for r in op01_repeats.expand(table).to_pylist() for o in range(r["a"], r["b"] + 1)}
     same = {}
