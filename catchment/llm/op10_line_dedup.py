@@ -14,12 +14,12 @@ with enough documents are dropped everywhere but in the keeper.
 
 Counts are aggregated before every shuffle, so a line that a third of the
 documents share is one row per task.  Lines are kept by their number in the
-document, so only (document, line number) pairs travel back to the texts.
+text, so only (document, text hash, line number) rows travel back to the texts.
 
-Defined results: a null or empty text is one empty line; documents with the
-same id count as one document and keep or lose lines alike; a null id is one
-document below all others; lines repeated inside a document count it once,
-and the keeper keeps all of them; an empty table gives an empty result; extra
+Defined results: a null or empty text is one empty line; rows with the same
+id are one document, whatever their texts, so all of them keep its lines or
+lose them; a null id is one document below all others; lines repeated inside
+a document count it once, and the keeper keeps all of them; an empty table gives an empty result; extra
 columns are carried by ``dedup_lines`` untouched (its own columns start with
 ``__ld_``), and left out of the digest.
 """
@@ -51,12 +51,12 @@ def lines_of(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(key, doc, pos) of every line whose key has ``min_chars`` code points;
-    the key is its MD5, 16 bytes."""
+    """(key, doc, mark, pos) of every line whose key has ``min_chars`` code
+    points; the key is its MD5, 16 bytes, ``mark`` the text's hash."""
     return (
-        docs.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+        docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
         .filter(F.length(F.btrim("line", F.lit(BLANKS))) >= min_chars)
-        .select(F.unhex(F.md5(line_key(F.col("line")))).alias("key"), "doc", "pos")
+        .select(F.unhex(F.md5(line_key(F.col("line")))).alias("key"), "doc", "mark", "pos")
     )
 
 
@@ -94,7 +94,7 @@ class Runs:
 def common_lines(
     docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int
 ) -> DataFrame:
-    """(doc, drops): the line numbers each document loses."""
+    """(doc, text hash, drops): the line numbers each document loses."""
     spark = docs.sparkSession
     # Batch bounds only set how much is read at a time; results don't depend on them.
     ids = docs.select(F.col(id_col).cast("double").alias("v"))
@@ -133,7 +133,7 @@ def common_lines(
     )
     return (
         lines.join(common, "key").filter(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc").alias("__ld_doc")).agg(F.collect_set("pos").alias("__ld_drops"))
+        .groupBy(F.col("doc").alias("__ld_doc"), F.col("mark").alias("__ld_mark")).agg(F.collect_set("pos").alias("__ld_drops"))
     )
 
 
@@ -144,7 +144,8 @@ def dedup_lines(
     """All rows of ``docs`` with two more columns: ``__ld_kept`` (the text that
     stays) and ``__ld_drops`` (the dropped line numbers, null if none)."""
     drops = common_lines(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__ld_doc")), "left").drop("__ld_doc")
+    same = (F.xxhash64(text_col) == F.col("__ld_mark")) & F.col(id_col).eqNullSafe(F.col("__ld_doc"))
+    joined = docs.join(drops, same, "left").drop("__ld_doc", "__ld_mark")
     lines = F.col("__ld_lines")
     # A set difference of line numbers: the time grows with the lines, not with lines times drops.
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__ld_drops")

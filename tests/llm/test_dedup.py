@@ -85,8 +85,12 @@ def test_repeats_in_split_buckets(members):
     assert found
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("ids", ["own", "shared"])
+def test_line_dedup_matches_brute_force(spark, ids):
     rows = edge_texts()
+    if ids == "shared":  # rows of one id, and of no id, with other texts and other places of a common line
+        common = "this very line stands in many documents, at any place"
+        rows = rows + [(i, "\n".join([*["x" * 50 + str(k)] * k, common, "end"])) for k, i in enumerate([None, None, 70, 70, 71, 72, 73])]
     rank = lambda i: -1 if i is None else i
     blanks, lower = " \t\n\x0b\x0c\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda l: l.strip(blanks).translate(lower)
@@ -100,8 +104,8 @@ def test_line_dedup_matches_brute_force(spark):
         drop = [len(key(l)) >= 40 and len(holders[key(l)]) >= 5 and rank(i) != max(holders[key(l)]) for l in ls]
         want.append((i, len(ls), sum(drop), sha("\n".join(l for l, d in zip(ls, drop, strict=True) if not d))))
     assert sum(w[2] for w in want) > 5
-    assert bag(op10_line_dedup.line_digest(docs_of(spark))) == sorted(want, key=repr)
-    assert bag(op10_line_dedup.line_digest(docs_of(spark), batches=1)) == sorted(want, key=repr)
+    assert bag(op10_line_dedup.line_digest(docs_of(spark, rows))) == sorted(want, key=repr)
+    assert bag(op10_line_dedup.line_digest(docs_of(spark, rows), batches=1)) == sorted(want, key=repr)
 
 
 def shingle_set(text):
