@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+#: Rows of an Arrow batch where the session has Spark's default: whole texts
+#: are longer than the rows that default is meant for.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, deleted at exit."""
@@ -45,7 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so they
-    can import it wherever it is installed on the driver."""
+    can import it wherever it is installed on the driver; batches of texts
+    get their size."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
     name = f"{package.name}-{sc.applicationId}.zip"
     if name in sc._python_includes:
