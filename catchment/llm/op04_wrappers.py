@@ -7,8 +7,8 @@ their tags; what only one side has becomes an optional group, neighbours (or
 neighbouring sequences of two or three) that repeat become a repeated group,
 and differing texts become a text slot.  Slots are then judged on the
 wrapper: outside or inside the article, inside a menu, header, footer, side
-bar, notice, advert, form, script or comment section, or a string that is the
-same on all pages of the host.  Extraction runs a page's stream along its
+bar, notice, advert, form, script or comment section, or, outside the
+article, a string that is the same on all pages of the host.  Extraction runs a page's stream along its
 host's wrapper and keeps the texts of article slots, or, on a page without
 an article or main element, of all slots that are not judged away.
 
@@ -22,7 +22,8 @@ Defined results: null and empty html give an empty text; a null url, or one
 without host, counts to the host ``''``; unclosed tags end where HTML ends
 them, a page without ``</body>`` at its end; nesting deeper than
 ``MAX_DEPTH`` is flattened, without loss of text; ``br`` is white space;
-repeated rows each get their row and count once among a host's pages; an
+repeated rows each get their row and count once among the pages of a host and
+of a slot; an
 empty table gives an empty result; extra columns are not carried on.
 """
 
@@ -43,7 +44,7 @@ from .buffers import slices, text_buffer
 from .op03_url_rules import url_host
 from .stage import ship_package, written
 
-#: A text that is the same on so many different pages of a host is template.
+#: A text outside the article that is the same on so many different pages of a host is template.
 TEMPLATE_PAGES = 5
 MAX_DEPTH, MAX_CELLS, SALTS = 200, 1_000_000, 16
 GROUP_WIDTHS = (1, 2, 3)
@@ -153,12 +154,14 @@ def parse(page: str) -> list:
 
 
 class Item:
-    """A part of a wrapper: a tag with parts, a text slot, or a repeated sequence."""
+    """A part of a wrapper: a tag with parts, a text slot, or a repeated sequence.
+    A slot whose text is the same so far has up to ``TEMPLATE_PAGES`` marks of
+    the different pages it is on, the smallest ones."""
 
     __slots__ = ("label", "opt", "rep", "pages", "text", "kids", "keep")
 
-    def __init__(self, label, opt=False, rep=False, pages=1, text=None, kids=()):  # noqa: ANN001
-        self.label, self.opt, self.rep, self.pages, self.text, self.kids = label, opt, rep, pages, text, list(kids)
+    def __init__(self, label, opt=False, rep=False, pages=(), text=None, kids=()):  # noqa: ANN001
+        self.label, self.opt, self.rep, self.pages, self.text, self.kids = label, opt, rep, tuple(pages), text, list(kids)
         self.keep = 0
 
     def dump(self) -> list:
@@ -169,19 +172,22 @@ class Item:
         return Item(x[0], bool(x[1]), bool(x[2]), x[3], x[4], [Item.load(k) for k in x[5]])
 
 
-def wrapper_of(nodes: list) -> list[Item]:
+def wrapper_of(nodes: list, mark: int) -> list[Item]:
     """The wrapper of one page: its own stream with repeats folded."""
     return fold([
-        Item(TEXT, text=zlib.crc32(kids.encode("utf-8", "surrogatepass"))) if label == TEXT
-        else Item(label, kids=wrapper_of(kids))
+        Item(TEXT, pages=(mark,), text=zlib.crc32(kids.encode("utf-8", "surrogatepass"))) if label == TEXT
+        else Item(label, kids=wrapper_of(kids, mark))
         for label, kids in nodes
     ])
 
 
-def merged(a: Item, b: Item, pages: int) -> Item:
-    """One part for two that match; ``pages``: of how many pages it is."""
+def merged(a: Item, b: Item) -> Item:
+    """One part for two that match."""
     kids = fold(align(a.kids, b.kids)) if a.kids or b.kids else []
-    return Item(a.label, a.opt or b.opt, a.rep or b.rep, pages, a.text if a.text == b.text else None, kids)
+    text, pages = (a.text, a.pages) if a.text == b.text else (None, ())
+    if pages and pages != b.pages:
+        pages = sorted({*pages, *b.pages})[:TEMPLATE_PAGES]
+    return Item(a.label, a.opt or b.opt, a.rep or b.rep, pages, text, kids)
 
 
 def fold(items: list[Item]) -> list[Item]:
@@ -195,19 +201,19 @@ def fold(items: list[Item]) -> list[Item]:
             if width == 1:
                 if out[-1].label == out[-2].label != "+":
                     b, a = out.pop(), out.pop()
-                    both = merged(a, b, max(a.pages, b.pages))
+                    both = merged(a, b)
                     both.rep = True
                     out.append(both)
                 continue
             tail = out[-width:]
             group = out[-width - 1] if len(out) > width else None
             if group is not None and group.label == "+" and [k.label for k in group.kids] == [k.label for k in tail]:
-                group.kids = [merged(a, b, max(a.pages, b.pages)) for a, b in zip(group.kids, tail, strict=True)]
+                group.kids = [merged(a, b) for a, b in zip(group.kids, tail, strict=True)]
                 del out[-width:]
             elif len(out) >= 2 * width and [k.label for k in out[-2 * width : -width]] == [k.label for k in tail]:
-                kids = [merged(a, b, max(a.pages, b.pages)) for a, b in zip(out[-2 * width : -width], tail, strict=True)]
+                kids = [merged(a, b) for a, b in zip(out[-2 * width : -width], tail, strict=True)]
                 del out[-2 * width :]
-                out.append(Item("+", rep=True, pages=kids[0].pages, kids=kids))
+                out.append(Item("+", rep=True, kids=kids))
         items = out
     return items
 
@@ -258,7 +264,7 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
             only.opt = True
             out.append(only)
         if p < len(a) and q < len(b):
-            out.append(merged(a[p], b[q], a[p].pages + b[q].pages))
+            out.append(merged(a[p], b[q]))
         i, j = p + 1, q + 1
     return out
 
@@ -274,37 +280,33 @@ def pattern(items: list[Item]) -> str:
 
 
 class Wrapper:
-    """A host's wrapper and up to ``TEMPLATE_PAGES`` marks of different pages it was made of."""
+    """A host's wrapper."""
 
-    def __init__(self, items: list[Item], marks: set[int]) -> None:
-        self.items, self.marks = items, marks
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
 
     @staticmethod
     def of(page: str) -> Wrapper:
-        return Wrapper(wrapper_of(parse(page)), {zlib.crc32(page.encode("utf-8", "surrogatepass"))})
+        return Wrapper(wrapper_of(parse(page), zlib.crc32(page.encode("utf-8", "surrogatepass"))))
 
     def add(self, other: Wrapper) -> None:
         self.items = fold(align(self.items, other.items))
-        self.marks = set(sorted(self.marks | other.marks)[:TEMPLATE_PAGES])
 
     def dump(self) -> str:
-        return json.dumps([sorted(self.marks), [i.dump() for i in self.items]])
+        return json.dumps([i.dump() for i in self.items])
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        marks, items = json.loads(text)
-        return Wrapper([Item.load(i) for i in items], set(marks))
+        return Wrapper([Item.load(i) for i in json.loads(text)])
 
     def judge(self) -> None:
         """Set each slot's ``keep``: 0 no content, 1 content, 2 content of the article."""
-        template = len(self.marks) >= TEMPLATE_PAGES
 
         def walk(items: list[Item], keep: int) -> None:
             for i in items:
                 tag = i.label.rstrip("!*")
                 if i.label == TEXT:
-                    same = template and i.text is not None and i.pages >= TEMPLATE_PAGES
-                    i.keep = 0 if same else keep
+                    i.keep = 0 if keep < 2 and len(i.pages) >= TEMPLATE_PAGES else keep
                 elif i.label.endswith("!") or tag in DROPPED_TAGS or (tag == "header" and keep < 2):
                     i.keep = 0
                     walk(i.kids, 0)

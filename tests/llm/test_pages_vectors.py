@@ -80,6 +80,25 @@ def test_template_strings_and_wrapper_pattern():
     assert whole.texts(op04_wrappers.parse(page("<article><h1>New</h1><p>a</p></article>"))) == ["New", "a"]
 
 
+def wrapper_texts(pages):
+    """The texts of every page by the wrapper of all."""
+    whole = op04_wrappers.Wrapper.of(pages[0])
+    for p in pages[1:]:
+        whole.add(op04_wrappers.Wrapper.of(p))
+    whole = op04_wrappers.Wrapper.load(whole.dump())
+    whole.judge()
+    return [whole.texts(op04_wrappers.parse(p)) for p in pages]
+
+
+def test_template_rule_spares_articles_and_counts_different_pages():
+    articles = [page(f"<article><h1>Same</h1><p>x{i}</p><h2>References</h2><ul><li>y{i}</ul></article>") for i in range(6)]
+    assert wrapper_texts(articles) == [["Same", f"x{i}", "References", f"y{i}"] for i in range(6)]
+    assert wrapper_texts(articles[:4]) == wrapper_texts(articles)[:4]
+    copied = "<div><p>z</p></div><h3>Only here</h3>"
+    pages = [page(f"<div><p>x{i}</p></div><pre>All rights reserved</pre>") for i in range(5)] + [page(copied)] * 5
+    assert wrapper_texts(pages) == [[f"x{i}"] for i in range(5)] + [["z", "Only here"]] * 5
+
+
 def test_nearest_with_edges(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)).astype(np.float32)
