@@ -10,7 +10,9 @@ wrapper: outside or inside the article, inside a menu, header, footer, side
 bar, notice, advert, form, script or comment section, or, outside the
 article, a string that is the same on all pages of the host.  Extraction runs a page's stream along its
 host's wrapper and keeps the texts of article slots, or, on a page without
-an article or main element, of all slots that are not judged away.
+an article or main element, of all slots that are not judged away.  A text
+that finds no slot, or differs from the template text of its slot, is judged
+by the elements around it.
 
 Scale.  Alignment is associative, so tasks first align their own pages of a
 host, and only these partial wrappers are shuffled, reduced in two steps (by
@@ -96,6 +98,14 @@ def label_of(tag: str, attributes: str) -> str:
     return tag
 
 
+def below(label: str, keep: int) -> int:
+    """The ``keep`` of texts in an element, by that of what encloses it."""
+    tag = label.rstrip("!*")
+    if label.endswith("!") or tag in DROPPED_TAGS or (tag == "header" and keep < 2):
+        return 0
+    return 2 if keep and (tag in MAIN_NAMES or label.endswith("*")) else keep
+
+
 def parse(page: str) -> list:
     """The page's blocks: nested ``(label, kids)``, texts as ``("#", text)``."""
     root: list = []
@@ -304,14 +314,10 @@ class Wrapper:
 
         def walk(items: list[Item], keep: int) -> None:
             for i in items:
-                tag = i.label.rstrip("!*")
                 if i.label == TEXT:
                     i.keep = 0 if keep < 2 and len(i.pages) >= TEMPLATE_PAGES else keep
-                elif i.label.endswith("!") or tag in DROPPED_TAGS or (tag == "header" and keep < 2):
-                    i.keep = 0
-                    walk(i.kids, 0)
                 else:
-                    i.keep = 2 if keep and (tag in MAIN_NAMES or i.label.endswith("*")) else keep
+                    i.keep = below(i.label, keep)
                     walk(i.kids, i.keep)
 
         walk(self.items, 1)
@@ -320,28 +326,29 @@ class Wrapper:
         """The main text blocks of a page, in order."""
         found: list[tuple[int, str]] = []
 
+        def within(item: Item, label: str) -> Item | None:
+            if item.label != "+":
+                return item if item.label == label else None
+            return next((i for kid in item.kids if (i := within(kid, label)) is not None), None)
+
         def place(items: list[Item], at: int, label: str) -> tuple[int, Item | None]:
             for j in (*range(at, len(items)), *range(at)):
-                if items[j].label == label:
-                    return j, items[j]
-                if items[j].label == "+":
-                    for kid in items[j].kids:
-                        if kid.label == label:
-                            return j, kid
+                if (item := within(items[j], label)) is not None:
+                    return j, item
             return at, None
 
-        def walk(nodes: list, items: list[Item]) -> None:
+        def walk(nodes: list, items: list[Item], keep: int) -> None:
             at = 0
             for label, kids in nodes:
                 at, item = place(items, at, label)
-                if item is None:
-                    continue
-                if label == TEXT:
-                    found.append((item.keep, kids))
+                if label != TEXT:
+                    walk(kids, item.kids if item is not None else [], below(label, keep))
+                elif item is not None and not item.keep and item.text == zlib.crc32(kids.encode("utf-8", "surrogatepass")):
+                    found.append((0, kids))
                 else:
-                    walk(kids, item.kids)
+                    found.append((keep, kids))
 
-        walk(nodes, self.items)
+        walk(nodes, self.items, 1)
         top = max((k for k, _ in found), default=0)
         return [t for k, t in found if k and k == top]
 

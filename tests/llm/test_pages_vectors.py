@@ -99,6 +99,19 @@ def test_template_rule_spares_articles_and_counts_different_pages():
     assert wrapper_texts(pages) == [[f"x{i}"] for i in range(5)] + [["z", "Only here"]] * 5
 
 
+def test_texts_of_nested_groups_and_of_nodes_not_found():
+    part = "<h2>a</h2><p>b</p><h2>c</h2><p>d</p><ul><li>e</ul><pre>f</pre>"
+    assert wrapper_texts([page(f"<article>{part * 2}</article>")]) == [list("abcdef") * 2]
+    assert wrapper_texts([page(f"<article>{part * 3}</article>"), page(f"<article>{part}<p>g</article>")]) == [
+        list("abcdef") * 3, list("abcdefg")]
+    # The second div has no place of its own before the first page's div, which knows no ul.
+    apart = [page("<div><p>x</p></div><h1>h</h1><div><ul><li>y<li>z</ul><nav>n</nav></div>"), page("<h1>h</h1><div><ul><li>w</ul></div>")]
+    assert wrapper_texts(apart) == [["x", "h", "y", "z"], ["h", "w"]]
+    whole = op04_wrappers.Wrapper.of(page("<article><p>known</p></article>"))
+    whole.judge()
+    assert whole.texts(op04_wrappers.parse(page("<article><div><h2>new</h2><form>f</form></div></article>"))) == ["new"]
+
+
 def test_nearest_with_edges(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)).astype(np.float32)
