@@ -8,7 +8,10 @@ neighbouring sequences of two or three) that repeat become a repeated group,
 and differing texts become a text slot.  Slots are then judged on the
 wrapper: outside or inside the article, inside a menu, header, footer, side
 bar, notice, advert, form, script or comment section, or, outside the
-article, a string that is the same on all pages of the host.  Extraction runs a page's stream along its
+article, a string that is the same on all pages of the host.  A class, id or role names such a part only
+as a whole (``sidebar``, ``cookie-notice``, not ``no-sidebar``), never on
+html, body, main or article, nor, but for comments and related pages, on what
+holds the page's only article or main elements.  Extraction runs a page's stream along its
 host's wrapper and keeps the texts of article slots, or, on a page without
 an article or main element, of all slots that are not judged away.  A text
 that finds no slot, or differs from the template text of its slot, is judged
@@ -71,6 +74,10 @@ DROPPED_NAMES = frozenset(
     "popup modal overlay login signup search widget widgets pagination pager toolbar masthead".split()
 )
 MAIN_NAMES = frozenset("article main".split())
+# Parts that have articles of their own.
+OTHERS_NAMES = frozenset("comment comments disqus reply replies respond related recommended".split())
+# Their names tell of the page or the article, not that they are another part.
+UNNAMED_TAGS = MAIN_NAMES | {"html", "body"}
 # An open element of the left kinds ends where one of the right kinds begins.
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -88,12 +95,15 @@ TEXT = "#"
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag, marked ``!`` if its names say it is no content, ``*`` if they say it is the main part."""
-    if attributes:
-        names = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", m.group(1).lower())}
-        if names & DROPPED_NAMES:
-            return tag + "!"
-        if tag not in MAIN_NAMES and names & {"main", "article"}:
+    """The tag, marked ``!`` if its names say it is no content (``!!``: not even with an article in it),
+    ``*`` if they say it is the main part."""
+    if attributes and tag not in UNNAMED_TAGS:
+        tokens = " ".join(m.group(1).strip("\"'") for m in _NAMES.finditer(attributes)).lower().split()
+        names = [set(re.findall("[a-z]+", t)) for t in tokens]
+        dropped = [n for n in names if n and n <= DROPPED_NAMES]
+        if dropped:
+            return tag + ("!!" if any(n & OTHERS_NAMES for n in dropped) else "!")
+        if any(n & MAIN_NAMES and not n & DROPPED_NAMES for n in names):
             return tag + "*"
     return tag
 
@@ -106,11 +116,25 @@ def below(label: str, keep: int) -> int:
     return 2 if keep and (tag in MAIN_NAMES or label.endswith("*")) else keep
 
 
+def unnamed(nodes: list) -> tuple[list, bool]:
+    """The nodes, elements that hold an article or main element without their
+    ``!``, and whether there is one that counts."""
+    out, some = [], False
+    for label, kids in nodes:
+        if label != TEXT:
+            kids, holds = unnamed(kids)
+            label = label[:-1] if holds and label.endswith("!") and not label.endswith("!!") else label
+            some |= below(label, 1) == 2 or (holds and below(label, 1) > 0)
+        out.append((label, kids))
+    return out, some
+
+
 def parse(page: str) -> list:
     """The page's blocks: nested ``(label, kids)``, texts as ``("#", text)``."""
     root: list = []
-    stack: list[tuple[str, list]] = [("", root)]
+    stack: list[tuple[str, list, int]] = [("", root, 1)]
     words: list[str] = []
+    hidden = shown = False
 
     def flush() -> None:
         if words:
@@ -152,15 +176,19 @@ def parse(page: str) -> list:
         if tag in VOID:
             continue
         kids: list = []
-        stack[-1][1].append((label_of(tag, m.group(3)), kids))
+        label, around = label_of(tag, m.group(3)), stack[-1][2]
+        keep = below(label, around)
+        shown |= keep == 2
+        hidden |= not around and below(label, 1) == 2
+        stack[-1][1].append((label, kids))
         if tag in RAW:
             over = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             kids.append((TEXT, "raw"))
             at = over.end() if over else end
         elif len(stack) < MAX_DEPTH:
-            stack.append((tag, kids))
+            stack.append((tag, kids, keep))
     flush()
-    return root
+    return unnamed(root)[0] if hidden and not shown else root
 
 
 class Item:

@@ -112,6 +112,22 @@ def test_texts_of_nested_groups_and_of_nodes_not_found():
     assert whole.texts(op04_wrappers.parse(page("<article><div><h2>new</h2><form>f</form></div></article>"))) == ["new"]
 
 
+def test_names_of_parts_count_whole_and_not_around_the_article():
+    def texts(body, tag="<body>"):
+        return wrapper_texts([f"<html class='search'>{tag}{body}</body></html>"])[0]
+
+    article = "<article class='post related'><p>a</p></article>"
+    assert texts(article, "<body class='sidebar has-sidebar comments-open'>") == ["a"]
+    assert texts("<main id=search><p>a</p></main>") == ["a"]
+    assert texts("<div class='content no-sidebar'><p>a</p><div class='sidebar wide'>s</div><div id='comment-12'>c</div></div>") == ["a"]
+    assert texts(f"<div class='overlay'><nav>n</nav>{article}<div class=promo>s</div></div><p>b</p>") == ["a"]
+    assert texts("<div class='widget'><section role=main><p>a</p></section></div>") == ["a"]
+    assert texts(f"{article}<div class='comments'><article><p>c</p></article></div>") == ["a"]
+    assert texts("<div><p>a</p></div><div class='comments'><article><p>c</p></article></div>") == ["a"]
+    assert texts("<div class='widget'><aside><article>c</article></aside></div><p>a</p>") == ["a"]
+    assert texts("<div class='main-menu'>m</div><p>a</p><div class='main-content'><p>b</p></div>") == ["b"]
+
+
 def test_nearest_with_edges(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)).astype(np.float32)
