@@ -4,7 +4,9 @@ Method.  A text's UTF-8 bytes are cut into windows of ``WINDOW`` bytes that
 cover all of it.  Filters of widths 2, 3 and 4 run over embedded bytes, each
 filter's largest activation in the window is kept, and a softmax layer gives
 the languages' probabilities; a text's are the mean over its windows,
-weighted by their lengths, so one foreign passage does not decide.  The network is trained in numpy on the
+weighted by their lengths, so one foreign passage does not decide.  How sure
+the windows are, the mean of each one's best probability, tells whether the
+text is of known languages at all, one or several.  The network is trained in numpy on the
 driver from a bounded sample: of every language the ``SAMPLE_DOCS`` training
 documents with the smallest hash (one per hash bucket, chosen with map-side
 aggregation), and of each at most ``SAMPLE_WINDOWS`` windows.  Prediction is
@@ -40,7 +42,7 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 512, 6
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
 UNKNOWN = "und"
-#: A text predicted with less is of no language that the network knows.
+#: A text whose windows are less sure is of no language that the network knows.
 MIN_SCORE = 0.4
 
 _LETTER = regex.compile(r"\p{L}")
@@ -156,15 +158,16 @@ class Predictor:
         h = np.maximum(np.concatenate([z2, z3, z4], 1) + self.bias, 0)
         return h @ self.out + self.out_bias
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probabilities of every text (at least one byte) from all its windows."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of every text (at least one byte) from all its windows,
+        and how sure these are: the mean of their best probabilities."""
         sizes = np.diff(offsets)
         per = -(-sizes // WINDOW)
         first = np.cumsum(per) - per
         row = np.repeat(np.arange(len(sizes)), per)
         within = (np.arange(len(row)) - first[row]) * WINDOW
         length = np.minimum(sizes[row] - within, WINDOW)
-        total = np.zeros((len(sizes), len(self.langs)))
+        total, sure = np.zeros((len(sizes), len(self.langs))), np.zeros(len(sizes))
         padded = np.r_[data, np.zeros(WINDOW, np.uint8)]
         span = np.arange(WINDOW)
         for a in range(0, len(row), 512):
@@ -173,8 +176,10 @@ class Predictor:
             w[span[None] >= length[b, None]] = 0
             z = self.logits(w)
             z = np.exp(z - z.max(1, keepdims=True))
-            np.add.at(total, row[b], z / z.sum(1, keepdims=True) * length[b, None])
-        return total / sizes[:, None]
+            z = z / z.sum(1, keepdims=True) * length[b, None]
+            np.add.at(total, row[b], z)
+            np.add.at(sure, row[b], z.max(1))
+        return total / sizes[:, None], sure / sizes
 
 
 def train_network(rows: list[tuple[str, str]]) -> Predictor | None:
@@ -199,21 +204,22 @@ def train_network(rows: list[tuple[str, str]]) -> Predictor | None:
 
 
 def with_language(docs: DataFrame, text_col: str = "text", predictor: Predictor | None = None) -> DataFrame:
-    """``docs`` with ``__lid_pred`` and ``__lid_score``; without a predictor
-    the network is trained on ``docs`` (doc_id, text, lang)."""
+    """``docs`` with ``__lid_pred``, ``__lid_score`` (the mean probability of
+    that language) and ``__lid_sure`` (the mean of each window's best
+    probability, of whatever language); without a predictor the network is trained on ``docs`` (doc_id, text, lang)."""
     if predictor is None:
         predictor = train_network(training_sample(docs))
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(predictor)
     schema = docs.schema
-    schema = type(schema)(list(schema.fields)).add("__lid_pred", "string").add("__lid_score", "double")
+    schema = type(schema)(list(schema.fields)).add("__lid_pred", "string").add("__lid_score", "double").add("__lid_sure", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text_col))
             data, offsets = text_buffer(col)
-            lang, score = [UNKNOWN] * len(col), np.zeros(len(col))
+            lang, score, sure = [UNKNOWN] * len(col), np.zeros(len(col)), np.zeros(len(col))
             for a, b in slices(offsets) if net is not None else ():
                 texts = col.slice(a, b - a).to_pylist()
                 known = np.flatnonzero([bool(t) and _LETTER.search(t) is not None for t in texts])
@@ -221,13 +227,13 @@ def with_language(docs: DataFrame, text_col: str = "text", predictor: Predictor
                 if not len(known):
                     continue
                 part = np.concatenate([data[offsets[a + i] : offsets[a + i + 1]] for i in known])
-                p = net.scores(part, np.r_[0, np.cumsum(sizes)])
+                p, sure[a + known] = net.scores(part, np.r_[0, np.cumsum(sizes)])
                 best = p.argmax(1)
                 for i, k, s in zip(known, best, p.max(1), strict=True):
                     lang[a + i], score[a + i] = net.langs[k], s
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score)],
-                names=[*batch.schema.names, "__lid_pred", "__lid_score"],
+                [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(sure)],
+                names=[*batch.schema.names, "__lid_pred", "__lid_score", "__lid_sure"],
             )
 
     return docs.mapInArrow(work, schema)
@@ -246,11 +252,12 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others) whose language
-    is known: not ``und``, nor with a score under ``MIN_SCORE``.  Without any
+    is known: not ``und``, nor with windows less sure than ``MIN_SCORE``; a text
+in several known languages stays, however even their parts.  Without any
     labelled text to learn from no language can be rejected: all rows with a
     letter stay."""
     predictor = train_network(training_sample(docs.select("doc_id", "text", "lang")))
     if predictor is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     marked = with_language(docs, predictor=predictor)
-    return marked.filter((F.col("__lid_pred") != UNKNOWN) & (F.col("__lid_score") >= MIN_SCORE)).select(*docs.columns)
+    return marked.filter((F.col("__lid_pred") != UNKNOWN) & (F.col("__lid_sure") >= MIN_SCORE)).select(*docs.columns)

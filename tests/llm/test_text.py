@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from catchment.llm import op02_decontaminate, op05_bpe_trie, op07_token_counts, op08_lang_cnn, tokens
 
@@ -77,6 +78,16 @@ def test_language_id(spark, sf_mid):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_texts_of_several_known_languages_stay(spark, sf_mid):
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "text", "lang")
+    by = {r.lang: r.t for r in docs.filter("length(text) > 3000").groupBy("lang").agg(F.min("text").alias("t")).collect()}
+    assert len(by) >= 4
+    parts = [t.encode()[:2560].decode(errors="ignore").encode().ljust(2560) for t in by.values()]
+    mixed = spark.createDataFrame([(-1, b"".join(parts).decode(), None), (-2, "12 34", None)], docs.schema)
+    kept = {r.doc_id for r in op08_lang_cnn.known_language(docs.union(mixed)).filter("doc_id < 0").collect()}
+    assert kept == {-1}
+
+
 def test_language_id_edges(spark):
     docs = docs_of(spark)
     got = op08_lang_cnn.predict_languages(docs).collect()
