@@ -9,7 +9,8 @@ the windows are, the mean of each one's best probability, tells whether the
 text is of known languages at all, one or several.  The network is trained in numpy on the
 driver from a bounded sample: of every language the ``SAMPLE_DOCS`` training
 documents with the smallest hash (one per hash bucket, chosen with map-side
-aggregation), and of each at most ``SAMPLE_WINDOWS`` windows.  Prediction is
+aggregation), and of each ``SAMPLE_WINDOWS`` windows at hashed places of the
+whole text, cut out in the tasks.  Prediction is
 a map over Arrow batches of every text, whole; embedding and convolution of
 a byte are folded into one table per filter position, so a filter's output is
 a sum of table rows.
@@ -52,18 +53,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of at most ``SAMPLE_DOCS`` training documents a language,
-    spread over hash buckets so that no task gathers a language."""
+def sample_windows(text: Column, mark: Column) -> Column:
+    """``SAMPLE_WINDOWS`` byte windows of a text, anywhere in it: whole windows
+    and, for short texts to come, snippets of any length."""
+    raw = text.cast("binary")
+    size = F.octet_length(raw)
+
+    def window(k: int) -> Column:
+        snippet = F.pmod(F.xxhash64(mark, F.lit(2 * k)), F.lit(WINDOW - 8)) + 8
+        own = F.least(size, F.lit(WINDOW) if k % 2 == 0 else snippet.cast("int"))
+        at = F.pmod(F.xxhash64(mark, F.lit(2 * k + 1)), (size - own + 1).cast("long"))
+        return F.substring(raw, (at + 1).cast("int"), own)
+
+    return F.array(*[window(k) for k in range(SAMPLE_WINDOWS)])
+
+
+def training_sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
+    """(lang, byte windows) of at most ``SAMPLE_DOCS`` training documents a
+    language, spread over hash buckets so that no task gathers a language."""
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     mark = F.xxhash64(F.col("doc_id"), F.col("text"))
     picked = (
-        train.groupBy("lang", F.pmod(mark, F.lit(SAMPLE_DOCS)).alias("bucket"))
-        .agg(F.min(F.struct(mark.alias("mark"), F.substring("text", 1, WINDOW * 64).alias("text"))).alias("first"))
-        .select("lang", "first.mark", "first.text")
+        train.select("lang", "text", mark.alias("mark"))
+        .groupBy("lang", F.pmod("mark", F.lit(SAMPLE_DOCS)).alias("bucket"))
+        .agg(F.min(F.struct("mark", sample_windows(F.col("text"), F.col("mark")).alias("windows"))).alias("first"))
+        .select("lang", "first.mark", "first.windows")
     )
     rows = picked.collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["mark"]))]
+    return [(r["lang"], [bytes(w) for w in r["windows"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["mark"]))]
 
 
 class ByteCNN:
@@ -182,20 +199,15 @@ class Predictor:
         return total / sizes[:, None], sure / sizes
 
 
-def train_network(rows: list[tuple[str, str]]) -> Predictor | None:
+def train_network(rows: list[tuple[str, list[bytes]]]) -> Predictor | None:
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
-    rng = np.random.default_rng(SEED)
     windows, labels = [], []
-    for lang, text in rows:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        for k in range(SAMPLE_WINDOWS):
-            # Whole windows and, for short texts to come, snippets of any length.
-            size = min(len(raw), WINDOW if k % 2 == 0 else int(rng.integers(8, WINDOW)))
-            at = int(rng.integers(0, len(raw) - size + 1))
+    for lang, parts in rows:
+        for raw in parts:
             w = np.zeros(WINDOW, np.uint8)
-            w[:size] = raw[at : at + size]
+            w[: len(raw)] = np.frombuffer(raw, np.uint8)
             windows.append(w)
             labels.append(langs.index(lang))
     net = ByteCNN(langs)

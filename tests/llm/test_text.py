@@ -78,6 +78,21 @@ def test_language_id(spark, sf_mid):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_training_windows_are_of_the_whole_text(spark):
+    marks = "".join(f"{i:07d} " for i in range(20_000))  # 160,000 bytes that tell their place
+    texts = [(i, f"{marks}{i}", "en") for i in range(20)] + [(30, "é", "fr"), (31, "Aé" * 200, "fr"), (32, "é", "fr")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    sample = op08_lang_cnn.training_sample(docs)
+    assert sample == op08_lang_cnn.training_sample(docs.repartition(3))
+    parts = [w for lang, some in sample if lang == "en" for w in some]
+    assert all(any(w in t.encode() for _, t, _ in texts) for w in parts)
+    assert {len(some) for _, some in sample} == {op08_lang_cnn.SAMPLE_WINDOWS}
+    assert all(8 <= len(w) <= 256 for w in parts) and sum(len(w) == 256 for w in parts) * 2 == len(parts)
+    places = [marks.encode().find(w) for w in parts]
+    assert min(places) < 40_000 and max(places) > 120_000
+    assert op08_lang_cnn.train_network(sample).langs == ["en", "fr"]
+
+
 def test_texts_of_several_known_languages_stay(spark, sf_mid):
     docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "text", "lang")
     by = {r.lang: r.t for r in docs.filter("length(text) > 3000").groupBy("lang").agg(F.min("text").alias("t")).collect()}
