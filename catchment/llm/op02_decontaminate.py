@@ -9,7 +9,8 @@ on one (document, item, offset) line; lines with both rarest terms of a
 window are candidates.  They go to their documents, where the item's words
 are compared along the line: every run of a window's length is an exact
 phrase match.  ``proximity_matches`` finds the indexed terms of an item close
-together in any alignment.
+together in any alignment; for it a window's rarest terms are those that occur
+at all, and as many as a match needs.
 
 Scale.  Documents are read three times and shuffled once.  The benchmark is
 handled in blocks of at most about ``BLOCK_WORDS`` words, so what is sent to
@@ -90,21 +91,24 @@ class Block:
         self.items = [np.frombuffer(w, np.uint64) for w in self.packed]
         self.vocabulary = np.unique(np.concatenate(self.items))
 
-    def rare_places(self, counts: np.ndarray) -> pd.DataFrame:
+    def rare_places(self, counts: np.ndarray, near: int = 0) -> pd.DataFrame:
         """(term, item, place, alone): for every window that can occur, the
-        places of its rarest distinct terms; ``alone`` if it has but one."""
+        places of its rarest distinct terms; ``alone`` if it has but one.  With
+        ``near`` of every window, at least so many of its terms that occur."""
         found = {}
         for i, words in enumerate(self.items):
             term = np.searchsorted(self.vocabulary, words)
             seen = counts[term]
             for s in range(max(1, len(words) - WINDOW + 1)):
                 window = range(s, min(s + WINDOW, len(words)))
-                if min(seen[p] for p in window) == 0:
+                if near:
+                    window = [p for p in window if seen[p]]
+                elif min(seen[p] for p in window) == 0:
                     continue
                 rare: dict[int, int] = {}
                 for p in sorted(window, key=lambda p: (seen[p], p)):
                     rare.setdefault(int(term[p]), p)
-                    if len(rare) == RAREST:
+                    if len(rare) == max(RAREST, near):
                         break
                 for t, p in rare.items():
                     found[t, i, p] = found.get((t, i, p), False) or len(rare) == 1
@@ -166,11 +170,11 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
             yield Block(sorted(rows, key=lambda r: (r["item"], bytes(r["words"]))))
 
 
-def aligned_postings(keyed: DataFrame, text_col: str, block: Block) -> DataFrame | None:
+def aligned_postings(keyed: DataFrame, text_col: str, block: Block, near: int = 0) -> DataFrame | None:
     """(document key, item, line, place, alone): postings of the block's rare
-    places, on the line (position minus place) they would match along."""
+    places (``near``: see there), on the line (position minus place) they would match along."""
     spark = keyed.sparkSession
-    places = block.rare_places(term_counts(keyed, text_col, block.vocabulary))
+    places = block.rare_places(term_counts(keyed, text_col, block.vocabulary), near)
     if not len(places):
         return None
     terms = np.unique(places["term"])
@@ -282,7 +286,7 @@ def proximity_matches(
     ship_package(docs.sparkSession)
     keyed, out = doc_keys(docs, id_col, text_col), None
     for block in blocks(benchmark):
-        aligned = aligned_postings(keyed, text_col, block)
+        aligned = aligned_postings(keyed, text_col, block, max(1, min_places))
         if aligned is None:
             continue
         own = Window.partitionBy(*DOC_KEY, "item").orderBy("line", "place")

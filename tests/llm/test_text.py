@@ -53,6 +53,16 @@ def test_spans_and_proximity(spark):
     assert "16" in {r["__dc_id"] for r in near}
 
 
+def test_proximity_of_items_with_an_absent_word(spark):
+    item = "aa bb cc dd ee ff gg hh ii jj"
+    docs = docs_of(spark, [(1, f"x y {item.replace('ee', 'changed')} z"), (2, "aa x " * 20 + "bb"), (3, item.replace("ee", "new word"))])
+    for text in (item, f"{item} kk", f"{item} kk ll"):  # kk and ll occur nowhere either
+        near = op02_decontaminate.proximity_matches(docs, bench_of(spark, [(1, text)]), min_places=9).collect()
+        assert {r["__dc_id"] for r in near} == {"1", "3"}
+    absent = bench_of(spark, [(1, "never seen words at all")])
+    assert op02_decontaminate.proximity_matches(docs, absent, min_places=1).collect() == []
+
+
 def test_encoder_and_counter_match_the_library(spark):
     from tokenizers import Tokenizer
 
