@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     op01_repeats, op02_decontaminate, op03_url_rules, op04_wrappers, op05_bpe_trie, op06_rp_forest,
-    op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, sql,
+    op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, op13_spelling, sql,
 )
 from .stage import table
 
@@ -59,6 +59,10 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_spelling.spelling_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_repeated_text": op1_repeated_text,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +74,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup_query,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
