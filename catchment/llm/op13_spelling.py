@@ -53,12 +53,15 @@ GROUPS = len(LEVELS) + 1
 #: Levels by which subtrees are first dealt, and words of a subtree in a task.
 TOP, LIMIT = 3, 16_384
 #: Words below a node that are compared at once instead of walking on.
-LEAF = 24
+LEAF = 64
 #: Code points of a text handled at once, and distinct words a task holds
 #: before it passes its counts on.
 PIECE, HELD = 1 << 20, 400_000
 #: Letters compared in fixed-width arrays; longer words are compared one by one.
 WIDTH = 32
+#: First or last letters that leaf words share: one letter changes one end
+#: only, as words have ``MIN_LENGTH`` > 2 x ENDS letters.
+ENDS = 3
 
 _RUN = re.compile(rb"[a-z\xc0-\xff]{%d,}" % MIN_LENGTH)
 _OUTSIDE = re.compile(rb"[^a-z\xc0-\xff]")
@@ -356,22 +359,29 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[low + (len(a) == len(b)) :] == b[low + 1 :]
 
 
-class Subtree:
+class Words:
+    """Words with their letters, sizes, vectors, first and last letters."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.words, self.vecs = words, vectors(words)
+        self.letters, self.sizes = _letters(words)
+        self.heads = np.array([int.from_bytes(w[:ENDS]) for w in words], np.int32)
+        self.tails = np.array([int.from_bytes(w[-ENDS:]) for w in words], np.int32)
+
+
+class Subtree(Words):
     """The words of one subtree, sorted by their vectors: a node of the trie
     is a range of them."""
 
     def __init__(self, words: list[bytes], level: int) -> None:
-        vecs = vectors(words)
-        order = np.lexsort(vecs.T[::-1])
-        self.words, self.order = [words[i] for i in order], order
-        self.vecs, self.level = np.ascontiguousarray(vecs[order]), level
-        self.letters, self.sizes = _letters(self.words)
+        self.order, self.level = np.lexsort(vectors(words).T[::-1]), level
+        super().__init__([words[i] for i in self.order])
 
     def search(self, words: list[bytes], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (searching word, word of the subtree) that are near.  The
         state of a searching word says what its way to this subtree spent:
         0 nothing, 1 the surplus, 2 surplus and deficit."""
-        own_vecs, (own_letters, own_sizes) = vectors(words), _letters(words)
+        searching = Words(words)
         found, waiting, load = [], [], 0
         stack = [(0, len(self.words), self.level, np.arange(len(words)), state)]
         while stack:
@@ -379,7 +389,7 @@ class Subtree:
             if hi - lo > LEAF and level < GROUPS:
                 column = self.vecs[lo:hi, level]
                 ends = np.flatnonzero(np.diff(column)) + 1
-                own = own_vecs[at, level]
+                own = searching.vecs[at, level]
                 for a, b in zip([0, *ends.tolist()], [*ends.tolist(), hi - lo], strict=True):
                     gap = column[a] - own
                     go = np.flatnonzero((gap == 0) | ((gap == 1) & (st == 0)) | ((gap == -1) & (st == 1)))
@@ -387,47 +397,51 @@ class Subtree:
                         stack.append((lo + a, lo + b, level + 1, at[go], st[go] + (gap[go] != 0)))
                 continue
             step = max(1, (1 << 18) // (hi - lo))
-            for s in range(0, len(at), step):
-                part = at[s : s + step]
-                q, w = self._leaf(lo, hi, level, own_vecs[part, level:], st[s : s + step])
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                q, w = self._alike(searching, part, lo, hi)
                 waiting.append((part[q], w))
                 load += len(q)
                 if load > 1 << 16:
-                    found.append(self._verify(words, own_vecs, own_letters, own_sizes, waiting))
+                    found.append(self._verify(searching, waiting))
                     waiting, load = [], 0
-        found.append(self._verify(words, own_vecs, own_letters, own_sizes, waiting))
+        found.append(self._verify(searching, waiting))
         left, right = (np.concatenate(x) for x in zip(*found, strict=True))
         return left, right
 
-    def _leaf(self, lo, hi, level, vecs, state) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of words and leaf words whose remaining levels fit the budget."""
-        gap = self.vecs[None, lo:hi, level:] - vecs[:, None]
-        over, under = np.maximum(gap, 0).sum(2), np.maximum(-gap, 0).sum(2)
-        q, w = np.nonzero((over <= (state == 0)[:, None]) & (under <= (state <= 1)[:, None]))
-        # from state 0 a deficit needs its surplus first
-        both = np.flatnonzero((state[q] == 0) & (under[q, w] > 0))
-        gaps = gap[q[both], w[both]]
-        late = gaps[np.arange(len(gaps)), (gaps != 0).argmax(1)] < 0 if len(both) else both
-        drop = both[late]
-        return np.delete(q, drop), np.delete(w, drop) + lo
-
-    def _verify(self, words, vecs, letters, sizes, pairs) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that differ by exactly one letter; where vectors are
-        equal, both find each other, and the smaller word reports it."""
+    def _alike(self, searching: Words, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of words ``at`` and leaf words with the same first or last
+        letters: near words have one of both, as they are long enough."""
+        same = searching.heads[at, None] == self.heads[None, lo:hi]
+        same |= searching.tails[at, None] == self.tails[None, lo:hi]
+        q, w = np.nonzero(same)
+        return q, w + lo
+
+    def _verify(self, searching: Words, pairs) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that differ by exactly one letter and that this side
+        reports: the word that lacks the first surplus, or the smaller one of
+        two with the same vector.  (A word one letter longer never reports.)"""
         if not pairs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        a, b = letters[left], self.letters[right]
-        grown = self.sizes[right] - sizes[left]
-        differ, at = a != b, np.arange(len(left))
+        grown = self.sizes[right] - searching.sizes[left]
+        keep = np.flatnonzero((grown == 0) | (grown == 1))
+        left, right, grown = left[keep], right[keep], grown[keep]
+        longest = self.sizes[right]
+        width = min(WIDTH, int(longest.max(initial=0)) + 1)
+        a, b = searching.letters[left, :width], self.letters[right, :width]
+        differ = a != b
         first = differ.argmax(1)
         moved = a[:, :-1] != b[:, 1:]
-        last = WIDTH - 2 - moved[:, ::-1].argmax(1)
-        shifted = ~moved.any(1) | (last < first)
-        near = np.where(grown == 0, differ.sum(1) == 1, (grown == 1) & shifted)
+        last = width - 2 - moved[:, ::-1].argmax(1)
+        near = np.where(grown == 0, differ.sum(1) == 1, ~moved.any(1) | (last < first))
+        at = np.arange(len(left))
         smaller = a[at, first] < b[at, first]
-        for i in np.flatnonzero(self.sizes[right] > WIDTH).tolist():
-            x, y = words[left[i]], self.words[right[i]]
+        for i in np.flatnonzero(longest >= WIDTH).tolist():
+            x, y = searching.words[left[i]], self.words[right[i]]
             near[i], smaller[i] = one_edit(x, y), x < y
-        near &= smaller | (vecs[left] != self.vecs[right]).any(1)
-        return left[near], right[near]
+        left, right, smaller = left[near], right[near], smaller[near]
+        gap = self.vecs[right] - searching.vecs[left]
+        lead = gap[np.arange(len(gap)), (gap != 0).argmax(1)]
+        reports = (lead > 0) | ((lead == 0) & smaller)
+        return left[reports], right[reports]
