@@ -426,6 +426,8 @@ class Subtree(Words):
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
         grown = self.sizes[right] - searching.sizes[left]
         keep = np.flatnonzero((grown == 0) | (grown == 1))
+        if not len(keep):
+            return keep, keep
         left, right, grown = left[keep], right[keep], grown[keep]
         longest = self.sizes[right]
         width = min(WIDTH, int(longest.max(initial=0)) + 1)
