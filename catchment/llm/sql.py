@@ -67,3 +67,51 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit_words.n, 0) AS n
        sha256(coalesce(names, '')) AS items_sha256, coalesce(hit_words.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
+
+# CRC-32 of a decimal id, byte by byte over the table of the polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT range AS n FROM range(256))
+)"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({0}, '')]),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+PREFIX_TRIE = f"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns b ON b.conv_id = c.base WHERE pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns o ON o.conv_id = c.conv_id WHERE pos >= h
+), placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, sha256(role || chr(0) || text) AS turn, text FROM rebuilt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+), prefixes AS (
+  SELECT conv_id, depth, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k, text FROM placed
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs
+), sizes AS (SELECT conv_id, max(depth) AS size FROM prefixes GROUP BY conv_id
+), nodes AS (
+  SELECT depth, k, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text,
+         sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM prefixes p JOIN sizes USING (conv_id) GROUP BY depth, k
+), parents AS (
+  SELECT n.depth, n.k, n.conv_id, q.conv_id AS parent_conv_id
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes q ON q.depth = p.depth AND q.k = p.k
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents GROUP BY ALL
+), subtrees AS (
+  SELECT a.depth, a.k, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves,
+         CAST(sum((n.n_convs - 1) * length(n.text)) AS BIGINT) AS saved_tokens
+  FROM nodes n JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+  LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth GROUP BY a.depth, a.k
+)
+SELECT n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes n JOIN subtrees s ON s.depth = n.depth AND s.k = n.k
+LEFT JOIN parents p ON p.depth = n.depth AND p.k = n.k
+LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth
+"""
