@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     op01_repeats, op02_decontaminate, op03_url_rules, op04_wrappers, op05_bpe_trie, op06_rp_forest,
-    op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, op12_prefix_trie,
+    op07_token_counts, op08_lang_cnn, op09_chosen_path, op10_line_dedup, op11_warc, op12_prefix_trie,
     op13_spelling, sql,
 )
 from .stage import table
@@ -60,6 +60,10 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_prefix_trie.trie_digest(table(spark, sf_dir, "conversations"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup_query,
+    "op11_warc_archives": op11_warc_archives,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -87,5 +92,6 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": sql.DECONTAMINATION,
     "op3_url_filters": sql.URL_FILTERS,
     "op10_line_dedup": sql.LINE_DEDUP,
+    "op11_warc_archives": sql.WARC_ARCHIVES,
     "op12_conversation_trie": sql.PREFIX_TRIE,
 }

@@ -115,3 +115,16 @@ FROM nodes n JOIN subtrees s ON s.depth = n.depth AND s.k = n.k
 LEFT JOIN parents p ON p.depth = n.depth AND p.k = n.k
 LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth
 """
+
+WARC_ARCHIVES = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS k,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND k > 1 THEN response END AS refers_to
+FROM payloads
+"""
