@@ -11,7 +11,7 @@ the tokens.  The traversal is depth-first (words in sorted order), so the
 states of a shared prefix are computed once and the memory is one path.  The
 last symbol of a word carries the word-end mark and is an edge of its own.
 
-Encodings of words are kept per Python worker, up to ``MAX_WORDS``; the
+Encodings of words are kept per Python worker, up to ``MAX_BYTES``; the
 work is a map over Arrow batches without a shuffle, in slices of about a
 megabyte of text.
 
@@ -38,8 +38,9 @@ from . import tokens as T
 from .buffers import slices, text_buffer
 from .stage import ship_package
 
-#: Chunks and token pairs a worker remembers before it starts anew.
-MAX_WORDS, MAX_PAIRS = 700_000, 1_000_000
+#: Bytes of chunks (about; ENTRY for the objects of one) and number of token
+#: pairs that a worker remembers before it starts anew.
+MAX_BYTES, ENTRY, MAX_PAIRS = 288 << 20, 360, 1_000_000
 
 
 class TrieEncoder:
@@ -154,12 +155,13 @@ class Codec:
     """Words, and chunks of words between white space, to packed ids and to
     decoded text, remembered per worker."""
 
-    def __init__(self, path: str) -> None:
-        self.vocab = T.vocabulary(path)
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES) -> None:
+        self.vocab, self.max_bytes = T.vocabulary(path), max_bytes
         self.trie = TrieEncoder(self.vocab)
         self._reset()
 
     def _reset(self) -> None:
+        self.load = 0
         self.words: dict[str, tuple[bytes, str]] = {}
         self.packed = {"\n" + t: np.array([i], "<u4").tobytes() for t, i in self.vocab.special.items()}
         # The file names no decoder: tokens are joined by spaces.
@@ -175,7 +177,7 @@ class Codec:
             gc.enable()
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.packed) > MAX_WORDS:
+        if self.load > self.max_bytes:
             self._reset()
         packed, spoken, words = self.packed, self.spoken, self.words
         split = {c: self.vocab.pieces(c) for c in chunks if c not in packed}
@@ -190,16 +192,17 @@ class Codec:
             else:
                 packed[c] = b"".join([words[w][0] for w in pieces])
                 spoken[c] = " ".join([words[w][1] for w in pieces])
+            self.load += ENTRY + 2 * len(c) + len(packed[c]) + len(spoken[c])
 
 
 @functools.lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, max_bytes: int = MAX_BYTES) -> Codec:
+    return Codec(path, max_bytes)
 
 
-def encoded_slices(texts: list[str], path: str) -> Iterator[tuple[bytes, str]]:
+def encoded_slices(texts: list[str], path: str, max_bytes: int = MAX_BYTES) -> Iterator[tuple[bytes, str]]:
     """Packed ids and decoded text of each text."""
-    c = codec(path)
+    c = codec(path, max_bytes)
     split = [c.vocab.chunks(t) for t in texts]
     c.learn(set().union(*split))
     for chunks in split:
@@ -214,24 +217,36 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
         yield a, b, [t or "" for t in col.slice(a, b - a).to_pylist()]
 
 
-def encode_texts(df: DataFrame, text_col: str = "text", vocab_path: str | None = None) -> DataFrame:
-    """The columns of ``df`` and ``token_ids`` (array<int>), ``decoded_text``."""
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def encode_texts(
+    df: DataFrame, text_col: str = "text", vocab_path: str | None = None, hashed: bool = False, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """The columns of ``df`` and ``token_ids`` (array<int>), ``decoded_text``;
+    with ``hashed`` the texts are left out, and ``decoded_sha256`` stands for
+    the decoded one, hashed where it is made.  A worker remembers chunks up to
+    about ``max_bytes``."""
     ship_package(df.sparkSession)
     path = vocab_path or T.default_path()
-    out_schema = StructType([
-        *df.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded_text", StringType()),
-    ])
+    last = "decoded_sha256" if hashed else "decoded_text"
+    kept = [f for f in df.schema.fields if not (hashed and f.name == text_col)]
+    out_schema = StructType([*kept, StructField("token_ids", ArrayType(IntegerType())), StructField(last, StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch, text_col):
-                done = list(encoded_slices(texts, path))
-                sizes = np.cumsum([0, *(len(p) // 4 for p, _ in done)]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(p for p, _ in done), "<u4").astype(np.int32))
+                packed, decoded = [], []
+                for ids, spoken in encoded_slices(texts, path, max_bytes):
+                    packed.append(ids)
+                    decoded.append(_sha256(spoken) if hashed else spoken)
+                sizes = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+                columns = [batch.column(f.name).slice(a, b - a) for f in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(sizes), ids),
-                     pa.array([t for _, t in done], pa.string())],
-                    names=[*batch.schema.names, "token_ids", "decoded_text"],
+                    [*columns, pa.ListArray.from_arrays(pa.array(sizes), ids), pa.array(decoded, pa.string())],
+                    names=out_schema.names,
                 )
 
     return df.mapInArrow(work, out_schema)
@@ -249,7 +264,7 @@ def bpe_digest(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
                 for packed, spoken in encoded_slices(texts, path):
                     counts.append(len(packed) // 4)
                     ids.append(hashlib.sha256(packed).hexdigest())
-                    decoded.append(hashlib.sha256(spoken.encode("utf-8", "surrogatepass")).hexdigest())
+                    decoded.append(_sha256(spoken))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
                      pa.array(decoded, pa.string())],

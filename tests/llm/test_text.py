@@ -75,6 +75,11 @@ def test_encoder_and_counter_match_the_library(spark):
     assert bag(op07_token_counts.count_tokens(docs_of(spark))) == sorted(counts, key=repr)
     encoded = op05_bpe_trie.encode_texts(docs_of(spark)).filter("doc_id = 6").first()
     assert encoded["token_ids"] == lib.encode("One two THREE", add_special_tokens=False).ids
+    # a worker that forgets its chunks all the time, and hashes the decoded texts
+    hashed = op05_bpe_trie.encode_texts(docs_of(spark), hashed=True, max_bytes=2_000)
+    assert hashed.columns == [c for c in docs_of(spark).columns if c != "text"] + ["token_ids", "decoded_sha256"]
+    got = [(r.doc_id, len(r.token_ids), sha(np.array(r.token_ids, "<u4").tobytes()), r.decoded_sha256) for r in hashed.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     for f in (op05_bpe_trie.bpe_digest, op07_token_counts.count_tokens):
         assert f(docs_of(spark, [])).collect() == []
 
