@@ -20,6 +20,11 @@ from catchment.llm import op02_decontaminate, op05_bpe_trie, op08_lang_cnn, op09
 from catchment.llm.stage import table, written
 
 
+#: Bytes of encoded chunks a worker remembers here: workers of the stages
+#: before still live beside it.
+CHUNK_BYTES = 96 << 20
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op08_lang_cnn.known_language(docs)
 
@@ -41,10 +46,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = op05_bpe_trie.encode_texts(docs)
+    encoded = op05_bpe_trie.encode_texts(docs, hashed=True, max_bytes=CHUNK_BYTES)
     return encoded.select(
         "doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
