@@ -27,7 +27,7 @@ def test_stages_on_edges(spark, tmp_path):
     links = links_of(lines)
     stay = [(r.doc_id, r.text) for r in seen["near_duplicates"].collect()]
     alone = [row for row, l in zip(lines, links, strict=True) if not l]
-    assert set(alone) <= set(stay) and sum(t.startswith(lines[0][1][:0]) for _, t in stay) == len(stay)
+    assert set(alone) <= set(stay) <= set(lines) and len(stay) < len(lines)
     assert not any(links_of(stay)[k] for k in range(len(stay)))
     clean = {r.doc_id for r in seen["decontamination"].collect()}
     assert clean == {i for i, _ in stay} - {16, 17}
@@ -45,7 +45,7 @@ def test_stages_on_empty_documents(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_bag_keeps_repeats(spark):
