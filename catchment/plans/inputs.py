@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import attraction as att
 from ..operators import features as feat
 from ..operators import profiles as prof
+from ..operators import spatial
 from ..sources import fixtures as fx
 from ..sources import tables
 
@@ -31,12 +32,12 @@ def full_attraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares after the 0.5% cut (feeds the profiles)."""
-    return att.shares(full_attraction(spark, sf_dir), att.HALF_PERCENT)
+    return spatial.pruned_shares(stores(spark, sf_dir), ldu(spark, sf_dir), att.HALF_PERCENT)
 
 
 def one_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares after the 1% cut (feeds competition)."""
-    return att.shares(full_attraction(spark, sf_dir), att.ONE_PERCENT)
+    return spatial.pruned_shares(stores(spark, sf_dir), ldu(spark, sf_dir), att.ONE_PERCENT)
 
 
 # ---------------------------------------------------------------------------
