@@ -8,9 +8,9 @@ Layout notes
   aggregation, then an exchange by CODE) followed by ``unpivot`` (a local
   Expand).  The per-postal totals are read from the same pivoted row instead
   of a join back; the small metadata side is broadcast by adaptive execution.
-* The variable list of every leg is read in one small job (distinct
-  variable per leg), size-checked against ``spark.sql.pivotMaxValues`` like
-  Spark's own pivot, and then passed explicitly.
+* The melt needs no variable list on the driver: the legs' variables are
+  numbered by Spark.  Only the wide pivot lists its columns, checked against
+  ``spark.sql.pivotMaxValues`` like Spark's own pivot.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.codes import newcomer_year, suffix_key, year_from_code
 from ..functions.text import clean_description
-from ..plans.layout import shuffle_partitions
+from ..plans.layout import maybe_broadcast, numbered, shuffle_partitions
 
 # Population totals lifted to columns, by name of the output
 # column and the variable suffix that holds it (prefixed with the leg's year
@@ -120,36 +119,28 @@ def leg_assignment(legs: list[Leg]) -> Column:
     return F.filter(names, lambda x: x.isNotNull())
 
 
-def leg_metadata(tagged: DataFrame, legs: list[Leg], metadata_columns: list[str]) -> list:
-    """Distinct (leg, metadata...) rows of every leg, read in one small job.
-
-    The result is bounded like a pivot's value list: at most
-    ``spark.sql.pivotMaxValues`` variables per leg (and a few metadata
-    variants per variable); a larger result raises instead of flooding the
-    driver.
-    """
-    limit = int(tagged.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    bound = 2 * limit * len(legs)
-    dv = tagged.select(F.explode(leg_assignment(legs)).alias("__leg"), *metadata_columns).distinct()
-    rows = dv.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("too many distinct variables to melt; above spark.sql.pivotMaxValues per leg")
-    return rows
+def leg_metadata(tagged: DataFrame, legs: list[Leg], metadata_columns: list[str]) -> DataFrame:
+    """Distinct (__leg, metadata...) rows of every leg.  A NULL variable is
+    listed once per leg, as NULL_VARIABLE without metadata."""
+    rows = tagged.select(F.explode(leg_assignment(legs)).alias("__leg"), *metadata_columns)
+    known = F.col("variable").isNotNull()
+    rest = [F.when(known, F.col(c)).alias(c) for c in metadata_columns if c != "variable"]
+    return rows.select("__leg", F.coalesce("variable", F.lit(NULL_VARIABLE)).alias("variable"), *rest).distinct()
 
 
-def variables_by_leg(tagged: DataFrame, legs: list[Leg], rows: list | None = None) -> dict[str, list]:
-    """Distinct variables of every leg (from ``leg_metadata`` rows), checked
-    against ``spark.sql.pivotMaxValues`` as Spark's pivot checks its values."""
+def variables_by_leg(tagged: DataFrame, legs: list[Leg]) -> dict[str, list]:
+    """Distinct variables of every leg, as the columns of a pivot need them:
+    checked against ``spark.sql.pivotMaxValues`` as Spark's own pivot does."""
     limit = int(tagged.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    rows = leg_metadata(tagged, legs, ["variable"]) if rows is None else rows
-    out: dict[str, set] = {leg.name: set() for leg in legs}
-    for row in rows:
-        out[row["__leg"]].add(row["variable"])
-    result = {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
-    for k, v in result.items():
-        if len(v) > limit:
-            raise ValueError(f"leg {k} has {len(v)} variables, above spark.sql.pivotMaxValues")
-    return result
+    found = tagged.select(F.explode(leg_assignment(legs)).alias("__leg"), "variable").distinct()
+    sizes = {r["__leg"]: r["count"] for r in found.groupBy("__leg").count().collect()}  # a row per leg
+    for name, size in sizes.items():
+        if size > limit:
+            raise ValueError(f"leg {name} has {size} variables, above spark.sql.pivotMaxValues")
+    out: dict[str, list] = {leg.name: [] for leg in legs}
+    for row in found.collect():  # at most the limit a leg
+        out[row["__leg"]].append(row["variable"])
+    return {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
 
 
 def pivot_features(rows: DataFrame, values: list | None = None, key: str = "CODE") -> DataFrame:
@@ -165,8 +156,8 @@ class Melted:
 
     ``keyed``: POSTALCODE, __mid (metadata id), val and the totals, hash
     partitioned by POSTALCODE.  ``meta``: one row per metadata id with the
-    leg, variable, its metadata and YEAR; small (its row count was checked
-    when it was collected) and broadcast wherever it is joined.
+    leg, variable, its metadata and YEAR; a written table, so the planner
+    knows its size and broadcasts it only while it is small.
     """
 
     keyed: DataFrame
@@ -174,14 +165,13 @@ class Melted:
     totals: list[str]
     metadata_columns: list[str]
     present: DataFrame | None = None  # keyed rows of the cells that hold a value
-    n_meta: int | None = None  # rows of ``meta``
 
     def table(self) -> DataFrame:
         """The melted table with attribute columns (pivot + melt layout)."""
         mc = self.metadata_columns
         out_cols = ["variable", "POSTALCODE", *[c for c in mc if c in ("Description", "Category")], "val"]
         out_cols += self.totals + [c for c in mc if c not in ("variable", "Description", "Category")] + ["YEAR"]
-        return self.keyed.join(F.broadcast(self.meta), "__mid").select(*out_cols)
+        return self.keyed.join(self.meta, "__mid").select(*out_cols)
 
 
 def melt_legs_keyed(
@@ -197,31 +187,25 @@ def melt_legs_keyed(
     with the value (NULL when absent), the variable's metadata and the postal
     code's totals, and the leg's YEAR.
 
-    * The legs' metadata rows (distinct leg, variable, metadata) are read in
-      one small job from ``meta_source`` (default ``tagged``; a source without
-      the final distinct gives the same set more cheaply), checked against
-      ``spark.sql.pivotMaxValues`` and numbered on the driver.
+    * The legs' metadata rows (distinct leg, variable, metadata) are read
+      from ``meta_source`` (default ``tagged``; a source without the final
+      distinct gives the same set more cheaply) and numbered by Spark
+      (``layout.numbered``): any number of variables, none on the driver.
     * Rows tagged with their legs are aggregated into cells (``max``,
       deterministic) with map-side partial aggregation, so copies of a row
       collapse before any shuffle; the distinct cells are hash-partitioned by
       CODE and the per-(code, leg) map variable -> value is aggregated there
       (a group holds at most one entry per variable of the leg).
-    * Each (code, leg) meets the leg's metadata rows in a broadcast join on
-      the leg: that is the dense (postal code x variable) grid, with values
-      and totals looked up in the map.  The keyed output stays partitioned by
-      POSTALCODE, the layout of the share table.
+    * Each (code, leg) meets the leg's metadata rows: that is the dense
+      (postal code x variable) grid, with values and totals looked up in the
+      map.  The ids are broadcast after their size was measured; beyond the
+      bound the codes of a leg are dealt to buckets, each with its copy of the
+      leg's ids.  The keyed output stays partitioned by POSTALCODE, the layout
+      of the share table.
     """
-    spark = tagged.sparkSession
-    meta_rows = leg_metadata(meta_source if meta_source is not None else tagged, legs, metadata_columns)
-    variables_by_leg(tagged, legs, meta_rows)  # size check per leg
+    source = meta_source if meta_source is not None else tagged
     n = partitions or shuffle_partitions(tagged)
-    rest = [c for c in metadata_columns if c != "variable"]
-    numbered = sorted(_reorder(meta_rows, metadata_columns), key=lambda t: tuple((x is None, str(x)) for x in t))
-    meta_schema = tagged.select(
-        F.lit(0).cast("long").alias("__mid"), F.lit("").alias("__leg"), "variable", *rest
-    ).schema
-    meta_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in meta_schema.fields])
-    meta = spark.createDataFrame([(i, *t) for i, t in enumerate(numbered)], meta_schema)
+    meta = numbered(leg_metadata(source, legs, metadata_columns), "__mid")
     year = None
     for lg in legs:
         year = (F.when if year is None else year.when)(F.col("__leg") == lg.name, lg.year)
@@ -242,8 +226,15 @@ def melt_legs_keyed(
     per_code = laid.groupBy("CODE", "__leg").agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "__val"))).alias("__cells")
     )
-    grid_side = F.broadcast(meta.select("__mid", F.col("__leg").alias("__gleg"), F.col("variable").alias("__gvar")))
-    grid = per_code.join(grid_side, F.col("__leg") == F.col("__gleg"))
+    ids = meta.select("__mid", F.col("__leg").alias("__gleg"), F.col("variable").alias("__gvar"))
+    side, small = maybe_broadcast(ids)
+    if small:
+        grid = per_code.join(side, F.col("__leg") == F.col("__gleg"))
+    else:  # a leg's codes in buckets, each with the leg's ids
+        dealt = per_code.withColumn("__bucket", F.pmod(F.xxhash64("CODE"), F.lit(n)).cast("int"))
+        copies = side.withColumn("__gbucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        on = (F.col("__leg") == F.col("__gleg")) & (F.col("__bucket") == F.col("__gbucket"))
+        grid = dealt.join(copies, on).drop("__bucket", "__gbucket").repartition(n, "CODE")
     prefixes = F.create_map(*[x for lg in legs for x in (F.lit(lg.name), F.lit(lg.total_prefix))])
     total_cols = [
         F.try_element_at("__cells", F.concat(F.element_at(prefixes, F.col("__leg")), F.lit(sfx))).alias(name)
@@ -259,10 +250,10 @@ def melt_legs_keyed(
     # the cells present in the map, matched to their metadata ids; no grid.
     cell = per_code.select("CODE", "__leg", "__cells", F.explode("__cells").alias("__pvar", "val"))
     cell = cell.filter(F.col("val").isNotNull()).join(
-        grid_side, (F.col("__leg") == F.col("__gleg")) & (F.col("__pvar") == F.col("__gvar"))
+        side, (F.col("__leg") == F.col("__gleg")) & (F.col("__pvar") == F.col("__gvar"))
     )
     present = cell.select(F.col("CODE").alias("POSTALCODE"), "__mid", "val", *total_cols)
-    return Melted(keyed, meta, list(totals), metadata_columns, present, len(numbered))
+    return Melted(keyed, meta, list(totals), metadata_columns, present)
 
 
 # A NULL variable becomes a pivot column named "null", which the metadata
@@ -270,20 +261,6 @@ def melt_legs_keyed(
 NULL_VARIABLE = "null"
 
 
-def _reorder(rows: list, metadata_columns: list[str]) -> list:
-    """(leg, variable, other metadata...) tuples from ``leg_metadata`` rows;
-    a NULL variable is listed once per leg as "null" without metadata."""
-    rest = [c for c in metadata_columns if c != "variable"]
-    out, null_legs = [], set()
-    for r in rows:
-        if r["variable"] is None:
-            null_legs.add(r["__leg"])
-        else:
-            out.append((r["__leg"], r["variable"], *[r[c] for c in rest]))
-    out += [(leg, NULL_VARIABLE, *[None] * len(rest)) for leg in sorted(null_legs)]
-    return out
-
-
 def postal_totals(rows: DataFrame, totals: dict[str, str], total_prefix: str, key: str = "CODE") -> DataFrame:
     """Per-postal-code totals as columns (conditional aggregation)."""
     aggs = [

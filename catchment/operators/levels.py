@@ -3,28 +3,27 @@ values, each store's share of its category at those levels, category totals,
 store values and medians.
 
 Layout:
-* The four level values are ratios of sums over keys that all contain
-  (variable, YEAR).  The profile is repartitioned once by (variable, YEAR) and
-  all four are windows over that layout (no further exchange).  A window group
-  holds one profile row per store for one variable and year, so its size is
-  bounded by the store dimension.
+* The four level values are ratios of sums.  One aggregation over the
+  grouping sets of all levels makes them, with partial sums before the
+  shuffle, and they are joined back on their keys; no task holds all stores
+  of a variable and year.
 * The percent denominators are keyed by store name and category, whose size
   is not bounded by a dimension (a name may be shared by many stores).  They
   are grouped aggregates (partial aggregation before the shuffle) joined back
   on their keys, so a hot key is never gathered in one task.
-* The level values are read more than once (four denominators and the
-  category totals); they are materialized once with a reliable checkpoint,
-  as the source pipeline writes and re-reads its stage table.  The social
-  benchmarks are materialized before the Basics self-join the same way.
+* The profile and the level values are read more than once (sums and rows;
+  four denominators and the category totals); each is written once, as the
+  source pipeline writes and re-reads its stage table.  The social
+  benchmarks are written before the Basics self-join the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.layout import join_keyed, materialize, shuffle_partitions
+from ..plans.layout import join_keyed, materialize
 from .profiles import RECENT_IMMIGRATION
 
 # (value column, window keys); every key list contains variable and YEAR.
@@ -46,17 +45,33 @@ LEVEL_PERCENTS = [
 ]
 
 
-def level_ratio(keys: list[str]) -> Column:
-    w = Window.partitionBy(*keys)
-    return F.try_divide(F.sum("val").over(w), F.sum("TOTAL_POPULATION").over(w))
+def level_sums(profile: DataFrame, levels) -> DataFrame:
+    """Ratios of all levels in one aggregation: a row per level (``__level``,
+    its place in ``levels``) and key, with the columns that are not its keys
+    null.  One expand over the levels' grouping sets and partial sums before
+    the only shuffle, so a variable that every store has is combined in the
+    tasks that hold its rows."""
+    columns = list(dict.fromkeys(c for _, keys in levels for c in keys))
+    # grouping_id() has a bit per grouping column, the first the highest, set where it is not a key
+    ids = [sum((c not in keys) << (len(columns) - 1 - i) for i, c in enumerate(columns)) for _, keys in levels]
+    sets = profile.groupingSets([[F.col(c) for c in keys] for _, keys in levels], *[F.col(c) for c in columns])
+    ratio = F.try_divide(F.sum("val"), F.sum("TOTAL_POPULATION"))
+    summed = sets.agg(F.grouping_id().alias("__id"), ratio.alias("__ratio"))
+    level = F.array_position(F.array(*map(F.lit, ids)), F.col("__id").cast("int")) - 1
+    return summed.select(*columns, "__ratio", level.alias("__level"))
 
 
-def level_values(profile: DataFrame, levels=None, partitions: int | None = None) -> DataFrame:
+def level_values(profile: DataFrame, levels=None) -> DataFrame:
     """Add the level value columns (sum(val) / sum(TOTAL_POPULATION) over
-    each level's keys) after one repartition by (variable, YEAR)."""
+    each level's keys): the profile is written once, summed for all levels in
+    one aggregation, and the sums are joined back on their keys."""
     levels = LEVEL_VALUES if levels is None else levels
-    laid = profile.repartition(partitions or shuffle_partitions(profile), "variable", "YEAR")
-    return laid.select("*", *[level_ratio(keys).alias(name) for name, keys in levels])
+    profile = materialize(profile)
+    sums, out = materialize(level_sums(profile, levels)), profile
+    for place, (name, keys) in enumerate(levels):
+        one = sums.filter(F.col("__level") == place).select(*keys, F.col("__ratio").alias(name))
+        out = join_keyed(out, one, keys)
+    return out
 
 
 def level_percents(df: DataFrame, percents=None, per_year: bool = False) -> DataFrame:

@@ -15,11 +15,12 @@ what the shares say they are: no store table is read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import region
 from ..functions.text import store_chain
+from ..plans.layout import join_keyed
 from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more
@@ -83,11 +84,10 @@ def metadata_groups(meta: DataFrame, keys: list[str], firsts: list[str]) -> tupl
     """(__mid -> __gid) and one row per __gid with ``keys`` and one variant of
     the ``firsts``: metadata rows that differ in pass-through attributes only
     are one group of the profile."""
-    numbered = meta.withColumn("__gid", F.min("__mid").over(Window.partitionBy(*keys)))
-    groups = numbered.groupBy("__gid", *keys).agg(F.min(F.struct(F.lit(0).alias("__"), *firsts)).alias("__first"))
-    return numbered.select("__mid", "__gid"), groups.select(
-        "__gid", *keys, *[F.col(f"__first.{c}").alias(c) for c in firsts]
-    )
+    first = F.min(F.struct(F.lit(0).alias("__"), *firsts)).alias("__first")
+    groups = meta.groupBy(*keys).agg(F.min("__mid").alias("__gid"), first)
+    mids = join_keyed(meta.select("__mid", *keys), groups.select("__gid", *keys), keys).select("__mid", "__gid")
+    return mids, groups.select("__gid", *keys, *[F.col(f"__first.{c}").alias(c) for c in firsts])
 
 
 def profile(
@@ -105,9 +105,9 @@ def profile(
         return weighted_sums(shares, f if keep is None else f.filter(keep), keys, sums, list(firsts))
     mids, groups = metadata_groups(melted.meta if keep is None else melted.meta.filter(keep), keys, list(firsts))
     cells = (melted.present if melted.present is not None else melted.keyed).filter(F.col("val").isNotNull())
-    # The metadata was collected on the driver when it was numbered, so it is bounded.
-    agg = weighted_sums(shares, cells.join(F.broadcast(mids), "__mid"), ["__gid"], sums)
-    return agg.join(F.broadcast(groups), "__gid").drop("__gid")
+    # The metadata is a written table: the planner broadcasts what is made of it while it is small.
+    agg = weighted_sums(shares, cells.join(mids, "__mid"), ["__gid"], sums)
+    return agg.join(groups, "__gid").drop("__gid")
 
 
 def with_store_labels(profile: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ Rules followed throughout the package:
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default bound for broadcast sides, in bytes.  Overridable per session with
@@ -95,10 +96,35 @@ def keyed_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> Dat
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the
-    written copy (reliable checkpoint: survives executor loss, unlike a local
-    checkpoint).  Used where a stage is read more than once (self-joins), so
-    its upstream plan is neither copied into every branch nor recomputed."""
+    written copy (it survives executor loss).  Used where a stage is read more
+    than once (self-joins), so its upstream plan is neither copied into every
+    branch nor recomputed.  The copy is Parquet: readers take only the columns
+    they need, and the planner knows its size.  It is removed when the
+    application ends."""
     from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/copy-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` (distinct) with a dense number from 0 in column
+    ``name``, in the order of all columns.
+
+    Rows are sorted by range and numbered within their task; the written
+    copy's counts, one a task, give each task's first number.  No task and not
+    the driver holds all rows, and the written numbers never change."""
+    keys = df.columns
+    place = F.monotonically_increasing_id()  # task << 33 | row of the task, fixed by the write
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", place)
+    copy = materialize(sorted_rows)
+    task, row = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    counts = copy.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = counts.select("__task", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    joined = copy.withColumn("__task", task).join(starts, "__task")
+    return materialize(joined.select((F.col("__start") + row).alias(name), *keys))

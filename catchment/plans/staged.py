@@ -77,11 +77,10 @@ def _write_melted(spark: SparkSession, melted: feat.Melted, name: str) -> DataFr
 
 
 def _read_keyed(spark: SparkSession, name: str, totals: list[str], metadata_columns: list[str]) -> feat.Melted:
-    """The keyed form written by ``_write_melted`` (metadata row count read
-    from the small metadata stage)."""
+    """The keyed form written by ``_write_melted``."""
     cells = sinks.read_bucketed_stage(spark, f"{name}_cells")
     meta = sinks.read_stage(spark, f"{name}_meta")
-    return feat.Melted(cells, meta, totals, metadata_columns, present=cells, n_meta=meta.count())
+    return feat.Melted(cells, meta, totals, metadata_columns, present=cells)
 
 
 def features(spark: SparkSession, raw_parts: list[DataFrame], dim: DataFrame, names=StageNames()) -> DataFrame:

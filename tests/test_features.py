@@ -136,3 +136,23 @@ def test_variable_with_two_descriptions_fans_out(spark):
     m = feat.melt_demographics(t, [leg]).filter(F.col("variable") == "P3YINC0").collect()
     # 2 postal codes x 2 metadata rows of the variable, as the metadata join does
     assert len(m) == 4 and {r.Description for r in m} == {"Income A", "Income B"}
+
+
+def test_melt_has_no_variable_limit(spark, sf_small):
+    want = sorted(map(repr, inputs.features_melted(spark, sf_small).collect()))
+    for key, value in (("spark.sql.pivotMaxValues", "2"), ("catchment.broadcast.maxBytes", "10")):
+        spark.conf.set(key, value)
+        try:
+            assert sorted(map(repr, inputs.features_melted(spark, sf_small).collect())) == want
+        finally:
+            spark.conf.unset(key)
+
+
+def test_leg_of_many_variables_melts(spark):
+    rows = spark.range(60_000).selectExpr(
+        "concat('P', id % 2) AS CODE", "concat('ECY', id) AS variable", "CAST(id AS DOUBLE) AS value",
+        "'d' AS Description", "'c' AS Category", "2023 AS YEAR")
+    leg = feat.Leg("2023", F.col("YEAR") == 2023, "ECY", F.lit(2023))
+    table = feat.melt_legs_keyed(rows, [leg], {"T": "7"}, ["variable", "Description", "Category"]).table()
+    got = table.agg(F.count("*"), F.count("val"), F.sum("val"), F.count("T")).first()
+    assert tuple(got) == (120_000, 60_000, 60_000 * 59_999 / 2, 60_000)

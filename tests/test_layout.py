@@ -25,3 +25,17 @@ def test_materialize_keeps_rows(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     m = layout.materialize(df)
     assert m.count() == 100 and m.agg(F.sum("x")).first()[0] == 9900
+
+
+def test_numbers_are_dense_and_ordered(spark):
+    rows = [(f"k{i % 37:02d}", i if i % 5 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "a string, b int").distinct().repartition(6)
+    got = sorted((r.n, r.a, r.b) for r in layout.numbered(df, "n").collect())
+    order = sorted(set(rows), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    assert got == [(i, *r) for i, r in enumerate(order)]
+    assert layout.numbered(df.limit(0), "n").collect() == []
+
+
+def test_copies_are_parquet_and_pruned(spark):
+    copy = layout.materialize(spark.range(10).selectExpr("id", "id * 2 AS twice"))
+    assert "ReadSchema: struct<twice:bigint>" in copy.select("twice")._jdf.queryExecution().executedPlan().toString()

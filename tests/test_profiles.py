@@ -175,3 +175,25 @@ def test_two_total_rows_in_a_category_fan_out(spark):
     out = lv.attach_category_total(df).collect()
     assert len(out) == 6  # every row once per total row
     assert sorted({r.TOTAL_CATEGORY for r in out}) == [10.0, 30.0]
+
+
+def test_level_values_equal_windows_without_hot_groups(spark):
+    rows = [(f"B{i % 3}" if i % 11 else None, f"R{i % 2}", f"C{i % 4}" if i % 7 else None, "v" if i % 3 else f"v{i % 5}",
+             2023 + i % 2, float(i % 13), float(i % 5)) for i in range(600)]
+    df = spark.createDataFrame(
+        rows, "BANNER string, Region string, CHANNEL string, variable string, YEAR int, val double, TOTAL_POPULATION double")
+    got = lv.level_values(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RepartitionByExpression" not in plan
+    sums = {}
+    for r in rows:
+        named = dict(zip(df.columns, r, strict=True))
+        for name, keys in lv.LEVEL_VALUES:
+            s = sums.setdefault((name, *(named[k] for k in keys)), [0.0, 0.0])
+            s[0] += r[5]
+            s[1] += r[6]
+    assert got.count() == len(rows)
+    for r in got.collect():
+        for name, keys in lv.LEVEL_VALUES:
+            a, b = sums[(name, *(r[k] for k in keys))]
+            assert (r[name] is None and b == 0) or abs(r[name] - a / b) < 1e-9
