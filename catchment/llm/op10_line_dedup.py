@@ -91,17 +91,26 @@ class Runs:
             self.add(self.compacted(merged), level + 1)
 
 
+def id_cuts(docs: DataFrame, id_col: str, batches: int) -> list:
+    """The smallest ids of all but the last batch, largest first, from Spark's
+    own range bounds: of the id's type, whatever it is."""
+    if batches < 2:
+        return []
+    ids = docs.select(F.col(id_col).alias("v")).filter("v IS NOT NULL").repartitionByRange(batches, "v")
+    lows = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min("v").alias("low")).collect()
+    lows = sorted(r["low"] for r in lows)
+    return sorted({lows[len(lows) * i // batches] for i in range(1, batches)} if lows else [], reverse=True)
+
+
 def common_lines(
     docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int
 ) -> DataFrame:
     """(doc, text hash, drops): the line numbers each document loses."""
     spark = docs.sparkSession
     # Batch bounds only set how much is read at a time; results don't depend on them.
-    ids = docs.select(F.col(id_col).cast("double").alias("v"))
-    cuts = ids.approxQuantile("v", [i / batches for i in range(batches - 1, 0, -1)], 0.01) if batches > 1 else []
     batch = F.lit(0)
-    for cut in cuts:
-        batch = batch + F.when(F.col("doc").cast("double") > cut, 0).otherwise(1)
+    for cut in id_cuts(docs, id_col, batches):
+        batch = batch + F.when(F.col("doc") >= F.lit(cut), 0).otherwise(1)
     path = new_path(spark, "lines")
     keyed = keyed_lines(docs, id_col, text_col, min_chars).withColumn("batch", batch)
     keyed.write.partitionBy("batch").parquet(path)

@@ -152,3 +152,22 @@ def test_empty_tables(spark):
     assert op01_repeats.repeat_digest(empty).collect() == []
     assert op09_chosen_path.near_duplicate_digest(empty).collect() == []
     assert op10_line_dedup.line_digest(empty).collect() == []
+
+
+def test_line_dedup_of_text_ids(spark):
+    line = "a line of at least forty characters that is shared by all of them"
+    rows = [(f"id-{c}", f"{c}\n{line}\n{c * 3}") for c in "abcdefgh"] + [(None, line)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for batches in (1, 4):
+        got = {r.doc_id: r.n_dropped for r in op10_line_dedup.line_digest(df, batches=batches).collect()}
+        assert got == {f"id-{c}": int(c != "h") for c in "abcdefgh"} | {None: 1}
+    big = spark.createDataFrame([(2**53 + i, line) for i in range(6)], "doc_id long, text string")
+    kept = [r.doc_id for r in op10_line_dedup.line_digest(big).collect() if not r.n_dropped]
+    assert kept == [2**53 + 5]
+
+
+def test_kept_row_of_a_tie_is_the_smallest(spark):
+    text = "one text of more than five words that two rows share"
+    rows = [(1, text, "fr", "s"), (1, text, "de", "z"), (1, text, "de", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    assert [tuple(r) for r in op09_chosen_path.keep_first(df).collect()] == [(1, text, "de", "b")]
