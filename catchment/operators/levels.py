@@ -11,10 +11,9 @@ Layout:
   is not bounded by a dimension (a name may be shared by many stores).  They
   are grouped aggregates (partial aggregation before the shuffle) joined back
   on their keys, so a hot key is never gathered in one task.
-* The profile and the level values are read more than once (sums and rows;
-  four denominators and the category totals); each is written once, as the
-  source pipeline writes and re-reads its stage table.  The social
-  benchmarks are written before the Basics self-join the same way.
+* The profile is read more than once (sums and rows, four denominators, the
+  category totals, the Basics self-join); it and the sums are written once,
+  as the source pipeline writes and re-reads its stage table.
 """
 
 from __future__ import annotations
@@ -132,20 +131,20 @@ def store_value(df: DataFrame) -> DataFrame:
 
 def demographic_benchmarks(profile: DataFrame, per_year: bool = False, with_values: DataFrame | None = None) -> DataFrame:
     """Profile with the four level percents (the level values themselves are
-    dropped, as in the published table).  The level values are materialized
-    once: they feed the four denominators."""
+    dropped, as in the published table).  ``level_values`` has written the
+    profile and its sums, which feed the four denominators."""
     if with_values is None:
-        with_values = materialize(level_values(null_coordinates(profile)))
+        with_values = level_values(null_coordinates(profile))
     with_pct = level_percents(with_values, per_year=per_year)
     return with_pct.drop(*[name for name, _ in LEVEL_VALUES])
 
 
 def demographic_store_table(profile: DataFrame, per_year: bool = False) -> DataFrame:
     """The published demographic store table: benchmarks, category totals and
-    store values, in the 28-column layout.  One materialized stage (the level
-    values) feeds the denominators and the category totals, so the plan stays
-    linear without a second write."""
-    with_values = materialize(level_values(null_coordinates(profile)))
+    store values, in the 28-column layout.  The profile and sums written by
+    ``level_values`` feed the denominators and the category totals, so the
+    pairs and the melt run once."""
+    with_values = level_values(null_coordinates(profile))
     bench = demographic_benchmarks(profile, per_year, with_values)
     valued = store_value(attach_category_total(bench, totals_from=with_values))
     return valued.drop("MEDIAN_AVERAGE", "LEAF_NODE_FLAG", "TOTAL_FLAG").select(*schemas.PROFILE_FINAL_COLUMNS)
@@ -190,9 +189,9 @@ def social_benchmarks(profile: DataFrame) -> DataFrame:
 
 
 def social_store_table(profile: DataFrame, match_year: bool = False) -> DataFrame:
-    """Social-value store table; the benchmarks are materialized before the
-    self-join on Basics totals."""
-    bench = materialize(social_benchmarks(profile))
+    """Social-value store table; the self-join on Basics totals reads what
+    ``level_values`` has written."""
+    bench = social_benchmarks(profile)
     return social_store_value(attach_basics_total(bench, match_year))
 
 

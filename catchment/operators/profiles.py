@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import region
 from ..functions.text import store_chain
-from ..plans.layout import join_keyed
+from ..plans.layout import fits_broadcast, join_keyed
 from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more
@@ -105,9 +105,10 @@ def profile(
         return weighted_sums(shares, f if keep is None else f.filter(keep), keys, sums, list(firsts))
     mids, groups = metadata_groups(melted.meta if keep is None else melted.meta.filter(keep), keys, list(firsts))
     cells = (melted.present if melted.present is not None else melted.keyed).filter(F.col("val").isNotNull())
-    # The metadata is a written table: the planner broadcasts what is made of it while it is small.
-    agg = weighted_sums(shares, cells.join(mids, "__mid"), ["__gid"], sums)
-    return agg.join(groups, "__gid").drop("__gid")
+    # Both are made of the metadata and no larger: broadcast while that measures small, else left to the planner.
+    side = F.broadcast if fits_broadcast(melted.meta) else (lambda table: table)
+    agg = weighted_sums(shares, cells.join(side(mids), "__mid"), ["__gid"], sums)
+    return agg.join(side(groups), "__gid").drop("__gid")
 
 
 def with_store_labels(profile: DataFrame) -> DataFrame:

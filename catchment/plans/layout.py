@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default bound for broadcast sides, in bytes.  Overridable per session with
@@ -123,8 +123,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", place)
     copy = materialize(sorted_rows)
     task, row = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
-    counts = copy.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
-    starts = counts.select("__task", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    joined = copy.withColumn("__task", task).join(starts, "__task")
-    return materialize(joined.select((F.col("__start") + row).alias(name), *keys))
+    counts = sorted((r[0], r[1]) for r in copy.groupBy(task.alias("__task")).count().collect())  # a row a task
+    starts, at = [], 0
+    for number, rows in counts:
+        starts += [F.lit(number), F.lit(at)]
+        at += rows
+    start = F.element_at(F.create_map(*starts), task) if starts else F.lit(0)
+    return copy.select((start + row).cast("long").alias(name), *keys)
