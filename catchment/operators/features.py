@@ -4,13 +4,12 @@ clean-up, year legs, pivot / melt with totals, and stacking of the legs.
 Layout notes
 * The variable dimension and the category list are small; they are
   broadcast after a size check, so selection is a map-side pass.
-* Pivot + melt is one shuffle: ``groupBy(CODE).pivot(values)`` (partial
-  aggregation, then an exchange by CODE) followed by ``unpivot`` (a local
-  Expand).  The per-postal totals are read from the same pivoted row instead
-  of a join back; the small metadata side is broadcast by adaptive execution.
-* The melt needs no variable list on the driver: the legs' variables are
-  numbered by Spark.  Only the wide pivot lists its columns, checked against
-  ``spark.sql.pivotMaxValues`` like Spark's own pivot.
+* The melt does not pivot and needs no variable list on the driver: the legs'
+  variables are numbered by Spark, cells are laid out by CODE once, and the
+  totals are read from the same per-code map instead of a join back.
+* Only the wide form lists its variables, since they are its columns.  It is
+  made of column blocks, a pivot each, joined on the key without a further
+  shuffle, so it has no limit of its own on columns.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.codes import newcomer_year, suffix_key, year_from_code
 from ..functions.text import clean_description
-from ..plans.layout import maybe_broadcast, numbered, shuffle_partitions
+from ..plans.layout import materialize, maybe_broadcast, numbered, shuffle_partitions
 
 # Population totals lifted to columns, by name of the output
 # column and the variable suffix that holds it (prefixed with the leg's year
@@ -49,15 +48,16 @@ class Leg:
     year: Column  # YEAR of the melted rows
 
 
+# Prefix of the total variables of each leg.
+LEG_PREFIXES = {"2023": "ECY", "2026": "P3Y", "2028": "P5Y", "2033": "P0Y"}
+
+
 def demographic_legs() -> list[Leg]:
     """2023 (with newcomer rows), 2026, 2028 and 2033 legs."""
     y, whole = F.col("YEAR"), F.col("WHOLE_YEAR")
-    return [
-        Leg("2023", y.isin(2023, 2024) | whole.isNotNull(), "ECY", newcomer_year("variable")),
-        Leg("2026", y == 2026, "P3Y", F.lit(2026)),
-        Leg("2028", y == 2028, "P5Y", F.lit(2028)),
-        Leg("2033", y == 2033, "P0Y", F.lit(2033)),
-    ]
+    current = Leg("2023", y.isin(2023, 2024) | whole.isNotNull(), LEG_PREFIXES["2023"], newcomer_year("variable"))
+    later = [name for name in LEG_PREFIXES if name != "2023"]
+    return [current] + [Leg(name, y == int(name), LEG_PREFIXES[name], F.lit(int(name))) for name in later]
 
 
 # ---------------------------------------------------------------------------
@@ -119,6 +119,18 @@ def leg_assignment(legs: list[Leg]) -> Column:
     return F.filter(names, lambda x: x.isNotNull())
 
 
+def by_leg(tagged: DataFrame, legs: list[Leg]) -> DataFrame:
+    """The rows of every leg, with the leg's name as LEG (a row of several
+    legs comes once for each)."""
+    return tagged.withColumn("LEG", F.explode(leg_assignment(legs)))
+
+
+def total_prefix(legs: list[Leg], leg: Column) -> Column:
+    """Prefix of the total variables of the leg named by ``leg``."""
+    prefixes = F.create_map(*[x for lg in legs for x in (F.lit(lg.name), F.lit(lg.total_prefix))])
+    return F.element_at(prefixes, leg)
+
+
 def leg_metadata(tagged: DataFrame, legs: list[Leg], metadata_columns: list[str]) -> DataFrame:
     """Distinct (__leg, metadata...) rows of every leg.  A NULL variable is
     listed once per leg, as NULL_VARIABLE without metadata."""
@@ -150,6 +162,34 @@ def pivot_features(rows: DataFrame, values: list | None = None, key: str = "CODE
     return rows.groupBy(key).pivot("variable", values).agg(F.max("value")).withColumnRenamed(key, "POSTALCODE")
 
 
+#: Columns of one pivot of the wide form.
+PIVOT_BLOCK = 2000
+
+
+def pivot_wide(rows: DataFrame, keys: list, block: int = PIVOT_BLOCK) -> DataFrame:
+    """Long -> wide for any number of variables: one row per ``keys`` (columns
+    or names; NULLs are a key like any other) and one column per variable, in
+    code-point order.
+
+    The cells (``max``, so copies collapse before the shuffle) are written
+    once, sorted by variable.  A block of columns reads its own cells only and
+    pivots them, which moves each cell through one shuffle in all; the blocks
+    leave it partitioned by the key and are joined as they are.  The variables
+    are listed on the driver because they are the schema of the result."""
+    variable = F.coalesce("variable", F.lit(NULL_VARIABLE)).alias("variable")
+    cells = rows.select(F.struct(*keys).alias("__key"), variable, "value")
+    cells = materialize(
+        cells.groupBy("__key", "variable").agg(F.max("value").alias("value")).sortWithinPartitions("variable")
+    )
+    names = sorted(r[0] for r in cells.select("variable").distinct().collect())
+    wide = cells.select("__key").distinct()
+    for start in range(0, len(names), block):
+        part = names[start : start + block]
+        own = cells.filter(F.col("variable").between(part[0], part[-1]))
+        wide = wide.join(own.groupBy("__key").pivot("variable", part).agg(F.max("value")), "__key", "left")
+    return wide.select("__key.*", "*").drop("__key")
+
+
 @dataclass
 class Melted:
     """A dense melted table in keyed form.
@@ -166,12 +206,14 @@ class Melted:
     metadata_columns: list[str]
     present: DataFrame | None = None  # keyed rows of the cells that hold a value
 
-    def table(self) -> DataFrame:
-        """The melted table with attribute columns (pivot + melt layout)."""
+    def table(self, leg: str | None = None) -> DataFrame:
+        """The melted table with attribute columns (pivot + melt layout);
+        ``leg`` names one more column for the leg of each row."""
         mc = self.metadata_columns
         out_cols = ["variable", "POSTALCODE", *[c for c in mc if c in ("Description", "Category")], "val"]
         out_cols += self.totals + [c for c in mc if c not in ("variable", "Description", "Category")] + ["YEAR"]
-        return self.keyed.join(self.meta, "__mid").select(*out_cols)
+        legs = [F.col("__leg").alias(leg)] if leg else []
+        return self.keyed.join(self.meta, "__mid").select(*out_cols, *legs)
 
 
 def melt_legs_keyed(
@@ -235,9 +277,9 @@ def melt_legs_keyed(
         copies = side.withColumn("__gbucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         on = (F.col("__leg") == F.col("__gleg")) & (F.col("__bucket") == F.col("__gbucket"))
         grid = dealt.join(copies, on).drop("__bucket", "__gbucket").repartition(n, "CODE")
-    prefixes = F.create_map(*[x for lg in legs for x in (F.lit(lg.name), F.lit(lg.total_prefix))])
+    prefix = total_prefix(legs, F.col("__leg"))
     total_cols = [
-        F.try_element_at("__cells", F.concat(F.element_at(prefixes, F.col("__leg")), F.lit(sfx))).alias(name)
+        F.try_element_at("__cells", F.concat(prefix, F.lit(sfx))).alias(name)
         for name, sfx in totals.items()
     ]
     keyed = grid.select(
@@ -270,9 +312,19 @@ def postal_totals(rows: DataFrame, totals: dict[str, str], total_prefix: str, ke
     return rows.groupBy(F.col(key).alias("POSTALCODE")).agg(*aggs)
 
 
-def variable_metadata(rows: DataFrame) -> DataFrame:
-    """Distinct variable metadata of a leg."""
-    return rows.select(*METADATA_COLUMNS).distinct()
+def totals_by_leg(tagged: DataFrame, legs: list[Leg], totals: dict[str, str], key: str = "CODE") -> DataFrame:
+    """The totals of every (postal code, leg), in one pass."""
+    prefix = total_prefix(legs, F.col("LEG"))
+    aggs = [
+        F.max(F.when(F.col("variable") == F.concat(prefix, F.lit(suffix)), F.col("value"))).alias(name)
+        for name, suffix in totals.items()
+    ]
+    return by_leg(tagged, legs).groupBy(F.col(key).alias("POSTALCODE"), "LEG").agg(*aggs)
+
+
+def variable_metadata(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct variable metadata (of each value of ``keys``, say the leg)."""
+    return rows.select(*keys, *METADATA_COLUMNS).distinct()
 
 
 def melt_demographics_keyed(

@@ -20,9 +20,10 @@ TAGGED = ["CODE", "variable", "value", "Description", "Category"] + schemas.DIM_
 MELTED = schemas.MELTED_COLUMNS + ["YEAR"]
 SV_MELTED = ["variable", "POSTALCODE", "Description", "Category", "val", "TOTAL_POPULATION", "YEAR"]
 
-# Variables of the fixture's 2023 leg (pivot columns) and of a social-value year.
-LEG_2023_VARIABLES = sorted(
-    [f"ECY{sfx}" for (sfx, _d, _c, add, _l, _t) in fx.FEATURE_VARIABLES if add == 1]
+# Variables of the fixture's legs (pivot columns) and of the social-value years.
+LEG_VARIABLES = sorted(
+    [f"{prefix}{sfx}" for prefix in feat.LEG_PREFIXES.values()
+     for (sfx, _d, _c, add, _l, _t) in fx.FEATURE_VARIABLES if add == 1]
     + [code for code, _d, _l in fx.NEWCOMER_VARIABLES]
 )
 SV_VARIABLES = sorted(code for code, _d, _c in fx.SOCIAL_VALUE_VARIABLES)
@@ -104,28 +105,40 @@ def features_newcomer_only(spark, sf):
     return t.filter((F.col("YEAR") == 2024) | F.col("WHOLE_YEAR").isNotNull())
 
 
-def _pivot_sql(leg_sql: str, variables: list[str]) -> str:
+LEGS_SQL = {"2023": "leg23", "2026": "leg26", "2028": "leg28", "2033": "leg33"}
+
+
+def _all_legs_sql(select: str) -> str:
+    """``select`` (with {leg} and {name}) over the four legs, stacked."""
+    return " UNION ALL ".join(select.format(leg=leg, name=name) for name, leg in LEGS_SQL.items())
+
+
+def _pivot_sql(rows_sql: str, key: str, variables: list[str]) -> str:
     cols = ", ".join(f"max(CASE WHEN variable = '{v}' THEN value END) AS \"{v}\"" for v in variables)
-    return f"SELECT CODE AS POSTALCODE, {cols} FROM {leg_sql} GROUP BY CODE"
+    return f"SELECT CODE AS POSTALCODE, {key}, {cols} FROM ({rows_sql}) r GROUP BY CODE, {key}"
 
 
-@register("pivot_features", ["POSTALCODE"] + LEG_2023_VARIABLES, _pivot_sql("leg23", LEG_2023_VARIABLES))
+@register(
+    "pivot_features",
+    ["POSTALCODE", "LEG"] + LEG_VARIABLES,
+    _pivot_sql(_all_legs_sql("SELECT CODE, variable, value, '{name}' AS LEG FROM {leg}"), "LEG", LEG_VARIABLES),
+)
 def pivot_features(spark, sf):
-    """RSH-1 / AGG-2: current-year leg long -> wide (one column per variable)."""
-    t = inputs.features_tagged(spark, sf)
-    leg = _leg("2023")
-    values = feat.variables_by_leg(t, [leg])[leg.name]
-    return feat.pivot_features(feat.leg_rows(t, leg), values)
+    """RSH-1 / AGG-2: all four legs long -> wide, a row per postal code and leg
+    and one column per variable."""
+    rows = feat.by_leg(inputs.features_tagged(spark, sf), feat.demographic_legs())
+    return feat.pivot_wide(rows, [F.col("CODE").alias("POSTALCODE"), "LEG"])
 
 
-SV_2024 = "(SELECT CODE, var_code AS variable, var_value AS value FROM features_sv WHERE YEAR = 2024) s"
+SV_ROWS = "SELECT CODE, var_code AS variable, var_value AS value, YEAR FROM features_sv"
 
 
-@register("sv_pivot", ["POSTALCODE"] + SV_VARIABLES, _pivot_sql(SV_2024, SV_VARIABLES))
+@register("sv_pivot", ["POSTALCODE", "YEAR"] + SV_VARIABLES, _pivot_sql(SV_ROWS, "YEAR", SV_VARIABLES))
 def sv_pivot(spark, sf):
-    """RSH-1 / AGG-2: 2024 social values long -> wide."""
-    raw = inputs.social_values_by_year(spark, sf)[2024]
-    return feat.pivot_features(raw)  # Spark lists the variables itself, up to its pivot limit
+    """RSH-1 / AGG-2: both years of social values long -> wide, a row per
+    postal code and year."""
+    years = [df.withColumn("YEAR", F.lit(year)) for year, df in inputs.social_values_by_year(spark, sf).items()]
+    return feat.pivot_wide(tables.stack_by_position(*years), [F.col("CODE").alias("POSTALCODE"), "YEAR"])
 
 
 @register(
@@ -138,34 +151,39 @@ def sv_long(spark, sf):
     return tables.load_social_values(fx.features_social(spark, sf))
 
 
-@register("melt_features", MELTED, "SELECT * FROM melt23")
+MELT_SQL = " UNION ALL ".join(f"SELECT *, '20{yy}' AS LEG FROM melt{yy}" for yy in (23, 26, 28, 33))
+
+
+@register("melt_features", MELTED + ["LEG"], MELT_SQL)
 def melt_features(spark, sf):
-    """RSH-2 / PRJ-7 / JOIN-4 / JOIN-5: current-year leg melted (dense), with
-    variable metadata and per-postal totals on every row."""
-    t = inputs.features_tagged(spark, sf)
-    return feat.melt_demographics(t, [_leg("2023")])
+    """RSH-2 / PRJ-7 / JOIN-4 / JOIN-5: every leg melted (dense), with variable
+    metadata, per-postal totals and the leg's name on every row."""
+    return feat.melt_demographics_keyed(inputs.features_tagged(spark, sf)).table(leg="LEG")
 
 
-@register(
-    "postal_totals",
-    ["POSTALCODE"] + list(feat.DEMO_TOTALS),
-    O.totals_sql("leg23", "ECY", O.DEMO_TOTALS_SQL),
+TOTALS_SQL = " UNION ALL ".join(
+    f"SELECT *, '{name}' AS LEG FROM ({O.totals_sql(LEGS_SQL[name], prefix, O.DEMO_TOTALS_SQL)}) t"
+    for name, prefix in feat.LEG_PREFIXES.items()
 )
+
+
+@register("postal_totals", ["POSTALCODE", "LEG"] + list(feat.DEMO_TOTALS), TOTALS_SQL)
 def postal_totals(spark, sf):
-    """RSH-3: population totals of each postal code as columns."""
-    leg = _leg("2023")
-    return feat.postal_totals(feat.leg_rows(inputs.features_tagged(spark, sf), leg), feat.DEMO_TOTALS, leg.total_prefix)
+    """RSH-3: population totals of each postal code and leg as columns."""
+    return feat.totals_by_leg(inputs.features_tagged(spark, sf), feat.demographic_legs(), feat.DEMO_TOTALS)
 
 
 @register(
     "variable_metadata",
-    feat.METADATA_COLUMNS,
-    "SELECT DISTINCT variable, Description, Category, Hierarchy_Description, MEDIAN_AVERAGE, ADD_TO_PROFILE,"
-    " LEAF_NODE_FLAG, TOTAL_FLAG FROM leg23",
+    ["LEG"] + feat.METADATA_COLUMNS,
+    _all_legs_sql(
+        "SELECT DISTINCT '{name}' AS LEG, variable, Description, Category, Hierarchy_Description, MEDIAN_AVERAGE,"
+        " ADD_TO_PROFILE, LEAF_NODE_FLAG, TOTAL_FLAG FROM {leg}"
+    ),
 )
 def variable_metadata(spark, sf):
-    """AGG-7: distinct variable metadata of the current-year leg."""
-    return feat.variable_metadata(feat.leg_rows(inputs.features_tagged(spark, sf), _leg("2023")))
+    """AGG-7: distinct variable metadata of every leg."""
+    return feat.variable_metadata(feat.by_leg(inputs.features_tagged(spark, sf), feat.demographic_legs()), ("LEG",))
 
 
 @register("features_stacked", MELTED, "SELECT * FROM melted")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import attraction as att
-from ..operators import features as feat
 from ..operators import levels as lv
 from ..queries import register
 from ..sinks import tables as sinks
@@ -64,14 +63,19 @@ def publish_positional(spark, sf):
 MELTED = schemas.MELTED_COLUMNS + ["YEAR"]
 
 
-@register("ctas_union", MELTED, "SELECT * FROM melt23 UNION SELECT * FROM melt26")
+@register(
+    "ctas_union",
+    MELTED,
+    f"SELECT * FROM melted UNION SELECT * FROM melted WHERE Category = '{fx.NEWCOMER_CATEGORY}'",
+)
 def ctas_union(spark, sf):
-    """SNK-3 / SET-1: CREATE TABLE AS (melted table A UNION melted table B)."""
-    tagged = inputs.features_tagged(spark, sf)
-    legs = {leg.name: leg for leg in feat.demographic_legs()}
-    a = feat.melt_demographics(tagged, [legs["2023"]])
-    b = feat.melt_demographics(tagged, [legs["2026"]])
-    return sinks.combine_tables(a, b, _scoped("melted_combined", sf))
+    """SNK-3 / SET-1: CREATE TABLE AS (melted table UNION newcomer table).  The
+    four legs are melted and written once; the newcomer table is its rows of
+    that category, all of which the distinct union has twice."""
+    stage = _scoped("melted_all", sf)
+    sinks.write_stage(inputs.features_melted(spark, sf), stage)
+    newcomers = sinks.read_stage(spark, stage, F.col("Category") == fx.NEWCOMER_CATEGORY)
+    return sinks.combine_tables(sinks.read_stage(spark, stage), newcomers, _scoped("melted_combined", sf))
 
 
 STORE_SOURCE_COLUMNS = [

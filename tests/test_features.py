@@ -156,3 +156,40 @@ def test_leg_of_many_variables_melts(spark):
     table = feat.melt_legs_keyed(rows, [leg], {"T": "7"}, ["variable", "Description", "Category"]).table()
     got = table.agg(F.count("*"), F.count("val"), F.sum("val"), F.count("T")).first()
     assert tuple(got) == (120_000, 60_000, 60_000 * 59_999 / 2, 60_000)
+
+
+def test_wide_form_in_blocks_equals_one_pivot(spark):
+    rows = spark.createDataFrame(
+        [(c, f"V{v}", float(c_no * 100 + v)) for c_no, c in enumerate(["a", "b", None]) for v in range(17) if (c_no + v) % 5]
+        + [("a", "V1", -1.0), ("a", None, 7.0), ("only", "V16", None)],
+        "CODE string, variable string, value double",
+    )
+    one = feat.pivot_wide(rows, [F.col("CODE").alias("POSTALCODE")])
+    names = one.columns
+    assert names == ["POSTALCODE"] + sorted([f"V{v}" for v in range(17)] + ["null"])
+    key = lambda r: (r[0] is None, r[0] or "")
+    expected = sorted((tuple(r) for r in one.collect()), key=key)
+    assert [r[0] for r in expected] == ["a", "b", "only", None]
+    assert one.filter("POSTALCODE = 'a'").first()["V1"] == 1.0
+    for block in (1, 4, 5):
+        got = feat.pivot_wide(rows, [F.col("CODE").alias("POSTALCODE")], block)
+        assert got.columns == names
+        assert sorted((tuple(r) for r in got.collect()), key=key) == expected
+
+
+def test_wide_form_of_no_rows_has_only_keys(spark):
+    empty = spark.createDataFrame([], "CODE string, variable string, value double")
+    assert feat.pivot_wide(empty, ["CODE"]).columns == ["CODE"]
+
+
+def test_wide_form_joins_blocks_without_a_further_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(400).selectExpr("cast(id % 20 as string) CODE", "cast(id % 9 as string) variable", "cast(id as double) value")
+        plan = feat.pivot_wide(rows, ["CODE"], 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # the keys once, and (variable, key) then key for each of the three blocks
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") <= 7
