@@ -203,6 +203,12 @@ def feature_search(spark, sf):
     return inputs.features_melted(spark, sf).filter(F.col("Category").contains(fx.NEWCOMER_CATEGORY))
 
 
+@register("feature_description_search", MELTED, "SELECT * FROM melted WHERE Description = 'Born in Cote d Ivoire'")
+def feature_description_search(spark, sf):
+    """F-16: equality on the (cleaned) Description in the melted table."""
+    return inputs.features_melted(spark, sf).filter(F.col("Description") == "Born in Cote d Ivoire")
+
+
 @register("sv_features_stacked", SV_MELTED, "SELECT * FROM sv_melted")
 def sv_features_stacked(spark, sf):
     """RSH-2 / RSH-5: social values melted per year and stacked."""

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import attraction as att
+from ..operators import features as feat
 from ..operators import levels as lv
+from ..operators import profiles as prof
 from ..queries import register
 from ..sinks import tables as sinks
 from ..sources import fixtures as fx
-from ..sources.store_sources import StoreSource, union_sources
+from ..sources.store_sources import Field, StoreSource, checked_union, union_sources, write_checked
 from . import inputs
 
 
@@ -108,6 +110,101 @@ def store_sources_union(spark, sf):
     )
 
 
+#: What a store row must be before it is used (bounds of places on Earth).
+STORE_CONTRACT = {
+    "STORE_NUM": Field("bigint", required=True),
+    "STORE_NAME": Field("string"),
+    "BANNER": Field("string", required=True),
+    "STORE_CHAIN": Field("string", required=True),
+    "LONGITUDE": Field("double", required=True, low=-180.0, high=180.0),
+    "LATITUDE": Field("double", required=True, low=-90.0, high=90.0),
+    "REVENUE_CY": Field("double", required=True),
+}
+
+
+def _messy_sources(spark, sf):
+    """The three store sources with faults of their own: point-of-sale rows
+    without a banner, shipment longitudes as text that is no number, and club
+    latitudes in tenths of a degree."""
+    raw, s = fx.stores_raw(spark, sf), F.col("STORE_NUM")
+    pos = raw.filter("CHANNEL = 'GROCERY'").withColumn("BANNER", F.when(s % 9 != 0, F.col("BANNER")))
+    text = F.when(s % 7 == 0, F.lit("n/a")).otherwise(F.col("LONGITUDE").cast("string"))
+    ship = raw.filter("CHANNEL = 'MASS'").withColumn("LONGITUDE", text).withColumnRenamed("STORE_NUM", "SHIP_TO_NUM")
+    tenths = F.when(s % 4 == 0, F.col("LATITUDE") * 10).otherwise(F.col("LATITUDE"))
+    club = raw.filter("CHANNEL = 'DRUG'").withColumn("LATITUDE", tenths)
+    return [StoreSource(pos, "POS"), StoreSource(ship, "SHIPMENT", {"SHIP_TO_NUM": "STORE_NUM"}), StoreSource(club, "CLUB")]
+
+
+MESSY_SQL = """SELECT STORE_NUM, STORE_NAME, CASE CHANNEL WHEN 'GROCERY' THEN 'POS' WHEN 'MASS' THEN 'SHIPMENT' ELSE 'CLUB' END AS SOURCE,
+  concat_ws('; ', CASE WHEN BANNER IS NULL OR (CHANNEL = 'GROCERY' AND STORE_NUM % 9 = 0) THEN 'BANNER is missing' END,
+    CASE WHEN STORE_CHAIN IS NULL THEN 'STORE_CHAIN is missing' END,
+    CASE WHEN CHANNEL = 'MASS' AND STORE_NUM % 7 = 0 THEN 'LONGITUDE is not a double' END,
+    CASE WHEN CHANNEL = 'DRUG' AND STORE_NUM % 4 = 0 AND LATITUDE * 10 > 90 THEN 'LATITUDE is out of range' END,
+    CASE WHEN REVENUE_CY IS NULL THEN 'REVENUE_CY is missing' END) AS REASONS
+FROM stores_raw"""
+
+
+@register("store_sources_rejects", ["STORE_NUM", "STORE_NAME", "SOURCE", "REASONS"],
+          f"SELECT * FROM ({MESSY_SQL}) m WHERE REASONS <> ''")
+def store_sources_rejects(spark, sf):
+    """SRC-7: the rows of three store sources that break the store contract,
+    with all that is wrong with each."""
+    checked = checked_union(_messy_sources(spark, sf), STORE_CONTRACT)
+    return write_checked(checked, _scoped("stores_checked_rejects", sf))[1]
+
+
+@register("store_sources_accepted", ["STORE_NUM", "STORE_NAME", "SOURCE"],
+          f"SELECT * FROM ({MESSY_SQL}) m WHERE REASONS = ''")
+def store_sources_accepted(spark, sf):
+    """SRC-7: the rows of three store sources that keep the store contract."""
+    checked = checked_union(_messy_sources(spark, sf), STORE_CONTRACT)
+    return write_checked(checked, _scoped("stores_checked", sf))[0]
+
+
+@register("stage_year_overwrite", MELTED, """SELECT * REPLACE (CASE WHEN YEAR = 2026 THEN val * 2 ELSE val END AS val)
+FROM melted""")
+def stage_year_overwrite(spark, sf):
+    """SNK-1 / SRC-6: the melted table as a stage partitioned by YEAR, of which
+    one year is then replaced by a revision (values doubled); the files of the
+    other years stay as they are."""
+    stage, legs = _scoped("melted_by_year", sf), feat.demographic_legs()
+    sinks.write_partitioned_stage(inputs.features_melted(spark, sf), stage, ["YEAR"])
+    revised = feat.melt_demographics(inputs.features_tagged(spark, sf), [leg for leg in legs if leg.name == "2026"])
+    sinks.replace_partitions(revised.withColumn("val", F.col("val") * 2), stage, ["YEAR"])
+    return sinks.read_stage(spark, stage)
+
+
+SOCIAL_PUBLISHED = (
+    prof.SV_PROFILE_COLUMNS + ["STORE_CHAIN", "Region", "LONGITUDE", "LATITUDE"]
+    + [name for name, _ in lv.LEVEL_VALUES] + ["TOTAL_CATEGORY", "STORE_VALUE"]
+)
+
+
+@register("publish_social", SOCIAL_PUBLISHED, "SELECT * FROM sv_final")
+def publish_social(spark, sf):
+    """SNK-2 / SNK-5: the social-value store table published into an existing
+    table by position, after its row and key checks."""
+    rows = lv.social_store_table(inputs.social_profile(spark, sf)).select(*SOCIAL_PUBLISHED)
+    table = _scoped("catchment_social_store_values", sf)
+    sinks.create_table(spark.createDataFrame([], rows.schema), table)
+    sinks.publish_checked(rows, table, ["STORE_NUM", "variable", "YEAR"], (["STORE_NUM", "BANNER"], "STORE_NAME"))
+    return spark.table(table)
+
+
+DIMENSION = ["variable", "Category", *schemas.DIM_COLUMNS, "WHOLE_YEAR"]
+
+
+@register("publish_dimension", DIMENSION, f"SELECT DISTINCT {', '.join(DIMENSION)} FROM feat_tag")
+def publish_dimension(spark, sf):
+    """SNK-2 / SNK-5: the dimension of the variables that the feature tables
+    hold, published by position after its checks."""
+    rows = inputs.features_tagged(spark, sf).select(*DIMENSION).distinct()
+    table = _scoped("catchment_dim_variables", sf)
+    sinks.create_table(spark.createDataFrame([], rows.schema), table)
+    sinks.publish_checked(rows, table, ["variable"], (["variable"], "Hierarchy_Description"))
+    return spark.table(table)
+
+
 @register("attraction_half_pct_staged", schemas.SHARE_COLUMNS, "SELECT * FROM att_half")
 def attraction_half_pct_staged(spark, sf):
     """SRC-6 / SNK-1: the source's staged flow.  The full attraction table is
