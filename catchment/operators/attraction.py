@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.geo import gravity, haversine_km
-from ..plans.layout import shuffle_partitions
+from ..plans.layout import prefix_sums, shuffle_partitions
 from .adjacency import pairs
 
 
@@ -78,6 +78,15 @@ def running_share(att: DataFrame) -> DataFrame:
     return att.withColumn("CUMULATIVE_PERCENT_ATTRACTION", F.sum(_share()).over(w))
 
 
+def running_share_split(att: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``running_share`` where one postal code may be reached by more stores
+    than a task should hold: two-level running sums over ranges of the share
+    (``layout.prefix_sums``) in place of one window per postal code."""
+    shared = att.withColumn("__share", _share())
+    order = ["__share", *RUNNING_TIEBREAK]
+    return prefix_sums(shared, ["POSTALCODE"], order, "__share", "CUMULATIVE_PERCENT_ATTRACTION", partitions).drop("__share")
+
+
 def full_attraction(stores: DataFrame, ldu: DataFrame, mass: str = "REVENUE_CY", partitions: int | None = None) -> DataFrame:
     """The full attraction table: pairs, distance, attraction, postal total
     and running share (19 columns)."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.layout import join_keyed, materialize
+from ..plans.layout import join_keyed, keyed_totals, materialize, prefix_sums
 from .profiles import RECENT_IMMIGRATION
 
 # (value column, window keys); every key list contains variable and YEAR.
@@ -195,20 +195,51 @@ def social_store_table(profile: DataFrame, match_year: bool = False) -> DataFram
     return social_store_value(attach_basics_total(bench, match_year))
 
 
+def exact_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Interpolated median of ``value`` for each group of ``keys``, by rank.
+
+    Equal values are counted first (partial aggregation, so copies collapse
+    before the shuffle); their running counts (``layout.prefix_sums``) give
+    each value the ranks it holds, and the one or two middle ranks are picked.
+    A group is spread over range pieces: none is held by one task.  NULLs are
+    not counted; a group of NULLs alone has a NULL median."""
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("__n"))
+    upto = prefix_sums(counted, keys, [value], "__n", "__upto")
+    rows = keyed_totals(upto, keys, {"__total": F.sum("__n")})
+    last, total = F.col("__upto"), F.col("__total")
+
+    def at(rank):
+        return F.max(F.when((last - F.col("__n") < rank) & (rank <= last), F.col(value)))
+
+    middle = at(F.floor((total + 1) / 2)) + at(F.floor(total / 2) + 1)
+    return rows.groupBy(*keys).agg((middle / 2).alias(name))
+
+
 def median_by(df: DataFrame, level: str, value: str, exact: bool = False) -> DataFrame:
     """Median of ``value`` per (Description, level): ``percentile_approx``
     (an element of the data, as in the source) or the exact interpolated
-    median."""
-    agg = F.median(value) if exact else F.percentile_approx(value, 0.5)
-    return df.groupBy("Description", level).agg(agg.alias(f"Median_{value}"))
+    median (``exact_medians``)."""
+    if exact:
+        return exact_medians(df, ["Description", level], value, f"Median_{value}")
+    return df.groupBy("Description", level).agg(F.percentile_approx(value, 0.5).alias(f"Median_{value}"))
 
 
-def medians_by(df: DataFrame, levels: list[tuple[str, str]]) -> DataFrame:
-    """(LEVEL, LEVEL_VALUE, Description, MEDIAN) of several (level column,
-    value column) pairs in one aggregation: each row once per level."""
+def level_entries(df: DataFrame, levels: list[tuple[str, str]], digits: int | None = None) -> DataFrame:
+    """(LEVEL, LEVEL_VALUE, Description, v): each row once for each (level
+    column, value column) pair."""
     entries = F.array(*[
-        F.struct(F.lit(level).alias("LEVEL"), F.col(level).alias("LEVEL_VALUE"), F.col(value).alias("v"))
+        F.struct(
+            F.lit(level).alias("LEVEL"),
+            F.col(level).alias("LEVEL_VALUE"),
+            (F.col(value) if digits is None else F.round(value, digits)).alias("v"),
+        )
         for level, value in levels
     ])
-    rows = df.select("Description", F.explode(entries).alias("e"))
-    return rows.groupBy("e.LEVEL", "e.LEVEL_VALUE", "Description").agg(F.percentile_approx("e.v", 0.5).alias("MEDIAN"))
+    return df.select("Description", F.explode(entries).alias("e")).select("e.*", "Description")
+
+
+def medians_by(df: DataFrame, levels: list[tuple[str, str]]) -> DataFrame:
+    """(LEVEL, LEVEL_VALUE, Description, MEDIAN) of several (level column,
+    value column) pairs in one aggregation: each row once per level."""
+    rows = level_entries(df, levels)
+    return rows.groupBy("LEVEL", "LEVEL_VALUE", "Description").agg(F.percentile_approx("v", 0.5).alias("MEDIAN"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default bound for broadcast sides, in bytes.  Overridable per session with
@@ -130,3 +130,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         at += rows
     start = F.element_at(F.create_map(*starts), task) if starts else F.lit(0)
     return copy.select((start + row).cast("long").alias(name), *keys)
+
+
+def prefix_sums(
+    df: DataFrame, group: list[str], order: list[str], value: str, name: str, partitions: int | None = None
+) -> DataFrame:
+    """``df`` with the running sum of ``value`` within ``group``, in the order
+    of the columns ``order`` (ascending, NULLs first; together with ``group``
+    they tell all rows apart), as column ``name``.
+
+    Two levels, so that no task holds a whole group: the rows are dealt by
+    range of (group, order) into pieces and written once, which fixes the
+    pieces; sums run within each (group, piece), and a group's pieces, at most
+    one a partition, get their starts from the sums of the pieces before."""
+    ranged = df.repartitionByRange(partitions or shuffle_partitions(df), *group, *order)
+    copy = materialize(ranged.withColumn("__piece", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = copy.groupBy(*group, "__piece").agg(F.sum(value).alias("__sum"))
+    starts = sums.select(*group, "__piece", F.sum("__sum").over(before).alias("__start"))
+    within = Window.partitionBy(*group, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_keyed(copy.withColumn("__within", F.sum(value).over(within)), starts, [*group, "__piece"])
+    total = F.coalesce(F.col("__start") + F.col("__within"), "__start", "__within")
+    return rows.withColumn(name, total).drop("__piece", "__start", "__within")

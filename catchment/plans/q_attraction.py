@@ -88,6 +88,14 @@ def attraction_cumulative(spark, sf):
     return inputs.full_attraction(spark, sf)
 
 
+@register("attraction_cumulative_split", FULL, "SELECT * FROM att_full")
+def attraction_cumulative_split(spark, sf):
+    """WIN-2 / SRT-2: the running share from two-level prefix sums, for postal
+    codes that very many stores reach."""
+    total = att.postal_total(att.attraction(inputs.stores(spark, sf), inputs.ldu(spark, sf)))
+    return att.running_share_split(total)
+
+
 EXCL_MAX_SQL = f"""SELECT *, sum(Attraction / nullif(TOTAL_POSTALCODE_ATTRACTION, 0)) OVER (
   PARTITION BY POSTALCODE ORDER BY {O.RUNNING_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS CUMULATIVE_PERCENT_ATTRACTION
 FROM (SELECT *, sum(Attraction) OVER (PARTITION BY POSTALCODE) - max(Attraction) OVER (PARTITION BY POSTALCODE)

@@ -103,6 +103,31 @@ def profile_ratio_by_category(spark, sf):
     return prof.ratio_by_category(inputs.demographic_profile(spark, sf))
 
 
+# The profile's categories under names that each ratio rule knows.
+RATIO_NAMES = {
+    "Income": "Households by Income",
+    "Basics": "Household Population 15 Years or Over by Basics",
+    "Birthplace": "Household Population by Birthplace",
+}
+RATIO_CASE = "CASE Category " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RATIO_NAMES.items()) + " ELSE Category END"
+
+
+@register(
+    "profile_ratio_categories",
+    ["STORE_NUM", "STORE_NAME", "variable", "Description", "Category", "YEAR", "val", "STORE_RATIO"],
+    f"""SELECT STORE_NUM, STORE_NAME, variable, Description, Category, YEAR, val, CASE split_part(Category, ' by ', 1)
+  WHEN 'Households' THEN val / nullif(TOTAL_HOUSEHOLDS, 0)
+  WHEN 'Household Population 15 Years or Over' THEN val / nullif(TOTAL_HOUSEHOLD_POPULATION_15_YEARS_OR_OVER, 0)
+  WHEN 'Household Population' THEN val / nullif(TOTAL_HOUSEHOLD_POPULATION, 0)
+  ELSE val / nullif(TOTAL_POPULATION, 0) END AS STORE_RATIO
+FROM (SELECT * REPLACE ({RATIO_CASE} AS Category) FROM prof_demo) p""",
+)
+def profile_ratio_categories(spark, sf):
+    """AGG-9: the ratio by category where every rule has rows."""
+    named = inputs.demographic_profile(spark, sf).withColumn("Category", F.expr(RATIO_CASE))
+    return prof.ratio_by_category(named)
+
+
 SV_PROFILE = prof.SV_PROFILE_COLUMNS + ["STORE_CHAIN", "Region"]
 
 
@@ -173,6 +198,22 @@ def median_by_level(spark, sf):
     return lv.medians_by(bench, MEDIAN_LEVELS)
 
 
+@register(
+    "median_exact",
+    ["LEVEL", "LEVEL_VALUE", "Description", "MEDIAN"],
+    " UNION ALL ".join(
+        f"SELECT '{lvl}' AS LEVEL, {lvl} AS LEVEL_VALUE, Description, median(round({val}, 9)) AS MEDIAN"
+        f" FROM sv_lev GROUP BY Description, {lvl}"
+        for lvl, val in MEDIAN_LEVELS
+    ),
+)
+def median_exact(spark, sf):
+    """AGG-8, exact form: interpolated medians of the three levels, selected
+    by rank (values to nine decimals, as the engines add in another order)."""
+    bench = lv.social_benchmarks(inputs.social_profile(spark, sf))
+    return lv.exact_medians(lv.level_entries(bench, MEDIAN_LEVELS, 9), ["LEVEL", "LEVEL_VALUE", "Description"], "v", "MEDIAN")
+
+
 @register(
     "store_name_conflicts",
     ["STORE_NUM", "BANNER", "STORE_PROVINCE", "count"],
@@ -184,6 +225,28 @@ def store_name_conflicts(spark, sf):
     return prof.store_name_conflicts(inputs.half_pct(spark, sf))
 
 
+@register(
+    "store_name_conflicts_renamed",
+    ["STORE_NUM", "BANNER", "STORE_PROVINCE", "count"],
+    """SELECT STORE_NUM, BANNER, STORE_PROVINCE, COUNT(DISTINCT STORE_NAME) AS count FROM (SELECT * FROM stores UNION ALL
+  SELECT * REPLACE (CASE WHEN STORE_NUM % 5 = 0 THEN concat('NEW ', STORE_NAME) ELSE STORE_NAME END AS STORE_NAME) FROM stores) s
+GROUP BY STORE_NUM, BANNER, STORE_PROVINCE HAVING COUNT(DISTINCT STORE_NAME) > 1""",
+)
+def store_name_conflicts_renamed(spark, sf):
+    """AGG-6 / F-17: the same check over two deliveries of the stores, the
+    later of which names every fifth store anew (repeated rows count once)."""
+    now = inputs.stores(spark, sf)
+    renamed = F.when(F.col("STORE_NUM") % 5 == 0, F.concat(F.lit("NEW "), F.col("STORE_NAME")))
+    later = now.withColumn("STORE_NAME", F.coalesce(renamed, F.col("STORE_NAME")))
+    return prof.store_name_conflicts(now.unionByName(later))
+
+
+@register("profile_description_search", SV_PROFILE, "SELECT * FROM prof_sv WHERE Description = 'Importance of Price'")
+def profile_description_search(spark, sf):
+    """F-16: equality on Description in the social-value profile."""
+    return inputs.social_profile(spark, sf).filter(F.col("Description") == "Importance of Price")
+
+
 REGION_SQL = (
     "CASE WHEN STORE_PROVINCE = 'ON' THEN 'ONTARIO' WHEN STORE_PROVINCE = 'QC' THEN 'QUEBEC'"
     " WHEN STORE_PROVINCE IN ('AB', 'BC', 'MB', 'SK', 'YT', 'NT') THEN 'WEST'"
