@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.layout import join_keyed, keyed_totals, materialize, prefix_sums
+from ..plans.layout import join_keyed, materialize, prefix_sums
 from .profiles import RECENT_IMMIGRATION
 
 # (value column, window keys); every key list contains variable and YEAR.
@@ -203,9 +203,9 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     each value the ranks it holds, and the one or two middle ranks are picked.
     A group is spread over range pieces: none is held by one task.  NULLs are
     not counted; a group of NULLs alone has a NULL median."""
-    counted = df.groupBy(*keys, value).agg(F.count(value).alias("__n"))
-    upto = prefix_sums(counted, keys, [value], "__n", "__upto")
-    rows = keyed_totals(upto, keys, {"__total": F.sum("__n")})
+    counted = materialize(df.groupBy(*keys, value).agg(F.count(value).alias("__n")))
+    totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    rows = join_keyed(prefix_sums(counted, keys, [value], "__n", "__upto"), totals, keys)
     last, total = F.col("__upto"), F.col("__total")
 
     def at(rank):
