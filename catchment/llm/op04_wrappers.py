@@ -1,35 +1,45 @@
 """HTML extraction by inferred wrappers.
 
 Method.  A page becomes a stream of block tags and texts with all implied end
-tags, a tree.  Pages of one host are aligned one after another into a
-union-free regular expression, the host's wrapper: streams are aligned by
-their tags; what only one side has becomes an optional group, neighbours (or
-neighbouring sequences of two or three) that repeat become a repeated group,
-and differing texts become a text slot.  Slots are then judged on the
-wrapper: outside or inside the article, inside a menu, header, footer, side
-bar, notice, advert, form, script or comment section, or, outside the
-article, a string that is the same on all pages of the host.  A class, id or role names such a part only
-as a whole (``sidebar``, ``cookie-notice``, not ``no-sidebar``), never on
-html, body, main or article, nor, but for comments and related pages, on what
-holds the page's only article or main elements.  Extraction runs a page's stream along its
-host's wrapper and keeps the texts of article slots, or, on a page without
-an article or main element, of all slots that are not judged away.  A text
-that finds no slot, or differs from the template text of its slot, is judged
-by the elements around it.
-
-Scale.  Alignment is associative, so tasks first align their own pages of a
-host, and only these partial wrappers are shuffled, reduced in two steps (by
-host and salt, then by host): a host with a third of all pages is a few small
-rows per task.  Wrappers join back to pages by host; adaptive execution
+tags, a tree.  The tag streams of one host are aligned one after another into
+a union-free regular expression, the host's wrapper: streams are aligned by a
+longest common subsequence of their tags; what only one side has becomes an
+optional group, neighbours (or neighbouring sequences of two or three) that
+repeat become a repeated group, and texts become numbered slots.  Every page
+then runs along its host's wrapper, and texts are counted by slot: outside an
+article, a text that stands in one slot on at least ``TEMPLATE_PAGES``
+different pages, and on at least half of those that have the slot, is template
+(in other slots too: an optional group can move a part).  Slots are also judged by the parts around them: article, menu,
+header, footer, side bar, notice, advert, form, script, comment section.  A
+class, id or role names such a part only as a whole (``sidebar``,
+``cookie-notice``, not ``no-sidebar``), never on html, body, main or article,
+nor, but for comments and related pages, on what holds the page's only article
+or main elements.  Extraction keeps the texts of article slots or, on a page
+without an article or main element, of all slots that are neither template nor
+judged away.  A text that finds no slot is judged by the elements around it.
+
+Order.  Alignment depends on the order of its streams, so that order is fixed
+by the streams alone: equal ones of a host count once, are dealt to ``FAN`` x
+``FAN`` groups by a hash, aligned in byte order, and the groups' wrappers are
+aligned by ``FAN`` in order of their numbers.  Partitions, batches, retries
+and repeated pages change nothing.
+
+Scale.  Only distinct streams of tags (no text) are shuffled, and each task
+reads its groups as a sorted stream with one wrapper in memory, so a host with
+a third of all pages is spread over ``FAN`` x ``FAN`` groups; its last step
+reads at most ``FAN`` wrappers.  Counts of texts are grouped sums of three
+hashes a row.  Wrappers join back to pages by host; adaptive execution
 broadcasts them if their written size is small, or splits a hot host.
 
 Defined results: null and empty html give an empty text; a null url, or one
 without host, counts to the host ``''``; unclosed tags end where HTML ends
-them, a page without ``</body>`` at its end; nesting deeper than
-``MAX_DEPTH`` is flattened, without loss of text; ``br`` is white space;
+them, a page without ``</body>`` at its end; elements nested deeper than
+``MAX_DEPTH`` count to the one at that depth, but menus, footers and the like
+and articles stay parts of their own at any depth; ``br`` is white space; very
+long pages are read whole, and streams of any length are aligned alike;
 repeated rows each get their row and count once among the pages of a host and
-of a slot; an
-empty table gives an empty result; extra columns are not carried on.
+of a slot; an empty table gives an empty result; extra columns are not carried
+on.
 """
 
 from __future__ import annotations
@@ -37,11 +47,14 @@ from __future__ import annotations
 import functools
 import html
 import json
+import math
 import re
-import zlib
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +62,12 @@ from .buffers import slices, text_buffer
 from .op03_url_rules import url_host
 from .stage import ship_package, written
 
-#: A text outside the article that is the same on so many different pages of a host is template.
+#: A text outside the article that is in its slot on so many different pages of a host, and on half of
+#: those that have the slot, is template.
 TEMPLATE_PAGES = 5
-MAX_DEPTH, MAX_CELLS, SALTS = 200, 1_000_000, 16
+MAX_DEPTH, FAN = 200, 256
+#: Frames of Python for streams nested ``MAX_DEPTH`` deep, with groups in groups.
+FRAMES = 20_000
 GROUP_WIDTHS = (1, 2, 3)
 
 # HTML elements that are blocks, that hold no content, and whose text isn't markup.
@@ -134,6 +150,7 @@ def parse(page: str) -> list:
     root: list = []
     stack: list[tuple[str, list, int]] = [("", root, 1)]
     words: list[str] = []
+    opened: Counter[str] = Counter()
     hidden = shown = False
 
     def flush() -> None:
@@ -144,8 +161,11 @@ def parse(page: str) -> list:
             words.clear()
 
     def close(tag: str, scope: set[str]) -> None:
+        if not opened[tag]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] == tag:
+                opened.subtract(name for name, _, _ in stack[depth:])
                 del stack[depth:]
                 return
             if stack[depth][0] in scope:
@@ -180,52 +200,47 @@ def parse(page: str) -> list:
         keep = below(label, around)
         shown |= keep == 2
         hidden |= not around and below(label, 1) == 2
-        stack[-1][1].append((label, kids))
+        if len(stack) >= MAX_DEPTH and keep == around and tag not in RAW:
+            kids = stack[-1][1]  # too deep for an element of its own that changes nothing
+        else:
+            stack[-1][1].append((label, kids))
         if tag in RAW:
             over = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             kids.append((TEXT, "raw"))
             at = over.end() if over else end
-        elif len(stack) < MAX_DEPTH:
+        else:
             stack.append((tag, kids, keep))
+            opened[tag] += 1
     flush()
     return unnamed(root)[0] if hidden and not shown else root
 
 
 class Item:
-    """A part of a wrapper: a tag with parts, a text slot, or a repeated sequence.
-    A slot whose text is the same so far has up to ``TEMPLATE_PAGES`` marks of
-    the different pages it is on, the smallest ones."""
+    """A part of a wrapper: a tag with parts, a text slot, or a repeated sequence."""
 
-    __slots__ = ("label", "opt", "rep", "pages", "text", "kids", "keep")
+    __slots__ = ("label", "opt", "rep", "kids", "slot")
 
-    def __init__(self, label, opt=False, rep=False, pages=(), text=None, kids=()):  # noqa: ANN001
-        self.label, self.opt, self.rep, self.pages, self.text, self.kids = label, opt, rep, tuple(pages), text, list(kids)
-        self.keep = 0
+    def __init__(self, label, opt=False, rep=False, kids=()):  # noqa: ANN001
+        self.label, self.opt, self.rep, self.kids = label, opt, rep, list(kids)
+        self.slot = -1
 
     def dump(self) -> list:
-        return [self.label, int(self.opt), int(self.rep), self.pages, self.text, [k.dump() for k in self.kids]]
+        return [self.label, int(self.opt), int(self.rep), [k.dump() for k in self.kids]]
 
     @staticmethod
     def load(x: list) -> Item:
-        return Item(x[0], bool(x[1]), bool(x[2]), x[3], x[4], [Item.load(k) for k in x[5]])
+        return Item(x[0], bool(x[1]), bool(x[2]), [Item.load(k) for k in x[3]])
 
 
-def wrapper_of(nodes: list, mark: int) -> list[Item]:
+def wrapper_of(nodes: list) -> list[Item]:
     """The wrapper of one page: its own stream with repeats folded."""
-    return fold([
-        Item(TEXT, pages=(mark,), text=zlib.crc32(kids.encode("utf-8", "surrogatepass"))) if label == TEXT
-        else Item(label, kids=wrapper_of(kids, mark))
-        for label, kids in nodes
-    ])
+    return fold([Item(label, kids=() if label == TEXT else wrapper_of(kids)) for label, kids in nodes])
 
 
 def merged(a: Item, b: Item) -> Item:
     """One part for two that match."""
     kids = fold(align(a.kids, b.kids)) if a.kids or b.kids else []
-    text, pages = (a.text, a.pages) if a.text == b.text else (None, ())
-    if pages and pages != b.pages:
-        pages = sorted({*pages, *b.pages})[:TEMPLATE_PAGES]
-    return Item(a.label, a.opt or b.opt, a.rep or b.rep, pages, text, kids)
+    return Item(a.label, a.opt or b.opt, a.rep or b.rep, kids)
 
 
 def fold(items: list[Item]) -> list[Item]:
@@ -260,41 +275,56 @@ def key(item: Item) -> str:
     return item.label if item.label != "+" else "+" + " ".join(k.label for k in item.kids)
 
 
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence.  A row of the table is an
+    integer whose zero bits are the places of y where the length grows; every
+    so many rows one is remembered, and those between are made again on the
+    way back, so memory is about len(y) * sqrt(len(x)) bits."""
+    if not x or not y:
+        return []
+    whole = (1 << len(y)) - 1
+    at: dict[str, int] = {}
+    for j, name in enumerate(y):
+        at[name] = at.get(name, 0) | 1 << j
+
+    def rows(start: int, row: int, end: int) -> list[int]:
+        out = [row]
+        for name in x[start:end]:
+            hits = row & at.get(name, 0)
+            row = ((row + hits) | (row - hits)) & whole
+            out.append(row)
+        return out
+
+    step = math.isqrt(len(x)) + 1
+    saved = [whole]
+    for start in range(0, len(x) - step, step):
+        saved.append(rows(start, saved[-1], start + step)[-1])
+    pairs, j = [], len(y)
+    for block in range(len(saved) - 1, -1, -1):
+        start = block * step
+        table = rows(start, saved[block], min(start + step, len(x)))
+        i = len(table) - 1
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            elif not table[i - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((start + i, j))
+    return pairs[::-1]
+
+
 def align(a: list[Item], b: list[Item]) -> list[Item]:
     """Both sides in one sequence: matching parts merged, others optional."""
     x, y = [key(i) for i in a], [key(i) for i in b]
-    pairs, lo = [], 0
+    lo = hi = 0
     while lo < min(len(x), len(y)) and x[lo] == y[lo]:
-        pairs.append((lo, lo))
         lo += 1
-    hi = 0
     while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
         hi += 1
-    n, m = len(x) - hi, len(y) - hi
-    if (n - lo) * (m - lo) <= MAX_CELLS:
-        best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
-        for i in range(n - 1, lo - 1, -1):
-            row, under = best[i - lo], best[i - lo + 1]
-            for j in range(m - 1, lo - 1, -1):
-                row[j - lo] = under[j - lo + 1] + 1 if x[i] == y[j] else max(under[j - lo], row[j - lo + 1])
-        i, j = lo, lo
-        while i < n and j < m:
-            if x[i] == y[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i - lo + 1][j - lo] >= best[i - lo][j - lo + 1]:
-                i += 1
-            else:
-                j += 1
-    else:  # very long streams: the next place with the same tag
-        j = lo
-        for i in range(lo, n):
-            try:
-                at = y.index(x[i], j, min(m, j + 1000))
-            except ValueError:
-                continue
-            pairs.append((i, at))
-            j = at + 1
+    pairs = [(i, i) for i in range(lo)]
+    pairs += [(lo + i, lo + j) for i, j in common(x[lo : len(x) - hi], y[lo : len(y) - hi])]
     pairs += [(len(x) - k, len(y) - k) for k in range(hi, 0, -1)]
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(a), len(b))]:
@@ -317,42 +347,48 @@ def pattern(items: list[Item]) -> str:
     return "".join(out)
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Wrapper:
-    """A host's wrapper."""
+    """A host's wrapper; its text slots are numbered in page order."""
 
     def __init__(self, items: list[Item]) -> None:
         self.items = items
 
     @staticmethod
     def of(page: str) -> Wrapper:
-        return Wrapper(wrapper_of(parse(page), zlib.crc32(page.encode("utf-8", "surrogatepass"))))
+        return Wrapper(wrapper_of(parse(page)))
 
     def add(self, other: Wrapper) -> None:
         self.items = fold(align(self.items, other.items))
 
     def dump(self) -> str:
-        return json.dumps([i.dump() for i in self.items])
+        return json.dumps([i.dump() for i in self.items], separators=(",", ":"))
 
     @staticmethod
     def load(text: str) -> Wrapper:
         return Wrapper([Item.load(i) for i in json.loads(text)])
 
-    def judge(self) -> None:
-        """Set each slot's ``keep``: 0 no content, 1 content, 2 content of the article."""
+    def number(self) -> Wrapper:
+        slots = 0
 
-        def walk(items: list[Item], keep: int) -> None:
+        def walk(items: list[Item]) -> None:
+            nonlocal slots
             for i in items:
                 if i.label == TEXT:
-                    i.keep = 0 if keep < 2 and len(i.pages) >= TEMPLATE_PAGES else keep
-                else:
-                    i.keep = below(i.label, keep)
-                    walk(i.kids, i.keep)
+                    i.slot, slots = slots, slots + 1
+                walk(i.kids)
 
-        walk(self.items, 1)
+        walk(self.items)
+        return self
 
-    def texts(self, nodes: list) -> list[str]:
-        """The main text blocks of a page, in order."""
-        found: list[tuple[int, str]] = []
+    def texts(self, nodes: list) -> list[tuple[int, int, str]]:
+        """(keep, slot, text) of a page's text blocks, in order.  ``keep`` is 0
+        for no content, 1 for content, 2 for that of an article; the slot -1
+        if there is none."""
+        found: list[tuple[int, int, str]] = []
 
         def within(item: Item, label: str) -> Item | None:
             if item.label != "+":
@@ -369,88 +405,136 @@ class Wrapper:
             at = 0
             for label, kids in nodes:
                 at, item = place(items, at, label)
-                if label != TEXT:
-                    walk(kids, item.kids if item is not None else [], below(label, keep))
-                elif item is not None and not item.keep and item.text == zlib.crc32(kids.encode("utf-8", "surrogatepass")):
-                    found.append((0, kids))
+                if label == TEXT:
+                    found.append((keep, -1 if item is None else item.slot, kids))
                 else:
-                    found.append((keep, kids))
+                    walk(kids, item.kids if item is not None else [], below(label, keep))
 
         walk(nodes, self.items, 1)
-        top = max((k for k, _ in found), default=0)
-        return [t for k, t in found if k and k == top]
+        return found
 
 
-@functools.lru_cache(4096)
-def judged(text: str) -> Wrapper:
-    w = Wrapper.load(text)
-    w.judge()
-    return w
+def main_texts(found: list[tuple[int, int, str]], template: frozenset[int]) -> list[str]:
+    """The blocks to keep: those of articles, else all that are no template."""
+    top = max((k for k, _, _ in found), default=0)
+    return [t for k, _, t in found if k and k == top and (k == 2 or text_hash(t) not in template)]
+
+
+@functools.lru_cache(1024)
+def loaded(wrapper: str | None) -> Wrapper:
+    sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+    return Wrapper.load(wrapper or "[]").number()
+
+
+@functools.lru_cache(1024)
+def shared_texts(template: str | None) -> frozenset[int]:
+    return frozenset(json.loads(template or "[]"))
+
+
+def page_batches(batches: Iterator[pa.RecordBatch], html_at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded bytes of html."""
+    sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(html_at))
+        for a, b in slices(offsets):
+            yield batch.slice(a, b - a)
 
 
 def infer_wrappers(pages: DataFrame, host: str = "host", html_col: str = "html") -> DataFrame:
-    """(host, wrapper) of all hosts, every page aligned."""
+    """(host, wrapper) of all hosts, the stream of every page aligned."""
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in page_batches(batches, 1):
+            some = {
+                (name, Wrapper.of(page or "").dump())
+                for name, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            }
+            names, dumps = zip(*some, strict=True) if some else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(dumps, pa.string())], names=["host", "wrapper"])
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows of (host, group, wrapper) to one wrapper a group."""
+        sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
+        now, whole = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array([whole.dump()], pa.string())],
+                names=["host", "part", "wrapper"],
+            )
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: dict[str, Wrapper] = {}
         for batch in batches:
-            _, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets):
-                rows = zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True)
-                for name, page in rows:
-                    new = Wrapper.of(page or "")
-                    if name in part:
-                        part[name].add(new)
-                    else:
-                        part[name] = new
-                if len(part) > 10_000:
-                    yield rows_of(part)
-                    part = {}
-        yield rows_of(part)
-
-    def rows_of(part: dict[str, Wrapper]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(part), pa.string()), pa.array([w.dump() for w in part.values()], pa.string())],
-            names=["host", "wrapper"],
-        )
-
-    def reduced(table: pa.Table) -> pa.Table:
-        table = table.sort_by("wrapper")
-        whole = None
-        for text in table.column("wrapper").to_pylist():
-            new = Wrapper.load(text)
-            if whole is None:
-                whole = new
-            else:
-                whole.add(new)
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [whole.dump()]})
-
-    parts = pages.select(host, html_col).mapInArrow(own, "host string, wrapper string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = salted.groupBy("host", "salt").applyInArrow(reduced, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(reduced, "host string, wrapper string")
+            for name, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now == (name, group):
+                    whole.add(Wrapper.load(text))
+                    continue
+                if now is not None:
+                    yield row()
+                now, whole = (name, group), Wrapper.load(text)
+        if now is not None:
+            yield row()
+
+    def step(parts: DataFrame, groups: int, order: str) -> DataFrame:
+        dealt = parts.select("host", F.pmod("part", F.lit(groups)).alias("group"), "wrapper", "part")
+        ranked = dealt.repartition("host", "group").sortWithinPartitions("host", "group", order)
+        return ranked.select("host", "group", "wrapper").mapInArrow(aligned, "host string, part long, wrapper string")
+
+    parts = pages.select(host, html_col).mapInArrow(streams, "host string, wrapper string").distinct()
+    parts = step(parts.withColumn("part", F.xxhash64("wrapper")), FAN * FAN, "wrapper")
+    return step(step(parts, FAN, "part"), 1, "part").select("host", "wrapper")
+
+
+def template_texts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(host, template) from rows of host, html and the host's wrapper: a list
+    of hashes of the texts outside articles that pages share."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in page_batches(batches, 1):
+            rows = set()
+            for name, page, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                mark = text_hash(page or "")
+                for keep, slot, text in loaded(w).texts(parse(page or "")):
+                    if keep == 1 and slot >= 0:
+                        rows |= {(name, slot, text_hash(text), mark), (name, slot, None, mark)}
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "slot", "text", "mark"]
+            )
+
+    placed = pages.select("host", html_col, "wrapper").mapInArrow(places, "host string, slot long, text long, mark long")
+    counted = written(placed.distinct().groupBy("host", "slot", "text").count(), "slot-texts")
+    of_slot = counted.filter("text is null").select("host", "slot", F.col("count").alias("n_slot"))
+    shared = counted.filter(f"text is not null and count >= {TEMPLATE_PAGES}")
+    return (
+        shared.join(of_slot, ["host", "slot"]).filter("2 * count >= n_slot")
+        .groupBy("host").agg(F.to_json(F.sort_array(F.collect_set("text"))).alias("template"))
+    )
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every row."""
     ship_package(pages.sparkSession)
-    known = pages.select(id_col, url_col, html_col, url_host(F.col(url_col)).alias("__host"))
-    wrappers = written(infer_wrappers(known, "__host", html_col), "wrappers")
+    known = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+        url_host(F.col(url_col)).alias("host"),
+    )
+    wrappers = written(infer_wrappers(known), "wrappers")
+    judged = written(
+        wrappers.join(template_texts(known.join(wrappers, "host")), "host", "left"), "judged-wrappers"
+    )
     kind = pages.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = text_buffer(batch.column(2))
-            for a, b in slices(offsets):
-                part = batch.slice(a, b - a)
-                texts = [
-                    "\n".join(judged(w).texts(parse(page or "")))
-                    for page, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=[id_col, url_col, "text", "n_chars"],
-                )
-
-    joined = known.join(wrappers, F.col("__host") == F.col("host"), "left").select(id_col, url_col, html_col, "wrapper")
+        for part in page_batches(batches, 2):
+            texts = [
+                "\n".join(main_texts(loaded(w).texts(parse(page or "")), shared_texts(template)))
+                for page, w, template in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=[id_col, url_col, "text", "n_chars"],
+            )
+
+    joined = known.join(judged, "host", "left").select("id", "url", "html", "wrapper", "template")
     return joined.mapInArrow(work, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

@@ -1,4 +1,8 @@
+import random
+from collections import Counter
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from catchment.llm import op03_url_rules, op04_wrappers, op06_rp_forest
@@ -64,30 +68,106 @@ def test_html_extraction(spark):
     assert op04_wrappers.extract_text(pages.limit(0)).collect() == []
 
 
-def test_template_strings_and_wrapper_pattern():
-    whole = None
+def test_wrapper_pattern():
+    whole = op04_wrappers.Wrapper([])
     for i in range(8):
-        w = op04_wrappers.Wrapper.of(page(f"<article><h1>T{i}</h1>{'<p>x%d</p>' % i * (i + 1)}<p>All rights reserved</p></article>"
-                                          + ("<div>Share this</div>" if i % 2 else "")))
-        if whole is None:
-            whole = w
-        else:
-            whole.add(w)
-    whole = op04_wrappers.Wrapper.load(whole.dump())
-    whole.judge()
+        own = op04_wrappers.Wrapper.of(page(f"<article><h1>T{i}</h1>{'<p>x%d</p>' % i * (i + 1)}<p>All rights reserved</p></article>"
+                                            + ("<div>Share this</div>" if i % 2 else "")))
+        whole = own if not whole.items else whole
+        whole.add(own)
+    whole = op04_wrappers.Wrapper.load(whole.dump()).number()
     pattern = op04_wrappers.pattern(whole.items)
     assert "(<p>#</p>)+" in pattern and "(<div>#</div>)?" in pattern and "(<li>#</li>)+" in pattern
-    assert whole.texts(op04_wrappers.parse(page("<article><h1>New</h1><p>a</p></article>"))) == ["New", "a"]
+    found = whole.texts(op04_wrappers.parse(page("<article><h1>New</h1><p>a</p></article>")))
+    assert op04_wrappers.main_texts(found, frozenset()) == ["New", "a"]
 
 
 def wrapper_texts(pages):
-    """The texts of every page by the wrapper of all."""
-    whole = op04_wrappers.Wrapper.of(pages[0])
-    for p in pages[1:]:
-        whole.add(op04_wrappers.Wrapper.of(p))
-    whole = op04_wrappers.Wrapper.load(whole.dump())
-    whole.judge()
-    return [whole.texts(op04_wrappers.parse(p)) for p in pages]
+    """The texts of every page by the wrapper of all, counted in plain Python;
+    streams in the order the operator fixes."""
+    wrapper = op04_wrappers.Wrapper
+
+    def joined(parts):
+        whole = wrapper.load(parts[0])
+        for p in parts[1:]:
+            whole.add(wrapper.load(p))
+        return whole.dump()
+
+    fan, groups = op04_wrappers.FAN, {}
+    for dump in sorted({wrapper.of(p).dump() for p in pages}):
+        groups.setdefault(xxhash.xxh64_intdigest(dump, seed=42) % fan**2, []).append(dump)
+    some = {}
+    for part in sorted(groups):
+        some.setdefault(part % fan, []).append(joined(groups[part]))
+    whole = wrapper.load(joined([joined(some[part]) for part in sorted(some)])).number()
+    texts, slots = Counter(), Counter()
+    for p in set(pages):
+        seen = {(slot, op04_wrappers.text_hash(t)) for keep, slot, t in whole.texts(op04_wrappers.parse(p)) if keep == 1 and slot >= 0}
+        texts.update(seen)
+        slots.update({slot for slot, _ in seen})
+    template = frozenset(k[1] for k, n in texts.items() if n >= 5 and 2 * n >= slots[k[0]])
+    return [op04_wrappers.main_texts(whole.texts(op04_wrappers.parse(p)), template) for p in pages]
+
+
+def plain_site(rng, n):
+    """Pages whose tags and names say nothing, with their main texts."""
+    menu = [f"Menu {rng.random()}" for _ in range(rng.randint(3, 6))]
+    links = "".join(f"<div>{m}</div>" for m in menu)
+    out = []
+    for i in range(n):
+        blocks, texts = [], []
+        for k in range(rng.randint(1, 9)):
+            tag, text = rng.choice(["p", "p", "p", "h2", "pre"]), f"text {i} {k} {rng.random()}"
+            blocks.append(f"<{tag}>{text}</{tag}>")
+            texts.append(text)
+        extra = "<section><p>Read our offers</p></section>" if rng.random() < 0.6 else ""
+        out.append((f"<html><body><div>{links}</div>{extra}<div><div>{''.join(blocks)}</div></div><div><p>All rights reserved</p></div></body></html>", texts))
+    return out
+
+
+def test_wrapper_finds_the_template_whatever_the_order(spark):
+    rng = random.Random(3)
+    sites = {h: plain_site(rng, n) for h, n in enumerate([40, 25, 15, 6, 3])}
+    rows = [(1000 * h + i, f"http://s{h}.org/{i}", p) for h, site in sites.items() for i, (p, _) in enumerate(site)]
+    rows += rows[:20]
+    want = {}
+    for h, site in sites.items():
+        for i, texts in enumerate(wrapper_texts([p for p, _ in site])):
+            want[1000 * h + i] = "\n".join(texts)
+            if h < 3:  # the others are too few to know a template
+                assert texts == site[i][1]
+    bare = op04_wrappers.Wrapper([]).texts(op04_wrappers.parse(sites[0][0][0]))
+    assert op04_wrappers.main_texts(bare, frozenset()) != sites[0][0][1]
+    for parts in (1, 4, 16):
+        rng.shuffle(rows)
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = op04_wrappers.extract_text(pages).collect()
+        assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+
+
+def test_alignment_is_a_longest_common_subsequence_at_any_length():
+    rng = random.Random(4)
+    for n in [*range(12)] * 20 + [150] * 5:
+        x, y = rng.choices("abc", k=n), rng.choices("abcd", k=rng.randint(0, n + 3))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        pairs = op04_wrappers.common(x, y)
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+    x = rng.choices("abcdef", k=20_000)
+    assert len(op04_wrappers.common(x, ["z", *x[:9000], *x[9500:]])) == 19_500
+
+
+def test_parts_at_any_depth_and_very_long_pages():
+    deep = lambda body: "<div>" * 250 + body + "</div>" * 250
+    assert wrapper_texts([deep("<nav><ul><li>n</ul></nav><div><p>a</p></div><footer><div>f</div></footer><p>b")]) == [["a", "b"]]
+    assert wrapper_texts([deep("<div>s</div><article><h1>a</h1><form>f</form><p>b</p></article><p>s")]) == [["a", "b"]]
+    long = [f"<{t}>{t}{i}</{t}>" for i, t in enumerate(random.Random(6).choices(["p", "h2", "pre", "h3", "div", "table"], k=5000))]
+    want = [f"{t}{i}" for i, t in enumerate(random.Random(6).choices(["p", "h2", "pre", "h3", "div", "table"], k=5000))]
+    assert wrapper_texts([f"<article>{''.join(long)}</article>", f"<article>{''.join(long[1::2])}</article>"]) == [want, want[1::2]]
+    assert wrapper_texts(["<center>" * 100_000 + "x"]) == [["x"]]
 
 
 def test_template_rule_spares_articles_and_counts_different_pages():
@@ -107,9 +187,9 @@ def test_texts_of_nested_groups_and_of_nodes_not_found():
     # The second div has no place of its own before the first page's div, which knows no ul.
     apart = [page("<div><p>x</p></div><h1>h</h1><div><ul><li>y<li>z</ul><nav>n</nav></div>"), page("<h1>h</h1><div><ul><li>w</ul></div>")]
     assert wrapper_texts(apart) == [["x", "h", "y", "z"], ["h", "w"]]
-    whole = op04_wrappers.Wrapper.of(page("<article><p>known</p></article>"))
-    whole.judge()
-    assert whole.texts(op04_wrappers.parse(page("<article><div><h2>new</h2><form>f</form></div></article>"))) == ["new"]
+    whole = op04_wrappers.Wrapper.of(page("<article><p>known</p></article>")).number()
+    found = whole.texts(op04_wrappers.parse(page("<article><div><h2>new</h2><form>f</form></div></article>")))
+    assert op04_wrappers.main_texts(found, frozenset()) == ["new"]
 
 
 def test_names_of_parts_count_whole_and_not_around_the_article():
