@@ -10,7 +10,9 @@ the postal code), and on the feature side at most one row per variable and
 year, so no join key can hold a large fraction of the data.  Features are
 filtered before the join (the NULL cells of the dense melt never reach it)
 and the grouped sums use partial aggregation before the shuffle.  Stores are
-what the shares say they are: no store table is read again.
+what the shares say they are: no store table is read again.  A keyed melted
+table is summed by two integers, the store's number and the metadata group's;
+the attributes of both are attached to the sums.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import region
 from ..functions.text import store_chain
-from ..plans.layout import fits_broadcast, join_keyed
+from ..plans.layout import fits_broadcast, join_keyed, materialize, numbered
 from .features import Melted
 
 # Store attributes the profile is grouped by (a store may appear under more
@@ -64,20 +66,33 @@ DEMO_PROFILE_COLUMNS = (
 
 
 
-def weighted_sums(shares: DataFrame, features: DataFrame, keys: list[str], sums: list[str], firsts=()) -> DataFrame:
+def weighted_sums(
+    shares: DataFrame, features: DataFrame, keys: list[str], sums: list[str], firsts=(), store_keys=tuple(STORE_KEYS)
+) -> DataFrame:
     """Join shares to features on POSTALCODE and sum PERCENT_ATTRACTION x
-    column for every column of ``sums``, grouped by the store attributes (as
-    the shares carry them) and ``keys``.  Of the ``firsts`` one row's values
-    are taken together (the smallest), where the source took any."""
-    joined = shares.select("POSTALCODE", "PERCENT_ATTRACTION", *STORE_KEYS).join(
+    column for every column of ``sums``, grouped by ``store_keys`` (the store
+    attributes as the shares carry them) and ``keys``.  Of the ``firsts`` one
+    row's values are taken together (the smallest), where the source took any."""
+    joined = shares.select("POSTALCODE", "PERCENT_ATTRACTION", *store_keys).join(
         features.select("POSTALCODE", *keys, *sums, *firsts), "POSTALCODE"
     )
     w = F.col("PERCENT_ATTRACTION")
     aggs = [F.sum(w * F.col(c)).alias(c) for c in sums]
     if not firsts:
-        return joined.groupBy(*STORE_KEYS, *keys).agg(*aggs)
-    one = joined.groupBy(*STORE_KEYS, *keys).agg(*aggs, F.min(F.struct(*firsts)).alias("__first"))
-    return one.select(*STORE_KEYS, *keys, *sums, *[F.col(f"__first.{c}").alias(c) for c in firsts])
+        return joined.groupBy(*store_keys, *keys).agg(*aggs)
+    one = joined.groupBy(*store_keys, *keys).agg(*aggs, F.min(F.struct(*firsts)).alias("__first"))
+    return one.select(*store_keys, *keys, *sums, *[F.col(f"__first.{c}").alias(c) for c in firsts])
+
+
+def numbered_stores(shares: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shares as (POSTALCODE, PERCENT_ATTRACTION, __sid), and the stores
+    as (__sid, attributes): one row for each combination of attributes, NULLs
+    included.  The shares are written first, so that finding their stores
+    doesn't run the pairs again."""
+    copy = materialize(shares.select("POSTALCODE", "PERCENT_ATTRACTION", *STORE_KEYS))
+    stores = numbered(copy.select(*STORE_KEYS).distinct(), "__sid")
+    coded = join_keyed(copy, stores, STORE_KEYS, "inner")
+    return coded.select("POSTALCODE", "PERCENT_ATTRACTION", "__sid"), stores
 
 
 def metadata_groups(meta: DataFrame, keys: list[str], firsts: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -95,11 +110,11 @@ def profile(
 ) -> DataFrame:
     """Weighted profile by store and ``keys``; ``keep`` filters the features.
 
-    One plan at every size: the share pipeline is read once, joined to the
-    cells that hold a value on POSTALCODE (both sides are laid out by it) and
-    aggregated with partial sums before the only shuffle.  A keyed melted
-    table is grouped by one integer per metadata group, whose attributes are
-    attached to the aggregated rows; a plain table by the attributes."""
+    One plan at every size: the shares are joined to the cells that hold a
+    value on POSTALCODE and aggregated with partial sums before the shuffle of
+    the sums.  A keyed melted table is grouped by one integer per store and
+    one per metadata group, whose attributes are attached to the aggregated
+    rows; a plain table by the attributes."""
     if not isinstance(melted, Melted):
         f = melted.filter(F.col("val").isNotNull())
         return weighted_sums(shares, f if keep is None else f.filter(keep), keys, sums, list(firsts))
@@ -107,8 +122,9 @@ def profile(
     cells = (melted.present if melted.present is not None else melted.keyed).filter(F.col("val").isNotNull())
     # Both are made of the metadata and no larger: broadcast while that measures small, else left to the planner.
     side = F.broadcast if fits_broadcast(melted.meta) else (lambda table: table)
-    agg = weighted_sums(shares, cells.join(side(mids), "__mid"), ["__gid"], sums)
-    return agg.join(side(groups), "__gid").drop("__gid")
+    coded, stores = numbered_stores(shares)
+    agg = weighted_sums(coded, cells.join(side(mids), "__mid"), ["__gid"], sums, store_keys=["__sid"])
+    return agg.join(side(groups), "__gid").join(stores, "__sid").drop("__gid", "__sid")
 
 
 def with_store_labels(profile: DataFrame) -> DataFrame:

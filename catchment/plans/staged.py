@@ -5,7 +5,7 @@ stage reads it back, as the source pipeline does: this cuts lineage at the
 natural boundaries, so a lost executor only costs the current stage, and
 every stage can be re-run alone.  The stages keyed by postal code (the
 attraction, share and melted tables) are bucketed by POSTALCODE with one
-bucket count, so the per-postal windows and the profile join read them
+bucket count, so the per-postal windows read them
 without a shuffle.
 
     gravity      stores + polygon parts  -> attraction, shares 0.5%, shares 1%

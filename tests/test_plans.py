@@ -35,17 +35,23 @@ def test_competition_has_no_exchange_after_pair_join(spark, sf_small):
     assert p.count("Exchange hashpartitioning") == 2
 
 
-def test_profile_join_is_co_partitioned(spark, sf_small):
-    df = E.queries()["profile_demo"](spark, sf_small)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    # the join on POSTALCODE reads both sides straight from their explicit
-    # repartitions: no exchange keyed on POSTALCODE alone is planned for it
-    final = final.split("== Initial Plan ==")[0]
-    assert "SortMergeJoin [POSTALCODE" in final
-    alone = re.findall(r"hashpartitioning\(POSTALCODE#\d+, \d+\)", final)
-    assert len(alone) == 1  # only the postal-code table's own layout
-    assert "REPARTITION_BY_NUM" in final
+def test_profile_shuffles_no_store_text_below_the_sums(spark, sf_small):
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k in settings:
+            spark.conf.set(k, "-1")
+        df = E.queries()["profile_demo"](spark, sf_small)
+        initial = plan_of(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    sums = initial[initial.index("partial_sum((PERCENT_ATTRACTION"):]
+    # the cells keep their own layout; of the shares only code, share and number are exchanged for the join
+    assert "SortMergeJoin [POSTALCODE" in sums and "REPARTITION_BY_NUM" in sums
+    assert len(re.findall(r"hashpartitioning\(POSTALCODE#\d+, \d+\), ENSURE", sums)) == 1
+    # both sides of the sums: (store number, metadata group)
+    assert re.search(r"hashpartitioning\(__sid#\d+L, __gid#\d+L, \d+\)", initial)
 
 
 def test_stage_lookup_pushes_the_filter_to_parquet(spark, sf_small):
