@@ -81,15 +81,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
         "rule", "verdict", F.col("rule_path").alias("p"), F.length("rule_path").alias("plen"),
         reversed_host(F.translate("rule_host", UPPER, LOWER)).alias("lo"), F.length("rule").alias("rule_len"),
     )
-    # One row: the distinct lengths that rule paths have.
-    lengths = rule.agg(F.collect_set("plen").alias("lens"))
+    # One value: the distinct lengths that rule paths have.
+    lengths = rule.agg(F.collect_set("plen")).scalar()
     # ``.`` is followed by ``/`` in byte order: the first key past every key that begins with lo.
     upper = F.expr("concat(substr(lo, 1, length(lo) - 1), '/')")
     edge = ["p", "rule", "verdict", "rule_len"]
     starts = rule.select(F.col("lo").alias("k"), F.lit(1).alias("kind"), F.lit(1).alias("delta"), *edge)
     ends = rule.select(upper.alias("k"), F.lit(0).alias("kind"), F.lit(-1).alias("delta"), *edge)
     probes = (
-        urls.join(F.broadcast(lengths))
+        urls.withColumn("lens", lengths)
         .withColumn("plen", F.explode(F.array_union(
             F.filter(F.coalesce("lens", F.array().cast("array<int>")), lambda n: n <= F.length("path")),
             F.array(F.lit(-1)),  # every url keeps at least this row, whatever its path
