@@ -72,7 +72,7 @@ def training_sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
     """(lang, byte windows) of at most ``SAMPLE_DOCS`` training documents a
     language, spread over hash buckets so that no task gathers a language."""
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    mark = F.xxhash64(F.col("doc_id"), F.col("text"))
+    mark = F.xxhash64("text")
     picked = (
         train.select("lang", "text", mark.alias("mark"))
         .groupBy("lang", F.pmod("mark", F.lit(SAMPLE_DOCS)).alias("bucket"))

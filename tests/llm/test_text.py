@@ -128,3 +128,28 @@ def test_language_id_edges(spark):
     none = op08_lang_cnn.predict_languages(docs_of(spark).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang"))
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
     assert op08_lang_cnn.predict_languages(docs_of(spark, [])).collect() == []
+
+
+def test_folded_tables_equal_the_plain_forward_pass():
+    net = op08_lang_cnn.ByteCNN(["a", "b", "c"])
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 256, (20, op08_lang_cnn.WINDOW), dtype=np.uint8)
+    net.train(x, np.arange(20) % 3)
+    pooled = []
+    for w in op08_lang_cnn.WIDTHS:
+        kernel = net.p[f"w{w}"].astype(np.float64).reshape(w, op08_lang_cnn.EMBED, -1)
+        places = [sum(net.p["emb"][x[:, at + i]].astype(np.float64) @ kernel[i] for i in range(w))
+                  for at in range(x.shape[1] - w + 1)]
+        pooled.append(np.maximum(np.max(places, 0) + net.p[f"b{w}"], 0))
+    want = np.concatenate(pooled, 1) @ net.p["out"] + net.p["bias"]
+    assert np.allclose(op08_lang_cnn.Predictor(net).logits(x), want, rtol=1e-3, atol=1e-3)
+
+
+def test_training_sample_does_not_depend_on_ids(spark):
+    rows = [(i, f"text number {i} " * 40, "en" if i % 2 else "fr") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = docs.filter(~op08_lang_cnn.held_out(F.col("doc_id")))
+    texts = [(r.text, r.lang) for r in kept.collect()]
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    other = spark.createDataFrame([(i, *t) for i, t in zip(ids, reversed(texts), strict=True)], docs.schema)
+    assert op08_lang_cnn.training_sample(docs) == op08_lang_cnn.training_sample(other)
