@@ -4,8 +4,10 @@ A share cut keeps a (store, postal code) pair when its attraction is more than
 ``min_share`` of the postal code's total.  Full attraction tables make every
 pair, sort them and drop nearly all.  Here the stores lie in grid cells:
 
-1. **Totals.**  One pass of sums over (mass, distance) alone gives each
-   postal code's total; no pair leaves the pass.
+1. **Totals.**  Blocks of postal codes meet blocks of stores (position and
+   mass alone) and are summed by array arithmetic; no pair becomes a row.
+   All pairs are counted, so this step is quadratic, with a small constant
+   and bounded memory.
 2. **Cells.**  A postal code meets the cells of the provinces it is reached
    from.  ``largest mass of the cell / smallest possible distance ** 2`` is
    an upper bound for every store of the cell; a cell whose bound is below
@@ -17,27 +19,33 @@ share of a kept row follows from the kept rows and the total: all that is not
 kept is weaker.  At most ``1 / min_share`` rows of a postal code are left for
 the windows.
 
-Layout: postal codes are hash-partitioned by POSTALCODE with an explicit
-count; stores and cells are broadcast after a measured size check, so there
-is no exchange after that layout.  Beyond the check the full pair plan
-(``attraction``) makes the same rows with shuffles.
+Layout: the totals are hash-partitioned by POSTALCODE with an explicit count;
+stores and cells are broadcast after a measured size check, so there is no
+exchange after that layout.  Beyond the check the same steps join by shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.geo import EARTH_RADIUS_KM, gravity, haversine_km
-from ..plans.layout import maybe_broadcast
-from .adjacency import stores_with_reach
-from .attraction import RUNNING_TIEBREAK, by_postal, full_attraction, layout_postal, shares
+from ..plans.layout import fits_broadcast, maybe_broadcast, shuffle_partitions
+from .adjacency import REACHABLE_PROVINCES, adjacency
+from .attraction import RUNNING_TIEBREAK, by_postal, layout_postal
 
 #: Side of a grid cell in degrees.
 CELL_DEGREES = 2.0
 #: Bounds are widened by this, for the rounding of the bound itself.
 MARGIN = 1e-9
+#: Postal codes and stores of a block.
+CODE_BLOCK, STORE_BLOCK = 1024, 8192
+#: Haversine (about 1 km) below which distances are taken from the angles.
+NEAR = 1e-8
 
 
 def with_cells(stores: DataFrame, mass: str = "REVENUE_CY", degrees: float = CELL_DEGREES) -> DataFrame:
@@ -50,10 +58,10 @@ def with_cells(stores: DataFrame, mass: str = "REVENUE_CY", degrees: float = CEL
     return placed.withColumn("__cy", cell("STORE_LATITUDE")).withColumn("__cx", cell("STORE_LONGITUDE"))
 
 
-def cell_bounds(reach: DataFrame, mass: str = "REVENUE_CY") -> DataFrame:
-    """One row per (reached province, cell): the box its stores lie in, the
+def cell_bounds(placed: DataFrame, mass: str = "REVENUE_CY") -> DataFrame:
+    """One row per (store province, cell): the box its stores lie in, the
     largest mass and the number of stores."""
-    return reach.groupBy("LDU_PROV", "__cy", "__cx").agg(
+    return placed.groupBy("STORE_PROVINCE", "__cy", "__cx").agg(
         F.min("STORE_LATITUDE").alias("__lat0"), F.max("STORE_LATITUDE").alias("__lat1"),
         F.min("STORE_LONGITUDE").alias("__lon0"), F.max("STORE_LONGITUDE").alias("__lon1"),
         F.max(mass).alias("__mass"), F.count(F.lit(1)).alias("__stores"),
@@ -79,26 +87,176 @@ def nearest_km(lat: str, lon: str) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM * (1 - MARGIN)) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def postal_totals(ldu: DataFrame, reach: DataFrame, mass: str = "REVENUE_CY") -> DataFrame:
+def packed(df: DataFrame, key: str, numbers: list[str], keep: list[str], size: int) -> DataFrame:
+    """``df`` as blocks of at most ``size`` rows that share ``key``: columns
+    key, __block (a number no other block of the table has), and a list per
+    column of ``numbers`` (doubles) and ``keep``.  A task packs the rows it
+    reads; it holds one open block a key."""
+    kinds = {c: df.schema[c].dataType for c in [key, *keep]}
+    lists = [*numbers, *keep]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        open_blocks, made = {}, TaskContext.get().partitionId() << 32
+
+        def closed(value, rows):
+            nonlocal made
+            made += 1
+            columns = [pa.array([value], schema.field(key).type), pa.array([made], pa.int64())]
+            for c in lists:
+                flat = pa.concat_arrays([r[c] for r in rows])
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+            return pa.RecordBatch.from_arrays(columns, names=[key, "__block", *lists])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            if not batch.num_rows:
+                continue
+            codes = batch.column(batch.schema.get_field_index(key)).dictionary_encode()
+            number = np.asarray(codes.indices.fill_null(-1))
+            for n in np.unique(number):
+                value = codes.dictionary[int(n)].as_py() if n >= 0 else None
+                rows = batch.take(pa.array(np.flatnonzero(number == n)))
+                while rows.num_rows:
+                    held = open_blocks.setdefault(value, [])
+                    room = size - sum(len(r) for r in held)
+                    held.append(rows.slice(0, room))
+                    rows = rows.slice(room)
+                    if sum(len(r) for r in held) == size:
+                        yield closed(value, open_blocks.pop(value))
+        for value, held in open_blocks.items():
+            yield closed(value, held)
+
+    fields = [f"`{key}` {kinds[key].simpleString()}", "__block long", *(f"`{c}` array<double>" for c in numbers)]
+    fields += [f"`{c}` array<{kinds[c].simpleString()}>" for c in keep]
+    picked = df.select(key, *(F.col(c).cast("double").alias(c) for c in numbers), *keep)
+    return picked.mapInArrow(work, ", ".join(fields))
+
+
+def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", partitions: int | None = None,
+                  small: bool = True) -> DataFrame:
     """``ldu`` (one row per postal code) with TOTAL_POSTALCODE_ATTRACTION, the
-    sum over all stores that reach it; codes without one are left out.  Four
-    columns of ``reach`` are broadcast: the caller has measured all of them."""
-    side = F.broadcast(reach.select("LDU_PROV", "STORE_LATITUDE", "STORE_LONGITUDE", F.col(mass).alias("__m")))
-    distance = haversine_km("STORE_LATITUDE", "STORE_LONGITUDE", "LATITUDE", "LONGITUDE")
-    pulled = ldu.join(side, ldu["PROV"] == side["LDU_PROV"]).select(*ldu.columns, gravity("__m", distance).alias("__a"))
-    return pulled.groupBy(*ldu.columns).agg(F.sum("__a").alias("TOTAL_POSTALCODE_ATTRACTION"))
+    sum over all stores that reach it; codes without one are left out.
+
+    Postal codes and stores are packed in blocks by province, and every block
+    of codes meets the blocks of the stores that reach it.  A pair of blocks
+    is summed by array arithmetic in its task, a few thousand pairs at a time,
+    so no pair becomes a row.  Codes are dealt evenly over the tasks; the
+    sums are laid out by POSTALCODE.  With ``small`` (the caller has measured
+    more than these four columns) the stores are packed by one task and
+    broadcast, else the blocks meet by a shuffle."""
+    n = partitions or shuffle_partitions(ldu)
+    spark, names, radius, near = ldu.sparkSession, ldu.columns, EARTH_RADIUS_KM, NEAR
+    keep = [c for c in names if c != "PROV"]
+    codes = packed(ldu.repartition(n).withColumns({"__y": F.col("LATITUDE"), "__x": F.col("LONGITUDE")}),
+                   "PROV", ["__y", "__x"], keep, CODE_BLOCK)
+    side = stores.select("STORE_PROVINCE", "STORE_LATITUDE", "STORE_LONGITUDE", F.col(mass).alias("__m"))
+    side = packed(side.coalesce(1) if small else side, "STORE_PROVINCE", ["STORE_LATITUDE", "STORE_LONGITUDE", "__m"], [], STORE_BLOCK)
+    side = side.drop("__block")
+    reached = codes.join(F.broadcast(adjacency(spark)), codes["PROV"] == F.col("LDU_PROV")).drop("LDU_PROV")
+    met = reached.join(F.broadcast(side) if small else side, F.col("STORE_PROV") == F.col("STORE_PROVINCE"))
+
+    def pulled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        def places(lat, lon):
+            lat, lon = np.radians(lat), np.radians(lon)
+            return np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)
+
+        def pulls(lat, lon, lats, lons, mass):
+            """Attraction of every code, and how many stores are not at its very place."""
+            total, apart = np.zeros(len(lat)), np.zeros(len(lat), np.int64)
+            here, there = places(lat, lon), places(lats, lons)
+            step = max(1, 32768 // len(lats))
+            for a in range(0, len(lat), step):
+                rows = slice(a, a + step)
+                h = sum((p[rows, None] - q) ** 2 for p, q in zip(here, there, strict=True)) / 4
+                i, j = np.nonzero(h < near)  # differences of places lose digits there
+                if len(i):
+                    dy, dx = np.radians(lats[j] - lat[rows][i]) / 2, np.radians(lons[j] - lon[rows][i]) / 2
+                    h[i, j] = np.sin(dy) ** 2 + np.sin(dx) ** 2 * np.cos(np.radians(lats[j])) * np.cos(np.radians(lat[rows][i]))
+                square = (2 * radius * np.arcsin(np.sqrt(np.minimum(h, 1)))) ** 2
+                none = square == 0
+                with np.errstate(divide="ignore"):
+                    force = np.where(none, 0.0, 1 / square)
+                total[rows] = force @ mass
+                apart[rows] = (~none).sum(1)
+            return total, apart
+
+        def closed(held):
+            row, total, apart = held
+            number = row["PROV"].as_py()
+            flat = {c: row[c].values for c in keep}
+            sums = pa.array(total, mask=(apart == 0) | np.isnan(row["y"]) | np.isnan(row["x"]))
+            columns = [pa.array([number] * len(total), row["PROV"].type) if c == "PROV" else flat[c] for c in names]
+            return pa.RecordBatch.from_arrays([*columns, sums], names=[*names, "__a"])
+
+        numbers = lambda scalar: scalar.values.to_numpy(zero_copy_only=False).astype(float)
+        block, held = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(k)[i] for k, c in enumerate(batch.schema.names)}
+                if held is None or row["__block"].as_py() != block:
+                    if held is not None:
+                        yield closed(held)
+                    block = row["__block"].as_py()
+                    row["y"], row["x"] = numbers(row["__y"]), numbers(row["__x"])
+                    held = (row, np.zeros(len(row["y"])), np.zeros(len(row["y"]), np.int64))
+                first, total, apart = held
+                more = pulls(first["y"], first["x"], *(numbers(row[c]) for c in ("STORE_LATITUDE", "STORE_LONGITUDE", "__m")))
+                total += more[0]
+                apart += more[1]
+        if held is not None:
+            yield closed(held)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ldu.schema.fields)
+    sums = met.mapInArrow(pulled, f"{kinds}, __a double")
+    return layout_postal(sums, n).groupBy(*names).agg(F.sum("__a").alias("TOTAL_POSTALCODE_ATTRACTION"))
 
 
 def candidate_cells(totals: DataFrame, cells: DataFrame, min_share: float) -> DataFrame:
     """(postal code, cell) rows whose upper bound may pass the cut.  With a
     total of zero or less (negative masses) the bound proves nothing and
-    every cell stays.  There are no more cells than the stores measured."""
-    side = F.broadcast(cells)
+    every cell stays.  ``cells`` has a row per reached province and cell."""
     cut = F.lit(float(min_share)) * F.col("TOTAL_POSTALCODE_ATTRACTION")
     near = F.pow(nearest_km("LATITUDE", "LONGITUDE"), 2)
     may_pass = (cut <= 0) | (F.col("__mass") * (1 + MARGIN) > cut * near)
-    met = totals.join(side, totals["PROV"] == side["LDU_PROV"]).filter(may_pass)
-    return met.select(*totals.columns, F.col("LDU_PROV").alias("__prov"), F.col("__cy").alias("__ky"), F.col("__cx").alias("__kx"))
+    met = totals.join(cells, totals["PROV"] == cells["LDU_PROV"]).filter(may_pass)
+    return met.select(*totals.columns, F.col("STORE_PROV").alias("__prov"), F.col("__cy").alias("__ky"), F.col("__cx").alias("__kx"))
+
+
+def _pairs_of_cells(
+    placed: DataFrame, small: bool, ldu: DataFrame, min_share: float, mass: str, partitions: int | None
+) -> DataFrame:
+    """``pruned_pairs`` of stores with cells, broadcast if ``small``, else
+    joined by cell with shuffles."""
+    codes = ldu.select("POSTALCODE", "PROV", "LATITUDE", "LONGITUDE")
+    totals = postal_totals(codes, placed, mass, partitions, small)
+    # stores measured as small enough to broadcast: one task makes their cells without an exchange
+    cells = cell_bounds(placed.coalesce(1) if small else placed, mass)
+    adj = F.broadcast(adjacency(ldu.sparkSession))
+    reached = cells.join(adj, cells["STORE_PROVINCE"] == adj["STORE_PROV"]).drop("STORE_PROVINCE")
+    reached = F.broadcast(reached) if small else maybe_broadcast(reached)[0]
+    met = candidate_cells(totals, reached, min_share)
+    side = F.broadcast(placed) if small else placed
+    on = (met["__prov"] == side["STORE_PROVINCE"]) & (met["__ky"] == side["__cy"]) & (met["__kx"] == side["__cx"])
+    paired = met.join(side, on).drop("__prov", "__ky", "__kx", "__cy", "__cx")
+    distance = haversine_km("STORE_LATITUDE", "STORE_LONGITUDE", "LATITUDE", "LONGITUDE")
+    return paired.withColumn("HAVERSINE_DISTANCE", distance).withColumn("Attraction", gravity(mass, "HAVERSINE_DISTANCE"))
+
+
+def _placed(stores: DataFrame, mass: str, degrees: float) -> tuple[DataFrame, bool]:
+    """The stores that reach some province, with the columns of a share row
+    and their cells, and whether they measure as small enough to broadcast."""
+    wanted = {*schemas.SHARE_COLUMNS, *RUNNING_TIEBREAK, "STORE_LATITUDE", "STORE_LONGITUDE", mass, "__cy", "__cx"}
+    placed = with_cells(stores, mass, degrees).filter(F.col("STORE_PROVINCE").isin(*REACHABLE_PROVINCES))
+    placed = placed.select(*(c for c in placed.columns if c in wanted))
+    return placed, fits_broadcast(placed)
 
 
 def pruned_pairs(
@@ -108,18 +266,8 @@ def pruned_pairs(
     """Candidate pairs with HAVERSINE_DISTANCE, Attraction and the postal
     total: every pair that passes the cut, and few others.  None when the
     stores measure more than the broadcast bound."""
-    reach = stores_with_reach(with_cells(stores, mass, degrees))
-    side, small = maybe_broadcast(reach)
-    if not small:
-        return None
-    laid = layout_postal(ldu.select("POSTALCODE", "PROV", "LATITUDE", "LONGITUDE"), partitions)
-    totals = postal_totals(laid, reach, mass)
-    # the stores were measured as small enough to broadcast: one task makes their cells without an exchange
-    met = candidate_cells(totals, cell_bounds(reach.coalesce(1), mass), min_share)
-    on = (met["__prov"] == side["LDU_PROV"]) & (met["__ky"] == side["__cy"]) & (met["__kx"] == side["__cx"])
-    paired = met.join(side, on).drop("__prov", "__ky", "__kx", "LDU_PROV", "__cy", "__cx")
-    distance = haversine_km("STORE_LATITUDE", "STORE_LONGITUDE", "LATITUDE", "LONGITUDE")
-    return paired.withColumn("HAVERSINE_DISTANCE", distance).withColumn("Attraction", gravity(mass, "HAVERSINE_DISTANCE"))
+    placed, small = _placed(stores, mass, degrees)
+    return _pairs_of_cells(placed, small, ldu, min_share, mass, partitions) if small else None
 
 
 def pruned_shares(
@@ -128,9 +276,8 @@ def pruned_shares(
 ) -> DataFrame:
     """The rows of ``shares(full_attraction(...), min_share)``, without making
     the pairs that cannot pass."""
-    pairs = pruned_pairs(stores, ldu, min_share, mass, degrees, partitions)
-    if pairs is None:
-        return shares(full_attraction(stores, ldu, mass, partitions), min_share)
+    placed, small = _placed(stores, mass, degrees)
+    pairs = _pairs_of_cells(placed, small, ldu, min_share, mass, partitions)
     total = F.col("TOTAL_POSTALCODE_ATTRACTION")
     kept = pairs.filter(F.col("Attraction") > F.lit(float(min_share)) * total)
     order = [F.try_divide(F.col("Attraction"), total).asc(), *(F.col(c).asc() for c in RUNNING_TIEBREAK)]

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,39 @@ def test_few_pairs_are_made(spark, sf_mid):
     kept = same(sp.pruned_shares(stores, codes, att.HALF_PERCENT), att.shares(att.full_attraction(stores, codes)))
     assert kept <= made_pairs.count() < 0.8 * every
     assert made_pairs.filter(F.col("Attraction").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_block_totals_equal_sums_over_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(sp, "CODE_BLOCK", 7)
+    monkeypatch.setattr(sp, "STORE_BLOCK", 5)
+    stores, codes = made(spark, 5)
+    close = codes.limit(1).selectExpr("'NEAR' AS POSTALCODE", "'ON' AS PROV", "45.0 AS LATITUDE", "-79.0 AS LONGITUDE")
+    codes = codes.unionByName(close.selectExpr("POSTALCODE", "PROV", "double(LATITUDE) LATITUDE", "double(LONGITUDE) LONGITUDE"))
+    one = stores.filter("STORE_PROVINCE = 'ON'").limit(1).withColumns(
+        {"STORE_LATITUDE": F.lit(45.0000001), "STORE_LONGITUDE": F.lit(-79.0), "REVENUE_CY": F.lit(3.0)})
+    stores = stores.unionByName(one)
+    pairs = att.attraction(stores, codes)
+    want = {r[0]: r[1] for r in pairs.groupBy("POSTALCODE").agg(F.sum("Attraction")).collect()}
+    sums = sp.postal_totals(codes, sp.with_cells(stores), small=small)
+    got = {r.POSTALCODE: r.TOTAL_POSTALCODE_ATTRACTION for r in sums.collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    for code, total in want.items():
+        assert (got[code] is None) == (total is None), code
+        assert total is None or math.isclose(got[code], total, rel_tol=1e-10, abs_tol=1e-12), code
+
+
+def test_totals_make_no_row_per_pair(spark, sf_small):
+    plan = sp.pruned_shares(inputs.stores(spark, sf_small), inputs.ldu(spark, sf_small), 0.01)._jdf.queryExecution().toString()
+    sums = plan[plan.index("== Physical Plan =="):]
+    assert "MapInArrow" in sums and not re.search(r"partial_sum\(try_divide|partial_sum\(__a.*POWER", sums)
+
+
+def test_no_full_pairs_beyond_the_broadcast_bound(spark, sf_mid):
+    stores, codes = inputs.stores(spark, sf_mid), inputs.ldu(spark, sf_mid)
+    spark.conf.set("catchment.broadcast.maxBytes", "10")
+    try:
+        plan = sp.pruned_shares(stores, codes, att.HALF_PERCENT)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("catchment.broadcast.maxBytes")
+    assert "__ky" in plan and "__lb" not in plan  # joined by cell, not province by province
