@@ -15,10 +15,10 @@ bucket showed are found too.
 
 Scale.  Only (path, set id, 64 signature bytes) rows are shuffled, and only
 those in buckets of two or more are compared.  Buckets that stay large after
-``MAX_DEPTH`` splits (thousands of near copies) are cut into chunks of at
-most ``BUCKET`` sets, differently in each run; their members still meet,
-since the exact comparison works on the whole tied group, in blocks of at
-most ``BLOCK_ROWS`` sets.  Buckets and blocks report a spanning star and a
+``MAX_DEPTH`` splits (thousands of near copies) are cut into chunks of about
+``BLOCK_ROWS / 2`` sets, and every two chunks are compared as a bucket of
+their own: all pairs of the bucket meet, in many tasks.  Tied groups are
+compared in blocks of at most ``BLOCK_ROWS`` sets in the same way.  Buckets and blocks report a spanning star and a
 count per set, never all pairs.
 
 Defined results: A-Z is lower-cased and words are runs of letters, digits and
@@ -165,6 +165,17 @@ def compare_buckets(table: pa.Table) -> pa.Table:
     return pa.table({"u": sid[edge], "v": sid[root[edge]]})
 
 
+def chunk_pairs(big: DataFrame) -> DataFrame:
+    """Buckets too large for one task as buckets of two chunks each, every
+    chunk with every other, so that all sets of a bucket still meet."""
+    chunks = F.ceil(F.col("n") * 2 / BLOCK_ROWS)
+    dealt = big.withColumn("own", F.pmod(F.xxhash64("sid", "node"), chunks))
+    others = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    met = dealt.withColumn("other", F.explode(F.when(chunks == 1, others).otherwise(F.array_remove(others, F.col("own")))))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(pair.alias("node"), "sid", "sig")
+
+
 def ties(nodes: DataFrame) -> DataFrame:
     """(u, v): sets tied by some bucket of some run."""
     level, compared, spark = nodes, None, nodes.sparkSession
@@ -173,9 +184,8 @@ def ties(nodes: DataFrame) -> DataFrame:
         level = written(level.join(counts, "node"), f"buckets-{depth}")
         small = level.filter(F.col("n") <= BUCKET).select("node", "sid", "sig")
         big = level.filter(F.col("n") > BUCKET)
-        if depth == MAX_DEPTH:  # near copies that agree on every path: chunks, other ones in each run
-            chunk = F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("n") * 2 / BUCKET))
-            small = small.unionByName(big.select(F.xxhash64("node", chunk).alias("node"), "sid", "sig"))
+        if depth == MAX_DEPTH:  # near copies that agree on every path
+            small = small.unionByName(chunk_pairs(big))
         compared = small if compared is None else compared.unionByName(small)
         if depth == MAX_DEPTH or big.isEmpty():
             break

@@ -171,3 +171,14 @@ def test_kept_row_of_a_tie_is_the_smallest(spark):
     rows = [(1, text, "fr", "s"), (1, text, "de", "z"), (1, text, "de", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     assert [tuple(r) for r in op09_chosen_path.keep_first(df).collect()] == [(1, text, "de", "b")]
+
+
+def test_sets_of_a_large_bucket_all_meet(spark, monkeypatch):
+    """A bucket that no split makes small still compares every pair of its sets."""
+    from catchment.llm import op09_chosen_path as op9
+
+    for name, value in (("BUCKET", 4), ("BLOCK_ROWS", 8), ("MAX_DEPTH", 0)):
+        monkeypatch.setattr(op9, name, value)
+    rows = [(7, i, bytes((i % 20 * 7 + k) % 251 for k in range(op9.COORDS))) for i in range(40)]
+    found = op9.ties(spark.createDataFrame(rows, "node long, sid long, sig binary")).collect()
+    assert {frozenset((r.u, r.v)) for r in found} == {frozenset((i, i + 20)) for i in range(20)}
