@@ -1,5 +1,7 @@
 """Pair join, attraction, totals, running shares and cuts on small inputs."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from catchment import schemas
@@ -149,3 +151,35 @@ def test_salted_fallback_shares_equal_broadcast_shares(spark, sf_small):
     finally:
         spark.conf.unset("catchment.broadcast.maxBytes")
     assert fast == salted and len(fast) > 0
+
+
+def test_partitions_follow_the_pairs(spark, sf_small, monkeypatch):
+    from catchment.plans import inputs
+
+    s, l = inputs.stores(spark, sf_small), inputs.ldu(spark, sf_small)
+    n, pairs = int(spark.conf.get("spark.sql.shuffle.partitions")), adjm.pairs(s, l).count()
+    assert att.pair_partitions(s, l) == n
+    monkeypatch.setattr(att, "PAIRS_A_TASK", 1 + pairs // (3 * n))
+    assert att.pair_partitions(s, l) == 3 * n
+    assert att.postal_total(att.attraction(s, l)).rdd.getNumPartitions() == 3 * n
+
+
+def test_province_pairs_reads_one_row_of_a_province(spark, sf_small):
+    import __spark_entry__ as E
+    from catchment.plans import inputs
+
+    got = E.queries()["province_pairs"](spark, sf_small)
+    want = adjm.province_pairs(adjm.pairs(inputs.stores(spark, sf_small), inputs.ldu(spark, sf_small)))
+    assert got.collect() == want.collect()
+    assert re.search(r"Aggregate \[STORE_PROVINCE#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_significant_digits_equal_the_rounded_text(spark):
+    from catchment.present import significant
+
+    df = spark.sql("SELECT explode(array(0D, 1D, -10D, 999999999.5D, 1e-9D, 123456789.4D, 0.1D, 1e22D, 1e31D, 1e-20D, "
+                   "-2.718281828459D, double('NaN'), double('Infinity'), NULL)) AS x")
+    text = F.when(F.col("x").isNotNull(), F.format_string("%.8e", "x").cast("double"))
+    rows = df.select(significant(F.col("x"), 9).alias("a"), text.alias("b"), "x").collect()
+    assert len(rows) == 14
+    assert all((r.a is None) if r.x is None else repr(r.a) == repr(r.b) for r in rows)
