@@ -183,3 +183,12 @@ def test_significant_digits_equal_the_rounded_text(spark):
     rows = df.select(significant(F.col("x"), 9).alias("a"), text.alias("b"), "x").collect()
     assert len(rows) == 14
     assert all((r.a is None) if r.x is None else repr(r.a) == repr(r.b) for r in rows)
+
+
+def test_postal_windows_do_not_sort_the_pairs(spark, sf_small):
+    import __spark_entry__ as E
+
+    for name in ("attraction_total", "attraction_max"):
+        plan = E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("BroadcastHashJoin")]
+        assert "Window" in above and "Sort" not in above and "Exchange" not in above
