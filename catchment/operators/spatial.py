@@ -34,12 +34,17 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.geo import EARTH_RADIUS_KM, gravity, haversine_km
-from ..plans.layout import fits_broadcast, maybe_broadcast, shuffle_partitions
+from ..plans.layout import broadcast_max_bytes, fits_broadcast, maybe_broadcast, shuffle_partitions
 from .adjacency import REACHABLE_PROVINCES, adjacency
 from .attraction import RUNNING_TIEBREAK, by_postal, layout_postal
 
-#: Side of a grid cell in degrees.
+#: Side of a grid cell in degrees; a side of a smallest cell is that over ``2 ** FINE_BITS``.
 CELL_DEGREES = 2.0
+FINE_BITS = 4
+#: Levels of cells, as the power of two of smallest cells a side.
+LEVEL_BITS = (5, 3, 0)
+#: Level after which the rows are dealt anew.
+DEALT_BITS = 3
 #: Bounds are widened by this, for the rounding of the bound itself.
 MARGIN = 1e-9
 #: Postal codes and stores of a block.
@@ -49,28 +54,39 @@ NEAR = 1e-8
 
 
 def with_cells(stores: DataFrame, mass: str = "REVENUE_CY", degrees: float = CELL_DEGREES) -> DataFrame:
-    """Stores with a position and a mass, and the grid cell (two integers)
-    each lies in.  The others have no attraction to anything."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(degrees)))
+    """Stores with a position and a mass, and the smallest cell (two integers)
+    and the octave of mass each lies in.  The others have no attraction to
+    anything."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(degrees) / (1 << FINE_BITS)))
     placed = stores.filter(
         F.col("STORE_LATITUDE").isNotNull() & F.col("STORE_LONGITUDE").isNotNull() & F.col(mass).isNotNull()
     )
-    return placed.withColumn("__cy", cell("STORE_LATITUDE")).withColumn("__cx", cell("STORE_LONGITUDE"))
+    octave = F.when(F.col(mass) > 0, F.floor(F.log2(mass))).otherwise(F.lit(-(1 << 20)))
+    return placed.withColumns({"__cy": cell("STORE_LATITUDE"), "__cx": cell("STORE_LONGITUDE"), "__cm": octave})
 
 
 def cell_bounds(placed: DataFrame, mass: str = "REVENUE_CY") -> DataFrame:
-    """One row per (store province, cell): the box its stores lie in, the
-    largest mass and the number of stores."""
-    return placed.groupBy("STORE_PROVINCE", "__cy", "__cx").agg(
+    """One row per (store province, smallest cell, octave of mass): the box
+    its stores lie in and the largest mass."""
+    return placed.groupBy("STORE_PROVINCE", "__cy", "__cx", "__cm").agg(
         F.min("STORE_LATITUDE").alias("__lat0"), F.max("STORE_LATITUDE").alias("__lat1"),
         F.min("STORE_LONGITUDE").alias("__lon0"), F.max("STORE_LONGITUDE").alias("__lon1"),
-        F.max(mass).alias("__mass"), F.count(F.lit(1)).alias("__stores"),
+        F.max(mass).alias("__mass"),
     )
 
 
-def nearest_km(lat: str, lon: str) -> Column:
-    """A lower bound of the distance from a point to any point of the box
-    (__lat0..__lat1, __lon0..__lon1).
+def coarser(cells: DataFrame, bits: int) -> DataFrame:
+    """``cells`` put together to cells of ``2 ** bits`` smallest ones a side."""
+    up = [F.shiftright(c, bits).alias(c) for c in ("__cy", "__cx")]
+    return cells.groupBy("STORE_PROVINCE", *up).agg(
+        *(F.min(c).alias(c) for c in ("__lat0", "__lon0")), *(F.max(c).alias(c) for c in ("__lat1", "__lon1", "__mass"))
+    )
+
+
+def nearest_haversine(lat: str, lon: str, cosines: Column | None = None) -> Column:
+    """A lower bound of the haversine of the distance from a point to any
+    point of the box (__lat0..__lat1, __lon0..__lon1); ``cosines`` is the
+    smallest product of the cosines of both latitudes, if known.
 
     The haversine of a distance is ``sin2(dlat / 2) + cos(lat) cos(lat') *
     sin2(dlon / 2)``; each factor is replaced by its smallest value over the
@@ -80,11 +96,20 @@ def nearest_km(lat: str, lon: str) -> Column:
     gap_lat = F.greatest(F.col("__lat0") - F.col(lat), F.col(lat) - F.col("__lat1"), zero)
     gap_lon = F.greatest(F.col("__lon0") - F.col(lon), F.col(lon) - F.col("__lon1"), zero)
     far_lon = F.least(F.greatest(F.abs(F.col(lon) - F.col("__lon0")), F.abs(F.col(lon) - F.col("__lon1"))), F.lit(360.0))
-    half = lambda x: F.pow(F.sin(F.radians(x) / 2), 2)
-    across = F.least(half(gap_lon), half(far_lon))
-    cosines = F.cos(F.radians(F.col(lat))) * F.least(F.cos(F.radians(F.col("__lat0"))), F.cos(F.radians(F.col("__lat1"))))
-    h = half(gap_lat) + F.greatest(cosines, zero) * across
-    return F.lit(2 * EARTH_RADIUS_KM * (1 - MARGIN)) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+    def half(x):
+        return F.sin(F.radians(x) / 2) * F.sin(F.radians(x) / 2)
+
+    across = F.when(far_lon <= 180, half(gap_lon)).otherwise(F.least(half(gap_lon), half(far_lon)))
+    if cosines is None:
+        smallest = F.least(F.cos(F.radians(F.col("__lat0"))), F.cos(F.radians(F.col("__lat1"))))
+        cosines = F.greatest(F.cos(F.radians(F.col(lat))) * smallest, zero)
+    return F.least(half(gap_lat) + cosines * across, F.lit(1.0))
+
+
+def nearest_km(lat: str, lon: str) -> Column:
+    """A lower bound of the distance from a point to any point of the box."""
+    return F.lit(2 * EARTH_RADIUS_KM * (1 - MARGIN)) * F.asin(F.sqrt(nearest_haversine(lat, lon)))
 
 
 def packed(df: DataFrame, key: str, numbers: list[str], keep: list[str], size: int) -> DataFrame:
@@ -146,7 +171,7 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
     of codes meets the blocks of the stores that reach it.  A pair of blocks
     is summed by array arithmetic in its task, a few thousand pairs at a time,
     so no pair becomes a row.  Codes are dealt evenly over the tasks; the
-    sums are laid out by POSTALCODE.  With ``small`` (the caller has measured
+    sums are laid out by POSTALCODE and PROV.  With ``small`` (the caller has measured
     more than these four columns) the stores are packed by one task and
     broadcast, else the blocks meet by a shuffle."""
     n = partitions or shuffle_partitions(ldu)
@@ -170,22 +195,34 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
 
         def pulls(lat, lon, lats, lons, mass):
             """Attraction of every code, and how many stores are not at its very place."""
-            total, apart = np.zeros(len(lat)), np.zeros(len(lat), np.int64)
+            total, apart = np.zeros(len(lat)), np.full(len(lat), len(lats), np.int64)
             here, there = places(lat, lon), places(lats, lons)
             step = max(1, 32768 // len(lats))
+            room, more = np.empty((step, len(lats))), np.empty((step, len(lats)))  # new arrays cost more than the sums
             for a in range(0, len(lat), step):
                 rows = slice(a, a + step)
-                h = sum((p[rows, None] - q) ** 2 for p, q in zip(here, there, strict=True)) / 4
+                h, t = room[: len(lat[rows])], more[: len(lat[rows])]
+                for k, (p, q) in enumerate(zip(here, there, strict=True)):
+                    np.subtract(p[rows, None], q, out=t)
+                    np.multiply(t, t, out=t if k else h)
+                    if k:
+                        np.add(h, t, out=h)
+                np.multiply(h, 0.25, out=h)
                 i, j = np.nonzero(h < near)  # differences of places lose digits there
                 if len(i):
                     dy, dx = np.radians(lats[j] - lat[rows][i]) / 2, np.radians(lons[j] - lon[rows][i]) / 2
                     h[i, j] = np.sin(dy) ** 2 + np.sin(dx) ** 2 * np.cos(np.radians(lats[j])) * np.cos(np.radians(lat[rows][i]))
-                square = (2 * radius * np.arcsin(np.sqrt(np.minimum(h, 1)))) ** 2
-                none = square == 0
+                    none = h[i, j] == 0
+                    i, j = i[none], j[none]
+                    h[i, j] = 1
+                    apart[rows] -= np.bincount(i, minlength=len(h))
+                np.sqrt(np.minimum(h, 1, out=h), out=h)
+                np.multiply(np.arcsin(h, out=h), 2 * radius, out=h)
                 with np.errstate(divide="ignore"):
-                    force = np.where(none, 0.0, 1 / square)
-                total[rows] = force @ mass
-                apart[rows] = (~none).sum(1)
+                    np.divide(1, np.multiply(h, h, out=h), out=h)
+                if len(i):
+                    h[i, j] = 0
+                total[rows] = h @ mass
             return total, apart
 
         def closed(held):
@@ -216,36 +253,58 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ldu.schema.fields)
     sums = met.mapInArrow(pulled, f"{kinds}, __a double")
-    return layout_postal(sums, n).groupBy(*names).agg(F.sum("__a").alias("TOTAL_POSTALCODE_ATTRACTION"))
+    return sums.repartition(n, "POSTALCODE", "PROV").groupBy(*names).agg(F.sum("__a").alias("TOTAL_POSTALCODE_ATTRACTION"))
 
 
-def candidate_cells(totals: DataFrame, cells: DataFrame, min_share: float) -> DataFrame:
-    """(postal code, cell) rows whose upper bound may pass the cut.  With a
-    total of zero or less (negative masses) the bound proves nothing and
-    every cell stays.  ``cells`` has a row per reached province and cell."""
-    cut = F.lit(float(min_share)) * F.col("TOTAL_POSTALCODE_ATTRACTION")
-    near = F.pow(nearest_km("LATITUDE", "LONGITUDE"), 2)
-    may_pass = (cut <= 0) | (F.col("__mass") * (1 + MARGIN) > cut * near)
-    met = totals.join(cells, totals["PROV"] == cells["LDU_PROV"]).filter(may_pass)
-    return met.select(*totals.columns, F.col("STORE_PROV").alias("__prov"), F.col("__cy").alias("__ky"), F.col("__cx").alias("__kx"))
+def candidate_cells(met: DataFrame) -> DataFrame:
+    """The (postal code, cell) rows of ``met`` whose upper bound may pass the
+    cut (``__cut``: attraction that must be exceeded, times the square of the
+    diameter).  With a total of zero or less (negative masses) the bound proves
+    nothing and every cell stays.  A distance is at least the chord."""
+    near = nearest_haversine("LATITUDE", "LONGITUDE", F.col("__cos") * F.col("__cell_cos"))
+    return met.filter((F.col("__cut") <= 0) | (F.col("__mass") > F.col("__cut") * near))
 
 
 def _pairs_of_cells(
     placed: DataFrame, small: bool, ldu: DataFrame, min_share: float, mass: str, partitions: int | None
 ) -> DataFrame:
     """``pruned_pairs`` of stores with cells, broadcast if ``small``, else
-    joined by cell with shuffles."""
+    joined by cell with shuffles.
+
+    A postal code meets the largest cells of the provinces that reach it, then
+    level by level the parts of the cells that may pass, and the stores of the
+    smallest cells last.  So the rows made follow the rows that pass, however
+    many stores a cell of a level holds."""
     codes = ldu.select("POSTALCODE", "PROV", "LATITUDE", "LONGITUDE")
-    totals = postal_totals(codes, placed, mass, partitions, small)
+    side = F.broadcast if small else lambda table: maybe_broadcast(table)[0]
+    met = postal_totals(codes, placed, mass, partitions, small)
+    cut = F.lit(float(min_share) * (2 * EARTH_RADIUS_KM) ** 2 * (1 - MARGIN)) * F.col("TOTAL_POSTALCODE_ATTRACTION")
+    met = met.withColumns({"__cut": cut, "__cos": F.cos(F.radians("LATITUDE"))})
+    kept = met.columns
     # stores measured as small enough to broadcast: one task makes their cells without an exchange
     cells = cell_bounds(placed.coalesce(1) if small else placed, mass)
-    adj = F.broadcast(adjacency(ldu.sparkSession))
-    reached = cells.join(adj, cells["STORE_PROVINCE"] == adj["STORE_PROV"]).drop("STORE_PROVINCE")
-    reached = F.broadcast(reached) if small else maybe_broadcast(reached)[0]
-    met = candidate_cells(totals, reached, min_share)
-    side = F.broadcast(placed) if small else placed
-    on = (met["__prov"] == side["STORE_PROVINCE"]) & (met["__ky"] == side["__cy"]) & (met["__kx"] == side["__cx"])
-    paired = met.join(side, on).drop("__prov", "__ky", "__kx", "__cy", "__cx")
+    on = None
+    for bits in LEVEL_BITS:
+        level = coarser(cells, bits) if bits else cells
+        smallest = F.least(*(F.cos(F.radians(c)) for c in ("__lat0", "__lat1")))
+        level = level.withColumn("__cell_cos", F.greatest(smallest, F.lit(0.0)))
+        if on is None:
+            adj = F.broadcast(adjacency(ldu.sparkSession))
+            reached = level.join(adj, level["STORE_PROVINCE"] == adj["STORE_PROV"]).drop("STORE_PROV")
+            met = met.join(side(reached), F.col("PROV") == F.col("LDU_PROV"))
+        else:
+            up = on - bits
+            parts = side(level)
+            parent = (F.shiftright(parts["__cy"], up) == met["__ky"]) & (F.shiftright(parts["__cx"], up) == met["__kx"])
+            met = met.join(parts, parent & (parts["STORE_PROVINCE"] == met["__prov"]))
+        octave = [] if bits else [F.col("__cm").alias("__km")]
+        cell = [F.col("STORE_PROVINCE").alias("__prov"), F.col("__cy").alias("__ky"), F.col("__cx").alias("__kx")]
+        met, on = candidate_cells(met).select(*kept, *cell, *octave), bits
+        if bits == DEALT_BITS:  # few rows a code by now; joins of two stages compile, all in one do not
+            met = layout_postal(met, partitions)
+    stores = F.broadcast(placed) if small else placed
+    same = [met[k] == stores[c] for k, c in (("__prov", "STORE_PROVINCE"), ("__ky", "__cy"), ("__kx", "__cx"), ("__km", "__cm"))]
+    paired = met.join(stores, same).drop("__cut", "__cos", "__prov", "__ky", "__kx", "__km", "__cy", "__cx", "__cm")
     distance = haversine_km("STORE_LATITUDE", "STORE_LONGITUDE", "LATITUDE", "LONGITUDE")
     return paired.withColumn("HAVERSINE_DISTANCE", distance).withColumn("Attraction", gravity(mass, "HAVERSINE_DISTANCE"))
 
@@ -253,10 +312,10 @@ def _pairs_of_cells(
 def _placed(stores: DataFrame, mass: str, degrees: float) -> tuple[DataFrame, bool]:
     """The stores that reach some province, with the columns of a share row
     and their cells, and whether they measure as small enough to broadcast."""
-    wanted = {*schemas.SHARE_COLUMNS, *RUNNING_TIEBREAK, "STORE_LATITUDE", "STORE_LONGITUDE", mass, "__cy", "__cx"}
+    wanted = {*schemas.SHARE_COLUMNS, *RUNNING_TIEBREAK, "STORE_LATITUDE", "STORE_LONGITUDE", mass, "__cy", "__cx", "__cm"}
     placed = with_cells(stores, mass, degrees).filter(F.col("STORE_PROVINCE").isin(*REACHABLE_PROVINCES))
     placed = placed.select(*(c for c in placed.columns if c in wanted))
-    return placed, fits_broadcast(placed)
+    return placed, fits_broadcast(placed, 2 * broadcast_max_bytes(placed))
 
 
 def pruned_pairs(

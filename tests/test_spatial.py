@@ -118,3 +118,20 @@ def test_no_full_pairs_beyond_the_broadcast_bound(spark, sf_mid):
     finally:
         spark.conf.unset("catchment.broadcast.maxBytes")
     assert "__ky" in plan and "__lb" not in plan  # joined by cell, not province by province
+
+
+def test_pairs_made_follow_the_pairs_kept(spark):
+    """Four times the stores in the same place of the map: a postal code keeps
+    about as many, and about as many are made for it."""
+    made_pairs = []
+    for count in (400, 1600):
+        rng = random.Random(11)
+        rows = [(*(f"{c}{i}" for c in STORE[:5]), "ON", *(f"{c}{i}" for c in STORE[6:]),
+                 rng.uniform(44, 46), rng.uniform(-80, -78), rng.uniform(1.0, 2.0)) for i in range(count)]
+        text = ", ".join(f"{c} string" for c in STORE)
+        stores = spark.createDataFrame(rows, f"{text}, STORE_LATITUDE double, STORE_LONGITUDE double, REVENUE_CY double")
+        codes = spark.createDataFrame([(f"P{i}", "ON", rng.uniform(44.2, 45.8), rng.uniform(-79.8, -78.2)) for i in range(40)],
+                                      "POSTALCODE string, PROV string, LATITUDE double, LONGITUDE double")
+        made_pairs.append(sp.pruned_pairs(stores, codes, att.HALF_PERCENT).count())
+        same(sp.pruned_shares(stores, codes, att.HALF_PERCENT), att.shares(att.full_attraction(stores, codes)))
+    assert made_pairs[1] < 1.5 * made_pairs[0], made_pairs
