@@ -8,20 +8,24 @@ pair, sort them and drop nearly all.  Here the stores lie in grid cells:
    mass alone) and are summed by array arithmetic; no pair becomes a row.
    All pairs are counted, so this step is quadratic, with a small constant
    and bounded memory.
-2. **Cells.**  A postal code meets the cells of the provinces it is reached
-   from.  ``largest mass of the cell / smallest possible distance ** 2`` is
-   an upper bound for every store of the cell; a cell whose bound is below
-   the cut is left out whole.
-3. **Stores.**  Only stores of the remaining cells are paired and checked.
+2. **Cells.**  A postal code meets the largest cells of the provinces it is
+   reached from, then the parts of those that remain, level by level.
+   ``largest mass of the cell / smallest possible distance ** 2`` is an upper
+   bound for every store of the cell; a cell whose bound is below the cut is
+   left out whole.  The smallest cells are split by octaves of mass as well.
+3. **Stores.**  Only stores of the remaining smallest cells are paired and
+   checked, so the pairs made follow the pairs kept.
 
 What passes is the strongest end of a postal code's stores, so the running
 share of a kept row follows from the kept rows and the total: all that is not
 kept is weaker.  At most ``1 / min_share`` rows of a postal code are left for
 the windows.
 
-Layout: the totals are hash-partitioned by POSTALCODE with an explicit count;
-stores and cells are broadcast after a measured size check, so there is no
-exchange after that layout.  Beyond the check the same steps join by shuffles.
+Layout: the totals are hash-partitioned by postal code with an explicit count;
+stores and cells are broadcast after a measured size check.  The cells that
+remain are dealt by POSTALCODE before the last level (few rows a code), and
+there is no exchange after that.  Beyond the check the same steps join by
+shuffles.
 """
 
 from __future__ import annotations
