@@ -30,6 +30,7 @@ shuffles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,6 +56,20 @@ MARGIN = 1e-9
 CODE_BLOCK, STORE_BLOCK = 1024, 8192
 #: Haversine (about 1 km) below which distances are taken from the angles.
 NEAR = 1e-8
+#: Haversine (an angle of 60 degrees) up to which the pull is split in ``1 / haversine`` and a smooth rest.
+SPLIT = 0.25
+#: Terms of the rest: the first left out is below 1e-15 at ``SPLIT``.
+REST_TERMS = 24
+
+
+def rest_of_pull() -> list[float]:
+    """Coefficients r of ``1 / h - 1 / asin(sqrt(h)) ** 2 = sum(r[k] * h ** k)``,
+    from ``asin(sqrt(h)) ** 2 = sum((4 * h) ** n / (2 * n * n * comb(2 * n, n)))``."""
+    squares = [4.0**n / (2 * n * n * math.comb(2 * n, n)) for n in range(1, REST_TERMS + 2)]
+    inverse = [1.0]
+    for k in range(1, REST_TERMS + 1):
+        inverse.append(-sum(squares[i] * inverse[k - i] for i in range(1, k + 1)))
+    return [-b for b in inverse[1:]]
 
 
 def with_cells(stores: DataFrame, mass: str = "REVENUE_CY", degrees: float = CELL_DEGREES) -> DataFrame:
@@ -180,6 +195,7 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
     broadcast, else the blocks meet by a shuffle."""
     n = partitions or shuffle_partitions(ldu)
     spark, names, radius, near = ldu.sparkSession, ldu.columns, EARTH_RADIUS_KM, NEAR
+    split, rest = SPLIT, rest_of_pull()
     keep = [c for c in names if c != "PROV"]
     codes = packed(ldu.repartition(n).withColumns({"__y": F.col("LATITUDE"), "__x": F.col("LONGITUDE")}),
                    "PROV", ["__y", "__x"], keep, CODE_BLOCK)
@@ -197,37 +213,94 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
             lat, lon = np.radians(lat), np.radians(lon)
             return np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)
 
+        def points(low, high):
+            """Chebyshev points of an interval (radians) and the function that
+            gives the weights of every point at a place.  What is smooth up to
+            the antipode, and looked at from no more than 60 degrees away, is
+            interpolated to the rounding; None if the interval is too long."""
+            half, middle = max((high - low) / 2, 1e-3), (low + high) / 2
+            if not half <= 0.7:  # also if not a number
+                return None
+            gap = (np.pi - np.pi / 3) / half
+            n = int(np.ceil(35 / np.arccosh(gap))) + 1
+            angle = (np.arange(n) + 0.5) * np.pi / n
+            signed = np.sin(angle) * (-1.0) ** np.arange(n)
+
+            def weights(x):
+                apart = (x[:, None] - middle) / half - np.cos(angle)
+                hit = apart == 0
+                w = signed / np.where(hit, 1, apart)
+                w[hit.any(axis=1)] = 0
+                w[hit] = 1
+                return w / w.sum(axis=1, keepdims=True)
+
+            return middle + half * np.cos(angle), weights
+
+        def smooth_part(here, lats, lons, mass):
+            """The part of every code's sum that the rest of the pull makes:
+            the masses are put on few points, as the rest is smooth.  None
+            where some code is too far away for that, or where it costs more."""
+            if not (np.isfinite(mass).all() and (mass >= 0).all()):
+                return None
+            rows, cols = (points(float(x.min()), float(x.max())) for x in (np.radians(lats), np.radians(lons)))
+            if rows is None or cols is None or 4 * len(rows[0]) * len(cols[0]) > len(lats):
+                return None
+            heaps = ((rows[1](np.radians(lats)) * mass[:, None]).T @ cols[1](np.radians(lons))).ravel()
+            there = places(*(np.degrees(x.ravel()) for x in np.meshgrid(rows[0], cols[0], indexing="ij")))
+            h = sum((p[:, None] - q) ** 2 for p, q in zip(here, there, strict=True)) * 0.25
+            if (h > split).any():
+                return None
+            out = np.full_like(h, rest[-1])
+            for r in rest[-2::-1]:
+                np.add(np.multiply(out, h, out=out), r, out=out)
+            return out @ heaps
+
         def pulls(lat, lon, lats, lons, mass):
             """Attraction of every code, and how many stores are not at its very place."""
-            total, apart = np.zeros(len(lat)), np.full(len(lat), len(lats), np.int64)
             here, there = places(lat, lon), places(lats, lons)
+            smooth = smooth_part(here, lats, lons, mass)
+            if smooth is None:
+                return summed(lat, lon, lats, lons, mass, here, there)
+            total, apart = summed(lat, lon, lats, lons, mass, here, there, smooth)
+            again = np.flatnonzero(apart < len(lats))  # the smooth part has the stores at the code's place
+            if len(again):
+                total[again] = summed(lat[again], lon[again], lats, lons, mass, [p[again] for p in here], there)[0]
+            return total, apart
+
+        def summed(lat, lon, lats, lons, mass, here, there, smooth=None):
+            """``pulls`` pair by pair; with ``smooth``, less the rest that it holds."""
+            total, apart = np.zeros(len(lat)), np.full(len(lat), len(lats), np.int64)
             step = max(1, 32768 // len(lats))
             room, more = np.empty((step, len(lats))), np.empty((step, len(lats)))  # new arrays cost more than the sums
+            close = np.empty((step, len(lats)), bool)
             for a in range(0, len(lat), step):
                 rows = slice(a, a + step)
-                h, t = room[: len(lat[rows])], more[: len(lat[rows])]
+                h, t, c = (x[: len(lat[rows])] for x in (room, more, close))
                 for k, (p, q) in enumerate(zip(here, there, strict=True)):
                     np.subtract(p[rows, None], q, out=t)
                     np.multiply(t, t, out=t if k else h)
                     if k:
                         np.add(h, t, out=h)
                 np.multiply(h, 0.25, out=h)
-                i, j = np.nonzero(h < near)  # differences of places lose digits there
-                if len(i):
+                i = ()
+                if np.less(h, near, out=c).any():
+                    i, j = np.nonzero(c)  # differences of places lose digits there
                     dy, dx = np.radians(lats[j] - lat[rows][i]) / 2, np.radians(lons[j] - lon[rows][i]) / 2
                     h[i, j] = np.sin(dy) ** 2 + np.sin(dx) ** 2 * np.cos(np.radians(lats[j])) * np.cos(np.radians(lat[rows][i]))
                     none = h[i, j] == 0
                     i, j = i[none], j[none]
                     h[i, j] = 1
                     apart[rows] -= np.bincount(i, minlength=len(h))
-                np.sqrt(np.minimum(h, 1, out=h), out=h)
-                np.multiply(np.arcsin(h, out=h), 2 * radius, out=h)
+                if smooth is None:
+                    np.sqrt(np.minimum(h, 1, out=h), out=h)
+                    np.multiply(np.arcsin(h, out=h), 2 * radius, out=h)
+                    np.multiply(h, h, out=h)
                 with np.errstate(divide="ignore"):
-                    np.divide(1, np.multiply(h, h, out=h), out=h)
+                    np.divide(1, h, out=h)
                 if len(i):
                     h[i, j] = 0
                 total[rows] = h @ mass
-            return total, apart
+            return total if smooth is None else (total - smooth) / (2 * radius) ** 2, apart
 
         def closed(held):
             row, total, apart = held

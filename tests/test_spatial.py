@@ -135,3 +135,35 @@ def test_pairs_made_follow_the_pairs_kept(spark):
         made_pairs.append(sp.pruned_pairs(stores, codes, att.HALF_PERCENT).count())
         same(sp.pruned_shares(stores, codes, att.HALF_PERCENT), att.shares(att.full_attraction(stores, codes)))
     assert made_pairs[1] < 1.5 * made_pairs[0], made_pairs
+
+
+def test_the_rest_of_the_pull_is_smooth_and_right():
+    """Over many stores of a block the pull is one over the haversine less a
+    series, which is summed at few points: no arc sine per pair."""
+    rest = sp.rest_of_pull()
+    for h in (1e-3, 0.02, 0.1, sp.SPLIT):
+        want = 1 / h - 1 / math.asin(math.sqrt(h)) ** 2
+        assert math.isclose(sum(r * h**k for k, r in enumerate(rest)), want, abs_tol=1e-15 / h + 1e-13)
+    assert rest[-1] * sp.SPLIT ** len(rest) < 1e-15
+
+
+@pytest.mark.parametrize("odd", [None, "far", "negative", "nan"])
+def test_totals_of_many_stores_equal_sums_over_all_pairs(spark, odd):
+    rng = random.Random(12)
+    places = [(rng.uniform(44, 50), rng.uniform(-90, -70), rng.uniform(0.0, 9e3)) for _ in range(1500)]
+    places[7] = (45.5, -80.0, 1e12)  # a heavy store at the very place of a code
+    places[8] = {"negative": (46.0, -81.0, -7e5), "nan": (46.0, -81.0, math.nan)}.get(odd, (46.0, -81.0, 1.0))
+    stores = spark.createDataFrame(
+        [(*(f"{c}{i}" for c in STORE[:5]), "ON", *(f"{c}{i}" for c in STORE[6:]), *place) for i, place in enumerate(places)],
+        f"{', '.join(f'{c} string' for c in STORE)}, STORE_LATITUDE double, STORE_LONGITUDE double, REVENUE_CY double")
+    codes = [(f"P{i}", "ON", rng.uniform(43, 52), rng.uniform(-95, -65)) for i in range(60)]
+    codes += [("SAME", "ON", 45.5, -80.0), ("CLOSE", "ON", 45.5, -80.0000001), ("NULL", "ON", None, -80.0)]
+    codes += [("FAR", "ON", -33.9, 151.2)] if odd == "far" else []
+    codes = spark.createDataFrame(codes, "POSTALCODE string, PROV string, LATITUDE double, LONGITUDE double").coalesce(1)
+    want = {r[0]: r[1] for r in att.attraction(stores, codes).groupBy("POSTALCODE").agg(F.sum("Attraction")).collect()}
+    sums = sp.postal_totals(codes, sp.with_cells(stores), partitions=1)
+    got = {r.POSTALCODE: r.TOTAL_POSTALCODE_ATTRACTION for r in sums.collect()}
+    assert got.keys() == want.keys() and len(got) >= 63
+    for code, total in want.items():
+        assert (got[code] is None) == (total is None), code
+        assert total is None or got[code] == pytest.approx(total, rel=1e-9 if code == "CLOSE" else 1e-13, nan_ok=True), code
