@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from catchment import schemas
@@ -54,6 +55,32 @@ def test_salted_fallback_equals_broadcast(spark, sf_small):
     assert fast == salted and len(fast) > 0
 
 
+@pytest.mark.parametrize("bound", [None, "0"])
+def test_pairs_by_store_are_the_pairs(spark, sf_mid, bound):
+    """The same rows with and without a broadcast, runs of them of one store, and no pair shuffled."""
+    from catchment.plans import inputs
+
+    s, l = inputs.stores(spark, sf_mid), inputs.ldu(spark, sf_mid)
+    odd = spark.createDataFrame([("TWICE", "ON", -75.0, 45.0)] * 2 + [("NONE", None, -75.0, 45.0), (None, "QC", None, None)],
+                                "POSTALCODE string, PROV string, LONGITUDE double, LATITUDE double")
+    l, cols = l.unionByName(odd), [*l.columns, *s.columns]
+    want = adjm.pairs(s, att.layout_postal(l, 1)).select(*cols)
+    if bound:
+        spark.conf.set("catchment.broadcast.maxBytes", bound)
+    try:
+        got = adjm.pairs_by_store(s, l, 1)
+    finally:
+        spark.conf.unset("catchment.broadcast.maxBytes")
+    assert got.columns == cols
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "Generate explode(__codes" in top and "Exchange" not in top
+    after = [r.STORE_NUM for r in got.collect()]
+    changes = sum(x != y for x, y in zip(after, after[1:]))
+    assert len(after) > 10_000 and changes < len(after) / 4, (changes, len(after))
+
+
 def test_largest_polygon_with_ties_is_deterministic(spark):
     polys = ldu_df(
         spark,
