@@ -4,10 +4,10 @@ A share cut keeps a (store, postal code) pair when its attraction is more than
 ``min_share`` of the postal code's total.  Full attraction tables make every
 pair, sort them and drop nearly all.  Here the stores lie in grid cells:
 
-1. **Totals.**  Blocks of postal codes meet blocks of stores (position and
-   mass alone) and are summed by array arithmetic; no pair becomes a row.
-   All pairs are counted, so this step is quadratic, with a small constant
-   and bounded memory.
+1. **Totals.**  Blocks of neighbouring postal codes meet blocks of stores
+   (position and mass alone) and are summed by array arithmetic; no pair
+   becomes a row.  All pairs are counted, but only those close together one
+   by one (``operators.nearfar``).
 2. **Cells.**  A postal code meets the largest cells of the provinces it is
    reached from, then the parts of those that remain, level by level.
    ``largest mass of the cell / smallest possible distance ** 2`` is an upper
@@ -21,7 +21,8 @@ share of a kept row follows from the kept rows and the total: all that is not
 kept is weaker.  At most ``1 / min_share`` rows of a postal code are left for
 the windows.
 
-Layout: the totals are hash-partitioned by postal code with an explicit count;
+Layout: postal codes are dealt by ranges of province and place, with an
+explicit count, for the totals and the first levels of cells;
 stores and cells are broadcast after a measured size check.  The cells that
 remain are dealt by POSTALCODE before the last level (few rows a code), and
 there is no exchange after that.  Beyond the check the same steps join by
@@ -42,6 +43,7 @@ from ..functions.geo import EARTH_RADIUS_KM, gravity, haversine_km
 from ..plans.layout import broadcast_max_bytes, fits_broadcast, maybe_broadcast, shuffle_partitions
 from .adjacency import REACHABLE_PROVINCES, adjacency
 from .attraction import RUNNING_TIEBREAK, by_postal, layout_postal
+from .nearfar import inverse_haversine_sums
 
 #: Side of a grid cell in degrees; a side of a smallest cell is that over ``2 ** FINE_BITS``.
 CELL_DEGREES = 2.0
@@ -53,7 +55,7 @@ DEALT_BITS = 3
 #: Bounds are widened by this, for the rounding of the bound itself.
 MARGIN = 1e-9
 #: Postal codes and stores of a block.
-CODE_BLOCK, STORE_BLOCK = 1024, 8192
+CODE_BLOCK, STORE_BLOCK = 4096, 32768
 #: Haversine (about 1 km) below which distances are taken from the angles.
 NEAR = 1e-8
 #: Haversine (an angle of 60 degrees) up to which the pull is split in ``1 / haversine`` and a smooth rest.
@@ -181,6 +183,19 @@ def packed(df: DataFrame, key: str, numbers: list[str], keep: list[str], size: i
     return picked.mapInArrow(work, ", ".join(fields))
 
 
+def place_order(lat: str, lon: str) -> Column:
+    """A number near places mostly share: the bits of latitude and longitude
+    (16 each), taken in turn.  Missing places come at an end."""
+    def spread(value, degrees):
+        held = F.least(F.greatest(F.col(value), F.lit(-degrees)), F.lit(degrees))
+        bits = F.floor((held + degrees) / (2 * degrees) * 65535).cast("long")
+        for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, by)).bitwiseAND(F.lit(mask))
+        return bits
+
+    return F.shiftleft(spread(lat, 90.0), 1).bitwiseOR(spread(lon, 180.0))
+
+
 def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", partitions: int | None = None,
                   small: bool = True) -> DataFrame:
     """``ldu`` (one row per postal code) with TOTAL_POSTALCODE_ATTRACTION, the
@@ -188,20 +203,22 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
 
     Postal codes and stores are packed in blocks by province, and every block
     of codes meets the blocks of the stores that reach it.  A pair of blocks
-    is summed by array arithmetic in its task, a few thousand pairs at a time,
-    so no pair becomes a row.  Codes are dealt evenly over the tasks; the
-    sums are laid out by POSTALCODE and PROV.  With ``small`` (the caller has measured
+    is summed by array arithmetic in its task, a few thousand terms at a time,
+    so no pair becomes a row.  Codes are dealt by ranges of province and
+    place, so a block's codes are neighbours and most stores are far from all
+    of them.  With ``small`` (the caller has measured
     more than these four columns) the stores are packed by one task and
     broadcast, else the blocks meet by a shuffle."""
     n = partitions or shuffle_partitions(ldu)
     spark, names, radius, near = ldu.sparkSession, ldu.columns, EARTH_RADIUS_KM, NEAR
-    split, rest = SPLIT, rest_of_pull()
+    split, rest, begin = SPLIT, rest_of_pull(), inverse_haversine_sums(NEAR)
     keep = [c for c in names if c != "PROV"]
-    codes = packed(ldu.repartition(n).withColumns({"__y": F.col("LATITUDE"), "__x": F.col("LONGITUDE")}),
-                   "PROV", ["__y", "__x"], keep, CODE_BLOCK)
+    placed = ldu.withColumns({"__y": F.col("LATITUDE"), "__x": F.col("LONGITUDE"), "__z": place_order("LATITUDE", "LONGITUDE")})
+    dealt = placed.repartitionByRange(n, "PROV", "__z", "POSTALCODE").sortWithinPartitions("PROV", "__z", "POSTALCODE")
+    codes = packed(dealt, "PROV", ["__y", "__x"], keep, CODE_BLOCK)
     side = stores.select("STORE_PROVINCE", "STORE_LATITUDE", "STORE_LONGITUDE", F.col(mass).alias("__m"))
     side = packed(side.coalesce(1) if small else side, "STORE_PROVINCE", ["STORE_LATITUDE", "STORE_LONGITUDE", "__m"], [], STORE_BLOCK)
-    side = side.drop("__block")
+    side = side.withColumnRenamed("__block", "__side")
     reached = codes.join(F.broadcast(adjacency(spark)), codes["PROV"] == F.col("LDU_PROV")).drop("LDU_PROV")
     met = reached.join(F.broadcast(side) if small else side, F.col("STORE_PROV") == F.col("STORE_PROVINCE"))
 
@@ -247,21 +264,31 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
                 return None
             heaps = ((rows[1](np.radians(lats)) * mass[:, None]).T @ cols[1](np.radians(lons))).ravel()
             there = places(*(np.degrees(x.ravel()) for x in np.meshgrid(rows[0], cols[0], indexing="ij")))
-            h = sum((p[:, None] - q) ** 2 for p, q in zip(here, there, strict=True)) * 0.25
-            if (h > split).any():
-                return None
-            out = np.full_like(h, rest[-1])
-            for r in rest[-2::-1]:
-                np.add(np.multiply(out, h, out=out), r, out=out)
-            return out @ heaps
-
-        def pulls(lat, lon, lats, lons, mass):
+            parts = []
+            for a in range(0, len(here[0]), 256):
+                h = sum((p[a : a + 256, None] - q) ** 2 for p, q in zip(here, there, strict=True)) * 0.25
+                if (h > split).any():
+                    return None
+                out = np.full_like(h, rest[-1])
+                for r in rest[-2::-1]:
+                    np.add(np.multiply(out, h, out=out), r, out=out)
+                parts.append(out @ heaps)
+            return np.concatenate(parts)
+
+        def pulls(lat, lon, lats, lons, mass, key):
             """Attraction of every code, and how many stores are not at its very place."""
             here, there = places(lat, lon), places(lats, lons)
             smooth = smooth_part(here, lats, lons, mass)
             if smooth is None:
                 return summed(lat, lon, lats, lons, mass, here, there)
-            total, apart = summed(lat, lon, lats, lons, mass, here, there, smooth)
+            found = np.isfinite(lat) & np.isfinite(lon)
+            near_far = sums_of(lat[found], lon[found], lats, lons, mass, key)
+            if near_far is None:
+                total, apart = summed(lat, lon, lats, lons, mass, here, there, smooth)
+            else:
+                total, apart = np.full(len(lat), np.nan), np.full(len(lat), len(lats), np.int64)
+                total[found], apart[found] = near_far
+                total = (total - smooth) / (2 * radius) ** 2
             again = np.flatnonzero(apart < len(lats))  # the smooth part has the stores at the code's place
             if len(again):
                 total[again] = summed(lat[again], lon[again], lats, lons, mass, [p[again] for p in here], there)[0]
@@ -311,7 +338,7 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
             return pa.RecordBatch.from_arrays([*columns, sums], names=[*names, "__a"])
 
         numbers = lambda scalar: scalar.values.to_numpy(zero_copy_only=False).astype(float)
-        block, held = None, None
+        block, held, sums_of = None, None, begin()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i] for k, c in enumerate(batch.schema.names)}
@@ -322,7 +349,8 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
                     row["y"], row["x"] = numbers(row["__y"]), numbers(row["__x"])
                     held = (row, np.zeros(len(row["y"])), np.zeros(len(row["y"]), np.int64))
                 first, total, apart = held
-                more = pulls(first["y"], first["x"], *(numbers(row[c]) for c in ("STORE_LATITUDE", "STORE_LONGITUDE", "__m")))
+                side = (numbers(row[c]) for c in ("STORE_LATITUDE", "STORE_LONGITUDE", "__m"))
+                more = pulls(first["y"], first["x"], *side, row["__side"].as_py())
                 total += more[0]
                 apart += more[1]
         if held is not None:
@@ -330,6 +358,8 @@ def postal_totals(ldu: DataFrame, stores: DataFrame, mass: str = "REVENUE_CY", p
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ldu.schema.fields)
     sums = met.mapInArrow(pulled, f"{kinds}, __a double")
+    if small:  # a block of codes meets all its stores in one task: the sums are whole
+        return sums.withColumnRenamed("__a", "TOTAL_POSTALCODE_ATTRACTION")
     return sums.repartition(n, "POSTALCODE", "PROV").groupBy(*names).agg(F.sum("__a").alias("TOTAL_POSTALCODE_ATTRACTION"))
 
 
