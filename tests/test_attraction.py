@@ -219,3 +219,71 @@ def test_postal_windows_do_not_sort_the_pairs(spark, sf_small):
         plan = E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
         above = plan[: plan.index("BroadcastHashJoin")]
         assert "Window" in above and "Sort" not in above and "Exchange" not in above
+
+
+def _odd_pairs(spark):
+    """Stores that repeat or share a place, and codes at a store, without a place, without a code or in two provinces."""
+    s = [(i, f"S #{i % 7}", f"B{i % 3}", ("ON", "QC", "MB")[i % 3], -75.0 - (i % 11) / 10, 45.0 + (i % 4) / 10, 10.0 * (i % 5), "G") for i in range(120)]
+    s += [s[3], s[3], s[4], (200, None, None, "ON", -75.0, None, 7.0, "G"), (201, "N", "B", "ON", None, 45.0, 7.0, "G"),
+          (None, "N", "B", "QC", -75.05, 45.0, 8.0, "G"), (None, "N", "B", "QC", -75.05, 45.0, 8.0, "G")]
+    codes = [("P1", "ON", -75.3, 45.2), ("P1", "QC", -75.3, 45.2), ("P2", "QC", -74.0, 46.0), ("P3", "MB", -97.0, 49.9),
+             ("P4", "ON", None, 45.0), (None, "QC", -74.0, 46.0), ("P5", None, -74.0, 46.0)]
+    return stores_df(spark, s), spark.createDataFrame(codes, "POSTALCODE string, PROV string, LONGITUDE double, LATITUDE double")
+
+
+def _wide(spark, stores, codes):
+    """The full table from pairs that carry every column of their store."""
+    return att.running_share(att.postal_total(att.attraction(stores, codes))).select(*schemas.ATTRACTION_COLUMNS)
+
+
+def _rows9(df):
+    return sorted(repr([float(f"{v:.9g}") + 0.0 if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+@pytest.mark.parametrize("bound", [None, "0"])
+@pytest.mark.parametrize("piece", [5, 40, 1_000_000])
+def test_split_running_share_by_pieces_is_the_window(spark, piece, bound):
+    stores, codes = _odd_pairs(spark)
+    want = _rows9(_wide(spark, stores, codes))
+    if bound:
+        spark.conf.set("catchment.broadcast.maxBytes", bound)
+    try:
+        keyed = att.keyed_stores(stores)
+        assert (keyed.attributes is None) == bool(bound)
+        got = keyed.attach(att.running_share_split(keyed, codes, piece=piece)).select(*schemas.ATTRACTION_COLUMNS)
+        assert _rows9(got) == want and len(want) > 400
+    finally:
+        spark.conf.unset("catchment.broadcast.maxBytes")
+
+
+@pytest.mark.parametrize("bound", [None, "0"])
+def test_numbered_stores_give_the_full_table(spark, bound):
+    stores, codes = _odd_pairs(spark)
+    wide = _wide(spark, stores, codes)
+    if bound:
+        spark.conf.set("catchment.broadcast.maxBytes", bound)
+    try:
+        assert _rows9(att.full_attraction(stores, codes)) == _rows9(wide)
+        keyed = att.keyed_stores(stores)
+        trimmed = keyed.attach(att.trim_tail(att.running_attraction(keyed, codes))).select(*schemas.SHARE_COLUMNS)
+        assert _rows9(trimmed) == _rows9(att.trim_tail(wide))
+    finally:
+        spark.conf.unset("catchment.broadcast.maxBytes")
+
+
+def test_no_pair_is_shuffled_for_the_split_running_share(spark, sf_small):
+    import __spark_entry__ as E
+
+    plan = E.queries()["attraction_cumulative_split"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    above = plan[: plan.index("ASIN(")]
+    assert "Window" in above and "Exchange" not in above.replace("BroadcastExchange", "")
+
+
+@pytest.mark.parametrize("name", ["attraction_excl_max", "attraction_tail_trim", "attraction_cumulative", "attraction_cumulative_split"])
+def test_sorted_pairs_carry_no_store_text(spark, sf_small, name):
+    import __spark_entry__ as E
+
+    plan = E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if re.search(r"\bSort \[", line)]
+    assert sorts and not [x for x in sorts if "STORE_NAME" in x]
