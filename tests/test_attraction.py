@@ -287,3 +287,25 @@ def test_sorted_pairs_carry_no_store_text(spark, sf_small, name):
     plan = E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     sorts = [line for line in plan.splitlines() if re.search(r"\bSort \[", line)]
     assert sorts and not [x for x in sorts if "STORE_NAME" in x]
+
+
+def test_decimals_equal_spark_round(spark):
+    from catchment.present import decimals
+
+    odd = spark.sql("SELECT explode(array(0D, -0D, 1D, -0.00001D, 0.00005D, -0.00005D, 2.5D, 1e22D, 1e300D, -1e15D, "
+                    "123456789012.34565D, 4.9e-324D, double('NaN'), double('Infinity'), double('-Infinity'), NULL)) AS x")
+    many = spark.range(0, 200_000, 1, 8).selectExpr("(floor(rand(7) * 1e9) * 10 + 5) / 1e7 AS x").unionAll(
+        spark.range(0, 200_000, 1, 8).selectExpr("(rand(8) - 0.5) * exp((rand(9) - 0.3) * 40) AS x")).unionAll(odd)
+    for n in (4, 6):
+        both = many.select("x", decimals(F.col("x"), n).alias("a"), F.round("x", n).alias("b"))
+        assert both.filter("NOT (a <=> b) OR cast(a AS string) <> cast(b AS string)").collect() == []
+        plan = both.select("a")._jdf.queryExecution().executedPlan().toString()
+        assert "CASE WHEN" in plan  # most values take the quick branch
+    kinds = dict(spark.sql("SELECT cast(1 AS decimal(9, 5)) AS val, 1 AS AREA, 1D AS value").transform(_present).dtypes)
+    assert kinds == {"val": "decimal(9,4)", "AREA": "int", "value": "double"}
+
+
+def _present(df):
+    from catchment.present import present
+
+    return present(df)
