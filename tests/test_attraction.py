@@ -309,3 +309,27 @@ def _present(df):
     from catchment.present import present
 
     return present(df)
+
+
+@pytest.mark.parametrize("bound", [None, "0"])
+def test_a_list_meets_bounded_buckets_of_stores(spark, sf_small, monkeypatch, bound):
+    """What one row is joined and spread into is bounded, and the pairs are the same."""
+    from catchment.plans import inputs
+
+    stores, codes = inputs.stores(spark, sf_small), inputs.ldu(spark, sf_small).repartition(1)
+    many = stores.crossJoin(spark.range(40)).withColumn("STORE_NUM", F.col("STORE_NUM") * 100 + F.col("id")).drop("id")
+    cols = ["STORE_NUM", "POSTALCODE", "PROV"]
+    want = sorted(map(tuple, adjm.pairs(many, codes).select(*cols).collect()))
+    monkeypatch.setattr(adjm, "PAIRS_A_MEETING", 8)
+    if bound:
+        spark.conf.set("catchment.broadcast.maxBytes", bound)
+    try:
+        made = adjm.pairs_by_store(many, codes, 1)
+    finally:
+        spark.conf.unset("catchment.broadcast.maxBytes")
+    assert sorted(map(tuple, made.select(*cols).collect())) == want and len(want) > 1000
+    reach = adjm.stores_with_reach(many)
+    k = adjm.store_buckets(reach, codes, adjm.LISTS_A_TASK)
+    assert k > 10
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Aggregate\(keys?=\[PROV#\d+, __list#\d+L, __lb#\d+L\]", plan)
